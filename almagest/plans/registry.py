@@ -3,9 +3,9 @@ DuckDB oracle SQL. Names are SURVEY §2 IDs in lower case plus a word."""
 
 from __future__ import annotations
 
-from almagest.plans import series_queries
+from almagest.plans import series_queries, survey_queries
 
-_MODULES = [series_queries]
+_MODULES = [series_queries, survey_queries]
 
 
 def queries():
