@@ -77,8 +77,12 @@ def is_reasonable(value, measure) -> Column:
 
 
 def round2(x, digits: int = 2) -> Column:
-    """Round through an exact decimal so that every engine agrees."""
-    return F.round(_c(x).cast("decimal(38,10)"), digits).cast("double")
+    """Round half up to ``digits`` decimals as floor(x*10^d + 0.5) / 10^d.
+
+    Plain IEEE operations, so Spark and an SQL oracle produce the same bits
+    (engine ``round`` implementations differ on values like 1.005, T05)."""
+    scale = float(10 ** digits)
+    return (F.floor(_c(x) * scale + 0.5).cast("double") / scale)
 
 
 def pct_change(cur, prev, digits: int = 2) -> Column:

@@ -216,7 +216,8 @@ def seasonal_position(ts: DataFrame, as_of_month: int) -> DataFrame:
     """
     prof = seasonal_profile(ts)
     per = prof.groupBy(*SERIES_KEY).agg(
-        F.avg("avg_value").alias("overall_avg"),
+        (F.sum(F.col("avg_value").cast("decimal(38,4)")).cast("double")
+         / F.count("avg_value")).alias("overall_avg"),
         F.max_by("month_number", F.struct(F.col("avg_value"), -F.col("month_number"))).alias("peak_month_number"),
         F.map_from_entries(F.collect_list(F.struct("month_number", "avg_value"))).alias("m"))
     cur = F.lit(as_of_month)

@@ -205,7 +205,7 @@ def spending_by_cluster(micro: DataFrame) -> DataFrame:
         for k in SPENDING_KEYS]))
     long = g.select("cluster_id", rows.alias("r")).select("cluster_id", "r.*")
     w = Window.partitionBy("cluster_id")
-    total = F.sum(F.col("mean").cast("decimal(38,10)")).over(w).cast("double")
+    total = F.sum(money(F.col("mean"))).over(w).cast("double")
     return (long.withColumn("total", total)
                 .withColumn("amount", X.round2(F.col("mean"), 2))
                 .withColumn("pct", F.when(F.col("total") > 0,

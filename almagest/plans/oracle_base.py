@@ -1,9 +1,10 @@
 """DuckDB definitions of the canonical tables (the oracle side of
 ``almagest.sources.canonical``). Each oracle query is ``WITH <ctes> <body>``.
 
-Numeric hygiene shared with the Spark side: money is rounded to cents
-through DECIMAL(38,10); sums are exact decimals cast to DOUBLE; averages are
-exact sums divided by counts, then rounded through DECIMAL(38,10).
+Numeric hygiene shared with the Spark side: rounding is floor(x*10^d+0.5)/10^d
+in DOUBLE (bit-identical in both engines); money is that rounding to cents
+kept as DECIMAL(18,2); sums are exact decimals cast to DOUBLE; averages are
+exact sums divided by counts.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ from almagest.sources.canonical import (ACTIVITY_KEYS, GAP_MODULUS, IMPORTANCE_K
 
 
 def money(x: str) -> str:
-    return f"CAST(round(CAST({x} AS DECIMAL(38,10)), 2) AS DECIMAL(18,2))"
+    return f"CAST(floor(({x}) * CAST(100.0 AS DOUBLE) + 0.5) / CAST(100.0 AS DOUBLE) AS DECIMAL(18,2))"
 
 
 def round2(x: str, digits: int = 2) -> str:
-    return f"CAST(round(CAST({x} AS DECIMAL(38,10)), {digits}) AS DOUBLE)"
+    scale = f"CAST({float(10 ** digits)} AS DOUBLE)"
+    return f"(floor(({x}) * {scale} + 0.5) / {scale})"
 
 
 def pct_change(cur: str, prev: str, digits: int = 2) -> str:

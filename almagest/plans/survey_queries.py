@@ -148,7 +148,7 @@ def _a16_sql():
         for k in C.SPENDING_KEYS)
     return O.with_(O.MICRO_RAW, MC, f"g AS (SELECT cluster_id, {sums} FROM mc GROUP BY cluster_id)",
                    f"long AS ({long})",
-                   "tot AS (SELECT cluster_id, CAST(sum(CAST(mean AS DECIMAL(38,10))) AS DOUBLE) AS total "
+                   f"tot AS (SELECT cluster_id, CAST(sum({O.money('mean')}) AS DOUBLE) AS total "
                    "FROM long GROUP BY cluster_id)") + f"""
 SELECT l.cluster_id, l.category, {O.round2('l.mean', 2)} AS amount,
        CASE WHEN tot.total > 0 THEN {O.round2('l.mean / tot.total * 100.0', 1)} ELSE 0.0 END AS pct

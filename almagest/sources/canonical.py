@@ -59,8 +59,10 @@ TS_COLUMNS = ["source", "indicator", "geo_level", "geo_code", "period", "measure
 
 
 def money(x) -> F.Column:
-    """Exact cents: round through decimal(38,10) then keep decimal(18,2)."""
-    return F.round(x.cast("decimal(38,10)"), 2).cast("decimal(18,2)")
+    """Exact cents as decimal(18,2): half-up rounding to cents in double
+    (floor(x*100+0.5)/100, identical in every IEEE engine), then an exact
+    decimal so sums do not depend on the summation order."""
+    return (F.floor(x * 100.0 + 0.5).cast("double") / 100.0).cast("decimal(18,2)")
 
 
 def geo_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
