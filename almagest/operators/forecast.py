@@ -110,7 +110,10 @@ def _finish(j: DataFrame, model: str, mean: Column, w80: Column, w95: Column,
     out = j.select(F.lit(model).alias("model"), *SERIES_KEY, "h",
                    (F.col("t_last") + F.col("h")).cast("int").alias("t"),
                    mean.alias("_m"), w80.alias("_w80"), w95.alias("_w95"))
-    m, w80c, w95c = F.col("_m"), F.col("_w80"), F.col("_w95")
+    # Counts cannot be negative: the point forecast is floored at 0 before
+    # the bands are formed (lower bands are floored too, T23).
+    m = F.greatest(F.col("_m"), F.lit(0.0)) if floor else F.col("_m")
+    w80c, w95c = F.col("_w80"), F.col("_w95")
     lo = (lambda c: F.greatest(c, F.lit(0.0))) if floor else (lambda c: c)
     return out.select(
         "model", *SERIES_KEY, "h", "t", P.ordinal_to_month_period(F.col("t")).alias("period"),
@@ -393,13 +396,18 @@ def ensemble(sarima: DataFrame, hw: DataFrame, naive: DataFrame) -> DataFrame:
         return F.coalesce(F.when(F.col("vs").isNotNull(), F.col(f"s_{c}")), F.col(f"n_{c}")) * ratio
 
     lo80, hi80, lo95, hi95 = (band(c) for c in ("ci_lower_80", "ci_upper_80", "ci_lower_95", "ci_upper_95"))
+    # Re-order (scaling can flip), keep the ensemble value inside its bands
+    # (ratio 1 when the primary is ~0 would otherwise leave it outside) and
+    # floor the lower bounds at 0.
+    l80, u80 = F.least(lo80, hi80, ens), F.greatest(lo80, hi80, ens)
+    l95, u95 = F.least(lo95, hi95, l80), F.greatest(lo95, hi95, u80)
     return g.select(
         F.lit("ensemble").alias("model"), *keys,
         X.round2(ens, 2).alias("value_predicted"),
-        X.round2(F.greatest(F.least(lo80, hi80), F.lit(0.0)), 2).alias("ci_lower_80"),
-        X.round2(F.greatest(lo80, hi80), 2).alias("ci_upper_80"),
-        X.round2(F.greatest(F.least(lo95, hi95), F.lit(0.0)), 2).alias("ci_lower_95"),
-        X.round2(F.greatest(lo95, hi95), 2).alias("ci_upper_95")).filter(F.col("value_predicted").isNotNull())
+        X.round2(F.greatest(l80, F.lit(0.0)), 2).alias("ci_lower_80"),
+        X.round2(u80, 2).alias("ci_upper_80"),
+        X.round2(F.greatest(l95, F.lit(0.0)), 2).alias("ci_lower_95"),
+        X.round2(u95, 2).alias("ci_upper_95")).filter(F.col("value_predicted").isNotNull())
 
 
 def all_models(train: DataFrame, horizon: int = 12) -> DataFrame:
