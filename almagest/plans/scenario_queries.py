@@ -13,7 +13,7 @@ _FITTED: dict = {}
 
 
 def _run(spark, sf):
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, sf, C.input_fingerprint(spark, sf, C.TS_INPUTS))
     if key not in _FITTED:
         ts = C.time_series(spark, sf)
         geo = C.geo_dim(spark, sf)

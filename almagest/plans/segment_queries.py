@@ -51,10 +51,19 @@ W12_SQL = O.with_(O.MICRO, """lab AS (SELECT quarter, cuestionario, CAST(cuestio
 SELECT lab.quarter, lab.cuestionario, m.cluster_id FROM lab JOIN m ON lab.prediction = m.prediction"""
 
 
+_LABELED: dict = {}
+
+
 def _segmented(spark, sf):
-    micro = C.microdata(spark, sf, with_raw=True)
-    labels = G.segment(micro, k=None, seed=SEED, restarts=3)
-    return micro.join(labels, G.KEY, "left")
+    """Respondents with their segment, computed once per session and input
+    snapshot and kept as a reliable checkpoint (shared by m15 and q14, as
+    the reference stores the labels once per training run)."""
+    key = (spark.sparkContext.applicationId, sf, C.input_fingerprint(spark, sf, C.MICRO_INPUTS))
+    if key not in _LABELED:
+        micro = C.microdata(spark, sf, with_raw=True)
+        labels = G.segment(micro, k=None, seed=SEED, restarts=3)
+        _LABELED[key] = micro.join(labels, G.KEY, "left").checkpoint(eager=True)
+    return _LABELED[key]
 
 
 def m15_segments(spark, sf):
