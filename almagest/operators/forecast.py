@@ -501,3 +501,14 @@ def prediction_history(preds: DataFrame, versions: int = 5) -> DataFrame:
     """The newest ``versions`` versions per (model, series)."""
     w = Window.partitionBy("model", *SERIES_KEY).orderBy(F.col("version").desc())
     return preds.withColumn("_vr", F.dense_rank().over(w)).filter(F.col("_vr") <= versions).drop("_vr")
+
+
+def history_with_forecast(history: DataFrame, forecasts: DataFrame) -> DataFrame:
+    """Observed points and forecast points of each series as one
+    tagged series (``is_forecast``), forecast bands kept."""
+    h = history.select(*SERIES_KEY, "period", F.col("value"), F.lit(False).alias("is_forecast"),
+                       *[F.lit(None).cast("double").alias(c) for c in ("ci_lower_80", "ci_upper_80",
+                                                                        "ci_lower_95", "ci_upper_95")])
+    f = forecasts.select(*SERIES_KEY, "period", F.col("value_predicted").alias("value"),
+                         F.lit(True).alias("is_forecast"), "ci_lower_80", "ci_upper_80", "ci_lower_95", "ci_upper_95")
+    return h.unionByName(f)

@@ -329,3 +329,19 @@ def compare_pair(ts: DataFrame, indicator: str, geo_a: str, geo_b: str,
         "yoy_a", "yoy_b",
         F.when(F.col("value_a") > F.col("value_b"), F.lit(geo_a))
          .when(F.col("value_b") > F.col("value_a"), F.lit(geo_b)).alias("leader"))
+
+
+def compare_sides(ts: DataFrame, side_a: tuple[str, str], side_b: tuple[str, str],
+                  periods: int = 24, measure: str = "ABSOLUTE", freq: str = "M") -> DataFrame:
+    """Two (indicator, geo) series side by side over the
+    union of their last ``periods`` periods (full outer join), with the
+    ratio a/b in % (NULL when b is 0 or missing) and a's share of a+b."""
+    def side(ind, geo, tag):
+        s = ts.filter((F.col("indicator") == ind) & (F.col("geo_code") == geo)
+                      & (F.col("measure") == measure) & (F.col("freq") == freq))
+        return last_n(s, periods).select("period", F.col("value").alias(f"value_{tag}"))
+    j = side(*side_a, "a").join(side(*side_b, "b"), "period", "full")
+    return j.select(
+        "period", "value_a", "value_b",
+        X.round2(F.try_divide(F.col("value_a"), F.col("value_b")) * 100.0, 2).alias("ratio_pct"),
+        X.round2(F.try_divide(F.col("value_a"), F.col("value_a") + F.col("value_b")) * 100.0, 1).alias("share_a_pct"))

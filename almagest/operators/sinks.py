@@ -101,3 +101,24 @@ def export_csv(df: DataFrame, path: str, metadata: dict | None = None) -> str:
 def label_back(respondents: DataFrame, labels: DataFrame, key: list[str]) -> DataFrame:
     """Attach predicted labels to respondents by key (never by position, T12)."""
     return respondents.drop("cluster_id").join(labels.select(*key, "cluster_id"), key, "left")
+
+
+def save_named(df: DataFrame, root: str, name: str, created_at: str) -> str:
+    """Persist a result (e.g. a scenario sweep) under a name; the
+    folder is partitioned by name so each save is its own partition."""
+    out = df.withColumn("name", F.lit(name)).withColumn("created_at", F.to_timestamp(F.lit(created_at)))
+    out.write.mode("append").partitionBy("name").parquet(root)
+    return root
+
+
+def list_named(spark: SparkSession, root: str) -> DataFrame:
+    """Saved results, newest first, one row per name."""
+    df = spark.read.parquet(root)
+    return (df.groupBy("name").agg(F.max("created_at").alias("created_at"), F.count(F.lit(1)).alias("rows"))
+              .orderBy(F.col("created_at").desc(), "name"))
+
+
+def save_model(model, path: str) -> str:
+    """Persist a fitted pyspark.ml model (overwrite)."""
+    model.write().overwrite().save(path)
+    return path

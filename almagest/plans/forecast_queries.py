@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from almagest.operators import forecast as M
+from almagest.operators import series as S
 from almagest.operators import sinks as K
 from almagest.plans import oracle_base as O
 from almagest.sources import canonical as C
@@ -156,6 +157,27 @@ SELECT * EXCLUDE (vr) FROM (
 WHERE vr <= 5"""
 
 
+# ---- q02_summary: last 24 observed + current forecast, tagged (W02, U05, F07) ---------
+def q02_summary(spark, sf):
+    ts = C.time_series(spark, sf)
+    hist = S.last_n(ts.filter((F.col("geo_level") == "nation") & (F.col("freq") == "M")), 24)
+    cur = M.current_predictions(_versioned(spark, sf), HORIZON)
+    return M.history_with_forecast(hist, cur)
+
+
+Q02_SQL = O.with_(*_VERS, f"""hist AS (
+  SELECT {KEY}, period, value FROM (
+    SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY t DESC) AS rn FROM time_series
+    WHERE geo_level = 'nation' AND freq = 'M') WHERE rn <= 24)""") + f"""
+SELECT {KEY}, period, value, FALSE AS is_forecast, CAST(NULL AS DOUBLE) AS ci_lower_80,
+       CAST(NULL AS DOUBLE) AS ci_upper_80, CAST(NULL AS DOUBLE) AS ci_lower_95, CAST(NULL AS DOUBLE) AS ci_upper_95
+FROM hist
+UNION ALL
+SELECT {KEY}, period, value_predicted, TRUE, ci_lower_80, ci_upper_80, ci_lower_95, ci_upper_95
+FROM (SELECT *, row_number() OVER (PARTITION BY model, {KEY} ORDER BY period) AS rn FROM preds WHERE is_current)
+WHERE rn <= {HORIZON}"""
+
+
 # ---- rows-only model queries ------------------------------------------------------
 def m05_holt_winters(spark, sf):
     return M.holt_winters(_train(spark, sf), HORIZON)
@@ -178,6 +200,7 @@ def q10_compare(spark, sf):
 
 
 QUERIES = {
+    "q02_summary": q02_summary,
     "m07_naive": m07_naive,
     "a23_metrics": a23_metrics,
     "q09_predictions": q09_predictions,
@@ -190,6 +213,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "q02_summary": Q02_SQL,
     "m07_naive": M07_SQL,
     "a23_metrics": _a23_sql(),
     "q09_predictions": Q09_SQL,

@@ -302,7 +302,28 @@ SELECT coalesce(a.period, b.period) AS period, value_a, value_b, value_a - value
 FROM a FULL OUTER JOIN b ON a.period = b.period"""
 
 
+SIDES = dict(side_a=("buyers", "EUROPE"), side_b=("orders", "EUROPE"), periods=24)
+
+
+def q20_ratio(spark, sf):
+    return S.compare_sides(_ts(spark, sf), **SIDES)
+
+
+def _q20_sql(p=SIDES):
+    (ia, ga), (ib, gb), n = p["side_a"], p["side_b"], p["periods"]
+    def side(ind, geo, tag):
+        return (f"{tag} AS (SELECT period, value AS value_{tag} FROM (SELECT *, row_number() OVER (ORDER BY t DESC) AS rn "
+                f"FROM time_series WHERE indicator = '{ind}' AND geo_code = '{geo}' AND measure = 'ABSOLUTE' "
+                f"AND freq = 'M') WHERE rn <= {n})")
+    return O.with_(O.TIME_SERIES, side(ia, ga, "a"), side(ib, gb, "b")) + f"""
+SELECT coalesce(a.period, b.period) AS period, value_a, value_b,
+       {O.round2('CASE WHEN value_b <> 0 THEN value_a / value_b END * 100.0', 2)} AS ratio_pct,
+       {O.round2('CASE WHEN value_a + value_b <> 0 THEN value_a / (value_a + value_b) END * 100.0', 1)} AS share_a_pct
+FROM a FULL OUTER JOIN b ON a.period = b.period"""
+
+
 QUERIES = {
+    "q20_ratio": q20_ratio,
     "q08_yoy": q08_yoy,
     "w01_latest": w01_latest,
     "q01_kpis": q01_kpis,
@@ -322,6 +343,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "q20_ratio": _q20_sql(),
     "q08_yoy": Q08_SQL,
     "w01_latest": W01_SQL,
     "q01_kpis": _q01_sql(),
