@@ -77,7 +77,7 @@ def read_csv_by_header(spark: SparkSession, pattern: str | list[str], **options)
 # S01 indicator CSV folder
 # --------------------------------------------------------------------------
 
-def read_indicator_csv(spark: SparkSession, pattern: str, stem_suffix: str = "_tenerife",
+def read_indicator_csv(spark: SparkSession, pattern: str, stem_suffix: str = "",
                        source: str = "istac") -> DataFrame:
     """Indicator from the ``indicator`` column, else the file stem;
     name fixes; defaults for geo and measure; unparsable values skipped."""

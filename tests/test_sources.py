@@ -23,9 +23,9 @@ def _write(folder, name, text, encoding="utf-8"):
 
 def test_indicator_csv(spark):
     d = _dir()
-    _write(d, "alojatur_tarifa_adr_tenerife.csv", "geo_code,time,measure,value\nES709,2024-01,ABSOLUTE,81.5\nES709,2024-02,ABSOLUTE,n/a\n")
-    _write(d, "turistas_tenerife.csv", "indicator,geo_code,time,value\nTURISTAS,ES709,2024-01,500000\n")
-    rows = sorted(tuple(r) for r in L.read_indicator_csv(spark, d + "/*_tenerife.csv").collect())
+    _write(d, "alojatur_tarifa_adr_island.csv", "geo_code,time,measure,value\nES709,2024-01,ABSOLUTE,81.5\nES709,2024-02,ABSOLUTE,n/a\n")
+    _write(d, "turistas_island.csv", "indicator,geo_code,time,value\nTURISTAS,ES709,2024-01,500000\n")
+    rows = sorted(tuple(r) for r in L.read_indicator_csv(spark, d + "/*_island.csv", stem_suffix="_island").collect())
     assert rows == [("istac", "alojatur_adr", "ES709", "2024-01", "ABSOLUTE", 81.5),
                     ("istac", "turistas", "ES709", "2024-01", "ABSOLUTE", 500000.0)]
 
