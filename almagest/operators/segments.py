@@ -11,6 +11,9 @@ Clusters are relabelled 0..K-1 by mean spend so ids are stable.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -39,8 +42,13 @@ def feature_columns() -> list[str]:
 
 def features(micro: DataFrame) -> DataFrame:
     """One row per respondent with ~66 numeric features (NULL where the
-    answer is missing; imputation is the model's job)."""
+    answer is missing; imputation is the model's job). The one-hot ranks are
+    attached by broadcast joins of the (<= N row) top-code tables, then every
+    feature is built in a single projection."""
     m = U.parse_raw(micro)
+    for c, n in ONE_HOT:
+        top = U.top_codes(micro, c, n).select(F.col(c).alias(f"_{c}"), F.col("rank").alias(f"_{c}_rank"))
+        m = m.join(F.broadcast(top), F.col(c) == F.col(f"_{c}"), "left")  # <= n rows
     cols = [F.col(k) for k in KEY]
     cols += [F.col(c).cast("double").alias(c) for c in NUMERIC if c != "personas"]
     cols += [X.safe_float(F.col("raw.PERSONAS_TOTAL")).alias("personas")]
@@ -48,14 +56,9 @@ def features(micro: DataFrame) -> DataFrame:
              for k in IMPORTANCE_KEYS]
     cols += [X.binary_flag(F.col(f"raw.{k}")).alias(f"act_{k[len('ACTIV_'):].lower()}") for k in ACTIVITY_KEYS]
     cols += [X.safe_float(F.col("satisfaccion")).alias("satisfaccion_n")]
-    out = m.select(*cols, *[F.col(c) for c, _ in ONE_HOT])
-    for c, n in ONE_HOT:
-        top = U.top_codes(micro, c, n).select(F.col(c).alias(f"_{c}"), F.col("rank").alias(f"_{c}_rank"))
-        out = out.join(F.broadcast(top), F.col(c) == F.col(f"_{c}"), "left")  # <= n rows
-        for i in range(1, n + 1):
-            out = out.withColumn(f"{c}_top{i}", F.when(F.col(f"_{c}_rank") == i, 1.0).otherwise(0.0))
-        out = out.drop(c, f"_{c}", f"_{c}_rank")
-    return out.select(*KEY, *feature_columns())
+    cols += [F.when(F.col(f"_{c}_rank") == i, 1.0).otherwise(0.0).alias(f"{c}_top{i}")
+             for c, n in ONE_HOT for i in range(1, n + 1)]
+    return m.select(*cols)
 
 
 def _prep_pipeline(cols: list[str]) -> Pipeline:
@@ -68,13 +71,19 @@ def _prep_pipeline(cols: list[str]) -> Pipeline:
 
 
 def scaled(feat: DataFrame) -> DataFrame:
-    """Median imputation + standardisation -> ``features`` vector."""
+    """Median imputation + standardisation -> ``features`` vector.
+
+    The feature frame is persisted while the pipeline is fitted (imputer
+    and scaler each take one pass) so the JSON parse and one-hot joins run
+    once; lost blocks are recomputed from lineage."""
     cols = feature_columns()
+    feat = feat.persist(StorageLevel.MEMORY_AND_DISK)
     model = _prep_pipeline(cols).fit(feat)
     return model.transform(feat).select(*KEY, "features", "gasto_euros", "edad", "noches")
 
 
-def choose_k(data: DataFrame, k_min: int = 2, k_max: int = 8, seed: int = 42, max_iter: int = 300) -> int:
+def choose_k(data: DataFrame, k_min: int = 2, k_max: int = 8, seed: int = 42, max_iter: int = 300,
+             parallelism: int = 4) -> int:
     """K with the best silhouette (first best on ties); fewer than 3
     rows -> 2; K must stay below the row count."""
     n = data.count()
@@ -82,24 +91,33 @@ def choose_k(data: DataFrame, k_min: int = 2, k_max: int = 8, seed: int = 42, ma
         return 2
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction",
                              metricName="silhouette", distanceMeasure="squaredEuclidean")
-    best_k, best_s = k_min, None
-    for k in range(k_min, min(k_max, n - 1) + 1):
+
+    def score(k):
         model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(data)
-        s = ev.evaluate(model.transform(data))
+        return ev.evaluate(model.transform(data))
+
+    ks = list(range(k_min, min(k_max, n - 1) + 1))
+    # Candidate K values are independent jobs: submit them concurrently (as
+    # pyspark.ml's CrossValidator does with ``parallelism``).
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        scores = list(pool.map(score, ks))
+    best_k, best_s = k_min, None
+    for k, s in zip(ks, scores):  # first best on ties
         if best_s is None or s > best_s:
             best_k, best_s = k, s
     return best_k
 
 
-def fit_segments(data: DataFrame, k: int, seed: int = 42, restarts: int = 3, max_iter: int = 300):
-    """K-means with several seeds, the lowest training cost kept."""
-    best = None
-    for r in range(restarts):
-        model = KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="features").fit(data)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    return best[1]
+def fit_segments(data: DataFrame, k: int, seed: int = 42, restarts: int = 3, max_iter: int = 300,
+                 parallelism: int = 4):
+    """K-means with several seeds (fitted concurrently), the lowest
+    training cost kept (first seed on ties)."""
+    def fit(r):
+        return KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="features").fit(data)
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        models = list(pool.map(fit, range(restarts)))
+    return min(enumerate(models), key=lambda im: (im[1].summary.trainingCost, im[0]))[1]
 
 
 def relabel_by_spend(labeled: DataFrame, label: str = "prediction") -> DataFrame:

@@ -191,12 +191,20 @@ def m08_ensemble(spark, sf):
     return M.all_models(_train(spark, sf), HORIZON).filter(F.col("model") == "ensemble")
 
 
+_BACKTEST: dict = {}
+
+
 def m10_backtest(spark, sf):
-    return M.backtest(_train(spark, sf), ("naive", "hw", "sarima"), 12)
+    """Four-model back-test metrics, computed once per session and input
+    snapshot (reliable checkpoint), as the reference stores its metrics."""
+    key = (spark.sparkContext.applicationId, sf, C.input_fingerprint(spark, sf, C.TS_INPUTS))
+    if key not in _BACKTEST:
+        _BACKTEST[key] = M.backtest(_train(spark, sf), ("naive", "hw", "sarima"), 12).checkpoint(eager=True)
+    return _BACKTEST[key]
 
 
 def q10_compare(spark, sf):
-    return M.best_model(M.backtest(_train(spark, sf), ("naive", "hw", "sarima"), 12))
+    return M.best_model(m10_backtest(spark, sf))
 
 
 QUERIES = {
