@@ -345,3 +345,23 @@ def compare_sides(ts: DataFrame, side_a: tuple[str, str], side_b: tuple[str, str
         "period", "value_a", "value_b",
         X.round2(F.try_divide(F.col("value_a"), F.col("value_b")) * 100.0, 2).alias("ratio_pct"),
         X.round2(F.try_divide(F.col("value_a"), F.col("value_a") + F.col("value_b")) * 100.0, 1).alias("share_a_pct"))
+
+
+def align(ts: DataFrame, sides: list[tuple[str, str]], newest: int = 12,
+          measure: str = "ABSOLUTE", freq: str = "M") -> DataFrame:
+    """J16 + U04: up to three (indicator, geo) series side by side by period
+    (pivot over the fixed side labels), restricted to the newest ``newest``
+    periods of the union of their periods."""
+    if not 1 <= len(sides) <= 3:
+        raise ValueError("between 1 and 3 series can be aligned")
+    cond = None
+    label = None
+    for i, (ind, geo) in enumerate(sides, start=1):
+        c = (F.col("indicator") == ind) & (F.col("geo_code") == geo)
+        cond = c if cond is None else cond | c
+        label = F.when(c, F.lit(f"s{i}")) if label is None else label.when(c, F.lit(f"s{i}"))
+    rows = (ts.filter(cond & (F.col("measure") == measure) & (F.col("freq") == freq))
+              .withColumn("side", label))
+    wide = rows.groupBy("period").pivot("side", [f"s{i}" for i in range(1, len(sides) + 1)]).agg(F.first("value"))
+    # The newest periods of the union: a limit that is the feature (top-k by period).
+    return wide.orderBy(F.col("period").desc()).limit(newest)

@@ -5,7 +5,12 @@ engine."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from almagest.operators import forecast as M
 from almagest.operators import scenario as Z
+from almagest.plans import forecast_queries as FQ
+from almagest.plans import oracle_base as O
 from almagest.sources import canonical as C
 
 HORIZON = 12
@@ -39,10 +44,51 @@ def m22_importance(spark, sf):
     return Z.importances(spark, model)
 
 
+PCTS = (-10.0, 0.0, 10.0)
+
+
+def a25_path_impact(spark, sf):
+    """A24 + A25 + J13 on given paths: baseline = seasonal-naive forecast of
+    each nation's orders, scenarios = that path scaled by a grid of %."""
+    fc = M.seasonal_naive(FQ._train(spark, sf), 12).filter(F.col("indicator") == "orders")
+    grid = F.array(*[F.struct(F.lit(i).alias("scenario_id"), F.lit(p).alias("pct")) for i, p in enumerate(PCTS)])
+    paths = (fc.select("geo_code", "h", "value_predicted", F.explode(grid).alias("g"))
+               .select("geo_code", "h", F.col("g.scenario_id").alias("scenario_id"),
+                       F.col("g.pct").alias("occupancy_pct"), F.lit(0.0).alias("price_pct"),
+                       F.lit(0.0).alias("foreign_pct"),
+                       F.floor(F.col("value_predicted") * (1 + F.col("g.pct") / 100.0) + 0.5).cast("double").alias("value")))
+    return Z.impact(Z.with_baseline(paths))
+
+
+def _a25_sql():
+    grid = " UNION ALL ".join(f"SELECT {i} AS scenario_id, CAST({p} AS DOUBLE) AS pct" for i, p in enumerate(PCTS))
+    m = O.money
+    ex = lambda c: f"(CAST(sum({m(c)}) AS DOUBLE) / count({c}))"
+    ctes = [O.TIME_SERIES, *FQ.dense_sql(FQ.UNTIL), *FQ.naive_sql("dense", "fc", 12), f"g AS ({grid})",
+            """paths AS (SELECT fc.geo_code, fc.h, g.scenario_id, g.pct AS occupancy_pct,
+                 CAST(floor(fc.value_predicted * (1 + g.pct / 100.0) + 0.5) AS DOUBLE) AS value
+               FROM fc CROSS JOIN g WHERE fc.indicator = 'orders')""",
+            """al AS (SELECT p.*, b.value AS baseline, coalesce(p.value, b.value) AS scenario
+               FROM paths p LEFT JOIN paths b ON b.geo_code = p.geo_code AND b.h = p.h AND b.occupancy_pct = 0)""",
+            """al2 AS (SELECT *, CASE WHEN baseline <> 0 THEN (scenario - baseline) / baseline * 100.0 END AS chg FROM al)""",
+            f"""gg AS (SELECT geo_code, scenario_id, occupancy_pct, {ex('baseline')} AS ab, {ex('scenario')} AS asc_,
+                 {ex('chg')} AS msc, first(h ORDER BY abs(scenario - baseline) DESC, h) AS peak_step
+               FROM al2 GROUP BY geo_code, scenario_id, occupancy_pct)"""]
+    return O.with_(*ctes) + f"""
+SELECT geo_code, scenario_id, occupancy_pct, 0.0 AS price_pct, 0.0 AS foreign_pct,
+       CAST(floor(ab + 0.5) AS BIGINT) AS avg_baseline, CAST(floor(asc_ + 0.5) AS BIGINT) AS avg_scenario,
+       CASE WHEN ab <> 0 THEN {O.round2('(asc_ - ab) / ab * 100.0', 2)} ELSE 0.0 END AS avg_change_pct,
+       {O.round2('msc', 2)} AS mean_step_change,
+       CASE WHEN msc > 0.05 THEN 'up' WHEN msc < -0.05 THEN 'down' ELSE 'neutral' END AS direction,
+       peak_step
+FROM gg"""
+
+
 QUERIES = {
+    "a25_path_impact": a25_path_impact,
     "m25_sweep": m25_sweep,
     "q23_scenario": q23_scenario,
     "m22_importance": m22_importance,
 }
 
-ORACLE: dict = {}
+ORACLE = {"a25_path_impact": _a25_sql()}

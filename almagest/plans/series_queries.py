@@ -322,7 +322,24 @@ SELECT coalesce(a.period, b.period) AS period, value_a, value_b,
 FROM a FULL OUTER JOIN b ON a.period = b.period"""
 
 
+ALIGN = [("orders", "EUROPE"), ("orders", "ASIA"), ("quantity", "AMERICA")]
+
+
+def j16_align(spark, sf):
+    return S.align(_ts(spark, sf), ALIGN, 12)
+
+
+def _j16_sql():
+    cases = " ".join(f"WHEN indicator = '{i}' AND geo_code = '{g}' THEN 's{k}'" for k, (i, g) in enumerate(ALIGN, 1))
+    conds = " OR ".join(f"(indicator = '{i}' AND geo_code = '{g}')" for i, g in ALIGN)
+    cols = ", ".join(f"max(CASE WHEN side = 's{k}' THEN value END) AS s{k}" for k in range(1, len(ALIGN) + 1))
+    return O.with_(O.TIME_SERIES, f"""r AS (SELECT period, value, CASE {cases} END AS side FROM time_series
+  WHERE ({conds}) AND measure = 'ABSOLUTE' AND freq = 'M')""") + f"""
+SELECT period, {cols} FROM r GROUP BY period ORDER BY period DESC LIMIT 12"""
+
+
 QUERIES = {
+    "j16_align": j16_align,
     "q20_ratio": q20_ratio,
     "q08_yoy": q08_yoy,
     "w01_latest": w01_latest,
@@ -343,6 +360,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "j16_align": _j16_sql(),
     "q20_ratio": _q20_sql(),
     "q08_yoy": Q08_SQL,
     "w01_latest": W01_SQL,
