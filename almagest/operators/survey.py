@@ -68,19 +68,23 @@ def top_markets(micro: DataFrame, n: int = 5) -> DataFrame:
     (one per nationality)."""
     g = (micro.filter(F.col("nacionalidad").isNotNull())
               .groupBy("nacionalidad").agg(F.count(F.lit(1)).alias("count")))
-    w_all = Window.partitionBy()  # aggregated rows only: one per nationality
-    w_rank = Window.orderBy(F.col("count").desc(), F.col("nacionalidad").asc())
-    return (g.withColumn("total", F.sum("count").over(w_all))
-             .withColumn("pct", _share("count", "total", 1))
-             .withColumn("rank", F.row_number().over(w_rank))
-             .filter(F.col("rank") <= n))
+    total = g.agg(F.sum("count")).scalar()  # scalar subquery
+    return (_top_n(g, [F.col("count").desc(), F.col("nacionalidad").asc()], n)
+            .withColumn("total", total)
+            .withColumn("pct", _share("count", "total", 1)))
+
+
+def _top_n(df: DataFrame, order: list, n: int) -> DataFrame:
+    """Top ``n`` rows by ``order`` with a 1-based rank: a distributed top-k
+    (sort + limit = TakeOrderedAndProject, each task keeps n rows), then a
+    rank over the n survivors only."""
+    return df.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def top_codes(micro: DataFrame, col: str, n: int) -> DataFrame:
     """W14 / J12 helper: the ``n`` most frequent non-null codes with rank."""
     g = micro.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("total"))
-    w = Window.orderBy(F.col("total").desc(), F.col(col).asc())  # one row per code
-    return g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return _top_n(g, [F.col("total").desc(), F.col(col).asc()], n)
 
 
 def nationality_trends(micro: DataFrame, n: int = 5, nationality: str | None = None) -> DataFrame:
@@ -152,11 +156,10 @@ def flows(micro: DataFrame, min_count: int = 10, top_countries: int = 6,
     pairs = (m.groupBy("nacionalidad", "aloj_categ").agg(F.count(F.lit(1)).alias("count"))
               .filter(F.col("count") >= min_count))
     nat_tot = pairs.groupBy("nacionalidad").agg(F.sum("count").alias("nt"))
-    nat_top = (nat_tot.withColumn("r", F.row_number().over(Window.orderBy(F.col("nt").desc(), "nacionalidad")))
-                      .filter(F.col("r") <= top_countries).select("nacionalidad"))
+    nat_top = nat_tot.orderBy(F.col("nt").desc(), "nacionalidad").limit(top_countries).select("nacionalidad")
     acc_tot = pairs.groupBy("aloj_categ").agg(F.sum("count").alias("at"))
-    acc_top = (acc_tot.withColumn("r", F.row_number().over(Window.orderBy(F.col("at").desc(), "aloj_categ")))
-                      .filter(F.col("r") <= top_accoms).select(F.col("aloj_categ").alias("top_acc")))
+    acc_top = (acc_tot.orderBy(F.col("at").desc(), "aloj_categ").limit(top_accoms)
+                      .select(F.col("aloj_categ").alias("top_acc")))
     kept = (pairs.join(F.broadcast(nat_top), "nacionalidad", "left_semi")
                  .join(F.broadcast(acc_top), F.col("aloj_categ") == F.col("top_acc"), "left"))
     acc = F.when(F.col("top_acc").isNotNull(), F.col("aloj_categ")).otherwise(F.lit("_O"))
