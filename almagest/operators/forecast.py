@@ -327,7 +327,7 @@ def seasonal_arma(train: DataFrame, horizon: int = 12, min_points: int = MIN_SER
     sizes = sizes.filter(F.col("n") >= min_points)
     base = (train.join(sizes, SERIES_KEY)
                  .withColumn("y", F.col("value_filled") / F.when(F.col("scale") != 0, F.col("scale")).otherwise(1.0)))
-    lagged = _with_lags(base, "y", sorted(set(STAGE1_LAGS) | set(FULL_LAGS)), "l")
+    lagged = _with_lags(base, "y", sorted(set(STAGE1_LAGS) | set(FULL_LAGS)), "l").persist()  # read twice
     s1_regs = [f"l{k}" for k in STAGE1_LAGS]
     s1 = lagged.groupBy(*SERIES_KEY).agg(*_normal_sums(lagged, s1_regs, "s1"))
     phi1 = s1.mapInPandas(_stage1, schema=T.StructType(
@@ -412,9 +412,13 @@ def ensemble(sarima: DataFrame, hw: DataFrame, naive: DataFrame) -> DataFrame:
 
 def all_models(train: DataFrame, horizon: int = 12) -> DataFrame:
     """The four models for the whole fleet, one DataFrame."""
-    n = seasonal_naive(train, horizon)
-    hw = holt_winters(train, horizon)
-    sa = seasonal_arma(train, horizon)
+    # The training series feeds every model, and each base forecast feeds both
+    # the output and the ensemble: persist them so each is computed once
+    # (lost blocks are recomputed from lineage).
+    train = train.persist()
+    n = seasonal_naive(train, horizon).persist()
+    hw = holt_winters(train, horizon).persist()
+    sa = seasonal_arma(train, horizon).persist()
     return sa.unionByName(hw).unionByName(n).unionByName(ensemble(sa, hw, n))
 
 
@@ -458,6 +462,7 @@ def backtest(train: DataFrame, models=("naive",), test_size: int = 12) -> DataFr
     all three base models the ensemble is scored too (same fallback and
     renormalisation as in prediction, T30)."""
     part, actual = holdout_split(train, test_size)
+    part = part.persist()  # feeds every model
     fcs = {}
     if "naive" in models:
         fcs["naive"] = seasonal_naive(part, test_size)
@@ -469,6 +474,9 @@ def backtest(train: DataFrame, models=("naive",), test_size: int = 12) -> DataFr
     for f in fcs.values():
         fc = f if fc is None else fc.unionByName(f)
     if len(fcs) == 3:
+        for k in fcs:
+            fcs[k] = fcs[k].persist()
+        fc = fcs["naive"].unionByName(fcs["hw"]).unionByName(fcs["sarima"])
         fc = fc.unionByName(ensemble(fcs["sarima"], fcs["hw"], fcs["naive"]))
     return metrics(fc, actual)
 
