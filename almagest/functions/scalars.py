@@ -22,7 +22,6 @@ VALID_MEASURES = ("ABSOLUTE", "PERCENTAGE_RATE", "ANNUAL_PERCENTAGE_RATE", "RATE
 # Plain decimal or exponent notation, blanks around allowed (trap T04:
 # Spark's cast would also accept '5d', '5f').
 _NUMBER_RE = r"^\s*[+-]?(([0-9]+\.?[0-9]*)|(\.[0-9]+))([eE][+-]?[0-9]+)?\s*$"
-_SPECIAL_RE = r"^\s*[+-]?(?i)(nan|inf|infinity)\s*$"
 
 
 def _c(c) -> Column:

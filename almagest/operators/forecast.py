@@ -77,24 +77,11 @@ def training_series(ts: DataFrame, until_period: str | None = None,
     return S.interpolate(spine).select(*SERIES_KEY, "t", "period", "value", "value_filled")
 
 
-def _sd_exact(x: Column) -> list[Column]:
-    """Aggregates for an order-independent sample sd: n, sum, sum of squares
-    over cent-rounded values (exact decimals)."""
-    d = money(x)
-    return [F.count(x).alias("_n"), F.sum(d).alias("_s1"), F.sum(d * d).alias("_s2")]
-
-
 def _sd_from(n: str = "_n", s1: str = "_s1", s2: str = "_s2") -> Column:
     num = (F.col(n) * F.col(s2) - F.col(s1) * F.col(s1)).cast("double")
     return F.when(F.col(n) > 1, F.sqrt(num / (F.col(n) * (F.col(n) - 1)).cast("double")))
 
 
-def _bands(mean: Column, width80: Column, width95: Column, floor: bool = True):
-    lo = (lambda c: F.greatest(c, F.lit(0.0))) if floor else (lambda c: c)
-    return [lo(mean - width80).alias("ci_lower_80"), (mean + width80).alias("ci_upper_80"),
-            lo(mean - width95).alias("ci_lower_95"), (mean + width95).alias("ci_upper_95")]
-
-
 def _steps(df: DataFrame, horizon: int) -> DataFrame:
     return df.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from almagest.operators import series as S
 from almagest.plans import oracle_base as O

@@ -19,7 +19,6 @@ from almagest.functions import scalars as X
 
 DEFAULT_GEO = "ES709"
 DEFAULT_MEASURE = "ABSOLUTE"
-TS_OUT = ["source", "indicator", "geo_code", "period", "measure", "value"]
 
 # Indicator name corrections applied to indicator CSV files.
 NAME_FIXES = {

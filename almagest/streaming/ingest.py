@@ -79,25 +79,6 @@ class PartitionedTable:
         self.written = True
 
 
-class SnapshotTable:
-    """A keyed table kept as successive Parquet snapshots; ``current`` is the
-    newest one. Each merge writes a new folder (idempotent on retry)."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.version = spark, root, 0
-        self.current: str | None = None
-
-    def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.current) if self.current else None
-
-    def merge(self, batch: DataFrame, key: list[str], batch_id: int) -> None:
-        prev = self.read()
-        merged = batch if prev is None else K.upsert(prev, batch, key)
-        path = os.path.join(self.root, f"v{batch_id:06d}")
-        merged.write.mode("overwrite").parquet(path)
-        self.current = path
-
-
 def incremental_ingest(spark: SparkSession, landing: str, schema, validate, key: list[str],
                        work: str, max_files_per_trigger: int = 1, part_col: str = "period") -> PartitionedTable:
     """Process every landed file once, validate each micro-batch and
