@@ -30,9 +30,16 @@ def _run(spark, sf):
     return _FITTED[key]
 
 
+_SWEPT: dict = {}
+
+
 def m25_sweep(spark, sf):
+    """The aligned scenario paths, swept once per fitted model (checkpoint)."""
     frame, model, sd = _run(spark, sf)
-    return Z.with_baseline(Z.sweep(Z.initial_state(frame), model, sd, HORIZON))
+    key = id(model)
+    if key not in _SWEPT:
+        _SWEPT[key] = Z.with_baseline(Z.sweep(Z.initial_state(frame), model, sd, HORIZON)).checkpoint(eager=True)
+    return _SWEPT[key]
 
 
 def q23_scenario(spark, sf):
