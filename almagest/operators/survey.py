@@ -12,12 +12,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from almagest.functions import period as P
 from almagest.functions import scalars as X
-from almagest.sources.canonical import (ACTIVITY_KEYS, IMPORTANCE_KEYS, SPENDING_KEYS,
-                                        money)
+from almagest.sources.canonical import (ACTIVITY_KEYS, IMPORTANCE_KEYS, RAW_SCHEMA,
+                                        SPENDING_KEYS, money)
 
 
 def avg_exact(c, digits: int) -> Column:
@@ -179,12 +178,11 @@ def flow_nodes(links: DataFrame) -> DataFrame:
 # raw_json based segment statistics
 # --------------------------------------------------------------------------
 
-RAW_SCHEMA = T.StructType([T.StructField(k, T.StringType()) for k in
-                           SPENDING_KEYS + ACTIVITY_KEYS + IMPORTANCE_KEYS + ("PERSONAS_TOTAL",)])
-
-
 def parse_raw(micro: DataFrame) -> DataFrame:
-    """Parse raw_json once into a struct (malformed -> NULL fields)."""
+    """The record as a struct (malformed JSON -> NULL fields). A stored
+    table already carries it parsed (``raw``); otherwise it is parsed here."""
+    if "raw" in micro.columns:
+        return micro
     return micro.withColumn("raw", F.from_json("raw_json", RAW_SCHEMA, {"mode": "PERMISSIVE"}))
 
 

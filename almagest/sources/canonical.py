@@ -58,6 +58,11 @@ IMPORTANCE_KEYS = (
 )
 IMPORTANCE_LEVELS = ("NADA", "ALGO", "BASTANTE", "MUCHO")
 
+# The record keys as a struct of strings: parsed once, Parquet nested-schema
+# pruning then reads only the keys a query touches.
+RAW_SCHEMA = T.StructType([T.StructField(k, T.StringType()) for k in
+                           SPENDING_KEYS + ACTIVITY_KEYS + IMPORTANCE_KEYS + ("PERSONAS_TOTAL",)])
+
 TS_COLUMNS = ["source", "indicator", "geo_level", "geo_code", "period", "measure",
               "value", "fetched_at", "freq", "t", "period_start"]
 
@@ -213,7 +218,8 @@ def build_microdata(spark: SparkSession, sf_dir: str, with_raw: bool = True) ->
     entries += [F.lit("PERSONAS_TOTAL"), (k % 5 + 1).cast("string")]
     raw_map = F.map_filter(F.create_map(*entries),
                            lambda kk, v: v.isNotNull() & (v != F.lit("_Z")))
-    return m.select(*cols, F.to_json(raw_map).alias("raw_json"))
+    out = m.select(*cols, F.to_json(raw_map).alias("raw_json"))
+    return out.withColumn("raw", F.from_json("raw_json", RAW_SCHEMA, {"mode": "PERMISSIVE"}))
 
 
 # Calendar of notable events used by the event queries
@@ -325,4 +331,4 @@ def microdata(spark: SparkSession, sf_dir: str, with_raw: bool = True) -> DataFr
     df = materialised(spark, sf_dir, "microdata", lambda: build_microdata(spark, sf_dir, True), MICRO_INPUTS,
                       ["quarter"], ["nacionalidad", "cuestionario"],
                       builders=(build_microdata, geo_dim, money))
-    return df.select(*MICRO_TYPED, *(["raw_json"] if with_raw else []))
+    return df.select(*MICRO_TYPED, *(["raw_json", "raw"] if with_raw else []))
