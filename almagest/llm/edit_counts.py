@@ -69,7 +69,8 @@ class TokenTree:
             first = int(np.searchsorted(self.ends, edits[i][0], "left"))
             last = int(np.searchsorted(self.starts, edits[i][1], "right")) - 1
             j = i + 1
-            while j < len(edits) and int(np.searchsorted(self.ends, edits[j][0], "left")) <= last:
+            while j < len(edits) and (edits[j][0] == edits[j - 1][1]
+                                      or int(np.searchsorted(self.ends, edits[j][0], "left")) <= last):
                 last = max(last, int(np.searchsorted(self.starts, edits[j][1], "right")) - 1)
                 j += 1
             begin = min(edits[i][0], int(self.starts[first])) if first <= last else edits[i][0]
@@ -98,7 +99,8 @@ class TokenTree:
 def _in_order(edits: list[Edit], size: int) -> list[Edit]:
     out: list[Edit] = []
     for s, e, new in sorted(edits, key=lambda x: (x[0], x[1])):
-        s, e = min(max(0, s), size), min(max(s, e), size)
+        s = min(max(0, s), size)
+        e = min(max(s, e), size)
         if not out or s > out[-1][1] or (s == out[-1][1] and s > out[-1][0]):
             out.append((s, e, new))
     return out
@@ -158,8 +160,9 @@ def count_edited(docs: DataFrame, edits: DataFrame, tokenizer: str) -> DataFrame
     repeat a doc_id all get its edits; edits of unknown documents, or with a
     null start or end, do nothing."""
     per = (edits.filter("start IS NOT NULL AND end IS NOT NULL").groupBy(doc_key().alias("__k1"))
-           .agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("long"), F.col("end").cast("long"),
-                                                     F.col("text").cast("string")))).alias("edits")))
+           .agg(F.sort_array(F.collect_list(F.struct(
+               F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"),
+               F.col("text").cast("string").alias("text")))).alias("edits")))
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                         doc_key().alias("__k1")).join(per, "__k1", "left").select("doc_id", "text", "edits"))
     return rows.mapInArrow(_counted(tokenizer, None), _SCHEMA)

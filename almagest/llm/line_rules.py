@@ -1,6 +1,6 @@
 """Quality rules: whole-text counts, and cross-document line frequency.
 
-DataFrame functions only. Lines are normalised (lower case, digits to 0, white
+DataFrame functions only. Lines are normalised (lower case, numbers to 0, white
 space to single spaces) and hashed; a line that more than ``LINE_DOCS``
 distinct documents of one host (column source) hold is boilerplate there. A
 document is rejected if the rules on its own text fail, or if without its
@@ -28,21 +28,24 @@ _SPACE = r"[\x20\x09-\x0D]+"
 def _repeated_words(grams: str = "grams", words: str = "n_words") -> Column:
     """Words in windows of three that occur twice or more. Window hashes are
     sorted together with their places: as one long of 44 hash bits and 20 place
-    bits, with neighbours compared by the whole hash; as structs in texts of
-    a million words or more."""
+    bits; as structs in texts of a million words or more, or where different
+    hashes agree in those bits."""
     def covered(places: str) -> str:
         return f"size(array_distinct(flatten(transform({places}, p -> array(p, p + 1, p + 2)))))"
 
     packed = f"sort_array(transform({grams}, (g, i) -> (g & -1048576L) | i))"
-    place = "cast(x & 1048575L AS int)"
-    alike = lambda o: f"(s[{o}] & -1048576L) = (x & -1048576L) AND {grams}[cast(s[{o}] & 1048575L AS int)] = {grams}[{place}]"
-    short = (f"transform(array({packed}), s -> transform(filter(s, (x, i) -> "
-             f"(i > 0 AND {alike('i - 1')}) OR (i < size(s) - 1 AND {alike('i + 1')})), x -> {place}))[0]")
+    alike = lambda o: f"(s[{o}] & -1048576L) = (x & -1048576L)"
+    whole = lambda x: f"{grams}[cast({x} & 1048575L AS int)]"
+    mixed = f"size(filter(s, (x, i) -> i > 0 AND {alike('i - 1')} AND {whole('s[i - 1]')} <> {whole('x')})) > 0"
+    short = (f"transform(filter(s, (x, i) -> (i > 0 AND {alike('i - 1')}) OR (i < size(s) - 1 AND {alike('i + 1')})), "
+             f"x -> cast(x & 1048575L AS int))")
     pairs = f"sort_array(transform({grams}, (g, i) -> struct(g, i)))"
     long = (f"transform(array({pairs}), s -> transform(filter(s, (x, i) -> "
             f"(i > 0 AND s[i - 1].g = x.g) OR (i < size(s) - 1 AND s[i + 1].g = x.g)), x -> x.i))[0]")
     return F.expr(f"CASE WHEN size(array_distinct({grams})) = size({grams}) THEN 0 "
-                  f"WHEN {words} < 1048576 THEN {covered(short)} ELSE {covered(long)} END").cast("long")
+                  f"WHEN {words} < 1048576 THEN transform(array({packed}), s -> "
+                  f"CASE WHEN {mixed} THEN {covered(long)} ELSE {covered(short)} END)[0] "
+                  f"ELSE {covered(long)} END").cast("long")
 
 
 def text_rules(docs: DataFrame) -> DataFrame:
@@ -67,7 +70,7 @@ def text_rules(docs: DataFrame) -> DataFrame:
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
     """host, keys, line (hash) and words of every line with a word."""
-    plain = f"trim(regexp_replace(regexp_replace(lower(x), '[0-9]', '0'), r'{_SPACE}', ' '))"
+    plain = f"trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '0'), r'{_SPACE}', ' '))"
     each = F.expr(f"transform(filter(split(coalesce(cast(text AS string), ''), '\\n'), x -> x rlike r'{WORD}'), "
                   f"x -> struct(xxhash64({plain}) AS line, size(split({plain}, ' ')) AS words))")
     return docs.select(F.col("source").cast("string").alias("host"), doc_key().alias("k1"), text_key().alias("k2"),

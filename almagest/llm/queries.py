@@ -98,7 +98,7 @@ dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY doc
 grams AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM d, unnest(range(1, greatest(len(w) - 1, 1))) AS u(i)),
 often_g AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
 rep AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM often_g, unnest([0, 1, 2]) AS u(o) GROUP BY doc_id),
-norm AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(l), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS l
+norm AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(l), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS l
          FROM lines),
 often AS (SELECT source, l FROM norm GROUP BY source, l HAVING count(DISTINCT doc_id) > 50),
 lost AS (SELECT doc_id, sum(len(string_split(norm.l, ' '))) AS n
