@@ -154,35 +154,38 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str],
                  rows: int = 200_000) -> Iterator[pa.Table]:
     """Tables of whole groups, from batches sorted by keys: a group that is
-    still open at a batch's end waits for the next one. A table holds about
+    still open at a batch's end waits for the next one. A table holds at most
     ``rows`` rows, or one group."""
     held: list[pa.RecordBatch] = []
-    n = 0
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        if held and n + batch.num_rows > rows:
-            table = pa.Table.from_batches([*held, batch])
-            cut = last_group(table, keys)
-            if cut:
-                yield table.slice(0, cut)
-                held = table.slice(cut).combine_chunks().to_batches()
-                n = table.num_rows - cut
-                continue
-        held.append(batch)
-        n += batch.num_rows
+        for at in range(0, batch.num_rows, rows):
+            held.append(batch.slice(at, rows))
+            table = pa.Table.from_batches(held)
+            if table.num_rows >= rows:
+                cuts = group_starts(table, keys)
+                yield from _tables(table, cuts, rows)
+                held = table.slice(cuts[-1]).to_batches()
     if held:
-        yield pa.Table.from_batches(held)
+        table = pa.Table.from_batches(held)
+        yield from _tables(table, [*group_starts(table, keys), table.num_rows], rows)
 
 
-def last_group(table: pa.Table, keys: list[str]) -> int:
-    """The row at which the last group of a sorted table begins."""
-    begins = 0
+def group_starts(table: pa.Table, keys: list[str]) -> list[int]:
+    """The rows at which the groups of a sorted table begin."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
     for k in keys:
         col = table.column(k)
-        if table.num_rows < 2:
-            return 0
-        changed = pc.not_equal(col.slice(1), col.slice(0, table.num_rows - 1))
-        at = np.flatnonzero(changed.combine_chunks().to_numpy(zero_copy_only=False))
-        begins = max(begins, int(at[-1]) + 1 if len(at) else 0)
-    return begins
+        if table.num_rows > 1:
+            new[1:] |= pc.not_equal(col.slice(1), col.slice(0, table.num_rows - 1)).combine_chunks().to_numpy(
+                zero_copy_only=False)
+    return np.flatnonzero(new).tolist()
+
+
+def _tables(table: pa.Table, cuts: list[int], rows: int) -> Iterator[pa.Table]:
+    """The table up to the last cut, in parts that end at cuts."""
+    begin = 0
+    for here, after in zip(cuts, [*cuts[1:], None], strict=True):
+        if here > begin and (after is None or after - begin > rows):
+            yield table.slice(begin, here - begin)
+            begin = here

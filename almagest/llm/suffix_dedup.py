@@ -20,8 +20,9 @@ Method
    bucket is read in order; blocks of one anchor prefix stay together, also
    across read boundaries, where the open run of equal leading bytes waits for
    its next part. All suffixes that start at a block's windows are sorted by
-   multikey quicksort on 8-byte tokens, and neighbours that agree over the
-   whole window mark each other as repeated.
+   multikey quicksort on 40-byte tokens (ordered by hash, the shared prefix
+   skipped), and neighbours that agree byte for byte over the whole window mark
+   each other as repeated.
 4. A prefix with more than ``HOT_BLOCKS`` distinct blocks (one passage in very
    many surroundings) would be an unbounded run of one bucket. Its windows are
    dealt out one by one instead, by a 128-bit digest, and counted with
@@ -40,8 +41,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almagest.llm.common import (NULL_ID, chunks, doc_key, keyed, mix64, parallelism, text_key, utf8, whole_groups,
-                                 written)
+from almagest.llm.common import (NULL_ID, chunks, doc_key, drop, keyed, mix64, parallelism, span_hashes, text_key,
+                                 utf8, whole_groups, written)
 
 WINDOW = 400
 PREFIX = 160
@@ -119,7 +120,7 @@ def _anchors(window: int, prefix: int):
     return run
 
 
-def _contexts(window: int):
+def _contexts(window: int, prefix: int):
     """The bytes of each asked block, with the leading bytes of its anchor."""
     def run(batches):
         for batch in batches:
@@ -136,7 +137,7 @@ def _contexts(window: int):
             s = off[row] + first
             e = s + more + window
             body = [raw[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)]
-            lead = [b[a:a + 24] for b, a in zip(body, anchor.tolist(), strict=True)]
+            lead = [b[a:a + min(24, prefix)] for b, a in zip(body, anchor.tolist(), strict=True)]
             keys = [pa.array(batch.column(c).to_numpy()[row]) for c in ("k1", "k2")]
             yield pa.RecordBatch.from_arrays(
                 [*keys, pa.array(pack), pa.array(ph), pa.array(lead, pa.binary()), pa.array(body, pa.binary())],
@@ -144,42 +145,64 @@ def _contexts(window: int):
     return run
 
 
-def multikey_sort(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Multikey quicksort of the suffixes data[start:start + depth], eight
-    bytes a key: suffixes that differ at a key are placed by it, runs of equal
-    ones go on to the next key. Returns the order and, for each place in it,
-    whether the suffix equals its predecessor over the whole depth."""
-    n = len(starts)
-    order = np.arange(n)
+def multikey_sort(tokens: list, n: int, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort of n strings of tokens. tokens: for each position, a
+    function that gives the token of the asked strings; run: a number for each
+    string, strings of different numbers are not compared. Strings that differ
+    at a token are placed by it, runs of equal ones go on to the next token.
+    Returns the order and, for each place in it, whether the string equals its
+    predecessor."""
+    order = np.argsort(run, kind="stable")
+    run = run[order]
     equal = np.zeros(n, bool)
-    equal[1:] = True
-    run = np.zeros(n, np.int64)  # the run of equal suffixes so far, as place of its first
+    equal[1:] = run[1:] == run[:-1]
     live = np.arange(n)  # places that share their run
-    tokens = np.ascontiguousarray(np.lib.stride_tricks.as_strided(
-        np.concatenate([data, np.zeros(8, np.uint8)]), shape=(len(data) + 1, 8), strides=(1, 1))).view(">u8").ravel()
-    for d in range(0, depth, 8):
-        if not len(live):
+    for d in range(len(tokens) + 1):
+        heads = np.flatnonzero(~equal[live])
+        size = np.diff(np.append(heads, len(live)))
+        run[live] = np.repeat(live[heads], size)
+        live = live[np.repeat(size > 1, size)]
+        if d == len(tokens) or not len(live):
             break
-        key = tokens[starts[order[live]] + d].astype(np.uint64)
-        if depth - d < 8:
-            key >>= np.uint64(8 * (8 - depth + d))
+        key = tokens[d](order[live])
         rank = np.lexsort((key, run[live]))
         order[live] = order[live[rank]]
         key = key[rank]
-        differs = np.ones(len(live), bool)
-        differs[1:] = (key[1:] != key[:-1]) | (run[live[1:]] != run[live[:-1]])
-        equal[live[differs]] = False
-        heads = np.flatnonzero(differs)
-        size = np.diff(np.append(heads, len(live)))
-        run[live] = np.repeat(live[heads], size)
-        live = live[np.repeat(size > 1, size)]
+        equal[live[1:]] &= (key[1:] == key[:-1])
     return order, equal
 
 
-def _sorted_windows(window: int):
+#: Bytes of a token in the bucket sort; tokens are ordered by their hashes.
+TOKEN = 40
+
+
+def _window_tokens(data: np.ndarray, start: np.ndarray, anchor: np.ndarray, window: int, prefix: int) -> list:
+    """Tokens of windows that start at ``start`` and agree over the prefix at
+    ``start + anchor``: those before it, then those behind it."""
+    size = min(TOKEN, window)
+    at = np.arange(max(0, len(data) - size + 1))
+    hashes = span_hashes(data, at, at + size)
+    before = -(-int(anchor.max(initial=0)) // size)
+    behind = -(-(window - prefix - int(anchor.min(initial=0))) // size)
+    places = [lambda i, d=d: np.minimum(d * size, window - size) for d in range(before)]
+    places += [lambda i, d=d: np.minimum(anchor[i] + prefix + d * size, window - size) for d in range(behind)]
+    return [lambda i, p=p: hashes[start[i] + p(i)] for p in places]
+
+
+def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:
+    """Whether the windows at a and b agree byte for byte."""
+    words = np.ascontiguousarray(np.lib.stride_tricks.as_strided(
+        data, shape=(max(0, len(data) - 7), 8), strides=(1, 1))).view(np.uint64).ravel()
+    same = np.ones(len(a), bool)
+    for d in [*range(0, window - 7, 8), window - 8]:
+        same &= words[a + d] == words[b + d]
+    return same
+
+
+def _sorted_windows(window: int, prefix: int):
     """Windows of the blocks that occur elsewhere, as (keys, from, to)."""
     def run(batches):
-        for group in whole_groups(batches, ["lead", "ph"], rows=8_000):
+        for group in whole_groups(batches, ["lead", "ph"], rows=3_000):
             body = group.column("body").combine_chunks().cast(pa.large_binary())
             off = np.frombuffer(body.buffers()[1], np.int64, len(body) + 1, body.offset * 8)
             data = np.frombuffer(body.buffers()[2], np.uint8)
@@ -187,10 +210,17 @@ def _sorted_windows(window: int):
             windows = ((pack >> 12) & 4095) + 1
             row = np.repeat(np.arange(len(pack)), windows)
             step = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-            order, equal = multikey_sort(data, off[row] + step, window)
+            start = off[row] + step
+            anchor = (pack & 4095)[row] - step
+            # windows with unequal prefixes, or with them at unequal places, differ
+            ph = np.unique(group.column("ph").to_numpy(), return_inverse=True)[1]
+            order, equal = multikey_sort(_window_tokens(data, start, anchor, window, prefix), len(row),
+                                         ph[row] * (2 * window) + anchor + window)
+            at = np.flatnonzero(equal)
+            at = at[_same_bytes(data, start[order[at]], start[order[at - 1]], window)]
             hit = np.zeros(len(row), bool)
-            hit[order[equal]] = True
-            hit[order[np.flatnonzero(equal) - 1]] = True
+            hit[order[at]] = True
+            hit[order[at - 1]] = True
             yield _spans(group, row[hit], ((pack >> 24)[row] + step)[hit], window)
     return run
 
@@ -234,10 +264,12 @@ def _texts(docs: DataFrame) -> DataFrame:
 def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
     """(k1, k2, s, e): byte spans of documents made of repeated windows. They
     may overlap; their union is what repeats."""
-    blocks = keyed(docs).mapInArrow(_anchors(window, prefix), "k1 long, k2 long, pack long, ph long, bh long")
+    blocks = written(spark, keyed(docs).mapInArrow(
+        _anchors(window, prefix), "k1 long, k2 long, pack long, ph long, bh long"), "blocks")
     often = blocks.groupBy("ph").agg(F.count(F.lit(1)).alias("n"), F.min("bh").alias("lo"), F.max("bh").alias("hi"))
-    often = often.filter("n > 1").select("ph", (F.col("lo") != F.col("hi")).alias("mixed"))
-    again = written(spark, blocks.join(often, "ph"), "blocks")
+    often = written(spark, often.filter("n > 1").select("ph", (F.col("lo") != F.col("hi")).alias("mixed")), "often")
+    again = written(spark, blocks.join(often, "ph"), "again")
+    drop(spark, blocks, often)
     mixed = again.filter("mixed")
     distinct = mixed.groupBy("ph", "bh").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "pack")).alias("one"))
     distinct = written(spark, distinct.select("ph", "bh", "n", "one.*"), "distinct")
@@ -247,7 +279,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, p
     def contexts(asked: DataFrame) -> DataFrame:
         lists = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("pack", "ph")).alias("blocks"))
         return _texts(docs).join(lists, ["k1", "k2"]).select("k1", "k2", "text", "blocks").mapInArrow(
-            _contexts(window), "k1 long, k2 long, pack long, ph long, lead binary, body binary")
+            _contexts(window, prefix), "k1 long, k2 long, pack long, ph long, lead binary, body binary")
 
     first = F.shiftright("pack", 24)
     whole = again.filter("NOT mixed").select("k1", "k2", "pack").unionByName(
@@ -262,7 +294,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, p
         twice = single.groupBy("digest").count().filter("count > 1").select("digest")
         spans = spans.unionByName(single.join(twice, "digest").select("k1", "k2", "s", (F.col("s") + window).alias("e")))
     by_sort = (contexts(few).repartitionByRange(n, "lead", "ph").sortWithinPartitions("lead", "ph")
-               .mapInArrow(_sorted_windows(window), "k1 long, k2 long, s long, e long"))
+               .mapInArrow(_sorted_windows(window, prefix), "k1 long, k2 long, s long, e long"))
     return spans.unionByName(by_sort)
 
 
