@@ -97,6 +97,14 @@ def ordinal_to_month_period(t) -> Column:
     return F.format_string("%04d-%02d", F.floor(t / 12).cast("int"), (t % 12 + 1).cast("int"))
 
 
+def ordinal_to_period(freq, t) -> Column:
+    """Inverse of the ordinals of all frequencies: 'YYYY-MM', 'YYYY-Qn', 'YYYY'."""
+    t = _c(t)
+    quarter = F.format_string("%04d-Q%d", F.floor(t / 4).cast("int"), (t % 4 + 1).cast("int"))
+    return (F.when(_c(freq) == "M", ordinal_to_month_period(t)).when(_c(freq) == "Q", quarter)
+             .otherwise(F.format_string("%04d", t.cast("int"))))
+
+
 def shift_year(p, delta: int = -1) -> Column:
     """The same period ``delta`` years away, any grammar."""
     p = _c(p)

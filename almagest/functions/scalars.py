@@ -76,12 +76,17 @@ def is_reasonable(value, measure) -> Column:
 
 
 def round2(x, digits: int = 2) -> Column:
-    """Round half up to ``digits`` decimals as floor(x*10^d + 0.5) / 10^d.
+    """Round half away from zero to ``digits`` decimals, by way of a decimal
+    with ten (T05: a double's own ``round`` differs between engines on values
+    like 1.005). From 1e15 on a double has no such decimals and stays as it is."""
+    v = _c(x).cast("double")
+    return F.when(F.abs(v) < 1e15, F.round(v.try_cast("decimal(38,10)"), digits).cast("double")).otherwise(v)
 
-    Plain IEEE operations, so Spark and an SQL oracle produce the same bits
-    (engine ``round`` implementations differ on values like 1.005, T05)."""
-    scale = float(10 ** digits)
-    return (F.floor(_c(x) * scale + 0.5).cast("double") / scale)
+
+def exact(x, precision: int = 28) -> Column:
+    """The value as a decimal with six places: sums of it do not depend on the
+    order of rows, and small values keep their digits."""
+    return _c(x).try_cast(f"decimal({precision},6)")
 
 
 def pct_change(cur, prev, digits: int = 2) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from almagest.functions import period as P
 from almagest.functions import scalars as X
-from almagest.sources.canonical import money
 
 
 def list_events(events: DataFrame, from_date: str | None = None, to_date: str | None = None,
@@ -68,9 +67,9 @@ def event_impact(ts: DataFrame, events: DataFrame, indicators: list[str],
     both = (cur.select(*keys, F.lit(True).alias("is_cur"), "value")
                .unionByName(prev.select(*keys, F.lit(False).alias("is_cur"), "value")))
     g = both.groupBy(*keys).agg(
-        F.sum(F.when(F.col("is_cur"), money(F.col("value")))).alias("cs"),
+        F.sum(F.when(F.col("is_cur"), X.exact("value"))).alias("cs"),
         F.count(F.when(F.col("is_cur"), F.col("value"))).alias("n_current"),
-        F.sum(F.when(~F.col("is_cur"), money(F.col("value")))).alias("ps"),
+        F.sum(F.when(~F.col("is_cur"), X.exact("value"))).alias("ps"),
         F.count(F.when(~F.col("is_cur"), F.col("value"))).alias("n_previous"))
     cur_avg = F.col("cs").cast("double") / F.col("n_current")
     prev_avg = F.col("ps").cast("double") / F.col("n_previous")

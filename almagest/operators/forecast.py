@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from almagest.functions import period as P
 from almagest.functions import scalars as X
 from almagest.operators import series as S
-from almagest.sources.canonical import SERIES_KEY, money
+from almagest.sources.canonical import SERIES_KEY
 
 # Band multipliers and ensemble weights.
 Z80, Z95 = 1.28, 1.96
@@ -60,16 +60,20 @@ FC_COLS = ["model", *SERIES_KEY, "h", "t", "period", "value_predicted",
 # Training input
 # --------------------------------------------------------------------------
 
-def training_series(ts: DataFrame, until_period: str | None = None,
-                    exclude: tuple[str, str] | None = None, geo_level: str | None = "nation") -> DataFrame:
+def training_series(ts: DataFrame, until_period: str | None = None, exclude: tuple[str, str] | None = None,
+                    geo_level: str | None = None, leave_out: int = 0) -> DataFrame:
     """M01 + M02: dense monthly series per key, excluded window blanked and
     gaps linearly interpolated. Columns: series key, t, period, value,
-    value_filled."""
+    value_filled. ``leave_out``: months at the end of each source's data that
+    are not trained on (1: the month that is still being delivered)."""
     m = ts.filter((F.col("freq") == "M") & (F.col("measure") == "ABSOLUTE"))
     if geo_level:
         m = m.filter(F.col("geo_level") == geo_level)
     if until_period:
         m = m.filter(F.col("period") <= until_period)
+    if leave_out:
+        last = m.groupBy("source").agg((F.max("t") - leave_out).alias("last_t"))
+        m = m.join(last, "source").filter(F.col("t") <= F.col("last_t")).drop("last_t")
     if exclude:
         m = S.exclude_window(m, *exclude)
     m = m.filter(F.col("value").isNotNull())
@@ -116,7 +120,7 @@ def seasonal_naive(train: DataFrame, horizon: int = 12) -> DataFrame:
     w12 = S.series_window().orderBy("t").rangeBetween(-SEASON, -SEASON)
     v = F.col("value_filled")
     d = train.withColumn("_d", v - F.first("value_filled").over(w12))
-    dm, vm = money(F.col("_d")), money(v)
+    dm, vm = X.exact("_d", 18), X.exact(v, 18)
     stats = d.groupBy(*SERIES_KEY).agg(
         F.count(v).alias("n"), F.max("t").alias("t_last"),
         F.count("_d").alias("_n"), F.sum(dm).alias("_s1"), F.sum(dm * dm).alias("_s2"),
@@ -431,7 +435,7 @@ def metrics(forecasts: DataFrame, actual: DataFrame) -> DataFrame:
     """RMSE, MAE, MAPE (zero actuals excluded) per (model, series),
     forecast steps matched to actuals by month ordinal (T31)."""
     j = forecasts.join(actual, SERIES_KEY + ["t"])
-    e = money(F.col("actual")) - money(F.col("value_predicted"))
+    e = X.exact("actual", 18) - X.exact("value_predicted", 18)
     ape = F.when(F.col("actual") != 0, F.abs((F.col("actual") - F.col("value_predicted")) / F.col("actual")))
     ape = ape.cast("decimal(38,10)")
     g = j.groupBy("model", *SERIES_KEY).agg(

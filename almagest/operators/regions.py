@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from almagest.functions import period as P
 from almagest.functions import scalars as X
 from almagest.operators import series as S
 
@@ -24,15 +25,18 @@ def _map_expr(d: dict, key):
 
 def intensity_map(ts: DataFrame, geo: DataFrame, indicator: str = "orders") -> DataFrame:
     """Q05 for every period: each nation's intensity 0..100 relative to the
-    period's maximum observed value; nation-months without an observation
-    are estimated from the zone factor (J10 without a cross join: the
-    per-series month spine supplies the missing cells).
+    period's maximum observed value; a nation without an observation in a
+    period is estimated from the zone factor (J10: every region in every
+    period from the first to the last one observed anywhere).
     """
     m = S.monthly_only(ts.filter((F.col("geo_level") == "nation") & (F.col("freq") == "M")
                                  & (F.col("indicator") == indicator)))
-    cells = S.monthly_spine(m)
-    zones = geo.select(F.col("n_name").alias("geo_code"), "r_name")
-    cells = cells.join(F.broadcast(zones), "geo_code", "left")  # 25 nations
+    span = m.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    places = geo.select(F.col("n_name").alias("geo_code"), "r_name")  # 25 nations
+    grid = (span.select(F.explode(F.sequence("lo", "hi")).alias("t"), F.lit(0).alias("_one"))
+            .join(places.withColumn("_one", F.lit(0)), "_one").drop("_one"))
+    cells = (grid.join(m.select("geo_code", "t", "value"), ["geo_code", "t"], "left")
+             .withColumn("period", P.ordinal_to_month_period(F.col("t"))))
     zone = _map_expr(REGION_ZONES, F.col("r_name"))
     factor = F.coalesce(_map_expr(ZONE_FACTORS, zone), F.lit(DEFAULT_FACTOR))
     mx = F.max("value").over(Window.partitionBy("period"))

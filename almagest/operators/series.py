@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from almagest.functions import period as P
 from almagest.functions import scalars as X
-from almagest.sources.canonical import SERIES_KEY, money
+from almagest.sources.canonical import SERIES_KEY
 
 STEPS = {"M": 12, "Q": 4, "A": 1}
 
@@ -23,9 +23,9 @@ def series_window(*extra: str) -> Window:
 
 
 def avg_exact(c, digits: int = 4) -> Column:
-    """Average that every engine computes alike: exact cent sum / count."""
+    """Average that every engine computes alike: exact decimal sum / count."""
     c = F.col(c) if isinstance(c, str) else c
-    return X.round2(F.sum(money(c)).cast("double") / F.count(c), digits)
+    return X.round2(F.sum(X.exact(c)).cast("double") / F.count(c), digits)
 
 
 # --------------------------------------------------------------------------
@@ -251,12 +251,13 @@ def monthly_spine(ts: DataFrame) -> DataFrame:
 
 
 def gaps(ts: DataFrame) -> DataFrame:
-    """Months missing between the first and last observation."""
-    m = ts.filter(F.col("freq") == "M")
-    bounds = m.groupBy(*SERIES_KEY).agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    spine = bounds.select(*SERIES_KEY, F.explode(P.month_spine(F.col("lo"), F.col("hi"))).alias("t"))
-    missing = spine.join(m.select(*SERIES_KEY, "t"), SERIES_KEY + ["t"], "left_anti")
-    return missing.select(*SERIES_KEY, "t", P.ordinal_to_month_period(F.col("t")).alias("missing_period"))
+    """Months, quarters or years missing between the first and last
+    observation of a series of that frequency."""
+    key = [*SERIES_KEY, "freq"]
+    bounds = ts.groupBy(*key).agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    spine = bounds.select(*key, F.explode(F.sequence("lo", "hi")).alias("t"))
+    missing = spine.join(ts.select(*key, "t"), key + ["t"], "left_anti")
+    return missing.select(*key, "t", P.ordinal_to_period(F.col("freq"), F.col("t")).alias("missing_period"))
 
 
 def with_lags(df: DataFrame, lags=(1, 3, 6, 12), value: str = "value") -> DataFrame:
@@ -272,7 +273,7 @@ def with_rolling_mean(df: DataFrame, sizes=(3, 12), value: str = "value") -> Dat
     for k in sizes:
         w = series_window().orderBy("t").rangeBetween(-(k - 1), 0)
         n = F.count(value).over(w)
-        df = df.withColumn(f"roll_{k}", F.when(n == k, F.sum(money(F.col(value))).over(w).cast("double") / k))
+        df = df.withColumn(f"roll_{k}", F.when(n == k, F.sum(X.exact(F.col(value))).over(w).cast("double") / k))
     return df
 
 

@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from almagest.session import ensure_checkpoint_dir
 
 
-def upsert(existing: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+def upsert(existing: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
     """Keyed merge, the new batch wins; inside the new batch the
-    first record in ``order`` wins (T14). One shuffle of each side by key."""
-    if order:
-        rec = F.struct(*[F.col(c) for c in new.columns if c not in key])
-        new = new.groupBy(*key).agg(F.min_by(rec, F.col(order)).alias("_r")).select(*key, "_r.*")
+    first record in ``order`` wins (T14), so a key never comes out twice. One
+    shuffle of each side by key."""
+    rec = F.struct(*[F.col(c) for c in new.columns if c not in key])
+    new = new.groupBy(*key).agg(F.min_by(rec, F.col(order)).alias("_r")).select(*key, "_r.*")
     kept = existing.join(new.select(*key), key, "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
 

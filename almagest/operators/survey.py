@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from almagest.functions import period as P
 from almagest.functions import scalars as X
 from almagest.sources.canonical import (ACTIVITY_KEYS, IMPORTANCE_KEYS, RAW_SCHEMA,
-                                        SPENDING_KEYS, money)
+                                        SPENDING_KEYS)
 
 
 def avg_exact(c, digits: int) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return X.round2(F.sum(money(c)).cast("double") / F.count(c), digits)
+    return X.round2(F.sum(X.exact(c)).cast("double") / F.count(c), digits)
 
 
 def _share(count_col: str, total_col: str, digits: int = 1) -> Column:
@@ -197,7 +197,7 @@ def spending_by_cluster(micro: DataFrame) -> DataFrame:
     aggs = []
     for k in SPENDING_KEYS:
         v = X.safe_float(F.col(f"raw.{k}"))
-        aggs += [F.sum(money(v)).alias(f"s_{k}"), F.count(v).alias(f"c_{k}")]
+        aggs += [F.sum(X.exact(v)).alias(f"s_{k}"), F.count(v).alias(f"c_{k}")]
     g = m.groupBy("cluster_id").agg(*aggs)
     rows = F.explode(F.array(*[
         F.struct(F.lit(X_name(k)).alias("category"),
@@ -206,7 +206,7 @@ def spending_by_cluster(micro: DataFrame) -> DataFrame:
         for k in SPENDING_KEYS]))
     long = g.select("cluster_id", rows.alias("r")).select("cluster_id", "r.*")
     w = Window.partitionBy("cluster_id")
-    total = F.sum(money(F.col("mean"))).over(w).cast("double")
+    total = F.sum(X.exact(F.col("mean"))).over(w).cast("double")
     return (long.withColumn("total", total)
                 .withColumn("amount", X.round2(F.col("mean"), 2))
                 .withColumn("pct", F.when(F.col("total") > 0,

@@ -39,9 +39,9 @@ def _q22_sql():
   SELECT em.id, em.name, em.category, f.indicator, f.geo_code, FALSE, f.value
   FROM em JOIN f ON f.period = em.prev_period)""", f"""g AS (
   SELECT id, name, category, indicator, geo_code,
-         CAST(sum(CASE WHEN is_cur THEN {O.money('value')} END) AS DOUBLE) / count(CASE WHEN is_cur THEN value END) AS ca,
+         CAST(sum(CASE WHEN is_cur THEN {O.exact('value')} END) AS DOUBLE) / count(CASE WHEN is_cur THEN value END) AS ca,
          count(CASE WHEN is_cur THEN value END) AS n_current,
-         CAST(sum(CASE WHEN NOT is_cur THEN {O.money('value')} END) AS DOUBLE) / count(CASE WHEN NOT is_cur THEN value END) AS pa,
+         CAST(sum(CASE WHEN NOT is_cur THEN {O.exact('value')} END) AS DOUBLE) / count(CASE WHEN NOT is_cur THEN value END) AS pa,
          count(CASE WHEN NOT is_cur THEN value END) AS n_previous
   FROM both_ GROUP BY id, name, category, indicator, geo_code)""") + f"""
 SELECT CAST(id AS INTEGER) AS event_id, name AS event_name, category, indicator, geo_code, n_current, n_previous,
@@ -60,13 +60,12 @@ def _q05_sql():
     return O.with_(O.TIME_SERIES, """nm AS (
   SELECT source, indicator, geo_code, measure, t, value FROM time_series
   WHERE geo_level = 'nation' AND freq = 'M' AND indicator = 'orders'
-    AND regexp_matches(period, '^[0-9]{4}-(0[1-9]|1[0-2])$'))""", """b AS (SELECT source, indicator, geo_code, measure, min(t) lo, max(t) hi FROM nm GROUP BY ALL)""",
-                   """sp AS (SELECT source, indicator, geo_code, measure, CAST(unnest(range(lo, hi + 1)) AS INTEGER) AS t FROM b)""",
+    AND regexp_matches(period, '^[0-9]{4}-(0[1-9]|1[0-2])$'))""", """b AS (SELECT min(t) lo, max(t) hi FROM nm)""",
+                   """sp AS (SELECT n_name AS geo_code, CAST(unnest(range(lo, hi + 1)) AS INTEGER) AS t FROM b, geo)""",
                    f"""c AS (
   SELECT printf('%04d-%02d', sp.t // 12, sp.t % 12 + 1) AS period, sp.geo_code, nm.value,
          CASE g.r_name {zones} END AS zone
-  FROM sp LEFT JOIN nm ON nm.source = sp.source AND nm.indicator = sp.indicator
-       AND nm.geo_code = sp.geo_code AND nm.measure = sp.measure AND nm.t = sp.t
+  FROM sp LEFT JOIN nm ON nm.geo_code = sp.geo_code AND nm.t = sp.t
   LEFT JOIN geo g ON g.n_name = sp.geo_code)""", f"""d AS (
   SELECT *, max(value) OVER (PARTITION BY period) AS max_value,
          coalesce(CASE zone {facs} END, {R.DEFAULT_FACTOR}) AS factor FROM c)""", f"""e AS (

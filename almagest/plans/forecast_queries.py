@@ -13,31 +13,32 @@ from almagest.operators import sinks as K
 from almagest.plans import oracle_base as O
 from almagest.sources import canonical as C
 
-UNTIL = "2001-07"          # last complete month of the test data
-UNTIL_PREV = "2001-06"     # the earlier training run (version 1)
+LAST = 1        # months left out: training ends with the last complete month
+LAST_PREV = 2   # the earlier training run (version 1)
 EXCLUDE = ("1998-03", "1999-06")
 HORIZON = 12
 Q09_HORIZON = 6
 KEY = "source, indicator, geo_code, measure"
 
 
-def _train(spark, sf, until=UNTIL):
-    return M.training_series(C.time_series(spark, sf), until, EXCLUDE)
+def _train(spark, sf, leave_out=LAST):
+    return M.training_series(C.time_series(spark, sf), exclude=EXCLUDE, leave_out=leave_out)
 
 
 def _keq(a, b):
     return " AND ".join(f"{a}.{k} = {b}.{k}" for k in ("source", "indicator", "geo_code", "measure"))
 
 
-def dense_sql(until: str, name: str = "dense") -> list[str]:
+def dense_sql(leave_out: int, name: str = "dense") -> list[str]:
     """CTEs producing ``{name}(key, t, value, vf)``: the training series."""
     rows_p = f"OVER (PARTITION BY {KEY} ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     rows_n = f"OVER (PARTITION BY {KEY} ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
     p = name
     return [
+        f"{p}_last AS (SELECT source, max(t) - {leave_out} AS last_t FROM time_series WHERE freq = 'M' GROUP BY source)",
         f"""{p}_nm AS (SELECT {KEY}, t, CASE WHEN period BETWEEN '{EXCLUDE[0]}' AND '{EXCLUDE[1]}' THEN NULL
                   ELSE value END AS value
-  FROM time_series WHERE freq = 'M' AND measure = 'ABSOLUTE' AND geo_level = 'nation' AND period <= '{until}')""",
+  FROM time_series JOIN {p}_last USING (source) WHERE freq = 'M' AND measure = 'ABSOLUTE' AND t <= last_t)""",
         f"{p}_nn AS (SELECT * FROM {p}_nm WHERE value IS NOT NULL)",
         f"{p}_b AS (SELECT {KEY}, min(t) AS lo, max(t) AS hi FROM {p}_nn GROUP BY {KEY})",
         f"{p}_sp AS (SELECT {KEY}, CAST(unnest(range(lo, hi + 1)) AS INTEGER) AS t FROM {p}_b)",
@@ -55,7 +56,7 @@ def dense_sql(until: str, name: str = "dense") -> list[str]:
 
 def naive_sql(src: str, out: str, horizon: int) -> list[str]:
     """CTEs producing ``{out}`` = seasonal naive forecasts from ``src``."""
-    m = O.money
+    m = lambda x: O.exact(x)
     sd = lambda n, s1, s2: (f"CASE WHEN {n} > 1 THEN sqrt(CAST({n} * {s2} - {s1} * {s1} AS DOUBLE) "
                             f"/ CAST({n} * ({n} - 1) AS DOUBLE)) END")
     root = f"sqrt(CAST(h AS DOUBLE) / CAST(12.0 AS DOUBLE))"
@@ -89,7 +90,7 @@ def m07_naive(spark, sf):
     return M.seasonal_naive(_train(spark, sf), HORIZON)
 
 
-M07_SQL = O.with_(O.TIME_SERIES, *dense_sql(UNTIL), *naive_sql("dense", "fc", HORIZON)) + "SELECT * FROM fc"
+M07_SQL = O.with_(O.TIME_SERIES, *dense_sql(LAST), *naive_sql("dense", "fc", HORIZON)) + "SELECT * FROM fc"
 
 
 # ---- a23_metrics (naive back-test) ------------------------------------------------
@@ -98,7 +99,7 @@ def a23_metrics(spark, sf):
 
 
 def _a23_sql():
-    ctes = [O.TIME_SERIES, *dense_sql(UNTIL), f"""rk AS (
+    ctes = [O.TIME_SERIES, *dense_sql(LAST), f"""rk AS (
   SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY t DESC) AS rn,
          count(*) OVER (PARTITION BY {KEY}) AS nobs FROM dense WHERE value IS NOT NULL)""",
             "rk2 AS (SELECT * FROM rk WHERE nobs >= 48)",
@@ -106,7 +107,7 @@ def _a23_sql():
             f"cut AS (SELECT {KEY}, t AS cut_t FROM rk2 WHERE rn = 13)",
             f"part AS (SELECT d.* FROM dense d JOIN cut c ON {_keq('d', 'c')} AND d.t <= c.cut_t)",
             *naive_sql("part", "bt", 12)]
-    e = f"({O.money('a.actual')} - {O.money('f.value_predicted')})"
+    e = f"({O.exact('a.actual')} - {O.exact('f.value_predicted')})"
     ape = ("CAST(CASE WHEN a.actual <> 0 THEN abs((a.actual - f.value_predicted) / a.actual) END "
            "AS DECIMAL(38,10))")
     return O.with_(*ctes) + f"""
@@ -131,8 +132,8 @@ def _versioned(spark, sf):
     key = (spark.sparkContext.applicationId, sf, C.input_fingerprint(spark, sf, C.TS_INPUTS))
     if key not in _VERSIONED:
         ts = C.time_series(spark, sf)
-        v1 = M.seasonal_naive(M.training_series(ts, UNTIL_PREV, EXCLUDE), HORIZON)
-        v2 = M.seasonal_naive(M.training_series(ts, UNTIL, EXCLUDE), HORIZON)
+        v1 = M.seasonal_naive(M.training_series(ts, exclude=EXCLUDE, leave_out=LAST_PREV), HORIZON)
+        v2 = M.seasonal_naive(M.training_series(ts, exclude=EXCLUDE, leave_out=LAST), HORIZON)
         h = K.versioned_append(None, v1, PRED_KEY)
         _VERSIONED[key] = K.versioned_append(h, v2, PRED_KEY).checkpoint(eager=True)
     return _VERSIONED[key]
@@ -146,8 +147,8 @@ def q12_history(spark, sf):
     return M.prediction_history(_versioned(spark, sf), 5)
 
 
-_VERS = [O.TIME_SERIES, *dense_sql(UNTIL_PREV, "d1"), *naive_sql("d1", "f1", HORIZON),
-         *dense_sql(UNTIL, "d2"), *naive_sql("d2", "f2", HORIZON),
+_VERS = [O.TIME_SERIES, *dense_sql(LAST_PREV, "d1"), *naive_sql("d1", "f1", HORIZON),
+         *dense_sql(LAST, "d2"), *naive_sql("d2", "f2", HORIZON),
          f"""pv AS (SELECT *, 1 AS version FROM f1 UNION ALL
   SELECT f2.*, CAST(coalesce(mv.v, 0) + 1 AS INTEGER) AS version FROM f2
   LEFT JOIN (SELECT model, {KEY}, max(1) AS v FROM f1 GROUP BY ALL) mv
@@ -168,7 +169,7 @@ WHERE vr <= 5"""
 # ---- q02_summary: last 24 observed + current forecast, tagged (W02, U05, F07) ---------
 def q02_summary(spark, sf):
     ts = C.time_series(spark, sf)
-    hist = S.last_n(ts.filter((F.col("geo_level") == "nation") & (F.col("freq") == "M")), 24)
+    hist = S.last_n(ts.filter(F.col("freq") == "M"), 24)
     cur = M.current_predictions(_versioned(spark, sf), HORIZON)
     return M.history_with_forecast(hist, cur)
 
@@ -176,7 +177,7 @@ def q02_summary(spark, sf):
 Q02_SQL = O.with_(*_VERS, f"""hist AS (
   SELECT {KEY}, period, value FROM (
     SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY t DESC) AS rn FROM time_series
-    WHERE geo_level = 'nation' AND freq = 'M') WHERE rn <= 24)""") + f"""
+    WHERE freq = 'M') WHERE rn <= 24)""") + f"""
 SELECT {KEY}, period, value, FALSE AS is_forecast, CAST(NULL AS DOUBLE) AS ci_lower_80,
        CAST(NULL AS DOUBLE) AS ci_upper_80, CAST(NULL AS DOUBLE) AS ci_lower_95, CAST(NULL AS DOUBLE) AS ci_upper_95
 FROM hist

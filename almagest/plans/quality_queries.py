@@ -25,7 +25,7 @@ def _safe_float_sql(x: str) -> str:
 
 
 f = B.TS_FAULTS
-TS_LAND = f"""r AS (SELECT * FROM time_series WHERE geo_level = 'region' AND freq = 'M'),
+TS_LAND = f"""r AS (SELECT * FROM time_series),
 rc AS (SELECT *, 0 AS copy FROM r UNION ALL SELECT *, 1 FROM r WHERE t % {f['duplicate']} = 0
        UNION ALL SELECT *, 2 FROM r WHERE t % {f['upper_indicator_copy']} = 0),
 land AS (
@@ -141,10 +141,10 @@ FROM (SELECT quarter_n AS quarter, cuestionario,
 
 def k01_upsert(spark, sf):
     b1, b2 = B.upsert_batches(_ts(spark, sf))
-    return K.upsert(b1.drop("id"), b2.drop("id"), V.TS_KEY)
+    return K.upsert(b1, b2, V.TS_KEY, order="id").drop("id")
 
 
-_BATCHES = """r AS (SELECT * FROM time_series WHERE geo_level = 'region' AND freq = 'M'),
+_BATCHES = """r AS (SELECT * FROM time_series),
 b1 AS (SELECT source, indicator, geo_code, period, measure, value, 1 AS batch, CAST(t AS BIGINT) * 10 + 1 AS id
        FROM r WHERE t % 3 <> 0),
 b2 AS (SELECT source, indicator, geo_code, period, measure,
@@ -194,45 +194,47 @@ def a27_fingerprint(spark, sf):
 
 
 A27_SQL = O.with_(O.TIME_SERIES, """g AS (SELECT count(*) AS n, max(period_start) AS max_period_start,
-  max(fetched_at) AS max_fetched FROM time_series)""") + """
+  max(fetched_at) AS max_fetched,
+  CAST(sum(CAST('0x' || substr(md5(concat_ws('|', source, indicator, geo_code, period, measure,
+           coalesce(CAST(CAST(round(value * 10000) AS BIGINT) AS VARCHAR), 'null'))), 1, 12) AS BIGINT)) AS VARCHAR) AS content
+  FROM time_series)""") + """
 SELECT n, max_period_start, max_fetched,
        substr(sha256(concat_ws('|', CAST(n AS VARCHAR), strftime(max_period_start, '%Y-%m-%d'),
-                               strftime(max_fetched, '%Y-%m-%d %H:%M:%S'))), 1, 16) AS fingerprint
+                               strftime(max_fetched, '%Y-%m-%d %H:%M:%S'), content)), 1, 16) AS fingerprint
 FROM g"""
 
 
 def v10_changed(spark, sf):
-    ts = _ts(spark, sf).filter(F.col("freq") == "M")
+    ts = _ts(spark, sf)
     revised = (ts.filter((F.col("indicator") == "revenue") & (F.col("geo_code") == "EUROPE"))
                  .withColumn("value", X.round2(F.col("value") * 1.1, 2)))
     added = (ts.filter((F.col("indicator") == "orders") & (F.col("geo_code") == "EUROPE"))
                .withColumn("geo_code", F.lit("EUROPE_ADJ")))
-    key = V.TS_KEY
-    after = K.upsert(ts, revised.unionByName(added), key)
-    return V.changed_series(ts, after, SERIES)
+    after = K.upsert(ts, revised.unionByName(added), V.TS_KEY, order="t")
+    return V.changed_series(ts, after, [*SERIES, "freq"])
 
 
-V10_SQL = O.with_(O.TIME_SERIES, """ts AS (SELECT * FROM time_series WHERE freq = 'M')""",
+V10_SQL = O.with_(O.TIME_SERIES, "ts AS (SELECT source, indicator, geo_code, period, measure, freq, value, t FROM time_series)",
                   """upd AS (
-  SELECT source, indicator, geo_code, period, measure, """ + O.round2("value * 1.1", 2) + """ AS value, t
+  SELECT source, indicator, geo_code, period, measure, freq, """ + O.round2("value * 1.1", 2) + """ AS value, t
   FROM ts WHERE indicator = 'revenue' AND geo_code = 'EUROPE'
   UNION ALL
-  SELECT source, indicator, 'EUROPE_ADJ', period, measure, value, t FROM ts
+  SELECT source, indicator, 'EUROPE_ADJ', period, measure, freq, value, t FROM ts
   WHERE indicator = 'orders' AND geo_code = 'EUROPE')""", """aft AS (
-  SELECT source, indicator, geo_code, period, measure, value, t FROM ts
+  SELECT * FROM ts
   WHERE NOT EXISTS (SELECT 1 FROM upd u WHERE u.source = ts.source AND u.indicator = ts.indicator
                     AND u.geo_code = ts.geo_code AND u.period = ts.period AND u.measure = ts.measure)
-  UNION ALL SELECT * FROM upd)""", f"""fa AS (SELECT source, indicator, geo_code, measure, count(*) AS n, max(t) AS mt,
-  sum({O.money('value')} * t) AS ws FROM ts GROUP BY ALL)""", f"""fb AS (SELECT source, indicator, geo_code, measure,
-  count(*) AS n, max(t) AS mt, sum({O.money('value')} * t) AS ws FROM aft GROUP BY ALL)""") + """
-SELECT * FROM (
-  SELECT coalesce(fa.source, fb.source) AS source, coalesce(fa.indicator, fb.indicator) AS indicator,
-         coalesce(fa.geo_code, fb.geo_code) AS geo_code, coalesce(fa.measure, fb.measure) AS measure,
-         CASE WHEN fa.n IS NULL THEN 'new' WHEN fb.n IS NULL THEN 'gone'
-              WHEN fa.n <> fb.n OR fa.mt <> fb.mt OR fa.ws <> fb.ws THEN 'changed' END AS status
-  FROM fa FULL OUTER JOIN fb ON fa.source = fb.source AND fa.indicator = fb.indicator
-       AND fa.geo_code = fb.geo_code AND fa.measure = fb.measure)
-WHERE status IS NOT NULL"""
+  UNION ALL SELECT * FROM upd)""", """d AS (
+  SELECT *, 'a' AS side FROM (SELECT * FROM ts EXCEPT ALL SELECT * FROM aft)
+  UNION ALL SELECT *, 'b' FROM (SELECT * FROM aft EXCEPT ALL SELECT * FROM ts))""",
+                  "k AS (SELECT DISTINCT source, indicator, geo_code, measure, freq FROM d)") + """
+SELECT source, indicator, geo_code, measure, freq,
+       CASE WHEN NOT EXISTS (SELECT 1 FROM ts WHERE (ts.source, ts.indicator, ts.geo_code, ts.measure, ts.freq)
+                             = (k.source, k.indicator, k.geo_code, k.measure, k.freq)) THEN 'new'
+            WHEN NOT EXISTS (SELECT 1 FROM aft WHERE (aft.source, aft.indicator, aft.geo_code, aft.measure, aft.freq)
+                             = (k.source, k.indicator, k.geo_code, k.measure, k.freq)) THEN 'gone'
+            ELSE 'changed' END AS status
+FROM k"""
 
 
 def v08_health(spark, sf):

@@ -69,9 +69,9 @@ def a25_path_impact(spark, sf):
 
 def _a25_sql():
     grid = " UNION ALL ".join(f"SELECT {i} AS scenario_id, CAST({p} AS DOUBLE) AS pct" for i, p in enumerate(PCTS))
-    m = O.money
+    m = O.exact
     ex = lambda c: f"(CAST(sum({m(c)}) AS DOUBLE) / count({c}))"
-    ctes = [O.TIME_SERIES, *FQ.dense_sql(FQ.UNTIL), *FQ.naive_sql("dense", "fc", 12), f"g AS ({grid})",
+    ctes = [O.TIME_SERIES, *FQ.dense_sql(1), *FQ.naive_sql("dense", "fc", 12), f"g AS ({grid})",
             """paths AS (SELECT fc.geo_code, fc.h, g.scenario_id, g.pct AS occupancy_pct,
                  CAST(floor(fc.value_predicted * (1 + g.pct / 100.0) + 0.5) AS DOUBLE) AS value
                FROM fc CROSS JOIN g WHERE fc.indicator = 'orders')""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from almagest.operators import series as S
 from almagest.plans import oracle_base as O
+from almagest.sources import batches as B
 from almagest.sources import canonical as C
 
 KEY = "source, indicator, geo_code, measure"
@@ -178,30 +179,34 @@ GROUP BY per.source, per.indicator, per.geo_code, per.measure, per.peak_month_nu
 
 # ---- u03_gaps -------------------------------------------------------------------
 def u03_gaps(spark, sf):
-    return S.gaps(_ts(spark, sf))
+    return S.gaps(B.with_gaps(_ts(spark, sf)))
 
 
-_SPINE = f"""b AS (SELECT {KEY}, min(t) AS lo, max(t) AS hi FROM time_series WHERE freq = 'M' GROUP BY {KEY}),
-sp AS (SELECT {KEY}, CAST(unnest(range(lo, hi + 1)) AS INTEGER) AS t FROM b)"""
+#: The facts without some nation-months and region-quarters (``batches.with_gaps``).
+_GAPS = f"""gappy AS (SELECT * FROM time_series
+  WHERE NOT (geo_level = 'nation' AND freq = 'M' AND (length(geo_code) + t) % {B.GAP_MONTHS} = 0)
+    AND NOT (freq = 'Q' AND (length(geo_code) + t) % {B.GAP_QUARTERS} = 0))"""
 
-U03_SQL = O.with_(O.TIME_SERIES, _SPINE) + f"""
-SELECT sp.source, sp.indicator, sp.geo_code, sp.measure, sp.t,
-       printf('%04d-%02d', sp.t // 12, sp.t % 12 + 1) AS missing_period
+U03_SQL = O.with_(O.TIME_SERIES, _GAPS, f"""b AS (SELECT {KEY}, freq, min(t) AS lo, max(t) AS hi FROM gappy GROUP BY {KEY}, freq),
+sp AS (SELECT {KEY}, freq, CAST(unnest(range(lo, hi + 1)) AS INTEGER) AS t FROM b)""") + f"""
+SELECT sp.source, sp.indicator, sp.geo_code, sp.measure, sp.freq, sp.t,
+       CASE sp.freq WHEN 'M' THEN printf('%04d-%02d', sp.t // 12, sp.t % 12 + 1)
+                    WHEN 'Q' THEN printf('%04d-Q%d', sp.t // 4, sp.t % 4 + 1) ELSE printf('%04d', sp.t) END AS missing_period
 FROM sp WHERE NOT EXISTS (
-  SELECT 1 FROM time_series m WHERE m.freq = 'M' AND {_key_eq('m', 'sp')} AND m.t = sp.t)"""
+  SELECT 1 FROM gappy m WHERE m.freq = sp.freq AND {_key_eq('m', 'sp')} AND m.t = sp.t)"""
 
 
-# ---- nation-level window operators (W03, W04, W06, W07, M02) -------------------
-def _nation(spark, sf):
-    return C.monthly(_ts(spark, sf), "nation").select(*S.SERIES_KEY, "t", "period", "value")
+# ---- window operators over all monthly series (W03, W04, W06, W07, M02) ---------
+def _months(spark, sf):
+    return C.monthly(_ts(spark, sf)).select(*S.SERIES_KEY, "t", "period", "value")
 
 
 def w03_lags(spark, sf):
-    return S.with_lags(_nation(spark, sf))
+    return S.with_lags(_months(spark, sf))
 
 
 _NATION = f"""nm AS (SELECT {KEY}, t, period, value FROM time_series
-  WHERE freq = 'M' AND measure = 'ABSOLUTE' AND geo_level = 'nation')"""
+  WHERE freq = 'M' AND measure = 'ABSOLUTE')"""
 
 
 def _w(lo, hi):
@@ -218,13 +223,13 @@ FROM nm"""
 
 
 def w04_rolling(spark, sf):
-    return S.with_rolling_mean(_nation(spark, sf))
+    return S.with_rolling_mean(_months(spark, sf))
 
 
 def _roll(k):
     w = _w(f"{k - 1} PRECEDING", "CURRENT ROW")
     return (f"CASE WHEN count(value) {w} = {k} THEN "
-            f"CAST(sum({O.money('value')}) {w} AS DOUBLE) / {k} END AS roll_{k}")
+            f"CAST(sum({O.exact('value')}) {w} AS DOUBLE) / {k} END AS roll_{k}")
 
 
 W04_SQL = O.with_(O.TIME_SERIES, _NATION) + f"""
@@ -232,7 +237,7 @@ SELECT {KEY}, t, period, value, {_roll(3)}, {_roll(12)} FROM nm"""
 
 
 def w06_seasonal_diff(spark, sf):
-    return S.seasonal_difference(_nation(spark, sf))
+    return S.seasonal_difference(_months(spark, sf))
 
 
 W06_SQL = O.with_(O.TIME_SERIES, _NATION) + f"""
@@ -247,20 +252,20 @@ def _interp_spark(df):
 
 
 def w07_interpolate(spark, sf):
-    return _interp_spark(C.monthly(_ts(spark, sf), "nation"))
+    return _interp_spark(C.monthly(B.with_gaps(_ts(spark, sf))))
 
 
 def m02_exclude(spark, sf):
-    m = C.monthly(_ts(spark, sf), "nation")
+    m = C.monthly(B.with_gaps(_ts(spark, sf)))
     return _interp_spark(S.exclude_window(m, *EXCLUDE))
 
 
 def _interp_sql(value_expr: str) -> str:
     rows_p = f"OVER (PARTITION BY {KEY} ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     rows_n = f"OVER (PARTITION BY {KEY} ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
-    return O.with_(O.TIME_SERIES, f"""nm AS (SELECT {KEY}, t, {value_expr} AS value FROM time_series
-  WHERE freq = 'M' AND measure = 'ABSOLUTE' AND geo_level = 'nation')""", _SPINE.replace(
-        "FROM time_series WHERE freq = 'M'", "FROM nm"), f"""j AS (
+    return O.with_(O.TIME_SERIES, _GAPS, f"""nm AS (SELECT {KEY}, t, {value_expr} AS value FROM gappy
+  WHERE freq = 'M' AND measure = 'ABSOLUTE')""", f"""b AS (SELECT {KEY}, min(t) AS lo, max(t) AS hi FROM nm GROUP BY {KEY}),
+sp AS (SELECT {KEY}, CAST(unnest(range(lo, hi + 1)) AS INTEGER) AS t FROM b)""", f"""j AS (
   SELECT sp.source, sp.indicator, sp.geo_code, sp.measure, sp.t,
          printf('%04d-%02d', sp.t // 12, sp.t % 12 + 1) AS period, nm.value
   FROM sp LEFT JOIN nm ON {_key_eq('sp', 'nm')} AND nm.t = sp.t)""", f"""f AS (

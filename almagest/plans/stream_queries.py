@@ -16,7 +16,7 @@ from almagest.sources import canonical as C
 from almagest.sources.tables import read
 from almagest.streaming import ingest as S
 
-KEY = ["source", "indicator", "geo_code", "measure"]
+KEY = ["source", "indicator", "geo_code", "measure", "freq"]
 
 
 def r01_incremental(spark, sf):
@@ -36,24 +36,22 @@ def r02_dedup(spark, sf):
     df = ev.withColumn("_part", F.lit(0)).unionByName(again.withColumn("_part", F.lit(1)))
     work = S.workspace(spark, "r02")
     landing = S.land(df, os.path.join(work, "landing"), "_part", 2)
-    return S.dedup_stream(spark, landing, ev.schema, ["event_id"], "ts", "1 day", work)
+    return S.dedup_stream(spark, landing, ev.schema, ["event_id"], "1 day", work)
 
 
 def r03_latest(spark, sf):
-    ts = C.time_series(spark, sf).filter((F.col("geo_level") == "region") & (F.col("freq") == "M"))
-    df = ts.select(*KEY, "period", "value", "t", F.col("t").alias("_part"))
+    df = C.time_series(spark, sf).select(*KEY, "period", "value", "t", F.col("t").alias("_part"))
     work = S.workspace(spark, "r03")
     landing = S.land(df, os.path.join(work, "landing"), "_part", 4)
     return S.latest_state(spark, landing, df.drop("_part").schema, KEY, work)
 
 
 R03_SQL = O.with_(O.TIME_SERIES) + """
-SELECT source, indicator, geo_code, measure,
+SELECT source, indicator, geo_code, measure, freq,
        arg_max(struct_pack(p := period, v := value), t).p AS latest_period,
        arg_max(struct_pack(p := period, v := value), t).v AS latest_value,
        min(period) AS first_period, max(period) AS last_period, count(*) AS n_points
-FROM time_series WHERE geo_level = 'region' AND freq = 'M'
-GROUP BY source, indicator, geo_code, measure"""
+FROM time_series GROUP BY source, indicator, geo_code, measure, freq"""
 
 QUERIES = {
     "r01_incremental": r01_incremental,

@@ -141,14 +141,14 @@ def a16_spending(spark, sf):
 
 
 def _a16_sql():
-    sums = ", ".join(f"CAST(sum({O.money(k)}) AS DOUBLE) AS s_{k}, count({k}) AS c_{k}"
+    sums = ", ".join(f"CAST(sum({O.exact(k)}) AS DOUBLE) AS s_{k}, count({k}) AS c_{k}"
                      for k in C.SPENDING_KEYS)
     long = " UNION ALL ".join(
         f"SELECT cluster_id, {_title(k)} AS category, CASE WHEN c_{k} > 0 THEN s_{k} / c_{k} ELSE 0.0 END AS mean FROM g"
         for k in C.SPENDING_KEYS)
     return O.with_(O.MICRO_RAW, MC, f"g AS (SELECT cluster_id, {sums} FROM mc GROUP BY cluster_id)",
                    f"long AS ({long})",
-                   f"tot AS (SELECT cluster_id, CAST(sum({O.money('mean')}) AS DOUBLE) AS total "
+                   f"tot AS (SELECT cluster_id, CAST(sum({O.exact('mean')}) AS DOUBLE) AS total "
                    "FROM long GROUP BY cluster_id)") + f"""
 SELECT l.cluster_id, l.category, {O.round2('l.mean', 2)} AS amount,
        CASE WHEN tot.total > 0 THEN {O.round2('l.mean / tot.total * 100.0', 1)} ELSE 0.0 END AS pct

@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 # Settings every job relies on. ANSI stays on (Spark 4 default); every
@@ -43,7 +44,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="almagest-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, asked of the path's own file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def publish(spark: SparkSession, draft: str, path: str) -> None:
+    """Give a finished folder its name, atomically; if another session was
+    first, its folder stays and the draft goes."""
+    jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    src, dst = jvm.Path(draft), jvm.Path(path)
+    no_options = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 0)
+    try:
+        jvm.FileContext.getFileContext(src.toUri(), conf).rename(src, dst, no_options)
+    except Py4JJavaError:
+        if not path_exists(spark, path):
+            raise
+        src.getFileSystem(conf).delete(src, True)

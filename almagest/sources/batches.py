@@ -16,15 +16,17 @@ TS_FAULTS = dict(null_value=37, upper_indicator_copy=41, duplicate=43, old_year=
 MICRO_FAULTS = dict(no_quarter=101, no_id=103, odd_quarter=107, old_age=109,
                     long_stay=113, negative_spend=127, duplicate=131)
 
+# Moduli that select the missing periods.
+GAP_MONTHS, GAP_QUARTERS = 19, 7
+
 
 def ts_landing(ts: DataFrame) -> DataFrame:
     """Raw time-series records as a source would deliver them (value as text)."""
     f = TS_FAULTS
-    r = ts.filter((F.col("geo_level") == "region") & (F.col("freq") == "M"))
     t = F.col("t")
     copies = F.array_compact(F.array(F.lit(0), F.when(t % f["duplicate"] == 0, F.lit(1)),
                                      F.when(t % f["upper_indicator_copy"] == 0, F.lit(2))))
-    r = r.select("*", F.explode(copies).alias("copy"))
+    r = ts.select("*", F.explode(copies).alias("copy"))
     value_txt = (F.when(t % f["null_value"] == 0, F.lit(None).cast("string"))
                   .when(t % f["not_numeric"] == 0, F.lit("n/a"))
                   .when(t % f["negative"] == 0, (-F.col("value")).cast("string"))
@@ -61,13 +63,21 @@ def micro_landing(micro: DataFrame) -> DataFrame:
 
 
 def upsert_batches(ts: DataFrame):
-    """Two overlapping deliveries of the regional monthly facts: the second
-    revises revenue (+10 %) and re-sends two of every three months."""
-    r = ts.filter((F.col("geo_level") == "region") & (F.col("freq") == "M"))
+    """Two overlapping deliveries of the facts: the second revises revenue
+    (+10 %) and re-sends two of every three periods."""
     cols = ["source", "indicator", "geo_code", "period", "measure"]
-    b1 = r.filter(F.col("t") % 3 != 0).select(*cols, "value", F.lit(1).alias("batch"),
+    b1 = ts.filter(F.col("t") % 3 != 0).select(*cols, "value", F.lit(1).alias("batch"),
                                                (F.col("t").cast("bigint") * 10 + 1).alias("id"))
     rev = F.when(F.col("indicator") == "revenue", X.round2(F.col("value") * 1.1, 2)).otherwise(F.col("value"))
-    b2 = r.filter(F.col("t") % 3 != 1).select(*cols, rev.alias("value"), F.lit(2).alias("batch"),
+    b2 = ts.filter(F.col("t") % 3 != 1).select(*cols, rev.alias("value"), F.lit(2).alias("batch"),
                                                (F.col("t").cast("bigint") * 10 + 2).alias("id"))
     return b1, b2
+
+
+def with_gaps(ts: DataFrame) -> DataFrame:
+    """The facts without some nation-months and region-quarters, as a source
+    with missing deliveries gives them (for U03, W07, M02)."""
+    place = F.length("geo_code") + F.col("t")
+    month = (F.col("geo_level") == "nation") & (F.col("freq") == "M") & (place % GAP_MONTHS == 0)
+    quarter = (F.col("freq") == "Q") & (place % GAP_QUARTERS == 0)
+    return ts.filter(~(month | quarter))

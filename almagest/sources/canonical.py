@@ -17,19 +17,16 @@ import datetime as _dt
 import hashlib
 import inspect
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from almagest.functions import period as P
-from almagest.session import ensure_checkpoint_dir
+from almagest.session import ensure_checkpoint_dir, path_exists, publish
 from almagest.sources.tables import read
 
-# Modulus used to knock nation-months out of the nation-level
-# series so gap handling (U03, W07) has something to find.
-GAP_MODULUS = 19
-
 # The reference's survey record keys (spending breakdown,
 # activities answered 1 = yes / 6 = no, importance on a 4-level scale).
 SPENDING_KEYS = (
@@ -87,7 +84,7 @@ def build_time_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long fact ``time_series``: one row per (source, indicator, geo, period, measure).
 
     orders -> indicators orders / revenue / buyers, by region at M, Q and A
-    and by nation at M (minus injected gaps); lineitem -> shipped quantity by
+    and by nation at M; lineitem -> shipped quantity by
     supplier region at M.
     """
     geo = geo_dim(spark, sf_dir)
@@ -106,11 +103,8 @@ def build_time_series(spark: SparkSession, sf_dir: str) -> DataFrame:
         key("region", F.col("r_name"), "A", y.cast("string"), y),
         key("nation", F.col("n_name"), "M", P.month_period(d), tm),
     )
-    x = (base.select(F.explode(keys).alias("k"), "n_nationkey", "o_custkey",
-                     "o_totalprice", "o_orderdate")
-             .select("k.*", "n_nationkey", "o_custkey", "o_totalprice", "o_orderdate")
-             .filter(~((F.col("geo_level") == "nation")
-                       & ((F.col("n_nationkey") + F.col("t")) % GAP_MODULUS == 0))))
+    x = (base.select(F.explode(keys).alias("k"), "o_custkey", "o_totalprice", "o_orderdate")
+             .select("k.*", "o_custkey", "o_totalprice", "o_orderdate"))
     # Distinct buyers without an Expand: first aggregate per (period key,
     # customer) -- keyed by customer, so a hot region/month spreads over
     # tasks -- then per period key, where count(*) is the distinct count.
@@ -183,13 +177,13 @@ def build_microdata(spark: SparkSession, sf_dir: str, with_raw: bool = True) ->
         k.alias("cuestionario"),
         F.col("r_name").alias("isla"),
         F.when(F.col("o_custkey") % 2 == 0, F.lit("1")).otherwise(F.lit("6")).alias("sexo"),
-        F.when(k % 17 != 0, (F.col("o_custkey") % 70 + 18).cast("int")).alias("edad"),
-        F.when(k % 17 != 0, F.col("n_name")).alias("nacionalidad"),
+        (F.col("o_custkey") % 70 + 18).cast("int").alias("edad"),
+        F.col("n_name").alias("nacionalidad"),
         F.col("n_name").alias("pais_residencia"),
         F.col("o_orderpriority").alias("proposito"),
         (k % 14 + 1).cast("int").alias("noches"),
         F.col("c_mktsegment").alias("aloj_categ"),
-        F.when(k % 23 != 0, F.col("o_totalprice")).alias("gasto_euros"),
+        F.col("o_totalprice").alias("gasto_euros"),
         (F.col("o_totalprice") * 0.3).alias("coste_vuelos_euros"),
         (F.col("o_totalprice") * 0.4).alias("coste_aloj_euros"),
         (k % 11).cast("string").alias("satisfaccion"),
@@ -274,35 +268,32 @@ def input_fingerprint(spark: SparkSession, sf_dir: str, tables: list[str]) -> st
     return hashlib.sha256(f"{r.n}|{r.s}".encode()).hexdigest()[:16]
 
 
-def _complete(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.format("binaryFile").load(path.rstrip("/") + "/_SUCCESS").select("path").collect()
-        return True
-    except Exception:  # missing folder or an interrupted write without _SUCCESS
-        return False
-
-
 def materialised(spark: SparkSession, sf_dir: str, name: str, build, inputs: list[str],
                  partition_by: list[str], sort_by: list[str], builders=()) -> DataFrame:
     """Derive a canonical table once per input snapshot and read it back.
 
     The table is written under the shared checkpoint folder, partitioned
     (directory pruning) and sorted inside files (row-group min/max skipping
-    for series filters). A write that died half way has no _SUCCESS marker
-    and is redone into the same folder by overwrite.
+    for series filters). Each build writes a folder of its own and publishes it
+    by one rename: sessions that build at the same time do not touch each
+    other's files, and a build that died half way is never seen.
     """
     key = input_fingerprint(spark, sf_dir, inputs)
     # The derivation code is part of the key: a changed builder never reuses
     # a snapshot written by an older one.
-    code = hashlib.sha256("".join(inspect.getsource(f) for f in builders).encode()).hexdigest()[:8]
+    # So are the constants that they read.
+    fixed = repr((SPENDING_KEYS, ACTIVITY_KEYS, IMPORTANCE_KEYS, IMPORTANCE_LEVELS, RAW_SCHEMA.json(), TS_COLUMNS))
+    code = hashlib.sha256("".join([*(inspect.getsource(f) for f in builders), fixed]).encode()).hexdigest()[:8]
     path = os.path.join(ensure_checkpoint_dir(spark), "canonical", f"{name}-{key}-{code}")
-    if not _complete(spark, path):
+    if not path_exists(spark, path):
         df = build()
+        draft = f"{path}-{uuid.uuid4().hex}"
         # Range partitioning on (partition columns, sort key): a hot partition
         # value is split over many tasks by sampled key ranges, and each task
         # writes few, sorted files.
         (df.repartitionByRange(*partition_by, *sort_by).sortWithinPartitions(*partition_by, *sort_by)
-           .write.mode("overwrite").partitionBy(*partition_by).parquet(path))
+           .write.partitionBy(*partition_by).parquet(draft))
+        publish(spark, draft, path)
     return spark.read.parquet(path)
 
 

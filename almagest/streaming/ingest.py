@@ -5,16 +5,18 @@ R01  incremental landing-zone ingest: file source -> ``foreachBatch``
      partitions only.
      The stream checkpoint replaces the cron job's "what is new" question;
      ``Trigger.AvailableNow`` processes what has landed and stops.
-R02  de-duplication by key inside a watermark
-     (``dropDuplicatesWithinWatermark``), state bounded by the watermark.
+R02  de-duplication by key inside a watermark over arrival time
+     (``dropDuplicatesWithinWatermark``), state bounded by the watermark. The
+     event's own time plays no part, so a late event is not lost.
 R03  continuously maintained latest value and catalogue per series: a
      stateful aggregation in update mode whose updated groups are merged
      into a state table. No watermark eviction: a late correction must still
      overwrite (the reference's rule).
 
-All folders live under the session's shared checkpoint location; every run
-uses a fresh sub-folder, and a retried micro-batch rewrites the same
-partitions with the same rows (idempotent).
+All folders live under the session's shared checkpoint location. What a table
+holds is asked of its folder, never of the driver's memory: a new driver on the
+same folders goes on where the last one stopped, and a retried micro-batch
+rewrites the same partitions with the same rows (idempotent).
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almagest.operators import sinks as K
-from almagest.session import ensure_checkpoint_dir
+from almagest.session import ensure_checkpoint_dir, path_exists
 
 
 def workspace(spark: SparkSession, name: str) -> str:
@@ -34,10 +36,10 @@ def workspace(spark: SparkSession, name: str) -> str:
 
 
 def land(df: DataFrame, folder: str, part_col: str, parts: int) -> str:
-    """Write ``df`` as ``parts`` arrival files (part = part_col mod parts), in
-    arrival order, so a file stream sees several deliveries."""
+    """Write ``df`` as ``parts`` deliveries (part = part_col mod parts), in
+    arrival order, each as many files as it has partitions."""
     for p in range(parts):
-        (df.filter(F.col(part_col) % parts == p).drop(part_col).coalesce(1)
+        (df.filter(F.col(part_col) % parts == p).drop(part_col)
            .write.mode("overwrite").parquet(os.path.join(folder, f"arrival={p:04d}")))
     return folder
 
@@ -52,10 +54,9 @@ class PartitionedTable:
 
     def __init__(self, spark: SparkSession, root: str, part_col: str, schema=None):
         self.spark, self.root, self.part_col, self.schema = spark, root, part_col, schema
-        self.written = False
 
     def read(self) -> DataFrame | None:
-        if not self.written:
+        if not path_exists(self.spark, self.root):
             return None
         r = self.spark.read
         if self.schema is not None:
@@ -65,22 +66,20 @@ class PartitionedTable:
     def merge(self, batch: DataFrame, key: list[str], batch_id: int) -> None:
         if self.schema is None:
             self.schema = batch.schema
-        touched = [r[0] for r in batch.select(self.part_col).distinct().collect()]  # partitions of this batch
-        if not touched:
-            return
         prev = self.read()
         if prev is not None:
-            merged = K.upsert(prev.filter(F.col(self.part_col).isin(touched)), batch, key)
+            # the partitions of this batch, by a semi-join (dynamic pruning reads no others)
+            touched = batch.select(self.part_col).distinct()
+            merged = K.upsert(prev.join(touched, self.part_col, "left_semi"), batch, key, order=self.part_col)
         else:
             merged = batch
         merged = merged.select(*self.schema.fieldNames()).checkpoint(eager=True)
         (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                .partitionBy(self.part_col).parquet(self.root))
-        self.written = True
 
 
 def incremental_ingest(spark: SparkSession, landing: str, schema, validate, key: list[str],
-                       work: str, max_files_per_trigger: int = 1, part_col: str = "period") -> PartitionedTable:
+                       work: str, max_files_per_trigger: int = 64, part_col: str = "period") -> PartitionedTable:
     """Process every landed file once, validate each micro-batch and
     merge its valid rows into the table (newest batch wins); only the
     partitions (periods) a batch touches are rewritten."""
@@ -102,17 +101,17 @@ def incremental_ingest(spark: SparkSession, landing: str, schema, validate, key:
     return table
 
 
-def dedup_stream(spark: SparkSession, landing: str, schema, key: list[str], event_time: str,
-                 delay: str, work: str) -> DataFrame:
-    """Drop repeated deliveries of a key within the watermark delay;
-    results are appended to a Parquet sink and read back."""
+def dedup_stream(spark: SparkSession, landing: str, schema, key: list[str],
+                 delay: str, work: str, max_files_per_trigger: int = 64) -> DataFrame:
+    """Drop repeated deliveries of a key that arrive within the delay of
+    one another; results are appended to a Parquet sink and read back. Arrival
+    is the time at which the row's file was written (file source metadata), so
+    whatever the events' own times and order, none is dropped as late."""
     out = os.path.join(work, "out")
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
                    .option("recursiveFileLookup", "true").parquet(landing))
-    # Watermarks need TIMESTAMP; a wall-clock (NTZ) column is read as UTC.
-    d = (stream.withColumn("_event_time", F.col(event_time).cast("timestamp"))
-               .withWatermark("_event_time", delay).dropDuplicatesWithinWatermark(key)
-               .drop("_event_time"))
+    d = (stream.withColumn("_arrival", F.col("_metadata.file_modification_time"))
+               .withWatermark("_arrival", delay).dropDuplicatesWithinWatermark(key).drop("_arrival"))
     q = (d.writeStream.format("parquet").option("path", out)
           .option("checkpointLocation", os.path.join(work, "checkpoint"))
           .outputMode("append").trigger(availableNow=True).start())
@@ -121,12 +120,14 @@ def dedup_stream(spark: SparkSession, landing: str, schema, key: list[str], even
 
 
 def latest_state(spark: SparkSession, landing: str, schema, key: list[str], work: str,
-                 state_buckets: int = 64) -> DataFrame:
+                 state_buckets: int | None = None, max_files_per_trigger: int = 64) -> DataFrame:
     """Per series, latest value (by period ordinal), first/last period
     and number of points, maintained incrementally (update mode) and merged
     into a state table (hash-bucketed by series) after every micro-batch."""
+    # as many buckets as shuffle partitions; a stream keeps the number that it began with
+    state_buckets = state_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = PartitionedTable(spark, os.path.join(work, "state"), "bucket")
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
                    .option("recursiveFileLookup", "true").parquet(landing))
     agg = stream.groupBy(*key).agg(
         F.max_by(F.struct("period", "value"), "t").alias("latest"),

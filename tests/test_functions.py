@@ -106,3 +106,32 @@ def test_month_names(spark):
     out = _one(spark, [(12,)], "m int", P.next_months("m"))
     assert out == [[1, 2, 3]]
     assert _one(spark, [(1,)], "m int", P.month_name("m")) == ["January"]
+
+
+def test_rounding_keeps_small_large_and_negative_values(spark):
+    import duckdb
+
+    from almagest.operators import series as S
+    from almagest.plans import oracle_base as O
+
+    values = [0.004, -2.5, 2.5, 1.005, 5e17, -5e17, 1e22, 0.0, 123456.785]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE x AS SELECT unnest(?::DOUBLE[]) AS v", [values])
+    for d in (0, 1, 2):
+        got = [r[0] for r in df.select(X.round2("v", d)).collect()]
+        assert got == [r[0] for r in con.sql(f"SELECT {O.round2('v', d)} FROM x").fetchall()]
+    assert [r[0] for r in df.select(X.round2("v", 0)).collect()][1:3] == [-3.0, 3.0]
+    assert [r[0] for r in df.select(X.round2("v", 2)).collect()][4] == 5e17
+    small = spark.createDataFrame([(0.004,), (0.004,)], "v double")
+    assert small.agg(S.avg_exact("v")).first()[0] == 0.004
+
+
+def test_change_of_small_and_offsetting_values_is_seen(spark):
+    from almagest.operators import quality as V
+
+    cols = "k string, t int, value double"
+    before = spark.createDataFrame([("a", 1, 0.004), ("b", 1, 5.0), ("b", 2, 4.0), ("c", 1, None), ("d", 1, 1.0)], cols)
+    after = spark.createDataFrame([("a", 1, 0.001), ("b", 1, 3.0), ("b", 2, 5.0), ("c", 1, None), ("e", 1, 1.0)], cols)
+    got = {r.k: r.status for r in V.changed_series(before, after, ["k"]).collect()}
+    assert got == {"a": "changed", "b": "changed", "d": "gone", "e": "new"}

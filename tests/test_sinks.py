@@ -45,3 +45,27 @@ def test_save_and_list_named(spark):
     K.save_named(df, root, "plan_b", "2024-02-01 10:00:00")
     names = [r.name for r in K.list_named(spark, root).collect()]
     assert names == ["plan_b", "plan_a"]
+
+
+def test_upsert_never_repeats_a_key(spark):
+    old = spark.createDataFrame([("a", 1.0)], "k string, v double")
+    new = spark.createDataFrame([("b", 2.0), ("b", 3.0), ("a", 4.0)], "k string, v double")
+    assert sorted((r.k, r.v) for r in K.upsert(old, new, ["k"], order="v").collect()) == [("a", 4.0), ("b", 2.0)]
+
+
+def test_raising_source_leaves_the_table_alone(spark):
+    old = spark.createDataFrame([("istac", "x", "E", "2024-01", "ABSOLUTE", 5.0)],
+                                "source string, indicator string, geo_code string, period string, measure string, value double")
+
+    def broken():
+        raise OSError("source is down")
+
+    val = lambda b: V.validate_timeseries(b, 2025, ("istac",))[0]
+    good = spark.createDataFrame([("istac", "x", "E", "2024-02", "ABSOLUTE", "6", 1)], COLS)
+    jobs = [dict(source="a", job="daily", fetch=broken, validate=val, key=V.TS_KEY, table="ts"),
+            dict(source="b", job="daily", fetch=lambda: good, validate=val, key=V.TS_KEY, table="ts"),
+            dict(source="c", job="weekly", fetch=lambda: good.limit(0), validate=val, key=V.TS_KEY, table="ts")]
+    tables, status = V.run_jobs({"ts": old}, jobs, "s", "f")
+    assert [(r.source, r.status, r.records_valid) for r in status.collect()] == [("a", "error", 0), ("b", "success", 1), ("c", "no_new_data", 0)]
+    assert "source is down" in status.filter("source = 'a'").first().error
+    assert sorted(r.period for r in tables["ts"].collect()) == ["2024-01", "2024-02"]
