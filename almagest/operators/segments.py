@@ -4,19 +4,18 @@ Feature matrix by column expressions over the parsed record; one-hot
 domains (top-N nationality / purpose / accommodation) come from a ranked
 aggregate joined back by code, so no category value is pulled to the
 driver. Model: pyspark.ml Imputer(median) -> VectorAssembler ->
-StandardScaler -> KMeans (k-means||). K is chosen in 2..8 by silhouette
-(squared Euclidean, linear in rows, unlike a pairwise silhouette).
-Clusters are relabelled 0..K-1 by mean spend so ids are stable.
+StandardScaler -> K-means, all candidates for K and all restarts in shared
+passes. K is chosen in 2..8 by silhouette (squared Euclidean, linear in rows,
+unlike a pairwise silhouette). Clusters are relabelled 0..K-1 by mean spend so ids are stable.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,7 +70,7 @@ def _prep_pipeline(cols: list[str]) -> Pipeline:
 
 
 def scaled(feat: DataFrame) -> DataFrame:
-    """Median imputation + standardisation -> ``features`` vector.
+    """Median imputation + standardisation -> ``x``, an array of doubles.
 
     The feature frame is persisted while the pipeline is fitted (imputer
     and scaler each take one pass) so the JSON parse and one-hot joins run
@@ -79,45 +78,156 @@ def scaled(feat: DataFrame) -> DataFrame:
     cols = feature_columns()
     feat = feat.persist(StorageLevel.MEMORY_AND_DISK)
     model = _prep_pipeline(cols).fit(feat)
-    return model.transform(feat).select(*KEY, "features", "gasto_euros", "edad", "noches")
+    return model.transform(feat).select(*KEY, vector_to_array("features").alias("x"), "gasto_euros", "edad", "noches")
+
+
+class Centres:
+    """The centres of several K-means models, and what one pass over the points
+    needs of them: each task sums counts, coordinates and costs by centre."""
+
+    def __init__(self, models: list[np.ndarray]):
+        self.models = models
+        self.all = np.concatenate(models)
+        self.begin = np.cumsum([0, *map(len, models)])
+
+    def nearest(self, x: np.ndarray):
+        """For each model: (centre of each point, squared distances)."""
+        far = (x * x).sum(axis=1)[:, None] - 2 * (x @ self.all.T) + (self.all * self.all).sum(axis=1)[None, :]
+        for a, b in zip(self.begin[:-1], self.begin[1:]):
+            at = far[:, a:b].argmin(axis=1)
+            yield at, np.maximum(far[np.arange(len(x)), a + at], 0.0)
+
+    def sums(self, batches):
+        d = self.all.shape[1]
+        total = np.zeros((len(self.all), d + 3))  # coordinates, points, cost, squared norms
+        for x in _points(batches):
+            norms = (x * x).sum(axis=1)
+            for begin, (at, far) in zip(self.begin, self.nearest(x)):
+                k = at.max(initial=-1) + 1
+                member = np.zeros((len(x), k))
+                member[np.arange(len(x)), at] = 1.0
+                total[begin:begin + k] += np.column_stack([member.T @ x, member.sum(axis=0), member.T @ far, member.T @ norms])
+        flat = total.ravel()
+        cell = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(flat[cell])], names=["cell", "v"])
+
+    def gather(self, data: DataFrame) -> np.ndarray:
+        """sums over all points: a table of the centres' size."""
+        cells = data.select("x").mapInArrow(self.sums, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).toPandas()
+        flat = np.zeros(len(self.all) * (self.all.shape[1] + 3))
+        flat[cells["cell"].to_numpy()] = cells["v"].to_numpy()
+        return flat.reshape(len(self.all), -1)
+
+
+def _points(batches):
+    for batch in batches:
+        for i in range(0, batch.num_rows, 4096):
+            part = batch.column("x").slice(i, 4096)
+            if len(part):
+                yield part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+
+
+def _first_centres(sample: np.ndarray, k: int, rng) -> np.ndarray:
+    """k-means++ on the sample."""
+    at = [int(rng.integers(len(sample)))]
+    far = ((sample - sample[at[0]]) ** 2).sum(axis=1)
+    for _ in range(1, k):
+        p = far / far.sum() if far.sum() > 0 else None
+        at.append(int(rng.choice(len(sample), p=p)))
+        far = np.minimum(far, ((sample - sample[at[-1]]) ** 2).sum(axis=1))
+    return sample[at]
+
 
+#: Respondents that first centres are drawn from; all take part in the fit.
+START_SAMPLE = 4096
 
-def choose_k(data: DataFrame, k_min: int = 2, k_max: int = 8, seed: int = 42, max_iter: int = 300,
-             parallelism: int = 4) -> int:
-    """K with the best silhouette (first best on ties); fewer than 3
-    rows -> 2; K must stay below the row count."""
+
+def fit_segments(data: DataFrame, ks: list[int], seed: int = 42, restarts: int = 10, max_iter: int = 300,
+                 tol: float = 1e-4) -> dict[int, np.ndarray]:
+    """For every K, the centres of least cost of ``restarts`` K-means
+    fits. All fits share their passes: one pass over the respondents moves the
+    centres of every fit that still moves."""
+    sample = np.array(data.orderBy(F.xxhash64(*KEY)).limit(START_SAMPLE).select("x").toPandas()["x"].tolist())
+    tags = [(k, r) for k in ks for r in range(restarts)]
+    models = {t: _first_centres(sample, t[0], np.random.default_rng(seed + t[1])) for t in tags}
+    costs, open_ = dict.fromkeys(tags, np.inf), list(tags)
+    for _ in range(max_iter):
+        now = Centres([models[t] for t in open_])
+        table, d = now.gather(data), now.all.shape[1]
+        moving = []
+        for t, a, b in zip(open_, now.begin[:-1], now.begin[1:]):
+            n = table[a:b, d]
+            new = np.where(n[:, None] > 0, table[a:b, :d] / np.maximum(n, 1)[:, None], models[t])
+            costs[t] = float(table[a:b, d + 1].sum())
+            if ((new - models[t]) ** 2).sum(axis=1).max() > tol * tol:
+                moving.append(t)
+            models[t] = new
+        open_ = moving
+        if not open_:
+            break
+    best = {k: min(range(restarts), key=lambda r: (costs[k, r], r)) for k in ks}  # noqa: B023
+    return {k: models[k, best[k]] for k in ks}
+
+
+def silhouettes(data: DataFrame, models: list[np.ndarray]) -> list[float]:
+    """Mean silhouette of each model (squared Euclidean: a point's mean
+    distance to a cluster follows from the cluster's sums, so all models take
+    two passes)."""
+    centres = Centres(models)
+    table = centres.gather(data)
+    d = centres.all.shape[1]
+    n, mean = table[:, d], table[:, :d] / np.maximum(table[:, d], 1)[:, None]
+    spread = table[:, d + 2] / np.maximum(n, 1)
+
+    def score(batches):
+        out = np.zeros((len(models), 2))
+        for x in _points(batches):
+            norms = (x * x).sum(axis=1)
+            for m, (at, _) in enumerate(centres.nearest(x)):
+                a, b = centres.begin[m], centres.begin[m + 1]
+                far = norms[:, None] + spread[None, a:b] - 2 * (x @ mean[a:b].T)
+                size = n[a:b][at]
+                own = far[np.arange(len(x)), at] * size / np.maximum(size - 1, 1)
+                far[:, n[a:b] == 0] = np.inf
+                far[np.arange(len(x)), at] = np.inf
+                other = far.min(axis=1)
+                s = np.where(size > 1, (other - own) / np.maximum(np.maximum(own, other), 1e-300), 0.0)
+                out[m] += [s.sum(), len(x)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(models), dtype=np.int32)), pa.array(out[:, 0]), pa.array(out[:, 1])],
+                                         names=["m", "s", "n"])
+
+    rows = data.select("x").mapInArrow(score, "m int, s double, n double").groupBy("m").agg(
+        (F.sum("s") / F.sum("n")).alias("s")).collect()
+    return [r["s"] for r in sorted(rows, key=lambda r: r["m"])]
+
+
+def choose(data: DataFrame, k_min: int = 2, k_max: int = 8, seed: int = 42, restarts: int = 10) -> np.ndarray:
+    """The centres of the K with the best silhouette (first best on ties);
+    K stays below the row count, and is 2 for fewer than 3 rows."""
     n = data.count()
-    if n < 3:
-        return 2
-    ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction",
-                             metricName="silhouette", distanceMeasure="squaredEuclidean")
-
-    def score(k):
-        model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(data)
-        return ev.evaluate(model.transform(data))
-
-    ks = list(range(k_min, min(k_max, n - 1) + 1))
-    # Candidate K values are independent jobs: submit them concurrently (as
-    # pyspark.ml's CrossValidator does with ``parallelism``).
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        scores = list(pool.map(score, ks))
-    best_k, best_s = k_min, None
-    for k, s in zip(ks, scores):  # first best on ties
-        if best_s is None or s > best_s:
-            best_k, best_s = k, s
-    return best_k
-
-
-def fit_segments(data: DataFrame, k: int, seed: int = 42, restarts: int = 3, max_iter: int = 300,
-                 parallelism: int = 4):
-    """K-means with several seeds (fitted concurrently), the lowest
-    training cost kept (first seed on ties)."""
-    def fit(r):
-        return KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="features").fit(data)
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        models = list(pool.map(fit, range(restarts)))
-    return min(enumerate(models), key=lambda im: (im[1].summary.trainingCost, im[0]))[1]
+    ks = list(range(k_min, min(k_max, n - 1) + 1)) or [2]
+    fits = fit_segments(data, ks, seed, restarts)
+    if len(ks) == 1:
+        return fits[ks[0]]
+    scores = silhouettes(data, [fits[k] for k in ks])
+    return fits[ks[int(np.argmax(scores))]]
+
+
+def assign(data: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Key, prediction and spend of every respondent."""
+    model = Centres([centres])
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                at, _ = next(model.nearest(x))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*KEY, "gasto_euros")), pa.array(at.astype(np.int32))],
+                                                 names=[*KEY, "gasto_euros", "prediction"])
+
+    types = {f.name: f.dataType.simpleString() for f in data.schema}
+    schema = ", ".join(f"{c} {types[c]}" for c in (*KEY, "gasto_euros")) + ", prediction int"
+    return data.select(*KEY, "gasto_euros", "x").mapInArrow(run, schema)
 
 
 def relabel_by_spend(labeled: DataFrame, label: str = "prediction") -> DataFrame:
@@ -129,16 +239,17 @@ def relabel_by_spend(labeled: DataFrame, label: str = "prediction") -> DataFrame
     return labeled.join(F.broadcast(m), label).drop(label)
 
 
-def segment(micro: DataFrame, k: int | None = None, seed: int = 42, restarts: int = 3) -> DataFrame:
+def segment(micro: DataFrame, k: int | None = None, seed: int = 42, restarts: int = 10) -> DataFrame:
     """Features -> scaled -> K (auto when None) -> K-means -> stable ids;
     returns (quarter, cuestionario, cluster_id) for every respondent (K06
     joins them back by key, never by position)."""
-    data = scaled(features(micro)).cache()
-    kk = k or choose_k(data, seed=seed)
-    model = fit_segments(data, kk, seed=seed, restarts=restarts)
-    labeled = model.transform(data).select(*KEY, "prediction", "gasto_euros")
-    out = relabel_by_spend(labeled).select(*KEY, "cluster_id")
-    return out
+    data = scaled(features(micro)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        centres = fit_segments(data, [k], seed, restarts)[k] if k else choose(data, seed=seed, restarts=restarts)
+        labels = relabel_by_spend(assign(data, centres)).select(*KEY, "cluster_id").checkpoint(eager=True)
+    finally:
+        data.unpersist()
+    return labels
 
 
 def profiles(micro_labeled: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def _segmented(spark, sf):
     key = (spark.sparkContext.applicationId, sf, C.input_fingerprint(spark, sf, C.MICRO_INPUTS))
     if key not in _LABELED:
         micro = C.microdata(spark, sf, with_raw=True)
-        labels = G.segment(micro, k=None, seed=SEED, restarts=3)
+        labels = G.segment(micro, k=None, seed=SEED, restarts=10)
         _LABELED[key] = micro.join(labels, G.KEY, "left").checkpoint(eager=True)
     return _LABELED[key]
 

@@ -35,3 +35,34 @@ def test_scenario_zero_change_equals_baseline(spark, sf_dir):
     assert all(r.avg_change_pct == 0.0 and r.direction == "neutral" for r in imp)
     w = [r.importance for r in Z.importances(spark, model).collect()]
     assert abs(sum(w) - 1.0) < 1e-6
+
+
+def test_shared_passes_equal_plain_kmeans(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    spots = r.standard_normal((4, 3)) * 8
+    x = spots[r.integers(0, 4, 600)] + r.standard_normal((600, 3))
+    df = spark.createDataFrame([("q", i, [float(v) for v in row], float(row[0])) for i, row in enumerate(x)],
+                               "quarter string, cuestionario long, x array<double>, gasto_euros double").repartition(5)
+    fits = G.fit_segments(df, [2, 4], restarts=10)
+
+    def cost(c):
+        return ((x[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum()
+
+    assert cost(fits[4]) < cost(fits[2]) and np.allclose(sorted(fits[4].sum(axis=1)), sorted(spots.sum(axis=1)), atol=0.5)
+    # a fixed point of Lloyd's iteration
+    at = ((x[:, None] - fits[4][None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert np.allclose(fits[4], [x[at == k].mean(axis=0) for k in range(4)], atol=1e-3)
+    # silhouettes from cluster sums equal those from all pairs
+    far = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    means = np.stack([far[:, at == k].sum(axis=1) for k in range(4)], axis=1)
+    n = np.bincount(at, minlength=4)
+    own = means[np.arange(600), at] / (n[at] - 1)
+    rest = means / n
+    rest[np.arange(600), at] = np.inf
+    other = rest.min(axis=1)
+    assert abs(G.silhouettes(df, [fits[4]])[0] - ((other - own) / np.maximum(own, other)).mean()) < 1e-9
+    assert len(G.choose(df)) == 4
+    labels = G.assign(df, fits[4]).collect()
+    assert all(row.prediction == at[row.cuestionario] for row in labels)
