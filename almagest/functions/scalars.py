@@ -77,10 +77,10 @@ def is_reasonable(value, measure) -> Column:
 
 def round2(x, digits: int = 2) -> Column:
     """Round half away from zero to ``digits`` decimals, by way of a decimal
-    with ten (T05: a double's own ``round`` differs between engines on values
+    with six (T05: a double's own ``round`` differs between engines on values
     like 1.005). From 1e15 on a double has no such decimals and stays as it is."""
     v = _c(x).cast("double")
-    return F.when(F.abs(v) < 1e15, F.round(v.try_cast("decimal(38,10)"), digits).cast("double")).otherwise(v)
+    return F.when(F.abs(v) < 1e15, F.round(v.try_cast("decimal(38,6)"), digits).cast("double")).otherwise(v)
 
 
 def exact(x, precision: int = 28) -> Column:

@@ -496,6 +496,18 @@ def current_predictions(preds: DataFrame, horizon: int = 12, metrics_df: DataFra
     return out.withColumn("ci_available", F.col("ci_lower_80").isNotNull() & F.col("ci_upper_80").isNotNull())
 
 
+def compare_models(preds: DataFrame, metrics_df: DataFrame, horizon: int = 12) -> DataFrame:
+    """Q10: the points of every model of a series side by side (first
+    ``horizon`` periods, W11), with the model's back-test metrics (J09) and
+    whether it is the series' best by them (O05)."""
+    w = Window.partitionBy("model", *SERIES_KEY).orderBy("period")
+    points = preds.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= horizon).drop("_rn")
+    best = best_model(metrics_df).select(*SERIES_KEY, F.col("model").alias("_best"))
+    return (points.join(metrics_df.select("model", *SERIES_KEY, "rmse", "mae", "mape"), ["model", *SERIES_KEY], "left")
+                  .join(best, SERIES_KEY, "left")
+                  .withColumn("is_best", F.coalesce(F.col("model") == F.col("_best"), F.lit(False))).drop("_best"))
+
+
 def prediction_history(preds: DataFrame, versions: int = 5) -> DataFrame:
     """The newest ``versions`` versions per (model, series)."""
     w = Window.partitionBy("model", *SERIES_KEY).orderBy(F.col("version").desc())

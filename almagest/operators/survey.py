@@ -41,11 +41,11 @@ def quarter_range(micro: DataFrame, from_q: str | None = None, to_q: str | None
 def with_labels(df: DataFrame, labels: DataFrame, code_col: str, out: str = "label") -> DataFrame:
     """Code -> label with the code itself as default.
 
-    ``labels`` is a code dimension (one row per category), broadcast because
-    its size is bounded by the number of categories.
+    ``labels`` is a code dimension (one row per category); adaptive execution
+    broadcasts it if it turns out small.
     """
     lab = labels.select(F.col("code").alias("_code"), F.col("label").alias("_label"))
-    return (df.join(F.broadcast(lab), F.col(code_col) == F.col("_code"), "left")
+    return (df.join(lab, F.col(code_col) == F.col("_code"), "left")
               .withColumn(out, F.coalesce(F.col("_label"), F.col(code_col)))
               .drop("_code", "_label"))
 

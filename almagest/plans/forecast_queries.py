@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from almagest.functions import scalars as X
 from almagest.operators import forecast as M
 from almagest.operators import series as S
 from almagest.operators import sinks as K
@@ -119,6 +120,119 @@ FROM bt f JOIN act a ON {_keq('f', 'a')} AND a.t = f.t
 GROUP BY f.model, f.source, f.indicator, f.geo_code, f.measure"""
 
 
+# ---- M08 / M09, A23 and Q10 on given forecasts --------------------------------------
+# What stands in for two more models' outputs, so that the
+# ensemble, the metrics and the comparison have an exact counterpart in SQL.
+GIVEN = {"holt_winters": (0.98, 0), "seasonal_arma": (1.03, 5)}  # factor; steps of which each n-th is missing
+_VALUES = ("value_predicted", "ci_lower_80", "ci_upper_80", "ci_lower_95", "ci_upper_95")
+
+
+def _given(naive):
+    """Naive forecasts, and two models derived from them."""
+    out = {"seasonal_naive": naive}
+    for model, (factor, gap) in GIVEN.items():
+        rows = naive.filter(F.col("h") % gap != 0) if gap else naive
+        out[model] = rows.withColumns({"model": F.lit(model), **{c: X.round2(F.col(c) * factor, 2) for c in _VALUES}})
+    return out["seasonal_arma"], out["holt_winters"], out["seasonal_naive"]
+
+
+def _four(naive):
+    sa, hw, n = _given(naive)
+    return sa.unionByName(hw).unionByName(n).unionByName(M.ensemble(sa, hw, n))
+
+
+def _four_sql(src: str, out: str) -> list[str]:
+    """CTEs producing ``{out}``: the given forecasts of three models and their ensemble."""
+    parts = [f"SELECT model, {KEY}, h, t, period, {', '.join(_VALUES)} FROM {src}"]
+    for model, (factor, gap) in GIVEN.items():
+        cols = ", ".join(f"{O.round2(f'{c} * CAST({factor} AS DOUBLE)', 2)} AS {c}" for c in _VALUES)
+        parts.append(f"SELECT '{model}', {KEY}, h, t, period, {cols} FROM {src}" + (f" WHERE h % {gap} <> 0" if gap else ""))
+    names = {"vs": "seasonal_arma", "vh": "holt_winters", "vn": "seasonal_naive"}
+    pick = lambda m, c: f"max(CASE WHEN model = '{names[m]}' THEN {c} END)"
+    cols = [f"{pick(m, 'value_predicted')} AS {m}" for m in names]
+    cols += [f"{pick(m, c)} AS {m}_{c}" for m in ("vs", "vn") for c in _VALUES[1:]]
+    w = {m: f"CAST(CASE WHEN h <= {M.SHORT_STEPS} THEN {M.WEIGHTS_SHORT[k]} ELSE {M.WEIGHTS_MEDIUM[k]} END AS DOUBLE)"
+         for m, k in (("vs", "sarima"), ("vh", "hw"), ("vn", "naive"))}
+    num = "0.0::DOUBLE" + "".join(f" + coalesce({w[m]} * {m}, 0.0)" for m in names)
+    den = "0.0::DOUBLE" + "".join(f" + CASE WHEN {m} IS NOT NULL THEN {w[m]} ELSE 0.0 END" for m in names)
+    band = lambda c: f"coalesce(CASE WHEN vs IS NOT NULL THEN vs_{c} END, vn_{c}) * ratio"
+    return [
+        f"{out}_three AS ({' UNION ALL '.join(parts)})",
+        f"{out}_g AS (SELECT {KEY}, h, t, period, {', '.join(cols)} FROM {out}_three GROUP BY {KEY}, h, t, period)",
+        f"{out}_e AS (SELECT *, ({num}) / ({den}) AS ens, coalesce(vs, vn) AS prim FROM {out}_g)",
+        f"{out}_r AS (SELECT *, CASE WHEN abs(prim) > 1e-10 THEN ens / prim ELSE 1.0 END AS ratio FROM {out}_e)",
+        f"""{out}_b AS (SELECT *, {band('ci_lower_80')} AS lo80, {band('ci_upper_80')} AS hi80,
+         {band('ci_lower_95')} AS lo95, {band('ci_upper_95')} AS hi95 FROM {out}_r)""",
+        f"{out}_c AS (SELECT *, least(lo80, hi80, ens) AS l80, greatest(lo80, hi80, ens) AS u80 FROM {out}_b)",
+        f"""{out} AS (SELECT * FROM {out}_three UNION ALL
+  SELECT 'ensemble', {KEY}, h, t, period, {O.round2('ens', 2)}, {O.round2('greatest(l80, 0.0)', 2)}, {O.round2('u80', 2)},
+         {O.round2('greatest(least(lo95, hi95, l80), 0.0)', 2)}, {O.round2('greatest(lo95, hi95, u80)', 2)} FROM {out}_c)"""]
+
+
+def m08_bands(spark, sf):
+    return M.ensemble(*_given(M.seasonal_naive(_train(spark, sf), HORIZON)))
+
+
+M08_SQL = O.with_(O.TIME_SERIES, *dense_sql(LAST), *naive_sql("dense", "fc", HORIZON), *_four_sql("fc", "four")) + \
+    "SELECT * FROM four WHERE model = 'ensemble'"
+
+
+def _four_metrics(spark, sf):
+    part, actual = M.holdout_split(_train(spark, sf), 12)
+    return M.metrics(_four(M.seasonal_naive(part, 12)), actual)
+
+
+def a23_four_models(spark, sf):
+    return _four_metrics(spark, sf)
+
+
+def _holdout_sql() -> list[str]:
+    return [*dense_sql(LAST), f"""rk AS (
+  SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY t DESC) AS rn,
+         count(*) OVER (PARTITION BY {KEY}) AS nobs FROM dense WHERE value IS NOT NULL)""",
+            "rk2 AS (SELECT * FROM rk WHERE nobs >= 48)",
+            f"act AS (SELECT {KEY}, t, value AS actual FROM rk2 WHERE rn <= 12)",
+            f"cut AS (SELECT {KEY}, t AS cut_t FROM rk2 WHERE rn = 13)",
+            f"part AS (SELECT d.* FROM dense d JOIN cut c ON {_keq('d', 'c')} AND d.t <= c.cut_t)",
+            *naive_sql("part", "bt", 12), *_four_sql("bt", "bt4"), f"met AS ({_metrics_sql('bt4')})"]
+
+
+def _metrics_sql(forecasts: str) -> str:
+    e = f"({O.exact('a.actual')} - {O.exact('f.value_predicted')})"
+    ape = ("CAST(CASE WHEN a.actual <> 0 THEN abs((a.actual - f.value_predicted) / a.actual) END "
+           "AS DECIMAL(38,10))")
+    return f"""SELECT f.model, f.source, f.indicator, f.geo_code, f.measure, count({e}) AS test_size,
+       {O.round2(f'sqrt(CAST(sum({e} * {e}) AS DOUBLE) / count({e}))', 2)} AS rmse,
+       {O.round2(f'CAST(sum(abs({e})) AS DOUBLE) / count({e})', 2)} AS mae,
+       {O.round2(f'CAST(sum({ape}) AS DOUBLE) / count({ape}) * 100.0', 2)} AS mape
+FROM {forecasts} f JOIN act a ON {_keq('f', 'a')} AND a.t = f.t
+GROUP BY f.model, f.source, f.indicator, f.geo_code, f.measure"""
+
+
+A23_FOUR_SQL = O.with_(O.TIME_SERIES, *_holdout_sql()) + "SELECT * FROM met"
+
+
+def o05_best(spark, sf):
+    return M.best_model(_four_metrics(spark, sf))
+
+
+_BEST = f"""best AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY {KEY}
+  ORDER BY mape ASC NULLS LAST, test_size DESC, model) AS rn FROM met) WHERE rn = 1)"""
+O05_SQL = O.with_(O.TIME_SERIES, *_holdout_sql(), _BEST) + "SELECT * FROM best"
+
+
+def q10_points(spark, sf):
+    return M.compare_models(_four(M.seasonal_naive(_train(spark, sf), HORIZON)), _four_metrics(spark, sf), Q09_HORIZON)
+
+
+Q10_SQL = O.with_(O.TIME_SERIES, *_holdout_sql(), _BEST, *naive_sql("dense", "fc", HORIZON), *_four_sql("fc", "four")) + f"""
+SELECT p.* EXCLUDE (rn), m.rmse, m.mae, m.mape, coalesce(p.model = b.model, FALSE) AS is_best
+FROM (SELECT *, row_number() OVER (PARTITION BY model, {KEY} ORDER BY period) AS rn FROM four) p
+LEFT JOIN met m ON m.model = p.model AND {_keq('m', 'p')}
+LEFT JOIN best b ON {_keq('b', 'p')}
+WHERE rn <= {Q09_HORIZON}"""
+
+
 # ---- versioned predictions: q09 / q12 ---------------------------------------------
 PRED_KEY = ["model", "source", "indicator", "geo_code", "measure"]
 
@@ -233,6 +347,10 @@ QUERIES = {
     "q02_summary": q02_summary,
     "m07_naive": m07_naive,
     "a23_metrics": a23_metrics,
+    "m08_bands": m08_bands,
+    "a23_four_models": a23_four_models,
+    "o05_best": o05_best,
+    "q10_points": q10_points,
     "q09_predictions": q09_predictions,
     "q12_history": q12_history,
     "m05_holt_winters": m05_holt_winters,
@@ -246,6 +364,10 @@ ORACLE = {
     "q02_summary": Q02_SQL,
     "m07_naive": M07_SQL,
     "a23_metrics": _a23_sql(),
+    "m08_bands": M08_SQL,
+    "a23_four_models": A23_FOUR_SQL,
+    "o05_best": O05_SQL,
+    "q10_points": Q10_SQL,
     "q09_predictions": Q09_SQL,
     "q12_history": Q12_SQL,
 }

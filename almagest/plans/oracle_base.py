@@ -2,7 +2,7 @@
 ``almagest.sources.canonical``). Each oracle query is ``WITH <ctes> <body>``.
 
 Numeric hygiene shared with the Spark side: rounding is half away from zero of
-a DECIMAL with ten places; amounts of money are cents as DECIMAL(18,2); means
+a DECIMAL with six places; amounts of money are cents as DECIMAL(18,2); means
 are sums of six-place decimals (any order, same result) divided by counts.
 """
 
@@ -17,7 +17,7 @@ def money(x: str) -> str:
 
 def round2(x: str, digits: int = 2) -> str:
     """Half away from zero, as a DOUBLE; values without decimals stay."""
-    return (f"(CASE WHEN abs({x}) < 1e15 THEN CAST(round(CAST(({x}) AS DECIMAL(38,10)), {digits}) AS DOUBLE) "
+    return (f"(CASE WHEN abs({x}) < 1e15 THEN CAST(round(CAST(({x}) AS DECIMAL(38,6)), {digits}) AS DOUBLE) "
             f"ELSE CAST(({x}) AS DOUBLE) END)")
 
 

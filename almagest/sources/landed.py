@@ -123,7 +123,7 @@ def read_series_bundles(spark: SparkSession, pattern: str, registry: DataFrame |
     rows = records_to_rows(m)
     if registry is not None:
         reg = registry.select("series_id", F.col("name").alias("_name"), F.col("geo_code").alias("_geo"))
-        rows = rows.join(F.broadcast(reg), "series_id", "left")  # registry: one row per configured series
+        rows = rows.join(reg, "series_id", "left")
     else:
         rows = rows.withColumn("_name", F.lit(None).cast("string")).withColumn("_geo", F.lit(None).cast("string"))
     indicator = F.coalesce(F.col("_name"), X.slug(F.coalesce(F.col("description"), F.col("series_id"))))
@@ -148,7 +148,7 @@ def read_series_payloads(spark: SparkSession, pattern: str, registry: DataFrame,
     f = _text_files(spark, pattern).withColumn("series_id", _file_stem(F.col("path")))
     f = f.withColumn("records", normalise_series_payload(F.col("text"))).drop("text", "path")
     reg = registry.select("series_id", F.col("name").alias("indicator"), "geo_code")
-    rows = records_to_rows(f.join(F.broadcast(reg), "series_id"))
+    rows = records_to_rows(f.join(reg, "series_id"))
     return rows.select(F.lit(source).alias("source"), "indicator", "geo_code", "period",
                        X.measure_of(F.col("indicator")).alias("measure"), "value")
 
@@ -189,9 +189,10 @@ def _dimension_map(text: Column, name: str, default_id: str) -> Column:
                       lambda e, i: F.struct(F.coalesce(e["order"], i).alias("k"),
                                             F.coalesce(e["id"], F.lit(default_id)).alias("v")))
     entries = F.when(as_list.isNotNull(), lst).otherwise(dct)
-    last_wins = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, 1 << 20),
-                                                          lambda x: x["k"] == e["k"]))
-    return F.map_from_entries(last_wins)
+    # by index, then position: the last of each run of an index stays
+    placed = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["k"].alias("k"), i.alias("i"), e["v"].alias("v"))))
+    last = F.filter(placed, lambda e, i: ~F.coalesce(F.get(placed, i + 1)["k"] == e["k"], F.lit(False)))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
 
 
 OBS_LIST = T.ArrayType(T.MapType(T.StringType(), T.StringType()))
