@@ -16,6 +16,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,9 +81,8 @@ class TokenTree:
                 region += [self.text[at:s], new]
                 at = e
             region = b"".join([*region, self.text[at:end]])
-            words = region.split()
-            self.encoder.learn(set(words))
-            count = int(sum(self.encoder.size[self.encoder.code[w]] for w in words))
+            words = [w.decode("utf-8", "replace") for w in region.split()]
+            count = self.encoder.counts(words)
             encoded += len(words)
             if first > last:  # between pre-tokens: counted with the one before
                 self._put(last + 1, count + int(self.sums[last + 1 + self.leaves]))
@@ -115,15 +115,15 @@ def _counted(path: str, rule: Callable[[bytes], list[Edit]] | None):
     def run(batches):
         encoder = word_ids(path, None)
         for batch in batches:
-            data, off = utf8(batch.column("text"))
+            texts = pc.fill_null(batch.column("text"), "")
+            data, off = utf8(texts)
             given = None if rule else batch.column("edits").to_pylist()
             for i, j in chunks(off, 1 << 21):
                 part, base = data[off[i]:off[j]], off[i:j + 1] - off[i]
                 raw = part.tobytes()
                 starts, ends, rows = word_spans(part, base)
-                words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                encoder.learn(set(words))
-                counts = encoder.size[np.fromiter(map(encoder.code.__getitem__, words), np.int64, len(words))]
+                code, _ = encoder.lookup(texts.slice(i, j - i), parted=False)
+                counts = encoder.size[code]
                 total = np.bincount(rows, weights=counts, minlength=j - i).astype(np.int64)
                 at = np.searchsorted(rows, np.arange(j - i + 1))
                 after, made, anew = total.copy(), np.zeros(j - i, np.int64), np.zeros(j - i, np.int64)

@@ -2,7 +2,8 @@
 
 1. Each document's token ids, with an end id, are cut into full windows of
    ``WINDOW`` ids and a rest. White space never lies in a token of the
-   tokenizer, so words are encoded once, kept, and looked up.
+   tokenizer, so words are encoded once, kept, and looked up; a worker keeps
+   ``KEPT_WORDS`` of them and then begins anew.
 2. Pieces are dealt into groups of about ``GROUP_PIECES`` at random (by hash),
    so no task sees an unbounded number and every group has all lengths.
 3. In a group, pieces go by falling length into the open window that they fill
@@ -13,70 +14,117 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from almagest.llm.bpe import Merges
 from almagest.llm.common import chunks, utf8, whole_groups, written
 
 WINDOW = 4096
 END_ID = 2
 GROUP_PIECES = 100_000
 #: Words that a worker keeps the ids of.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 800_000
+
+
+#: What lower-casing and normalisation keep in one piece: a run of letters.
+_PLAIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]{1,24}")
+#: Between a letter and punctuation behind it, pre-tokens always part.
+_PART, _PARTED = r"([a-z])([!-/:-@\[-`{-~])", r"\1 \2"
+#: Begins special tokens; texts with it are left as they are.
+_SPECIAL = "<|"
 
 
 class WordIds:
-    """Token ids of words, by a tokenizer that drops white space."""
+    """Token ids of words, by a tokenizer that drops white space.
+
+    Plain words are encoded many at a time by :mod:`almagest.llm.bpe`, all
+    others by the library; each word once, as long as it is kept."""
 
     def __init__(self, path: str, end_id: int | None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.tokenizer, self.merges, self.end_id = Tokenizer.from_file(path), Merges(path), end_id
         self._clear()
 
     def _clear(self):
-        self.code: dict[bytes | None, int] = {None: 0}
+        self.code: dict[str | None, int] = {None: 0, "": 1}  # the end, nothing
         self.ids = np.array([self.end_id or 0], np.uint32)
-        self.begin = np.array([0], np.int64)
-        self.size = np.array([1], np.int64)
+        self.begin = np.array([0, 1], np.int64)
+        self.size = np.array([1, 0], np.int64)
 
-    def learn(self, words: set) -> None:
-        new = list(words.difference(self.code))
+    def _add(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        n = len(self.begin)
+        self.code.update(zip(words, range(n, n + len(words)), strict=True))
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+
+    def _add_lists(self, words: list[str], found: list) -> None:
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        self._add(words, np.concatenate([*map(np.asarray, found), np.zeros(0, np.int64)]), size)
+
+    def learn(self, words: list[str]) -> None:
+        """Know these words, each of them given once."""
+        new = [w for w in words if w not in self.code]
         if not new:
             return
         if len(self.code) + len(new) > KEPT_WORDS:
             self._clear()
-            new = list(words)
-        found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
-        n = len(self.code)
-        self.code.update(zip(new, range(n, n + len(new)), strict=True))
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.uint32, int(size.sum()))])
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, offsets): each text's ids and the end id."""
-        words, ends = [], []
-        for t in texts:
-            words += t.split()
-            if self.end_id is not None:
-                words.append(None)
-            ends.append(len(words))
-        known = set(words)
-        known.discard(None)
-        self.learn(known)
-        code = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+            new = [w for w in words if w]
+        plain = [w for w in new if _PLAIN.fullmatch(w)]
+        other = [w for w in new if not _PLAIN.fullmatch(w)]
+        self._add_lists(plain, self.merges.encode([w.encode() for w in plain]))
+        self._add_lists(other, [e.ids for e in self.tokenizer.encode_batch(other, add_special_tokens=False)])
+
+    def _joined(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the codes in order, and how many come from each."""
         size = self.size[code]
-        total = np.zeros(len(words) + 1, np.int64)
-        np.cumsum(size, out=total[1:])
-        at = np.repeat(self.begin[code] - total[:-1], size) + np.arange(total[-1])
-        return self.ids[at], total[np.array([0, *ends])]
+        total = np.cumsum(size)
+        at = np.repeat(self.begin[code] - total + size, size) + np.arange(total[-1] if len(total) else 0)
+        return self.ids[at], size
+
+    def counts(self, words: list[str]) -> int:
+        """Tokens of some words."""
+        self.learn(list(set(words)))
+        return int(sum(self.size[self.code[w]] for w in words))
+
+    def lookup(self, texts: pa.Array, parted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(codes of all words of the texts, words of each text). parted:
+        letters and punctuation behind them may count as words of their own."""
+        if parted:
+            easy = pc.replace_substring_regex(pc.ascii_lower(texts), _PART, _PARTED)
+            texts = pc.if_else(pc.match_substring(texts, _SPECIAL), texts, easy)
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten()
+        per = np.diff(lists.offsets.to_numpy())
+        coded = words.dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        self.learn(known)
+        code = np.fromiter(map(self.code.__getitem__, known), np.int64, len(known))[coded.indices.to_numpy()]
+        full = code != 1  # white space at an edge of a text gives empty words
+        if not full.all():
+            row = np.repeat(np.arange(len(texts)), per)[full]
+            code, per = code[full], np.bincount(row, minlength=len(texts))
+        return code, per
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets): each text's ids, then the end id."""
+        code, per = self.lookup(texts)
+        ends = np.cumsum(per)
+        if self.end_id is not None:
+            code = np.insert(code, ends, 0)
+            ends = ends + np.arange(1, len(ends) + 1)
+        ids, size = self._joined(code)
+        total = np.concatenate([[0], np.cumsum(size)])
+        return ids, total[np.concatenate([[0], ends])]
 
 
 _TOKENIZERS: dict[tuple, WordIds] = {}
@@ -84,18 +132,19 @@ _TOKENIZERS: dict[tuple, WordIds] = {}
 
 def word_ids(path: str, end_id: int | None) -> WordIds:
     """One table of word ids for each tokenizer in a worker."""
-    return _TOKENIZERS.setdefault((path, end_id), None) or _TOKENIZERS.update(
-        {(path, end_id): WordIds(path, end_id)}) or _TOKENIZERS[path, end_id]
+    if (path, end_id) not in _TOKENIZERS:
+        _TOKENIZERS[path, end_id] = WordIds(path, end_id)
+    return _TOKENIZERS[path, end_id]
 
 
 def _pieces(path: str, window: int, end_id: int, with_ids: bool):
     def run(batches):
         encoder = word_ids(path, end_id)
         for batch in batches:
-            data, off = utf8(batch.column("text"))
-            for i, j in chunks(off, 1 << 21):
-                raw = data[off[i]:off[j]].tobytes()
-                ids, at = encoder.encode([raw[off[r] - off[i]:off[r + 1] - off[i]] for r in range(i, j)])
+            texts = pc.fill_null(batch.column("text"), "")
+            _, off = utf8(texts)
+            for i, j in chunks(off, 1 << 22):
+                ids, at = encoder.encode(texts.slice(i, j - i))
                 n = np.diff(at)
                 parts = -(-n // window)
                 row = np.repeat(np.arange(j - i), parts)
@@ -173,7 +222,7 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 def _packed(window: int, groups: int):
     def run(batches):
-        for table in whole_groups(batches, ["grp"], rows=1):
+        for table in whole_groups(batches, ["grp"]):
             table = table.combine_chunks()
             group, length = table.column("grp").to_numpy(), table.column("length").to_numpy()
             cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
