@@ -118,7 +118,26 @@ def list_named(spark: SparkSession, root: str) -> DataFrame:
               .orderBy(F.col("created_at").desc(), "name"))
 
 
+def load_named(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """One saved result by name (its newest save); no rows if there is none."""
+    df = spark.read.parquet(root).filter(F.col("name") == name)
+    return df.join(df.groupBy("name").agg(F.max("created_at").alias("created_at")), ["name", "created_at"], "left_semi")
+
+
 def save_model(model, path: str) -> str:
     """Persist a fitted pyspark.ml model (overwrite)."""
     model.write().overwrite().save(path)
     return path
+
+
+def load_model(kind, path: str):
+    """Read a model of class ``kind`` back."""
+    return kind.load(path)
+
+
+def point(df: DataFrame, **key) -> DataFrame:
+    """the row of a key, by pushed-down equality filters; an empty frame
+    says that there is none."""
+    for column, value in key.items():
+        df = df.filter(F.col(column) == F.lit(value))
+    return df.limit(1)

@@ -14,6 +14,7 @@ from almagest.plans import oracle_base as O
 from almagest.sources import canonical as C
 
 HORIZON = 12
+STEPS = (-20.0, -15.0, -10.0, -5.0, 0.0, 5.0, 10.0, 15.0, 20.0, 25.0)  # 1 000 scenarios for each series
 _FITTED: dict = {}
 
 
@@ -38,7 +39,7 @@ def m25_sweep(spark, sf):
     frame, model, sd = _run(spark, sf)
     key = id(model)
     if key not in _SWEPT:
-        _SWEPT[key] = Z.with_baseline(Z.sweep(Z.initial_state(frame), model, sd, HORIZON)).checkpoint(eager=True)
+        _SWEPT[key] = Z.with_baseline(Z.sweep(Z.initial_state(frame), model, sd, HORIZON, Z.scenario_grid(STEPS, STEPS, STEPS))).checkpoint(eager=True)
     return _SWEPT[key]
 
 

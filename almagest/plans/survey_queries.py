@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from almagest.functions import scalars as X
+from almagest.operators import sinks as K
 from almagest.operators import survey as U
 from almagest.plans import oracle_base as O
 from almagest.sources import canonical as C
+from almagest.sources.tables import read
 
 QRANGE = ("1996-Q1", "1999-Q4")
 N_TOP = 5
@@ -131,6 +134,55 @@ WHERE p.nacionalidad IN (SELECT nacionalidad FROM nt)
 GROUP BY 1, 2"""
 
 
+# ---- labels, flow nodes, nested trends, labels joined back (J04, J15, A28, K06) --------------
+def j04_market_labels(spark, sf):
+    """Top markets with labels; every third nation has none and keeps its code."""
+    n = read(spark, sf, "nation").filter(F.col("n_nationkey") % 3 != 0)
+    labels = n.select(F.col("n_name").alias("code"), X.display_name("n_name").alias("label"))
+    return U.with_labels(U.top_markets(_micro(spark, sf), N_TOP), labels, "nacionalidad")
+
+
+J04_SQL = f"""WITH mk AS ({A05_SQL}),
+lb AS (SELECT n_name AS code, 'Nation ' || substr(n_name, 8) AS label FROM nation WHERE n_nationkey % 3 <> 0)
+SELECT mk.*, coalesce(lb.label, mk.nacionalidad) AS label FROM mk LEFT JOIN lb ON lb.code = mk.nacionalidad"""
+
+
+def j15_nodes(spark, sf):
+    return U.flow_nodes(U.flows(_micro(spark, sf)))
+
+
+J15_SQL = f"""WITH fl AS ({A04_SQL})
+SELECT DISTINCT id, regexp_extract(id, '^[a-z]+_(.*)$', 1) AS code
+FROM (SELECT source AS id FROM fl UNION ALL SELECT target FROM fl)"""
+
+
+def a28_nested(spark, sf):
+    """Nested trends; the array of quarters is shown as text."""
+    nested = U.trends_nested(U.nationality_trends(_micro(spark, sf), N_TOP))
+    point = lambda d: F.concat(d["quarter"], F.lit("|"), d["count"].cast("string"))
+    return nested.select("nacionalidad", "rank", F.size("data").cast("long").alias("quarters"),
+                         F.array_join(F.transform("data", point), ",").alias("series"))
+
+
+A28_SQL = O.with_(O.MICRO, _TOP, _TRENDS) + """
+SELECT nacionalidad, rank, count(*) AS quarters,
+       string_agg(quarter || '|' || CAST(count AS VARCHAR), ',' ORDER BY quarter) AS series
+FROM tr GROUP BY nacionalidad, rank"""
+
+
+def k06_label_back(spark, sf):
+    """Labels of four in five respondents, joined back by key and counted."""
+    m = _micro(spark, sf)
+    key = ["quarter", "cuestionario"]
+    labels = m.filter("cuestionario % 5 <> 0").select(*key, (F.col("cuestionario") % 4).cast("int").alias("cluster_id"))
+    return K.label_back(m, labels, key).groupBy("cluster_id", "quarter").agg(F.count(F.lit(1)).alias("n"))
+
+
+K06_SQL = O.with_(O.MICRO) + """
+SELECT CASE WHEN cuestionario % 5 <> 0 THEN CAST(cuestionario % 4 AS INTEGER) END AS cluster_id, quarter, count(*) AS n
+FROM micro GROUP BY 1, 2"""
+
+
 # ---- raw_json based (A10, A12, A13, A14, A16) ---------------------------------------------
 def _title(key: str) -> str:
     return f"'{U.X_name(key)}'"
@@ -228,6 +280,10 @@ QUERIES = {
     "a34_crosstab": a34_crosstab,
     "w15_qoq": w15_qoq,
     "a04_flows": a04_flows,
+    "j04_market_labels": j04_market_labels,
+    "j15_nodes": j15_nodes,
+    "a28_nested": a28_nested,
+    "k06_label_back": k06_label_back,
     "a16_spending": a16_spending,
     "a13_activities": a13_activities,
     "a14_motivations": a14_motivations,
@@ -243,6 +299,10 @@ ORACLE = {
     "a34_crosstab": A34_SQL,
     "w15_qoq": W15_SQL,
     "a04_flows": A04_SQL,
+    "j04_market_labels": J04_SQL,
+    "j15_nodes": J15_SQL,
+    "a28_nested": A28_SQL,
+    "k06_label_back": K06_SQL,
     "a16_spending": _a16_sql(),
     "a13_activities": _a13_sql(),
     "a14_motivations": _a14_sql(),

@@ -66,3 +66,13 @@ def test_shared_passes_equal_plain_kmeans(spark):
     assert len(G.choose(df)) == 4
     labels = G.assign(df, fits[4]).collect()
     assert all(row.prediction == at[row.cuestionario] for row in labels)
+
+
+def test_baseline_does_not_depend_on_the_grid(spark, sf_dir):
+    ts, geo = C.time_series(spark, sf_dir), C.geo_dim(spark, sf_dir)
+    params = dict(maxIter=3, maxDepth=2, seed=42)
+    with_zero, _, _ = Z.run(ts, geo, 2, params, Z.scenario_grid((0.0, 10.0), (0.0,), (0.0,)))
+    without, _, _ = Z.run(ts, geo, 2, params, Z.scenario_grid((10.0,), (0.0,), (0.0,)))
+    want = {(r.geo_code, r.h): r.baseline for r in with_zero.collect()}
+    got = {(r.geo_code, r.h): r.baseline for r in without.collect()}
+    assert got == want and None not in got.values()

@@ -69,3 +69,32 @@ def test_raising_source_leaves_the_table_alone(spark):
     assert [(r.source, r.status, r.records_valid) for r in status.collect()] == [("a", "error", 0), ("b", "success", 1), ("c", "no_new_data", 0)]
     assert "source is down" in status.filter("source = 'a'").first().error
     assert sorted(r.period for r in tables["ts"].collect()) == ["2024-01", "2024-02"]
+
+
+def test_saved_results_and_models_come_back(spark):
+    from pyspark.ml.feature import StandardScaler, StandardScalerModel, VectorAssembler
+
+    root = tempfile.mkdtemp(prefix="almagest-named-")
+    K.save_named(spark.createDataFrame([(1, 1.0)], "h int, value double"), root, "p", "2024-01-01 10:00:00")
+    K.save_named(spark.createDataFrame([(1, 2.0), (2, 3.0)], "h int, value double"), root, "p", "2024-01-02 10:00:00")
+    assert sorted(r.value for r in K.load_named(spark, root, "p").collect()) == [2.0, 3.0]
+    assert K.load_named(spark, root, "q").count() == 0
+    df = VectorAssembler(inputCols=["a"], outputCol="v").transform(spark.createDataFrame([(1.0,), (3.0,)], "a double"))
+    model = StandardScaler(inputCol="v", outputCol="w").fit(df)
+    path = tempfile.mkdtemp(prefix="almagest-model-")
+    back = K.load_model(StandardScalerModel, K.save_model(model, path))
+    assert back.std == model.std
+
+
+def test_overwrite_seed_once_and_lookup(spark):
+    root = tempfile.mkdtemp(prefix="almagest-tables-")
+    one = spark.createDataFrame([("a", 1)], "k string, v int")
+    two = spark.createDataFrame([("b", 2), ("c", 3)], "k string, v int")
+    assert spark.read.parquet(K.overwrite_table(one, root + "/t")).count() == 1
+    assert spark.read.parquet(K.overwrite_table(two, root + "/t")).count() == 2
+    K.write_if_absent(one, root + "/seed")
+    assert [r.k for r in spark.read.parquet(K.write_if_absent(two, root + "/seed")).collect()] == ["a"]
+    t = spark.read.parquet(root + "/t")
+    assert [r.v for r in K.point(t, k="c").collect()] == [3] and K.point(t, k="x", v=1).count() == 0
+    snap = K.write_snapshot(two, K.snapshot_path(spark, "t"), sort_within=["k"])
+    assert spark.read.parquet(snap).count() == 2
