@@ -4,6 +4,7 @@ checkpoint folder taken from the cluster's own configuration."""
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from py4j.protocol import Py4JJavaError
@@ -32,9 +33,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package's own code to the executors, once an application, for
+    sessions that are started where the package is not installed."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        here = os.path.dirname(os.path.abspath(__file__))
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="almagest-code-"), "almagest"), "zip",
+                                      os.path.dirname(here), os.path.basename(here))
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(app)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
