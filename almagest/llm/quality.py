@@ -32,8 +32,8 @@ from almagest.llm.common import (chunks, doc_key, drop, keyed, lower_ascii, mix6
 
 BUCKETS = 1 << 20
 PREFIX_BYTES = 5
-SAMPLE_LABELLED = 20_000
-SAMPLE_PLAIN = 10_000
+SAMPLE_LABELLED = 10_000
+SAMPLE_PLAIN = 2_000
 #: Longer texts are scored but not fitted on: this bounds the sample's size.
 SAMPLE_WORDS = 5_000
 REJECT_AT = 0.35
@@ -141,8 +141,8 @@ def _sampled(labelled: np.ndarray, plain_share: float):
 
 
 def lexicon(rows: np.ndarray, feats: np.ndarray, bad: np.ndarray, good: np.ndarray) -> np.ndarray:
-    """Marks the features that are typical of the bad rows: in 49 of 50 of
-    the rows that hold them (after levelling the classes' sizes), with a log
+    """Marks the features that are typical of the bad rows: in 199 of 200
+    of the rows that hold them (after levelling the classes' sizes), with a log
     likelihood ratio that chance over all buckets does not give."""
     n_bad, n_good = max(1, bad.sum()), max(1, good.sum())
     of_bad = np.bincount(feats[bad[rows]], minlength=BUCKETS).astype(float)
@@ -150,70 +150,93 @@ def lexicon(rows: np.ndarray, feats: np.ndarray, bad: np.ndarray, good: np.ndarr
     both, base = np.maximum(of_bad + of_good, 1), n_bad / (n_bad + n_good)
     p = np.clip(of_bad / both, 1e-9, 1 - 1e-9)
     llr = of_bad * np.log(p / base) + of_good * np.log((1 - p) / (1 - base))
-    return (of_bad / n_bad > 50 * of_good / n_good) & (llr > np.log(BUCKETS) - 1)
+    return (of_bad / n_bad > 200 * of_good / n_good) & (llr > np.log(BUCKETS) + 4)
 
 
 @dataclass
 class VoteModel:
-    """P(bad) and, for each labeller, P(vote | class): [labeller, class, vote]."""
+    """Shares of the classes (good, then a kind of bad for each heuristic) and
+    P(vote | class) of each labeller: [labeller, class, vote]."""
 
-    prior: float
+    shares: np.ndarray
     table: np.ndarray
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """P(bad | votes) for rows of votes (rows x labellers)."""
-        score = np.tile(np.log([1 - self.prior, self.prior]), (len(votes), 1))
+    @property
+    def prior(self) -> float:
+        return float(1 - self.shares[0])
+
+    def classes(self, votes: np.ndarray) -> np.ndarray:
+        """P(class | votes) for rows of votes (rows x labellers)."""
+        score = np.tile(np.log(self.shares), (len(votes), 1))
         for k in range(votes.shape[1]):
             score += np.log(self.table[k][:, votes[:, k]]).T
-        return 1 / (1 + np.exp(np.clip(score[:, 0] - score[:, 1], -50, 50)))
+        p = np.exp(score - score.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """P(bad | votes)."""
+        return 1 - self.classes(votes)[:, 0]
 
 
 def fit_votes(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> VoteModel:
     """EM over vote patterns. votes: patterns x labellers, each 0 (silent),
     1 (bad) or 2 (good); counts: documents of each pattern. The annotators are
     the last labeller; their accuracy is held at ANNOTATORS_RIGHT, which ties
-    the latent class to their meaning. The rest starts from any vote."""
-    heuristic, told = votes[:, :-1], votes[:, -1]
-    post = np.where(told == 1, ANNOTATORS_RIGHT, np.where(told == 2, 1 - ANNOTATORS_RIGHT,
-                                                          np.where((heuristic == 1).any(axis=1), 0.7, 0.05)))
-    model = VoteModel(0.1, np.full((votes.shape[1], 2, 3), 1 / 3))
+    the latent classes to their meaning. A document is good or of a kind of bad
+    that starts from one heuristic's votes: kinds of junk that exclude each
+    other would not fit one class of independent votes."""
+    told, kinds = votes[:, -1], votes.shape[1] - 1
+    said = (votes[:, :-1] == 1).astype(float)
+    spread = np.where(said.any(axis=1, keepdims=True), said, 1.0)
+    spread /= spread.sum(axis=1, keepdims=True)
+    bad = np.where(told == 1, ANNOTATORS_RIGHT, np.where(told == 2, 1 - ANNOTATORS_RIGHT, np.where(said.any(axis=1), 0.7, 0.05)))
+    post = np.column_stack([1 - bad, spread * bad[:, None]])
+    model = VoteModel(np.full(kinds + 1, 1 / (kinds + 1)), np.full((kinds + 1, kinds + 1, 3), 1 / 3))
     for _ in range(rounds if len(votes) else 0):
-        weight = np.stack([(1 - post) * counts, post * counts])
-        prior = float(np.clip((weight[1].sum() + 1) / (counts.sum() + 2), 1e-4, 0.5))
+        weight = (post * counts[:, None]).T
+        shares = weight.sum(axis=1) + 1
         table = np.stack([np.stack([np.bincount(votes[:, k], weights=w, minlength=3) for w in weight]) + 0.1
-                          for k in range(votes.shape[1])])
+                          for k in range(kinds + 1)])
         table /= table.sum(axis=2, keepdims=True)
         # of those the annotators spoke on; being asked says nothing of the class
-        table[-1] = [[0.5, (1 - ANNOTATORS_RIGHT) / 2, ANNOTATORS_RIGHT / 2],
-                     [0.5, ANNOTATORS_RIGHT / 2, (1 - ANNOTATORS_RIGHT) / 2]]
-        model = VoteModel(prior, table)
-        post = model.posterior(votes)
+        right, wrong = ANNOTATORS_RIGHT / 2, (1 - ANNOTATORS_RIGHT) / 2
+        table[-1] = [[0.5, wrong, right]] + [[0.5, right, wrong]] * kinds
+        model = VoteModel(shares / shares.sum(), table)
+        post = model.classes(votes)
         # where annotators spoke, their word outweighs heuristics that err together
-        post = np.where(told == 1, np.maximum(post, ANNOTATORS_RIGHT),
-                        np.where(told == 2, np.minimum(post, 1 - ANNOTATORS_RIGHT), post))
+        bad = 1 - post[:, 0]
+        held = np.where(told == 1, np.maximum(bad, ANNOTATORS_RIGHT), np.where(told == 2, np.minimum(bad, 1 - ANNOTATORS_RIGHT), bad))
+        post[:, 1:] *= (held / np.maximum(bad, 1e-12))[:, None]
+        post[:, 0] = 1 - held
     return model
 
 
-def fit_scorer(rows: np.ndarray, feats: np.ndarray, target: np.ndarray, rounds: int = 100,
+def fit_scorer(rows: np.ndarray, feats: np.ndarray, target: np.ndarray, rounds: int = 200,
                rate: float = 0.5, lasso: float = 1.5) -> tuple[np.ndarray, float]:
     """Logistic regression on soft targets by proximal Adagrad over the whole
     sample. The lasso keeps features at zero that fewer than some two
     misjudged documents speak for, so words of single documents stay out."""
-    w = np.zeros(BUCKETS)
+    out = np.zeros(BUCKETS, np.float32)
     if not len(target):
-        return w.astype(np.float32), -10.0
-    b, acc, acc_b = float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3))), np.ones(BUCKETS), 1.0
+        return out, -10.0
+    # features whose first gradient is within the lasso would not move from zero
+    speaks = np.abs(np.bincount(feats, weights=(target.mean() - target)[rows], minlength=BUCKETS)) > lasso
+    rows, feats = rows[speaks[feats]], feats[speaks[feats]]
+    used, at = np.unique(feats, return_inverse=True)
+    w, acc = np.zeros(len(used)), np.ones(len(used))
+    b, acc_b = float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3))), 1.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, weights=w[feats], minlength=len(target)) + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, weights=w[at], minlength=len(target)) + b, -30, 30)))
         err = p - target
-        g = np.bincount(feats, weights=err[rows], minlength=BUCKETS)
+        g = np.bincount(at, weights=err[rows], minlength=len(used))
         acc += g * g
         step = rate / np.sqrt(acc)
         w -= step * g
         w = np.sign(w) * np.maximum(np.abs(w) - step * lasso, 0)
         acc_b += err.sum() ** 2
         b -= rate * err.sum() / acc_b**0.5
-    return w.astype(np.float32), b
+    out[used] = w
+    return out, b
 
 
 def _scored(weights: np.ndarray, bias: np.ndarray):
@@ -273,6 +296,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Scorer:
     toxic = fit_votes(split(toxic_seen["lex"].to_numpy(), toxic_seen["said"].to_numpy()), toxic_seen["count"].to_numpy())
     post_toxic = toxic.posterior(split(_votes(typical, rows, feats, len(sizes)), said_toxic))
     drop(spark, seen)
+    often = np.bincount(feats, minlength=BUCKETS)[feats] > 2  # the lasso leaves out the others anyway
+    rows, feats = rows[often], feats[often]
     w1, b1 = fit_scorer(rows, feats, post_junk)
     w2, b2 = fit_scorer(rows, feats, post_toxic)
     return Scorer(np.stack([w1, w2]), np.array([b1, b2]), junk, toxic)
