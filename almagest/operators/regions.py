@@ -31,10 +31,8 @@ def intensity_map(ts: DataFrame, geo: DataFrame, indicator: str = "orders") -> D
     """
     m = S.monthly_only(ts.filter((F.col("geo_level") == "nation") & (F.col("freq") == "M")
                                  & (F.col("indicator") == indicator)))
-    span = m.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    places = geo.select(F.col("n_name").alias("geo_code"), "r_name")  # 25 nations
-    grid = (span.select(F.explode(F.sequence("lo", "hi")).alias("t"), F.lit(0).alias("_one"))
-            .join(places.withColumn("_one", F.lit(0)), "_one").drop("_one"))
+    periods = F.sequence(m.agg(F.min("t")).scalar(), m.agg(F.max("t")).scalar())
+    grid = geo.select(F.col("n_name").alias("geo_code"), "r_name", F.explode(periods).alias("t"))  # 25 nations
     cells = (grid.join(m.select("geo_code", "t", "value"), ["geo_code", "t"], "left")
              .withColumn("period", P.ordinal_to_month_period(F.col("t"))))
     zone = _map_expr(REGION_ZONES, F.col("r_name"))

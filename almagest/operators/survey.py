@@ -193,7 +193,7 @@ def spending_by_cluster(micro: DataFrame) -> DataFrame:
     One aggregate per cluster with a (sum, count) pair per key: no row
     explosion before the shuffle; the 8-way unpivot runs on the result.
     """
-    m = parse_raw(micro.filter(F.col("cluster_id").isNotNull() & F.col("raw_json").isNotNull()))
+    m = parse_raw(micro.filter(F.col("cluster_id").isNotNull())).filter(F.col("raw").isNotNull())
     aggs = []
     for k in SPENDING_KEYS:
         v = X.safe_float(F.col(f"raw.{k}"))

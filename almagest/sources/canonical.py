@@ -198,22 +198,16 @@ def build_microdata(spark: SparkSession, sf_dir: str, with_raw: bool = True) ->
         F.sum(F.when(slot == i, amount)).alias(name)
         for i, name in enumerate(SPENDING_KEYS)])
     m = m.join(spend, k == F.col("l_orderkey"), "left")
-    entries = []
-    for name in SPENDING_KEYS:
-        entries += [F.lit(name), F.col(name).cast("string")]
+    answers = {name: F.col(name).cast("string") for name in SPENDING_KEYS}
     for i, name in enumerate(ACTIVITY_KEYS):
-        entries += [F.lit(name),
-                    F.when((k * (2 * i + 3)) % 7 < 3, F.lit("1")).otherwise(F.lit("6"))]
+        answers[name] = F.when((k * (2 * i + 3)) % 7 < 3, F.lit("1")).otherwise(F.lit("6"))
     lvl = F.array(*[F.lit(v) for v in IMPORTANCE_LEVELS])
-    for i, name in enumerate(IMPORTANCE_KEYS):
-        entries += [F.lit(name),
-                    F.when((k + i) % 13 == 0, F.lit("_Z"))
-                     .otherwise(F.element_at(lvl, ((k + i) % 4 + 1).cast("int")))]
-    entries += [F.lit("PERSONAS_TOTAL"), (k % 5 + 1).cast("string")]
-    raw_map = F.map_filter(F.create_map(*entries),
-                           lambda kk, v: v.isNotNull() & (v != F.lit("_Z")))
-    out = m.select(*cols, F.to_json(raw_map).alias("raw_json"))
-    return out.withColumn("raw", F.from_json("raw_json", RAW_SCHEMA, {"mode": "PERMISSIVE"}))
+    for i, name in enumerate(IMPORTANCE_KEYS):  # a placeholder answer is no answer
+        answers[name] = F.when((k + i) % 13 != 0, F.element_at(lvl, ((k + i) % 4 + 1).cast("int")))
+    answers["PERSONAS_TOTAL"] = (k % 5 + 1).cast("string")
+    # the record once as a struct, whose unread keys a scan leaves out, and as text (nulls are left out)
+    return (m.select(*cols, F.struct(*[answers[f.name].alias(f.name) for f in RAW_SCHEMA]).alias("raw"))
+             .withColumn("raw_json", F.to_json("raw")))
 
 
 # Calendar of notable events used by the event queries
