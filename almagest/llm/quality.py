@@ -32,8 +32,8 @@ from almagest.llm.common import (chunks, doc_key, drop, keyed, lower_ascii, mix6
 
 BUCKETS = 1 << 20
 PREFIX_BYTES = 5
-SAMPLE_LABELLED = 10_000
-SAMPLE_PLAIN = 2_000
+SAMPLE_LABELLED = 7_000
+SAMPLE_PLAIN = 1_500
 #: Longer texts are scored but not fitted on: this bounds the sample's size.
 SAMPLE_WORDS = 5_000
 REJECT_AT = 0.35
@@ -275,13 +275,15 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Scorer:
         "votes", "sampled", "feats",
         F.expr("CASE WHEN quality = 0 THEN 1 WHEN quality = 1 THEN 2 ELSE 0 END").alias("said_junk"),
         F.expr("CASE WHEN toxic = 1 THEN 1 WHEN toxic = 0 THEN 2 ELSE 0 END").alias("said_toxic"))
-    sample = marked.filter("sampled").drop("sampled").toArrow()
+    sample = marked.filter("sampled").drop("sampled").toArrow().combine_chunks()
     said_junk, said_toxic = (sample.column(c).to_numpy() for c in ("said_junk", "said_toxic"))
     lists = sample.column("feats").combine_chunks()
     lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
-    feats = lists.flatten().to_numpy().astype(np.int64)
+    feats = lists.flatten().to_numpy()
     sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
-    rows = np.repeat(np.arange(len(sizes)), sizes)
+    rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    often = np.bincount(feats, minlength=BUCKETS)[feats] > 2  # neither lexicon nor lasso takes the others
+    rows, feats = rows[often], feats[often]
     # junk: heuristic votes over all documents
     patterns = marked.groupBy("votes", "said_junk").count().toPandas()
     heard = lambda v, said: np.stack([*((v >> b) & 1 for b in range(len(JUNK_LABELLERS))), said], axis=1).astype(int)
@@ -296,8 +298,6 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Scorer:
     toxic = fit_votes(split(toxic_seen["lex"].to_numpy(), toxic_seen["said"].to_numpy()), toxic_seen["count"].to_numpy())
     post_toxic = toxic.posterior(split(_votes(typical, rows, feats, len(sizes)), said_toxic))
     drop(spark, seen)
-    often = np.bincount(feats, minlength=BUCKETS)[feats] > 2  # the lasso leaves out the others anyway
-    rows, feats = rows[often], feats[often]
     w1, b1 = fit_scorer(rows, feats, post_junk)
     w2, b2 = fit_scorer(rows, feats, post_toxic)
     return Scorer(np.stack([w1, w2]), np.array([b1, b2]), junk, toxic)

@@ -222,4 +222,19 @@ def test_em_finds_labellers_accuracy():
     model = quality.fit_votes(seen, counts)
     assert abs(model.prior - 0.2) < 0.04
     for k, (a, b) in enumerate(rates):
-        assert abs(model.table[k, 1, 1] - a) < 0.08 and abs(model.table[k, 0, 1] - b) < 0.05
+        of_bad = model.shares[1:] @ model.table[k, 1:, 1] / model.prior  # over all kinds of bad
+        assert abs(of_bad - a) < 0.1 and abs(model.table[k, 0, 1] - b) < 0.05
+    post = model.posterior(np.column_stack([votes, told]))
+    assert post[truth].mean() > 0.85 and post[~truth].mean() < 0.1
+
+
+def test_em_keeps_kinds_that_exclude_each_other():
+    """Two kinds of junk, never both in a document, one annotated row in ten."""
+    r = np.random.default_rng(7)
+    kind = r.choice([0, 1, 2], 20000, p=[0.85, 0.1, 0.05])
+    votes = np.stack([kind == 1, kind == 2], axis=1) & (r.random((20000, 2)) < 0.9) | (r.random((20000, 2)) < 0.002)
+    told = np.where(r.random(20000) < 0.1, np.where(kind > 0, 1, 2), 0)
+    seen, counts = np.unique(np.column_stack([votes.astype(int), told]), axis=0, return_counts=True)
+    model = quality.fit_votes(seen, counts)
+    post = model.posterior(np.array([[1, 0, 0], [0, 1, 0], [0, 0, 0]]))
+    assert post[0] > 0.9 and post[1] > 0.9 and post[2] < 0.1
