@@ -7,17 +7,17 @@ document is rejected if the rules on its own text fail, or if without its
 boilerplate lines it is depleted: fewer than ``LEAST_WORDS`` words left, or less than
 ``LEAST_SHARE`` of its words.
 
-Everything on one text is an expression over the row, so no text is shuffled.
-Line counts are pre-aggregated before each shuffle and joins are left to
+Everything on one text is an expression over the row, so no text is shuffled;
+line hashes are found once and written. Line counts are pre-aggregated before each shuffle and joins are left to
 adaptive skew handling; hosts and lines of any frequency are spread.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from almagest.llm.common import WORD, doc_key, text_key
+from almagest.llm.common import WORD, doc_key, text_key, written
 
 LINE_DOCS = 50
 LEAST_WORDS = 50
@@ -83,14 +83,14 @@ def boilerplate(lines: DataFrame, most: int = LINE_DOCS) -> DataFrame:
     return once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > most)
 
 
-def judge(docs: DataFrame, most: int = LINE_DOCS) -> DataFrame:
+def judge(spark: SparkSession, docs: DataFrame, most: int = LINE_DOCS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept and n_removed_words of every row.
 
     Null text has no words and fails; a null host is a host of its own; rows
     that repeat count as one document of their host and get equal verdicts; an
     empty table gives an empty result."""
-    lines = hashed_lines(docs)
+    lines = written(spark, hashed_lines(docs), "lines")
     often = boilerplate(lines, most)
     same = lines["host"].eqNullSafe(often["host"]) & (lines["line"] == often["line"])
     lost = lines.join(often, same, "left_semi").groupBy("k1", "k2").agg(F.sum("words").alias("lost"))

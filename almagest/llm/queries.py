@@ -38,7 +38,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_rules.judge(read(spark, sf_dir, "documents"))
+    return line_rules.judge(spark, read(spark, sf_dir, "documents"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

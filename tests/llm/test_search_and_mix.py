@@ -5,12 +5,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from almagest.llm import ann, edit_counts, line_rules, mixing, packing
+from almagest.llm.bpe import Merges
 
 from .helpers import docs_of, odd_rows, prose, with_clashes
 
@@ -193,10 +195,24 @@ def test_worker_cache_starts_anew(monkeypatch):
     enc, tok = packing.WordIds(TOKENIZER, 2), Tokenizer.from_file(TOKENIZER)
     for i in range(5):
         text = prose(i, 40)
-        ids, at = enc.encode([text.encode(), b""])
+        ids, at = enc.encode(pa.array([text, ""]))
         assert ids.tolist() == [*tok.encode(text, add_special_tokens=False).ids, 2, 2] and at.tolist() == [0, len(ids) - 1, len(ids)]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("abeINGthé ÉßÿĀσΣİ'-,.!12|<>%\n\t\x1c\u00a0e\u0301"), max_size=60)
+       .map(lambda t: t.replace("INt", "<|endoftext|>").replace("IG", "<|ENDOFTEXT|>")))
+def test_words_encode_as_the_library_does(text):
+    ids, _ = packing.word_ids(TOKENIZER, 2).encode(pa.array([text]))
+    assert ids.tolist() == [*TOK.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_plain_words_by_merges():
+    words = sorted({w for i in range(40) for w in prose(i, 60, 60).split()} | {"a", "é", "the", "straße", "y" * 48, "tion" * 12})
+    got = Merges(TOKENIZER).encode([w.encode() for w in words])
+    assert [g.tolist() for g in got] == [TOK.encode(w, add_special_tokens=False).ids for w in words]
+
+
 # edit-aware counts
 
 TOK = Tokenizer.from_file(TOKENIZER)
@@ -220,9 +236,8 @@ def test_tree_equals_full_recount(text, edits):
     edits = [(s, e, t.encode()) for s, e, t in edits]
     starts, ends, _ = word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
     enc = packing.word_ids(TOKENIZER, None)
-    words = [raw[a:b] for a, b in zip(starts, ends)]
-    enc.learn(set(words))
-    tree = edit_counts.TokenTree(raw, starts, ends, np.array([enc.size[enc.code[w]] for w in words], np.int64), enc)
+    code, _ = enc.lookup(pa.array([text]), parted=False)
+    tree = edit_counts.TokenTree(raw, starts, ends, enc.size[code], enc)
     new, encoded = tree.edit(edits)
     want, count = recount(raw, edits)
     assert new == want and tree.total == count
@@ -269,7 +284,7 @@ def rule_rows():
 
 def test_rules_equal_brute_force(spark):
     rows = rule_rows()
-    out = line_rules.judge(with_clashes(docs_of(spark, rows)), most=8).collect()
+    out = line_rules.judge(spark, with_clashes(docs_of(spark, rows)), most=8).collect()
     cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert Counter((r.doc_id, *(r[c] for c in cols)) for r in out) == Counter((r[0], *brute_rules(r[1])) for r in rows)
     by = {r.doc_id: r for r in out}
@@ -284,6 +299,6 @@ def test_long_texts_use_whole_hashes(spark):
     df = spark.createDataFrame([([5, 7, 5, 9, 7 + (1 << 20), 7], 8), ([5, 7, 5, 9, 7 + (1 << 20), 7], 1 << 20), ([1, 2], 4)], "grams array<long>, n_words long")
     got = [r[0] for r in df.select(line_rules._repeated_words()).collect()]
     assert got == [8, 8, 0]
-    assert line_rules.judge(docs_of(spark, [])).count() == 0
-    plan = line_rules.judge(docs_of(spark, rule_rows()))._jdf.queryExecution().toString()
+    assert line_rules.judge(spark, docs_of(spark, [])).count() == 0
+    plan = line_rules.judge(spark, docs_of(spark, rule_rows()))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and F is not None
