@@ -6,9 +6,10 @@ calibrated by a temperature.
   ``BUCKETS``; weights are log-scaled counts times inverse document frequency,
   scaled to unit length.
 * Document frequencies cover all training documents (added up by bucket).
-* The regression is fitted on at most ``SAMPLE`` training documents of each
-  language, chosen by a hash of their id; a fifth of them only sets the
-  temperature.
+* The regression is fitted on some ``SAMPLE`` training documents of each of
+  the ``LANGUAGES`` most frequent languages: all of a rarer one, else those
+  that a hash of id and text picks at the rate SAMPLE / documents. A fifth of
+  them only sets the temperature.
 * Every whole text is scored; nothing but the text enters a prediction.
 """
 
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almagest.llm.common import chunks, utf8
@@ -150,23 +151,21 @@ def fit(spark: SparkSession, train: DataFrame) -> Model | None:
     """Fit on rows with doc_id, text and lang; None if none has a language."""
     rows = train.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                         F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL")
-    top = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()]
-    if not top:
+    counts = {r["lang"]: r["count"] for r in
+              rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()}
+    if not counts:
         return None
     sums = rows.select("text").mapInArrow(_frequencies, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df"))
     df = np.zeros(BUCKETS + 1)
     for r in sums.toArrow().to_pylist():  # a row for each bucket
         df[r["bucket"]] = r["df"]
     idf = np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1
-    luck = F.xxhash64("doc_id", F.lit(6))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("luck", "doc_id"))
-    chosen = (rows.filter(F.col("lang").isin(top)).select("doc_id", "lang", luck.alias("luck"))
-              .withColumn("nth", nth).filter(F.col("nth") <= SAMPLE).select("doc_id").distinct())
-    # at most SAMPLE x LANGUAGES ids
-    sample = (rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", luck.alias("luck"), "text")
-              .filter(F.col("lang").isin(top))
+    # a document's luck, even over 0..1, against its language's share
+    luck = F.xxhash64("doc_id", "text")
+    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, SAMPLE / n)))])
+    sample = (rows.filter(luck / 2.0**64 + 0.5 < F.element_at(share, F.col("lang"))).select("lang", luck.alias("luck"), "text")
               .mapInArrow(_features, "lang string, luck long, bucket array<int>, count array<int>").toArrow())
-    place = {x: i for i, x in enumerate(sorted(top))}
+    place = {x: i for i, x in enumerate(sorted(counts))}
     order = np.argsort(sample.column("luck").to_numpy(), kind="stable")
     target = np.array([place[x] for x in sample.column("lang").to_pylist()], np.int64)[order]
     column = lambda c: [x.values.to_numpy() for x in sample.column(c)]
@@ -176,7 +175,7 @@ def fit(spark: SparkSession, train: DataFrame) -> Model | None:
     fit_on = [f for f, a in zip(feats, aside, strict=True) if not a]
     weights = fit_ftrl(fit_on, target[~aside], len(place))
     logits = np.array([x @ weights[b] + weights[BUCKETS] for (b, x), a in zip(feats, aside, strict=True) if a])
-    return Model(sorted(top), idf, weights, fit_temperature(logits, target[aside]))
+    return Model(sorted(place), idf, weights, fit_temperature(logits, target[aside]))
 
 
 def _predicted(model: Model | None):
