@@ -31,19 +31,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almagest.llm.common import chunks, drop, keyed, lower_ascii, mix64, span_hashes, utf8, word_spans, written
+from almagest.llm.common import chunks, keyed, lower_ascii, mix64, span_hashes, utf8, word_spans, written
 
 STATES = 6
 HEAD = 3072
 TAIL = 1024
-#: Tokens whose counts are sent to every task: 8 MB at most.
-KNOWN = 1 << 19
+#: At most so many tokens' counts are sent to every task: 6 MB.
+KNOWN = 1 << 18
 ROUNDS = 4
 SEGMENT = 512
 #: Segments of the exact scoring, which loses nothing at their borders.
 SCORE_SEGMENT = 4096
 #: Sequences of about this many tokens advance together.
-TRAIN_TOKENS, SCORE_TOKENS = 1 << 19, 1 << 21
+TRAIN_TOKENS, SCORE_TOKENS = 1 << 18, 1 << 20
+#: Distinct tokens that a task holds while it counts.
+MERGE_ROWS = 600_000
 HELD_OUT = (7, 2)
 END = mix64(np.array([0xE0D], np.uint64))
 _PSEUDO = 0.1
@@ -75,35 +77,41 @@ def _texts(batches, columns):
     """(values of columns, hashes, tails, offsets) for chunks of each batch."""
     for batch in batches:
         data, off = utf8(batch.column("text"))
-        for i, j in chunks(off, 1 << 21):
+        for i, j in chunks(off, 1 << 20):
             yield [batch.column(c).slice(i, j - i) for c in columns], *tokens(data[off[i]:off[j]], off[i:j + 1] - off[i])
 
 
 def _counted(batches):
-    """(token, tail, n) of the training texts, summed within the task as far
-    as a million distinct tokens at a time."""
+    """(token, tail, n) of the training texts, summed within the task over
+    some MERGE_ROWS distinct tokens at a time."""
     held, n = [], 0
-
-    def merged():
-        h, t, c = map(np.concatenate, zip(*held, strict=True))
-        u, first, inv = np.unique(h, return_index=True, return_inverse=True)
-        return u, t[first], np.bincount(inv, weights=c, minlength=len(u)).astype(np.int64)
-
-    def batch_of(h, t, c):
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(t), pa.array(c)], names=["token", "tail", "n"])
-
     for (ids,), h, tail, at in _texts(batches, ["doc_id"]):
         train = np.repeat(~held_out(ids.to_pylist()), np.diff(at))
-        held.append((h[train], tail[train], np.ones(train.sum(), np.int64)))
+        held.append(_summed(h[train], tail[train], np.ones(int(train.sum()), np.int64)))
         n += len(held[-1][0])
-        if n > 4_000_000:
-            held = [merged()]
-            n = len(held[0][0])
-            if n > 1_000_000:
-                yield batch_of(*held[0])
+        if n > MERGE_ROWS:
+            one = _summed(*map(np.concatenate, zip(*held, strict=True)))
+            held, n = [one], len(one[0])
+            if n > MERGE_ROWS // 2:
+                yield from _counts_batches(*one)
                 held, n = [], 0
     if held:
-        yield batch_of(*merged())
+        yield from _counts_batches(*_summed(*map(np.concatenate, zip(*held, strict=True))))
+
+
+def _summed(h: np.ndarray, tail: np.ndarray, n: np.ndarray):
+    """(token, tail, sum of n) of each different token."""
+    order = np.argsort(h)
+    h = h[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return h[first], tail[order[first]], np.add.reduceat(n[order], first) if len(h) else n
+
+
+def _counts_batches(h, tail, n):
+    """As batches that neither side needs much memory for."""
+    for i in range(0, len(h), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i:i + 50_000]) for x in (h.view(np.int64), tail, n)],
+                                         names=["token", "tail", "n"])
 
 
 def token_counts(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -138,11 +146,19 @@ class Vocabulary:
 
 def vocabulary(spark: SparkSession, counts: DataFrame) -> Vocabulary:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.col("n").desc(), "token").limit(KNOWN).toPandas()
-    h, c = top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    # the least count, on a log grid, that at most KNOWN tokens reach
+    level = F.floor(F.log2("n") * 64).cast("int")
+    levels = sorted(((r["level"], r["v"]) for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("v")).collect()),
+                    reverse=True)
+    reach = np.cumsum([v for _, v in levels])
+    enough = [lv for (lv, _), r in zip(levels, reach, strict=True) if r <= KNOWN]
+    top = counts.filter(level >= F.lit(enough[-1] if enough else 1 << 20)).select("token", "n").toArrow()  # KNOWN rows
+    h, c = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.lexsort((h, -c))
+    h, c = h[order], c[order]
     head = np.where(np.arange(len(h)) < HEAD, TAIL + np.arange(len(h)), -1)
-    first = spark.createDataFrame(top[["token"]].head(HEAD)) if len(top) else None
-    rest = counts.join(F.broadcast(first), "token", "left_anti") if first is not None else counts  # HEAD rows
+    firsts = spark.createDataFrame([(int(x),) for x in h[:HEAD].view(np.int64)], "token long")
+    rest = counts.join(F.broadcast(firsts), "token", "left_anti")  # HEAD rows
     size = np.ones(TAIL)
     for r in rest.groupBy("tail").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # TAIL rows
         size[r["tail"]] += r["n"] + r["v"]
@@ -365,17 +381,16 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
         unigram[r["c"]] = r["count"]
     unigram = (unigram + 0.5) / (unigram + 0.5).sum()
     chain = train(seqs, unigram)
-    rows = seqs.mapInArrow(_scored(chain), _SEQUENCES.replace("classes array<short>, ", "") + ", chain_score double")
-    rows = written(spark, rows, "scored")
+    kept = _SEQUENCES.replace(", classes array<short>, rare array<long>", "")
+    rows = written(spark, seqs.drop("rare").mapInArrow(_scored(chain), kept + ", chain_score double"), "scored")
     # tokens outside the known ones: their counts, by a join over the corpus' table
-    rare = rows.select("k1", "k2", F.explode("rare").alias("token")).groupBy("k1", "k2", "token").agg(F.count(F.lit(1)).alias("tf"))
+    rare = seqs.select("k1", "k2", F.explode("rare").alias("token"))
     found = (rare.join(counts.select("token", "n"), "token").groupBy("k1", "k2")
-             .agg(F.sum("tf").alias("rare_known"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("rare_log")))
+             .agg(F.count(F.lit(1)).alias("rare_known"), F.sum(F.log10(F.col("n") + 1)).alias("rare_log")))
     copies = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
     found = found.join(copies, ["k1", "k2"])  # rows that repeat have put their tokens in once each
     rows = rows.join(found, ["k1", "k2"], "left")
     extra = F.coalesce(F.col("rare_log") / F.col("copies"), F.lit(0.0))
-    drop(spark, seqs)
     return rows.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce((F.col("rare_known") / F.col("copies")).cast("long"), F.lit(0))).alias("n_known"),
