@@ -4,22 +4,24 @@ Two judgements are made of each document: is it junk (shouting, symbol noise,
 tables of fragments, repetition) and is it toxic. For each:
 
 1. Overlapping labellers vote on every document: heuristics over the whole
-   text, lexicons induced from a bounded sample of annotated rows, and the
-   annotators themselves where they spoke (table ``labels``).
+   text, lexicons induced from all annotated rows, and the annotators
+   themselves where they spoke (table ``labels``).
 2. Vote patterns are counted over all documents; expectation-maximisation over
    the patterns (at most 3^labellers of them, whatever the corpus size)
    estimates how each labeller votes on bad and on good documents.
-3. The posteriors of the sample's documents train a hashed linear scorer:
-   logistic regression over hashed words, word beginnings and binned signals.
+3. The posteriors of all documents train a hashed linear scorer: logistic
+   regression over hashed words, word beginnings and binned signals.
 4. The scorer judges every document by its whole text.
 
-``SAMPLE_LABELLED`` and ``SAMPLE_PLAIN`` bound the rows that the lexicons and
-the scorer are fitted on; votes, patterns and scores cover all rows.
+Features of all rows are found once and written. Lexicon counts and gradients
+are summed over them in tasks, by blocks of ``BLOCK`` buckets; the driver holds
+the ``BUCKETS`` weights and no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Generator, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,15 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almagest.llm.common import (chunks, doc_key, drop, keyed, lower_ascii, mix64, span_hashes, utf8,
+from almagest.llm.common import (chunks, doc_key, drop, keyed, lower_ascii, mix64, parallelism, span_hashes, utf8,
                                  word_spans, written)
 
 BUCKETS = 1 << 20
 PREFIX_BYTES = 5
-SAMPLE_LABELLED = 7_000
-SAMPLE_PLAIN = 1_500
-#: Longer texts are scored but not fitted on: this bounds the sample's size.
-SAMPLE_WORDS = 5_000
+#: Buckets that one row of partial sums holds.
+BLOCK = 4_096
+#: Most passes of the scorer's fit, the least fall of its objective in five steps (share of the first)
+#: to go on, and the steps it keeps.
+ROUNDS = 200
+LEAST_FALL = 1e-3
+PAIRS = 5
 REJECT_AT = 0.35
 #: Share of the annotators' judgements that are taken to be right.
 ANNOTATORS_RIGHT = 0.95
@@ -116,37 +121,92 @@ def _analysed(batches: Iterator[pa.RecordBatch]):
             yield batch, i, j, analyse(data[off[i]:off[j]], off[i:j + 1] - off[i])
 
 
-def _lists(rows: np.ndarray, values: np.ndarray, take: np.ndarray) -> pa.ListArray:
-    """A list of values for each row; empty where take is false."""
-    keep = take[rows]
-    sizes = np.bincount(rows[keep], minlength=len(take))
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
-                                    pa.array(values[keep].astype(np.int32)))
+def _features(batches):
+    """Heuristic votes and features (little-endian 32-bit) of all rows."""
+    for batch, i, j, (signals, _, rows, feats) in _analysed(batches):
+        votes = np.zeros(j - i, np.int64)
+        for b, name in enumerate(JUNK_LABELLERS):
+            votes |= (signals[:, SIGNALS.index(name)] > JUNK_AT[name]).astype(np.int64) << b
+        ends = np.concatenate([[0], 4 * np.cumsum(np.bincount(rows, minlength=j - i))]).astype(np.int32)
+        lists = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends), pa.py_buffer(feats.astype("<i4"))])
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c).slice(i, j - i) for c in ("doc_id", "said_junk", "said_toxic")), pa.array(votes), lists],
+            names=["doc_id", "said_junk", "said_toxic", "votes", "feats"])
 
 
-def _sampled(labelled: np.ndarray, plain_share: float):
-    """Heuristic votes of all rows; words' hashes of the sample's rows."""
-    def run(batches):
-        for batch, i, j, (signals, words, rows, feats) in _analysed(batches):
-            votes = np.zeros(j - i, np.int64)
-            for b, name in enumerate(JUNK_LABELLERS):
-                votes |= (signals[:, SIGNALS.index(name)] > JUNK_AT[name]).astype(np.int64) << b
-            keys = batch.column("k1").slice(i, j - i).to_numpy()
-            luck = mix64(batch.column("k2").slice(i, j - i).to_numpy().view(np.uint64)) / 2.0**64
-            pick = (np.isin(keys, labelled) | (luck < plain_share)) & (words <= SAMPLE_WORDS)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).slice(i, j - i) for c in ("doc_id", "k1", "k2")), pa.array(votes), pa.array(pick),
-                 _lists(rows, feats, pick)], names=["doc_id", "k1", "k2", "votes", "sampled", "feats"])
-    return run
+def _stored(batches):
+    """(batch, from row, to row, rows, feats) for chunks of written features."""
+    for batch in batches:
+        column = batch.column("feats").cast(pa.large_binary())
+        if not len(column):
+            continue
+        off = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+        data = np.frombuffer(column.buffers()[2], np.uint8)
+        for i, j in chunks(off, 1 << 23):
+            yield batch, i, j, np.repeat(np.arange(j - i), np.diff(off[i:j + 1]) // 4), data[off[i]:off[j]].view("<i4").astype(np.int64)
+
+
+_SUMS = "block int, at binary, sums binary"
+
 
+def _blocks(sums: np.ndarray, first: int = 0):
+    """Rows of the sums (2 x whole blocks) that are not zero, by block."""
+    at = np.flatnonzero(sums.any(axis=0))
+    cuts = np.searchsorted(at, np.arange(0, sums.shape[1] + 1, BLOCK))
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        here = at[cuts[k]:cuts[k + 1]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([first + k], pa.int32()), pa.array([(here - k * BLOCK).astype("<u2").tobytes()]),
+             pa.array([sums[:, here].tobytes()])], names=["block", "at", "sums"])
 
-def lexicon(rows: np.ndarray, feats: np.ndarray, bad: np.ndarray, good: np.ndarray) -> np.ndarray:
+
+def _read_blocks(rows: list[dict]):
+    for r in rows:
+        yield r["block"], np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["sums"]).reshape(2, -1)
+
+
+def _added(batches):
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, at, sums in _read_blocks(batch.to_pylist()):
+            held.setdefault(block, np.zeros((2, BLOCK)))[:, at] += sums
+    for block, sums in held.items():
+        yield from _blocks(sums, block)
+
+
+def _total(spark: SparkSession, seen: DataFrame, run) -> np.ndarray:
+    """The sum over all tasks of run's sums: a row for each of two targets;
+    buckets, then a block with what is not of a bucket."""
+    out = np.zeros((2, BUCKETS + BLOCK))
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean)
+    spark.conf.set(clean, "true")  # a shuffle for each round; nothing reads it again
+    try:
+        sums = seen.mapInArrow(run, _SUMS).repartition(parallelism(spark), "block").mapInArrow(_added, _SUMS).toArrow()
+    finally:
+        spark.conf.set(clean, before)
+    for block, at, part in _read_blocks(sums.to_pylist()):
+        out[:, block * BLOCK + at] = part
+    return out
+
+
+def _labelled(batches):
+    """Rows that hold each bucket, and rows, of those called toxic and not."""
+    sums = np.zeros((2, BUCKETS + BLOCK))
+    for batch, i, j, rows, feats in _stored(batches):
+        said = batch.column("said_toxic").slice(i, j - i).to_numpy()
+        for k in (0, 1):
+            of = said == k + 1
+            sums[k, :BUCKETS] += np.bincount(feats[of[rows]], minlength=BUCKETS)
+            sums[k, BUCKETS] += of.sum()
+    yield from _blocks(sums)
+
+
+def lexicon(of_bad: np.ndarray, of_good: np.ndarray, n_bad: float, n_good: float) -> np.ndarray:
     """Marks the features that are typical of the bad rows: in 199 of 200
     of the rows that hold them (after levelling the classes' sizes), with a log
     likelihood ratio that chance over all buckets does not give."""
-    n_bad, n_good = max(1, bad.sum()), max(1, good.sum())
-    of_bad = np.bincount(feats[bad[rows]], minlength=BUCKETS).astype(float)
-    of_good = np.bincount(feats[good[rows]], minlength=BUCKETS).astype(float)
+    n_bad, n_good = max(1, n_bad), max(1, n_good)
     both, base = np.maximum(of_bad + of_good, 1), n_bad / (n_bad + n_good)
     p = np.clip(of_bad / both, 1e-9, 1 - 1e-9)
     llr = of_bad * np.log(p / base) + of_good * np.log((1 - p) / (1 - base))
@@ -211,42 +271,96 @@ def fit_votes(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> VoteMo
     return model
 
 
-def fit_scorer(rows: np.ndarray, feats: np.ndarray, target: np.ndarray, rounds: int = 200,
-               rate: float = 0.5, lasso: float = 1.5) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft targets by proximal Adagrad over the whole
-    sample. The lasso keeps features at zero that fewer than some two
-    misjudged documents speak for, so words of single documents stay out."""
-    out = np.zeros(BUCKETS, np.float32)
-    if not len(target):
-        return out, -10.0
-    # features whose first gradient is within the lasso would not move from zero
-    speaks = np.abs(np.bincount(feats, weights=(target.mean() - target)[rows], minlength=BUCKETS)) > lasso
-    rows, feats = rows[speaks[feats]], feats[speaks[feats]]
-    used, at = np.unique(feats, return_inverse=True)
-    w, acc = np.zeros(len(used)), np.ones(len(used))
-    b, acc_b = float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3))), 1.0
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, weights=w[at], minlength=len(target)) + b, -30, 30)))
-        err = p - target
-        g = np.bincount(at, weights=err[rows], minlength=len(used))
-        acc += g * g
-        step = rate / np.sqrt(acc)
-        w -= step * g
-        w = np.sign(w) * np.maximum(np.abs(w) - step * lasso, 0)
-        acc_b += err.sum() ** 2
-        b -= rate * err.sum() / acc_b**0.5
-    out[used] = w
-    return out, b
+def descend(x: np.ndarray, lasso: np.ndarray, rounds: int) -> Generator:
+    """Least loss + lasso * |x| by orthant-wise limited-memory quasi-Newton.
+    Yields a point, is sent (loss, gradient) there; returns the best point."""
+    loss, g = yield x
+    best = loss + lasso @ np.abs(x)
+    were = [best]
+    pairs: deque = deque(maxlen=PAIRS)
+    while (rounds := rounds - 1) > 0:
+        pull = np.where(x == 0, np.sign(g) * np.maximum(np.abs(g) - lasso, 0), g + lasso * np.sign(x))
+        d, seen = -pull, []
+        for s, y in reversed(pairs):
+            seen.append(s @ d / (s @ y))
+            d = d - seen[-1] * y
+        if pairs:
+            d = d * (pairs[-1][0] @ pairs[-1][1] / (pairs[-1][1] @ pairs[-1][1]))
+        for (s, y), c in zip(pairs, reversed(seen), strict=True):
+            d = d + (c - y @ d / (s @ y)) * s
+        d[d * pull >= 0] = 0
+        side = np.where(x == 0, -np.sign(pull), np.sign(x))
+        step = 1.0 if pairs else 1 / max(np.sqrt(pull @ pull), 1e-12)
+        while rounds > 0 and step > 1e-6:
+            to = x + step * d
+            to[(lasso > 0) & (np.sign(to) != side)] = 0
+            loss, g_to = yield to
+            now = loss + lasso @ np.abs(to)
+            if now <= best + 1e-4 * (pull @ (to - x)):
+                break
+            step, rounds = step / 2, rounds - 1
+        else:
+            return x
+        s, y = to - x, g_to - g
+        x, g, best = to, g_to, now
+        if s @ y > 1e-10:
+            pairs.append((s, y))
+        were.append(best)
+        if len(were) > 5 and were[-6] - best <= LEAST_FALL * were[0]:
+            return x
+    return x
+
+
+def fit_scorer(gradient: Callable, mean: np.ndarray, rounds: int = ROUNDS,
+               lasso: float = 1.5) -> tuple[np.ndarray, np.ndarray]:
+    """Logistic regressions on soft targets, one for each of two targets.
+    gradient(weights, bias, going) gives, over all documents, the sums by bucket,
+    then those of bias and loss, of the targets still going; mean: the targets' means. The lasso keeps features
+    at zero that fewer than some two misjudged documents speak for, so words of
+    single documents stay out."""
+    bound = np.append(np.full(BUCKETS, lasso), 0.0)
+    fits = [descend(np.append(np.zeros(BUCKETS), b), bound, rounds) for b in np.log((mean + 1e-3) / (1 - mean + 1e-3))]
+    at = np.stack([next(f) for f in fits])
+    going = [True, True]
+    while any(going):
+        sums = gradient(at[:, :BUCKETS], at[:, BUCKETS], going)
+        for k in (k for k in (0, 1) if going[k]):
+            try:
+                at[k] = fits[k].send((sums[k, BUCKETS + 1], sums[k, :BUCKETS + 1].copy()))
+            except StopIteration as end:
+                at[k], going[k] = end.value, False
+    return at[:, :BUCKETS].astype(np.float32), at[:, BUCKETS]
+
+
+def _chance(logits: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
+
+
+def _gradient(state):
+    """Sums of the two targets' errors by bucket, over rows, and of the loss.
+    state: a broadcast of weights, bias, which targets to sum, the posterior of
+    each vote pattern for both, and the toxic lexicon."""
+    def run(batches):
+        weights, bias, going, post_junk, post_toxic, typical = state.value
+        sums = np.zeros((2, BUCKETS + BLOCK))
+        for batch, i, j, rows, feats in _stored(batches):
+            votes, junk, toxic = (batch.column(c).slice(i, j - i).to_numpy() for c in ("votes", "said_junk", "said_toxic"))
+            for k in (k for k in (0, 1) if going[k]):
+                target = post_toxic[_votes(typical, rows, feats, j - i), toxic] if k else post_junk[votes, junk]
+                z = np.bincount(rows, weights=weights[k][feats], minlength=j - i) + bias[k]
+                err = _chance(z) - target
+                sums[k, :BUCKETS] += np.bincount(feats, weights=err[rows], minlength=BUCKETS)
+                sums[k, BUCKETS:BUCKETS + 2] += err.sum(), (np.logaddexp(0, z) - target * z).sum()
+        yield from _blocks(sums)
+    return run
 
 
 def _scored(weights: np.ndarray, bias: np.ndarray):
     def run(batches):
-        for batch, i, j, (_, _, rows, feats) in _analysed(batches):
-            p = [1 / (1 + np.exp(-np.clip(np.bincount(rows, weights=w[feats], minlength=j - i) + b, -30, 30)))
-                 for w, b in zip(weights, bias, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).slice(i, j - i) for c in ("doc_id", "k1", "k2")), *map(pa.array, p)],
-                names=["doc_id", "k1", "k2", "junk_score", "toxic_score"])
+        for batch, i, j, rows, feats in _stored(batches):
+            p = [_chance(np.bincount(rows, weights=w[feats], minlength=j - i) + b) for w, b in zip(weights, bias, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *map(pa.array, p)],
+                                             names=["doc_id", "junk_score", "toxic_score"])
     return run
 
 
@@ -264,83 +378,91 @@ def _annotations(labels: DataFrame) -> DataFrame:
         F.min(F.col("quality").cast("int")).alias("quality"), F.max(F.col("toxic").cast("int")).alias("toxic"))
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Scorer:
-    """Fit the vote models on all documents and the scorer on the sample."""
-    told = _annotations(labels)
-    few = told.orderBy(F.xxhash64("k1"), "k1").limit(SAMPLE_LABELLED).select("k1").toPandas()["k1"].to_numpy(np.int64)
-    share = min(1.0, SAMPLE_PLAIN / max(1, docs.count()))
-    seen = written(spark, keyed(docs).mapInArrow(
-        _sampled(few, share), "doc_id long, k1 long, k2 long, votes long, sampled boolean, feats array<int>"), "votes")
-    marked = seen.join(told, "k1", "left").select(
-        "votes", "sampled", "feats",
-        F.expr("CASE WHEN quality = 0 THEN 1 WHEN quality = 1 THEN 2 ELSE 0 END").alias("said_junk"),
+def features(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, said_junk, said_toxic, votes and feats of every row, written."""
+    marked = keyed(docs).join(_annotations(labels), "k1", "left").select(
+        "doc_id", "text", F.expr("CASE WHEN quality = 0 THEN 1 WHEN quality = 1 THEN 2 ELSE 0 END").alias("said_junk"),
         F.expr("CASE WHEN toxic = 1 THEN 1 WHEN toxic = 0 THEN 2 ELSE 0 END").alias("said_toxic"))
-    sample = marked.filter("sampled").drop("sampled").toArrow().combine_chunks()
-    said_junk, said_toxic = (sample.column(c).to_numpy() for c in ("said_junk", "said_toxic"))
-    lists = sample.column("feats").combine_chunks()
-    lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
-    feats = lists.flatten().to_numpy()
-    sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
-    rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    often = np.bincount(feats, minlength=BUCKETS)[feats] > 2  # neither lexicon nor lasso takes the others
-    rows, feats = rows[often], feats[often]
+    return written(spark, marked.mapInArrow(
+        _features, "doc_id long, said_junk int, said_toxic int, votes long, feats binary"), "features")
+
+
+def fit(spark: SparkSession, seen: DataFrame) -> Scorer:
+    """Fit the vote models and the scorer on the features of all documents."""
     # junk: heuristic votes over all documents
-    patterns = marked.groupBy("votes", "said_junk").count().toPandas()
+    patterns = seen.groupBy("votes", "said_junk").count().toPandas()
     heard = lambda v, said: np.stack([*((v >> b) & 1 for b in range(len(JUNK_LABELLERS))), said], axis=1).astype(int)
     junk = fit_votes(heard(patterns["votes"].to_numpy(), patterns["said_junk"].to_numpy()), patterns["count"].to_numpy())
-    post_junk = junk.posterior(heard(sample.column("votes").to_numpy(), said_junk))
+    post_junk = _posteriors(junk, 1 << len(JUNK_LABELLERS), heard)
     # toxic: two lexicons from halves of the features, then their counts over all documents
-    typical = lexicon(rows, feats, said_toxic == 1, said_toxic == 2)
-    votes_of = _lexicon_votes(typical)
-    toxic_seen = keyed(docs).mapInArrow(votes_of, "k1 long, lex long").join(told, "k1", "left").groupBy(
-        "lex", F.expr("CASE WHEN toxic = 1 THEN 1 WHEN toxic = 0 THEN 2 ELSE 0 END").alias("said")).count().toPandas()
+    told = _total(spark, seen.select("said_toxic", "feats").filter("said_toxic > 0"), _labelled)
+    typical = lexicon(told[0, :BUCKETS], told[1, :BUCKETS], told[0, BUCKETS], told[1, BUCKETS])
+    toxic_seen = seen.select("said_toxic", "feats").mapInArrow(_lexicon_votes(typical), "lex long, said int, n long").groupBy(
+        "lex", "said").agg(F.sum("n").alias("count")).toPandas()
     split = lambda lex, said: np.stack([lex & 1, (lex >> 1) & 1, (lex >> 2) & 1, said], axis=1).astype(int)
     toxic = fit_votes(split(toxic_seen["lex"].to_numpy(), toxic_seen["said"].to_numpy()), toxic_seen["count"].to_numpy())
-    post_toxic = toxic.posterior(split(_votes(typical, rows, feats, len(sizes)), said_toxic))
-    drop(spark, seen)
-    w1, b1 = fit_scorer(rows, feats, post_junk)
-    w2, b2 = fit_scorer(rows, feats, post_toxic)
-    return Scorer(np.stack([w1, w2]), np.array([b1, b2]), junk, toxic)
+    post_toxic = _posteriors(toxic, 8, split)
+    if not len(patterns):
+        return Scorer(np.zeros((2, BUCKETS), np.float32), np.full(2, -10.0), junk, toxic)
+    mean = np.array([np.average(post_junk[patterns["votes"], patterns["said_junk"]], weights=patterns["count"]),
+                     np.average(post_toxic[toxic_seen["lex"], toxic_seen["said"]], weights=toxic_seen["count"])])
+
+    def gradient(w: np.ndarray, b: np.ndarray, going: list[bool]) -> np.ndarray:
+        state = spark.sparkContext.broadcast((w.astype(np.float32), b, going, post_junk, post_toxic, typical))
+        try:
+            return _total(spark, seen.select("votes", "said_junk", "said_toxic", "feats"), _gradient(state))
+        finally:
+            state.destroy()
+
+    weights, bias = fit_scorer(gradient, mean)
+    return Scorer(weights, bias, junk, toxic)
+
+
+def _posteriors(model: VoteModel, patterns: int, heard: Callable) -> np.ndarray:
+    """P(bad) of each pattern of votes (rows) and what was said (columns)."""
+    votes, said = np.divmod(np.arange(patterns * 3), 3)
+    return model.posterior(heard(votes, said)).reshape(patterns, 3)
 
 
 def _votes(typical: np.ndarray, rows: np.ndarray, feats: np.ndarray, n: int) -> np.ndarray:
     """Three lexicon labellers: a hit among the even buckets, among the odd
     ones, and two hits or more."""
     hit = typical[feats]
-    even = np.bincount(rows, weights=hit & (feats % 2 == 0), minlength=n)
-    odd = np.bincount(rows, weights=hit & (feats % 2 == 1), minlength=n)
+    rows, odds = rows[hit], feats[hit] % 2 == 1
+    even, odd = np.bincount(rows[~odds], minlength=n), np.bincount(rows[odds], minlength=n)
     return (even > 0) * 1 + (odd > 0) * 2 + (even + odd > 1) * 4
 
 
 def _lexicon_votes(typical: np.ndarray):
     def run(batches):
-        for batch, i, j, (_, _, rows, feats) in _analysed(batches):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("k1").slice(i, j - i), pa.array(_votes(typical, rows, feats, j - i).astype(np.int64))],
-                names=["k1", "lex"])
+        counts = np.zeros((8, 3), np.int64)
+        for batch, i, j, rows, feats in _stored(batches):
+            said = batch.column("said_toxic").slice(i, j - i).to_numpy()
+            np.add.at(counts, (_votes(typical, rows, feats, j - i), said), 1)
+        lex, said = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(lex), pa.array(said.astype(np.int32)), pa.array(counts[lex, said])],
+                                         names=["lex", "said", "n"])
     return run
 
 
-def score(docs: DataFrame, model: Scorer) -> DataFrame:
-    """doc_id, k1, k2, junk_score, toxic_score of every row."""
-    return keyed(docs).mapInArrow(_scored(model.weights, model.bias),
-                                  "doc_id long, k1 long, k2 long, junk_score double, toxic_score double")
-
-
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, junk_score, toxic_score, kept for every row.
 
     Null or empty text counts as text without words; an empty table of
     documents gives an empty result, an empty table of labels leaves the
     heuristics alone to teach the scorer; repeated rows get equal scores."""
-    return score(docs, fit(spark, docs, labels)).select(
-        "doc_id", "junk_score", "toxic_score",
-        ((F.col("junk_score") < REJECT_AT) & (F.col("toxic_score") < REJECT_AT)).alias("kept"))
+    seen = features(spark, docs, labels)
+    model = fit(spark, seen)
+    scores = seen.select("doc_id", "feats").mapInArrow(
+        _scored(model.weights, model.bias), "doc_id long, junk_score double, toxic_score double")
+    return scores.withColumn("kept", (F.col("junk_score") < REJECT_AT) & (F.col("toxic_score") < REJECT_AT))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier keeps, with docs' columns."""
-    model = fit(spark, docs, labels)
+    seen = features(spark, docs, labels)
+    model = fit(spark, seen)
+    drop(spark, seen)
     cols = [f"`{c}`" for c in docs.columns]
     weights, bias = model.weights, model.bias
 

@@ -238,3 +238,39 @@ def test_em_keeps_kinds_that_exclude_each_other():
     model = quality.fit_votes(seen, counts)
     post = model.posterior(np.array([[1, 0, 0], [0, 1, 0], [0, 0, 0]]))
     assert post[0] > 0.9 and post[1] > 0.9 and post[2] < 0.1
+
+
+def test_scorer_learns_from_every_document(spark):
+    """A kind of junk in 12 of 9 613 documents, none of them annotated, and a
+    labelled text of 6 000 words: both in lexicon and fit."""
+    rows = [(i, prose(i % 40, 60, 200)) for i in range(9_600)]
+    rows += [(10_000 + i, ("zyzzyva " * 3 + prose(i, 50, 200)).upper() + "!" * 60) for i in range(12)]
+    rows += [(11_000, "quagga " + prose(3, 6_000))]
+    labels = spark.createDataFrame([(11_000, 0, 1), (0, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in quality.judge(spark, docs_of(spark, rows), labels).collect()}
+    assert all(not out[10_000 + i].kept for i in range(12)) and np.mean([out[i].kept for i in range(9_600)]) > 0.98
+    seen = quality.features(spark, docs_of(spark, rows), labels)
+    told = quality._total(spark, seen, quality._labelled)
+    assert told[:, quality.BUCKETS].tolist() == [1, 2] and told[0, :quality.BUCKETS].sum() > 300
+
+
+def test_scorer_reaches_least_objective():
+    r = np.random.default_rng(2)
+    x = (r.random((400, 6)) < 0.4).astype(float)
+    t = 1 / (1 + np.exp(-(x @ np.array([3.0, -2, 0, 0, 1, 0]) - 0.5)))
+    bound = np.append(np.full(6, 1.5), 0.0)
+    full = np.column_stack([x, np.ones(400)])
+    fit, n = quality.descend(np.zeros(7), bound, 200), 0
+    at = next(fit)
+    try:
+        while True:
+            z, n = full @ at, n + 1
+            at = fit.send(((np.logaddexp(0, z) - t * z).sum(), full.T @ (1 / (1 + np.exp(-z)) - t)))
+    except StopIteration as end:
+        at = end.value
+    objective = lambda w: (np.logaddexp(0, full @ w) - t * (full @ w)).sum() + bound @ np.abs(w)
+    plain = np.zeros(7)
+    for _ in range(20_000):  # proximal gradient
+        plain -= 0.005 * full.T @ (1 / (1 + np.exp(-full @ plain)) - t)
+        plain = np.sign(plain) * np.maximum(np.abs(plain) - 0.005 * bound, 0)
+    assert n < 60 and objective(at) < objective(plain) * 1.01
