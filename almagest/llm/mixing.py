@@ -16,7 +16,8 @@ DataFrame functions only.
    its target times 1 + a (2t - 1), with a from ``SLOPES`` in turn. The
    integral is the source's cumulative token demand; inverting it at the middle
    of each copy in the queue gives the copy's training position.
-4. Copies are range-sorted by position.
+4. Copies are range-sorted by position; files written from them keep the order
+   in their names and rows (``written_order``).
 """
 
 from __future__ import annotations
@@ -130,6 +131,18 @@ def plan(spark: SparkSession, docs: DataFrame) -> DataFrame:
                          (F.col("copies") * F.col("size")).cast("long").alias("taken"), each.alias("positions"))
 
 
+def in_order(spark: SparkSession, planned: DataFrame) -> DataFrame:
+    """A plan range-sorted by each row's first position, rows not taken last."""
+    first = F.try_element_at("positions", F.lit(1))
+    order = [first.isNull(), first, F.col("k1"), F.col("k2")]
+    return planned.repartitionByRange(parallelism(spark), *order).sortWithinPartitions(*order)
+
+
+def written_order() -> list[Column]:
+    """Columns that order the rows of a mix that was written and read back."""
+    return [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+
+
 def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The mixed corpus: docs' rows, each as often as the mix takes it, in
     order of training position (range-sorted), in docs' columns."""

@@ -9,6 +9,9 @@
 3. In a group, pieces go by falling length into the open window that they fill
    best: a segment tree over remaining capacities finds the least capacity
    that is enough. Full windows stand alone.
+
+With an order, groups are stretches of 2^STRETCH_BITS consecutive pieces
+instead, and sequences are numbered in it.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almagest.llm.bpe import Merges
@@ -29,6 +32,8 @@ from almagest.llm.common import chunks, utf8, whole_groups, written
 WINDOW = 4096
 END_ID = 2
 GROUP_PIECES = 100_000
+#: Consecutive pieces that are packed together where an order is given, as a power of two.
+STRETCH_BITS = 13
 #: Words that a worker keeps the ids of.
 KEPT_WORDS = 800_000
 
@@ -137,7 +142,7 @@ def word_ids(path: str, end_id: int | None) -> WordIds:
     return _TOKENIZERS[path, end_id]
 
 
-def _pieces(path: str, window: int, end_id: int, with_ids: bool):
+def _pieces(path: str, window: int, end_id: int, with_ids: bool, order: list[str]):
     def run(batches):
         encoder = word_ids(path, end_id)
         for batch in batches:
@@ -160,6 +165,8 @@ def _pieces(path: str, window: int, end_id: int, with_ids: bool):
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 if with_ids:
                     cols, names = [*cols, pa.array(slices, pa.binary())], [*names, "ids"]
+                cols += [batch.column(c).slice(i, j - i).take(pa.array(row)) for c in order]
+                names = [*names, *order]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
     return run
 
@@ -220,7 +227,7 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
     return place, offset
 
 
-def _packed(window: int, groups: int):
+def _packed(window: int, groups: int, stretch: int | None = None):
     def run(batches):
         for table in whole_groups(batches, ["grp"]):
             table = table.combine_chunks()
@@ -229,24 +236,39 @@ def _packed(window: int, groups: int):
             seq, off = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 place, off[a:b] = best_fit_decreasing(length[a:b], window)
-                seq[a:b] = place * groups + group[a]
+                if stretch is None:
+                    seq[a:b] = place * groups + group[a]
+                else:  # sequences by the mean place of their pieces in the order
+                    mean = np.bincount(place, weights=np.arange(b - a)) / np.bincount(place)
+                    rank = np.empty(len(mean), np.int64)
+                    rank[np.argsort(mean, kind="stable")] = np.arange(len(mean))
+                    seq[a:b] = (group[a] << stretch) + rank[place]
             out = table.drop_columns(["grp"]).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
             yield from out.to_batches()
     return run
 
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID,
-         with_ids: bool = False) -> DataFrame:
+         with_ids: bool = False, order: list[Column] | None = None) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset; ids (little-endian 32-bit) if asked.
 
     tokenizer: path of a tokenizer file that every executor can read. Null
     text counts as empty and gives the end id alone; repeated rows are packed
-    each; an empty table gives no pieces."""
+    each; an empty table gives no pieces. order: columns of docs; consecutive
+    rows are packed together and sequence_id rises with them."""
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = written(spark, rows.mapInArrow(_pieces(tokenizer, window, end_id, with_ids), schema), "pieces")
+    by = {f"order{i}": c for i, c in enumerate(order or [])}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       *[c.alias(n) for n, c in by.items()])
+    kinds = "".join(f", {n} {rows.schema[n].dataType.simpleString()}" for n in by)
+    pieces = written(spark, rows.mapInArrow(_pieces(tokenizer, window, end_id, with_ids, list(by)), schema + kinds), "pieces")
     groups = max(1, -(-pieces.count() // GROUP_PIECES))
+    if order:
+        dealt = pieces.repartitionByRange(groups, *by, "start").sortWithinPartitions(*by, "start").drop(*by)
+        # the partition in the upper bits, the row in the partition in the lower 33
+        dealt = dealt.withColumn("grp", F.shiftright(F.monotonically_increasing_id(), STRETCH_BITS))
+        return dealt.mapInArrow(_packed(window, groups, STRETCH_BITS), f"{schema}, sequence_id long, offset long")
     luck = F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id())
     dealt = pieces.withColumn("grp", F.pmod(luck, F.lit(groups))).repartition(groups, "grp").sortWithinPartitions("grp")
     return dealt.mapInArrow(_packed(window, groups), f"{schema}, sequence_id long, offset long")

@@ -42,7 +42,7 @@ def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.plan(spark, read(spark, sf_dir, "documents"))
+    plan = mixing.in_order(spark, mixing.plan(spark, read(spark, sf_dir, "documents")))
     return plan.select("doc_id", "size", "source_size", "target", "taken",
                        F.try_element_at("positions", F.lit(1)).alias("position"))
 

@@ -38,8 +38,8 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packing_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents packed into sequences."""
-    return packing.pack(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Pieces of documents packed into sequences, in training order."""
+    return packing.pack(spark, docs, public_tokenizers.path("word_bpe_49k.json"), order=mixing.written_order())
 
 
 STAGES = [("quality_classifier", quality_classifier), ("simhash_dedup", simhash_dedup),

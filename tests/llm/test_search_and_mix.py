@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from almagest.llm import ann, edit_counts, line_rules, mixing, packing
 from almagest.llm.bpe import Merges
+from almagest.llm.common import written
 
 from .helpers import docs_of, odd_rows, prose, with_clashes
 
@@ -128,6 +129,31 @@ def test_early_and_late_sources(spark):
     assert mean[0] < 0.45 < mean[1] < 0.55 < mean[2]
 
 
+def test_sequences_follow_the_training_order(spark, monkeypatch):
+    monkeypatch.setattr(packing, "STRETCH_BITS", 6)
+    monkeypatch.setattr(packing, "GROUP_PIECES", 500)
+    rows = [(i, prose(i, 20), "en", f"s{i % 3}") for i in range(2000)]
+    mixed = written(spark, mixing.mix(spark, docs_of(spark, rows)), "mixed")
+    out = packing.pack(spark, mixed, TOKENIZER, window=256, order=mixing.written_order()).collect()
+    plan = mixing.plan(spark, docs_of(spark, rows)).collect()
+    assert len(out) == mixed.count() == sum(len(r.positions) for r in plan)
+    fill, when = Counter(), {r.doc_id: r.positions[0] for r in plan if len(r.positions) == 1}
+    for r in out:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 256
+    rank = {s: i / len(fill) for i, s in enumerate(sorted(fill))}
+    once = [r for r in out if r.doc_id in when]
+    assert len(once) > 300 and np.corrcoef([rank[r.sequence_id] for r in once], [when[r.doc_id] for r in once])[0, 1] > 0.95
+    mean = [np.mean([rank[r.sequence_id] for r in out if r.doc_id % 3 == s]) for s in range(3)]
+    assert mean[0] < 0.47 < mean[1] < 0.53 < mean[2]
+
+
+def test_plan_in_order(spark):
+    rows = mixing.in_order(spark, mixing.plan(spark, docs_of(spark, mix_rows()))).collect()
+    first = [r.positions[0] if r.positions else 2.0 for r in rows]
+    assert first == sorted(first) and len(rows) == len(mix_rows())
+
+
 def test_empty_mix(spark):
     assert mixing.plan(spark, docs_of(spark, [])).count() == 0
     assert mixing.mix(spark, docs_of(spark, [])).count() == 0
