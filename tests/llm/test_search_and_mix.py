@@ -319,6 +319,23 @@ def test_rules_equal_brute_force(spark):
     assert all(by[i].kept == (not by[i].base_failed) for i in by if i is not None and by[i].n_removed_words == 0)
 
 
+def test_kept_documents_lose_boilerplate(spark):
+    rows = rule_rows()
+    docs = with_clashes(docs_of(spark, rows))
+    out = line_rules.remove_lines(spark, docs, most=8)
+    assert out.columns == docs.columns
+    got = {r.doc_id: r for r in out.collect()}
+    judged = {r.doc_id: r for r in line_rules.judge(spark, docs, most=8).collect()}
+    assert Counter(r.doc_id for r in out.collect()) == Counter(
+        r.doc_id for r in line_rules.judge(spark, docs, most=8).collect() if r.kept)
+    for i in range(12):  # digits differ, lines go as one
+        assert got[100 + i].text == f"{prose(i, 80)}" and got[100 + i].n_chars == len(got[100 + i].text)
+    text = {r[0]: r[1] for r in rows}
+    for i, r in got.items():
+        assert len(text[i].split()) - len(r.text.split()) == judged[i].n_removed_words
+        assert (r.text == text[i]) == (judged[i].n_removed_words == 0)
+
+
 def test_long_texts_use_whole_hashes(spark):
     import pyspark.sql.functions as F
 
