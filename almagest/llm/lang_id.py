@@ -6,10 +6,10 @@ calibrated by a temperature.
   ``BUCKETS``; weights are log-scaled counts times inverse document frequency,
   scaled to unit length.
 * Document frequencies cover all training documents (added up by bucket).
-* The regression is fitted on some ``SAMPLE`` training documents of each of
-  the ``LANGUAGES`` most frequent languages: all of a rarer one, else those
-  that a hash of id and text picks at the rate SAMPLE / documents. A fifth of
-  them only sets the temperature.
+* The regression is fitted on some ``SAMPLE`` training documents of each
+  language, however many there are: all of a rarer one, else those that a hash
+  of id and text picks at the rate SAMPLE / documents. A fifth of them only
+  sets the temperature. The driver's state grows with the languages.
 * Every whole text is scored; nothing but the text enters a prediction.
 """
 
@@ -28,7 +28,6 @@ from almagest.llm.common import chunks, utf8
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 SAMPLE = 1500
-LANGUAGES = 256
 ROUNDS = 2
 ALPHA, BETA, LASSO, RIDGE = 0.5, 1.0, 0.02, 1e-4
 UNKNOWN = "und"
@@ -124,7 +123,7 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, clas
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
             z[at] += g - sigma * w
             n[at] += g * g
-    return weights(np.arange(BUCKETS + 1))
+    return np.concatenate([weights(np.arange(a, min(a + 1024, BUCKETS + 1))) for a in range(0, BUCKETS + 1, 1024)])
 
 
 def fit_temperature(logits: np.ndarray, target: np.ndarray) -> float:
@@ -151,8 +150,7 @@ def fit(spark: SparkSession, train: DataFrame) -> Model | None:
     """Fit on rows with doc_id, text and lang; None if none has a language."""
     rows = train.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                         F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in
-              rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
         return None
     sums = rows.select("text").mapInArrow(_frequencies, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df"))
@@ -162,8 +160,8 @@ def fit(spark: SparkSession, train: DataFrame) -> Model | None:
     idf = np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1
     # a document's luck, even over 0..1, against its language's share
     luck = F.xxhash64("doc_id", "text")
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, SAMPLE / n)))])
-    sample = (rows.filter(luck / 2.0**64 + 0.5 < F.element_at(share, F.col("lang"))).select("lang", luck.alias("luck"), "text")
+    share = spark.createDataFrame([(lang, min(1.0, SAMPLE / n)) for lang, n in counts.items()], "lang string, share double")
+    sample = (rows.join(F.broadcast(share), "lang").filter(luck / 2.0**64 + 0.5 < F.col("share")).select("lang", luck.alias("luck"), "text")
               .mapInArrow(_features, "lang string, luck long, bucket array<int>, count array<int>").toArrow())
     place = {x: i for i, x in enumerate(sorted(counts))}
     order = np.argsort(sample.column("luck").to_numpy(), kind="stable")

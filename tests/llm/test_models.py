@@ -143,6 +143,15 @@ def test_language_of_held_out_texts(spark):
     assert np.mean([by[i].lang_pred == ("xa", "xb", "xc")[i % 3] for i in held]) > 0.97
 
 
+def test_every_language_is_learnt(spark):
+    n = 300
+    rows = [(i, f"{chr(0x4e00 + i % n)}{chr(0x5e00 + i % n)} " * 6, f"l{i % n:03}", "s") for i in range(12 * n)]
+    model = lang_id.fit(spark, docs_of(spark, rows).filter(~lang_id.held_out()))
+    assert model.languages == sorted({r[2] for r in rows})
+    out = lang_id.predict(docs_of(spark, rows), model).filter("held_out").collect()
+    assert np.mean([r.lang_pred == f"l{r.doc_id % n:03}" for r in out]) > 0.97
+
+
 def test_language_without_anything_to_learn(spark):
     assert lang_id.identify(spark, docs_of(spark, [])).count() == 0
     out = lang_id.identify(spark, docs_of(spark, [(1, "text", None, "s")])).collect()
