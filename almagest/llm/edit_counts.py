@@ -101,7 +101,7 @@ def _in_order(edits: list[Edit], size: int) -> list[Edit]:
     for s, e, new in sorted(edits, key=lambda x: (x[0], x[1])):
         s = min(max(0, s), size)
         e = min(max(s, e), size)
-        if not out or s > out[-1][1] or (s == out[-1][1] and s > out[-1][0]):
+        if not out or s >= out[-1][1]:  # insertions at one place all count, in given order
             out.append((s, e, new))
     return out
 

@@ -272,6 +272,16 @@ def test_tree_equals_full_recount(text, edits):
     assert all(tree.sums[i] == tree.sums[2 * i] + tree.sums[2 * i + 1] for i in range(1, n))
 
 
+def test_edits_at_one_place_all_count():
+    raw, enc = b"aaaa bbbb cccc", packing.word_ids(TOKENIZER, None)
+    for edits, want in (([(5, 5, b"x "), (5, 5, b"yy "), (5, 9, b"z")], b"aaaa x yy z cccc"),
+                        ([(10, 10, b"a"), (10, 14, b"b")], b"aaaa bbbb ab"), ([(14, 14, b"q"), (14, 14, b"r")], b"aaaa bbbb ccccqr")):
+        code, _ = enc.lookup(pa.array([raw.decode()]), parted=False)
+        tree = edit_counts.TokenTree(raw, np.array([0, 5, 10]), np.array([4, 9, 14]), enc.size[code], enc)
+        new, _ = tree.edit(edits)
+        assert new == want and tree.total == len(TOK.encode(want.decode(), add_special_tokens=False).ids)
+
+
 def test_rule_and_table_agree(spark):
     rows = odd_rows() + [(50, "write to ann.lee@example.org, or 10.0.0.1 now"), (51, "call +49 30 1234567 twice"), (52, prose(1, 3000) + " a@b.cd " + prose(2, 20))]
     docs = with_clashes(docs_of(spark, rows))
