@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almagest.llm import (ann, edit_counts, hmm_lm, lang_id, line_rules, mixing, packing, quality, simhash,
-                          suffix_dedup)
+from almagest.llm import (ann, edit_counts, hard_negatives, hmm_lm, lang_id, line_rules, mixing, packing, quality,
+                          simhash, suffix_dedup)
 from almagest.sources.tables import read
 
 
@@ -55,9 +55,15 @@ def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts.count_ruled(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    wrong = F.when(F.expr("vec_id % 7 = 0"), F.expr("(label + 1) % 10")).otherwise(F.col("label"))
+    return hard_negatives.mine(spark, rows.withColumn("label", wrong), F.expr("vec_id % 50 = 0"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_simhash, op3_nearest, op4_quality, op5_hmm_lm, op6_language, op7_line_rules, op8_mixing,
-    op9_packing, op10_edit_counts)}
+    op9_packing, op10_edit_counts, op13_hard_negatives)}
 
 #: One word, as a pattern of DuckDB.
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -139,4 +145,22 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken,
 FROM c
 """
 
-ORACLE: dict[str, str] = {"op1_suffix_dedup": _OP1, "op3_nearest": _OP3, "op7_line_rules": _OP7, "op8_mixing": _OP8}
+_OP13 = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+      FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id,
+       (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INT AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+ORACLE: dict[str, str] = {"op1_suffix_dedup": _OP1, "op3_nearest": _OP3, "op7_line_rules": _OP7, "op8_mixing": _OP8,
+                          "op13_hard_negatives": _OP13}
