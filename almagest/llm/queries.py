@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almagest.llm import (ann, edit_counts, hard_negatives, hmm_lm, lang_id, line_rules, mixing, packing, quality,
-                          simhash, suffix_dedup)
+                          simhash, spelling, suffix_dedup)
 from almagest.sources.tables import read
 
 
@@ -55,6 +55,10 @@ def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts.count_ruled(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spark, read(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings")
     wrong = F.when(F.expr("vec_id % 7 = 0"), F.expr("(label + 1) % 10")).otherwise(F.col("label"))
@@ -63,7 +67,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_simhash, op3_nearest, op4_quality, op5_hmm_lm, op6_language, op7_line_rules, op8_mixing,
-    op9_packing, op10_edit_counts, op13_hard_negatives)}
+    op9_packing, op10_edit_counts, op11_spelling_variants, op13_hard_negatives)}
 
 #: One word, as a pattern of DuckDB.
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -145,6 +149,34 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken,
 FROM c
 """
 
+_OP11 = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END,
+                                                          i)) AS step),
+runs AS (SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n
+         FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS w FROM documents)
+         GROUP BY ALL),
+sums AS (SELECT w, n, xor(4294967295, list_reduce(
+             list_transform(range(strlen(k)), lambda i: ('0x' || substr(hex(encode(k)), 2 * i + 1, 2))::BIGINT),
+             lambda c, b: xor(step[(xor(c, b) & 255) + 1], c >> 8), 4294967295)) AS h
+         FROM (SELECT w, n, coalesce(doc_id::VARCHAR, '') || ':' || w AS k FROM runs), crc),
+spelt AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM sums),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS less FROM v, unnest(range(length(word))) AS t(i)),
+pairs AS (SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+          UNION SELECT a.word, v.word FROM cut a JOIN v ON a.less = v.word
+          UNION SELECT v.word, a.word FROM cut a JOIN v ON a.less = v.word),
+near AS (SELECT p.a AS word, count(*) AS n_near, arg_min(struct_pack(form := p.b, form_n := v.n), (-v.n, encode(p.b))) AS f
+         FROM pairs p JOIN v ON v.word = p.b GROUP BY p.a),
+forms AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN f.form_n >= 5 * v.n THEN f.form END AS form,
+                 CASE WHEN f.form_n >= 5 * v.n THEN f.form_n END AS form_n
+          FROM v LEFT JOIN near USING (word)),
+chain AS (SELECT word, form AS at FROM forms WHERE form IS NOT NULL
+          UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.at WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.at FROM chain c JOIN forms f ON f.word = c.at WHERE f.form IS NULL)
+SELECT word, form, coalesce(ends.at, word) AS root, n, n_near, form_n FROM forms LEFT JOIN ends USING (word)
+"""
+
 _OP13 = """
 WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
@@ -163,4 +195,4 @@ QUALIFY rank <= 3
 """
 
 ORACLE: dict[str, str] = {"op1_suffix_dedup": _OP1, "op3_nearest": _OP3, "op7_line_rules": _OP7, "op8_mixing": _OP8,
-                          "op13_hard_negatives": _OP13}
+                          "op11_spelling_variants": _OP11, "op13_hard_negatives": _OP13}
