@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almagest.llm import (ann, edit_counts, hard_negatives, hmm_lm, lang_id, line_rules, mixing, packing, quality,
+from almagest.llm import (ann, edit_counts, hard_negatives, hmm_lm, lang_id, lexicon_bpe, line_rules, mixing, packing, quality,
                           simhash, spelling, suffix_dedup)
 from almagest.sources.tables import read
 
@@ -59,6 +59,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(spark, read(spark, sf_dir, "documents"))
 
 
+def op12_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon_bpe.digests(spark, read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings")
     wrong = F.when(F.expr("vec_id % 7 = 0"), F.expr("(label + 1) % 10")).otherwise(F.col("label"))
@@ -67,7 +71,8 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_simhash, op3_nearest, op4_quality, op5_hmm_lm, op6_language, op7_line_rules, op8_mixing,
-    op9_packing, op10_edit_counts, op11_spelling_variants, op13_hard_negatives)}
+    op9_packing, op10_edit_counts, op11_spelling_variants, op12_lexicon_bpe,
+    op13_hard_negatives)}
 
 #: One word, as a pattern of DuckDB.
 _WORD = r"[^\x20\x09-\x0D]+"
