@@ -239,12 +239,15 @@ def _keys(kind: str):
 
 def near_words(words: DataFrame) -> DataFrame:
     """id, near: every pair, in both directions, of words (id, word) one
-    inserted, deleted or replaced code point apart."""
+    inserted, deleted or replaced code point apart. Both words of a pair reach
+    each other, so it is verified once."""
     made = words.select("id", "word").mapInArrow(_keys("neighbours"), "id long, key long")
     own = words.select("id", "word").mapInArrow(_keys("own"), "near long, key long")
-    found = made.join(own, "key").filter("id <> near").select("id", "near").distinct()
+    found = made.join(own, "key").filter("id < near").select("id", "near").distinct()
     left, right = words.select("id", F.col("word").alias("a")), words.select(F.col("id").alias("near"), F.col("word").alias("b"))
-    return found.join(left, "id").join(right, "near").filter(F.levenshtein("a", "b", 1) == 1).select("id", "near")
+    pairs = found.join(left, "id").join(right, "near").filter(F.levenshtein("a", "b", 1) == 1)
+    both = F.array(F.struct("id", "near"), F.struct(F.col("near").alias("id"), F.col("id").alias("near")))
+    return pairs.select(F.explode(both).alias("p")).select("p.id", "p.near")
 
 
 def roots(spark: SparkSession, forms: DataFrame) -> DataFrame:
