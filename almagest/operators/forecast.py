@@ -255,7 +255,7 @@ def _stage1(pdf_iter):
             try:
                 coefs.append(list(map(float, _solve(m, np.asarray(xtx, float), xty, k)))
                              if m and m > k else None)
-            except np.linalg.LinAlgError:
+            except Exception:  # this series has no forecast; the others go on
                 coefs.append(None)
         pdf = pdf[SERIES_KEY].copy()
         pdf["phi1"] = coefs
@@ -298,14 +298,14 @@ def _stage2_and_forecast(horizon: int):
                         cum = np.cumsum(np.square(psi))
                         mean = [p * r.scale for p in preds]
                         sd = [math.sqrt(sigma2 * c) * r.scale for c in cum]
-                    except np.linalg.LinAlgError:
+                    except Exception:  # this series has no forecast; the others go on
                         mean, sd = None, None
                 rows.append((*[getattr(r, c) for c in SERIES_KEY], int(r.t_last), mean, sd))
             yield pd.DataFrame(rows, columns=[*SERIES_KEY, "t_last", "mean", "sd"])
     return run
 
 
-def seasonal_arma(train: DataFrame, horizon: int = 12, min_points: int = MIN_SERIES) -> DataFrame:
+def seasonal_arma(train: DataFrame, horizon: int = 12, min_points: int = MIN_SERIES, keep=DataFrame.persist) -> DataFrame:
     """M03 + M04: seasonal ARMA (2,0,1)(2,0,0)12 by two-stage least squares.
 
     Spark does the heavy part: lag columns (range frames on the dense month
@@ -318,7 +318,7 @@ def seasonal_arma(train: DataFrame, horizon: int = 12, min_points: int = MIN_SER
     sizes = sizes.filter(F.col("n") >= min_points)
     base = (train.join(sizes, SERIES_KEY)
                  .withColumn("y", F.col("value_filled") / F.when(F.col("scale") != 0, F.col("scale")).otherwise(1.0)))
-    lagged = _with_lags(base, "y", sorted(set(STAGE1_LAGS) | set(FULL_LAGS)), "l").persist()  # read twice
+    lagged = keep(_with_lags(base, "y", sorted(set(STAGE1_LAGS) | set(FULL_LAGS)), "l"))  # read twice
     s1_regs = [f"l{k}" for k in STAGE1_LAGS]
     s1 = lagged.groupBy(*SERIES_KEY).agg(*_normal_sums(lagged, s1_regs, "s1"))
     phi1 = s1.mapInPandas(_stage1, schema=T.StructType(
@@ -401,15 +401,32 @@ def ensemble(sarima: DataFrame, hw: DataFrame, naive: DataFrame) -> DataFrame:
         X.round2(u95, 2).alias("ci_upper_95")).filter(F.col("value_predicted").isNotNull())
 
 
-def all_models(train: DataFrame, horizon: int = 12) -> DataFrame:
+class Kept:
+    """Persists frames and lets go of them together, when what is read from
+    them has been written: ``with Kept() as keep: all_models(train, 12, keep)...``"""
+
+    def __enter__(self):
+        self.frames: list[DataFrame] = []
+        return self
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.frames.append(df.persist())
+        return self.frames[-1]
+
+    def __exit__(self, *_):
+        for df in self.frames:
+            df.unpersist()
+
+
+def all_models(train: DataFrame, horizon: int = 12, keep=DataFrame.persist) -> DataFrame:
     """The four models for the whole fleet, one DataFrame."""
     # The training series feeds every model, and each base forecast feeds both
-    # the output and the ensemble: persist them so each is computed once
-    # (lost blocks are recomputed from lineage).
-    train = train.persist()
-    n = seasonal_naive(train, horizon).persist()
-    hw = holt_winters(train, horizon).persist()
-    sa = seasonal_arma(train, horizon).persist()
+    # the output and the ensemble: keep them so each is computed once (lost
+    # blocks are recomputed from lineage).
+    train = keep(train)
+    n = keep(seasonal_naive(train, horizon))
+    hw = keep(holt_winters(train, horizon))
+    sa = keep(seasonal_arma(train, horizon, keep=keep))
     return sa.unionByName(hw).unionByName(n).unionByName(ensemble(sa, hw, n))
 
 
@@ -448,25 +465,25 @@ def metrics(forecasts: DataFrame, actual: DataFrame) -> DataFrame:
         X.round2(F.col("_ape").cast("double") / F.col("_napes") * 100.0, 2).alias("mape"))
 
 
-def backtest(train: DataFrame, models=("naive",), test_size: int = 12) -> DataFrame:
+def backtest(train: DataFrame, models=("naive",), test_size: int = 12, keep=DataFrame.persist) -> DataFrame:
     """Fit on the training part, forecast the hold-out, score it. With
     all three base models the ensemble is scored too (same fallback and
     renormalisation as in prediction, T30)."""
     part, actual = holdout_split(train, test_size)
-    part = part.persist()  # feeds every model
+    part = keep(part)  # feeds every model
     fcs = {}
     if "naive" in models:
         fcs["naive"] = seasonal_naive(part, test_size)
     if "hw" in models:
         fcs["hw"] = holt_winters(part, test_size)
     if "sarima" in models:
-        fcs["sarima"] = seasonal_arma(part, test_size)
+        fcs["sarima"] = seasonal_arma(part, test_size, keep=keep)
     fc = None
     for f in fcs.values():
         fc = f if fc is None else fc.unionByName(f)
     if len(fcs) == 3:
         for k in fcs:
-            fcs[k] = fcs[k].persist()
+            fcs[k] = keep(fcs[k])
         fc = fcs["naive"].unionByName(fcs["hw"]).unionByName(fcs["sarima"])
         fc = fc.unionByName(ensemble(fcs["sarima"], fcs["hw"], fcs["naive"]))
     return metrics(fc, actual)
@@ -483,14 +500,16 @@ def best_model(metrics_df: DataFrame) -> DataFrame:
 # Prediction table reads
 # --------------------------------------------------------------------------
 
-def current_predictions(preds: DataFrame, horizon: int = 12, metrics_df: DataFrame | None = None) -> DataFrame:
-    """Q09: current version only (F07), first ``horizon`` periods per model and
-    series (W11), metrics joined (J09), ``ci_available`` (F12)."""
+def current_predictions(current: DataFrame, horizon: int = 12, metrics_df: DataFrame | None = None) -> DataFrame:
+    """Q09: of current versions (F07) the first ``horizon`` periods per model
+    and series (W11), with metrics (J09), ``ci_available`` (F12), how many
+    periods there are and whether that is all that was asked for."""
     if not 1 <= horizon <= 24:
         raise ValueError("horizon must be within 1..24")
-    cur = preds.filter(F.col("is_current"))
-    w = Window.partitionBy("model", *SERIES_KEY).orderBy("period")
-    out = cur.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= horizon).drop("_rn")
+    w = Window.partitionBy("model", *SERIES_KEY)
+    out = (current.withColumn("_rn", F.row_number().over(w.orderBy("period"))).filter(F.col("_rn") <= horizon).drop("_rn")
+                  .withColumn("actual_horizon", F.count(F.lit(1)).over(w))
+                  .withColumn("complete", F.col("actual_horizon") >= horizon))
     if metrics_df is not None:
         out = out.join(metrics_df.select("model", *SERIES_KEY, "rmse", "mae", "mape"), ["model", *SERIES_KEY], "left")
     return out.withColumn("ci_available", F.col("ci_lower_80").isNotNull() & F.col("ci_upper_80").isNotNull())
@@ -515,11 +534,12 @@ def prediction_history(preds: DataFrame, versions: int = 5) -> DataFrame:
 
 
 def history_with_forecast(history: DataFrame, forecasts: DataFrame) -> DataFrame:
-    """Observed points and forecast points of each series as one
-    tagged series (``is_forecast``), forecast bands kept."""
-    h = history.select(*SERIES_KEY, "period", F.col("value"), F.lit(False).alias("is_forecast"),
-                       *[F.lit(None).cast("double").alias(c) for c in ("ci_lower_80", "ci_upper_80",
-                                                                        "ci_lower_95", "ci_upper_95")])
-    f = forecasts.select(*SERIES_KEY, "period", F.col("value_predicted").alias("value"),
-                         F.lit(True).alias("is_forecast"), "ci_lower_80", "ci_upper_80", "ci_lower_95", "ci_upper_95")
+    """Observed points and the forecast points of every model as one
+    tagged series (``is_forecast``, ``model``), bands and the model's metrics
+    kept."""
+    bands = ("ci_lower_80", "ci_upper_80", "ci_lower_95", "ci_upper_95", "rmse", "mae", "mape")
+    h = history.select(F.lit(None).cast("string").alias("model"), *SERIES_KEY, "period", F.col("value"),
+                       F.lit(False).alias("is_forecast"), *[F.lit(None).cast("double").alias(c) for c in bands])
+    f = forecasts.select("model", *SERIES_KEY, "period", F.col("value_predicted").alias("value"),
+                         F.lit(True).alias("is_forecast"), *bands)
     return h.unionByName(f)

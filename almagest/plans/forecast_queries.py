@@ -1,5 +1,5 @@
 """Registered forecasting queries. Seasonal naive, its back-test metrics and
-the versioned prediction reads have DuckDB oracles; Holt-Winters, seasonal
+the training runs on given forecasts have DuckDB oracles; Holt-Winters, seasonal
 ARMA, the ensemble and the four-model back-test are rows-only (their
 invariants are in tests/test_forecast.py)."""
 
@@ -11,6 +11,8 @@ from almagest.functions import scalars as X
 from almagest.operators import forecast as M
 from almagest.operators import series as S
 from almagest.operators import sinks as K
+from almagest.operators import training as R
+from almagest.operators.versions import VersionStore
 from almagest.plans import oracle_base as O
 from almagest.sources import canonical as C
 
@@ -30,16 +32,16 @@ def _keq(a, b):
     return " AND ".join(f"{a}.{k} = {b}.{k}" for k in ("source", "indicator", "geo_code", "measure"))
 
 
-def dense_sql(leave_out: int, name: str = "dense") -> list[str]:
+def dense_sql(leave_out: int, name: str = "dense", facts: str = "time_series") -> list[str]:
     """CTEs producing ``{name}(key, t, value, vf)``: the training series."""
     rows_p = f"OVER (PARTITION BY {KEY} ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     rows_n = f"OVER (PARTITION BY {KEY} ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
     p = name
     return [
-        f"{p}_last AS (SELECT source, max(t) - {leave_out} AS last_t FROM time_series WHERE freq = 'M' GROUP BY source)",
+        f"{p}_last AS (SELECT source, max(t) - {leave_out} AS last_t FROM {facts} WHERE freq = 'M' GROUP BY source)",
         f"""{p}_nm AS (SELECT {KEY}, t, CASE WHEN period BETWEEN '{EXCLUDE[0]}' AND '{EXCLUDE[1]}' THEN NULL
                   ELSE value END AS value
-  FROM time_series JOIN {p}_last USING (source) WHERE freq = 'M' AND measure = 'ABSOLUTE' AND t <= last_t)""",
+  FROM {facts} JOIN {p}_last USING (source) WHERE freq = 'M' AND measure = 'ABSOLUTE' AND t <= last_t)""",
         f"{p}_nn AS (SELECT * FROM {p}_nm WHERE value IS NOT NULL)",
         f"{p}_b AS (SELECT {KEY}, min(t) AS lo, max(t) AS hi FROM {p}_nn GROUP BY {KEY})",
         f"{p}_sp AS (SELECT {KEY}, CAST(unnest(range(lo, hi + 1)) AS INTEGER) AS t FROM {p}_b)",
@@ -233,71 +235,234 @@ LEFT JOIN best b ON {_keq('b', 'p')}
 WHERE rn <= {Q09_HORIZON}"""
 
 
-# ---- versioned predictions: q09 / q12 ---------------------------------------------
-PRED_KEY = ["model", "source", "indicator", "geo_code", "measure"]
+# ---- training runs: q09, q12, q02, k04, m12, v10_refit --------------------------------
+# Stores hold two runs: the earlier one (version 1) left out one month more. The
+# queries with an oracle train on given forecasts of three models (see GIVEN) and
+# their ensemble; those named _trained on the fitted models.
+PRED_KEY = R.PRED_KEY
+MODELS = ["seasonal_arma", "holt_winters", "seasonal_naive", "ensemble"]
 
+_STORES: dict = {}
 
-_VERSIONED: dict = {}
+
+def _store_of(spark, sf, name, build):
+    """A training store, built once per session and input snapshot."""
+    key = (spark.sparkContext.applicationId, name, sf, C.input_fingerprint(spark, sf, C.TS_INPUTS))
+    if key not in _STORES:
+        store = VersionStore(spark, K.snapshot_path(spark, f"training_{name}"), PRED_KEY)
+        build(store)
+        _STORES[key] = store
+    return _STORES[key]
+
+
+def _score(forecast):
+    """Back-test of a forecaster: metrics on the held-out months."""
+    def run(train):
+        part, actual = M.holdout_split(train, 12)
+        return M.metrics(forecast(part), actual)
+    return run
+
+
+def _given_four(train):
+    return _four(M.seasonal_naive(train, HORIZON))
 
 
 def _versioned(spark, sf):
-    """The prediction table after two training runs (versions 1 and 2),
-    built once per session and input snapshot and kept as a checkpoint."""
-    key = (spark.sparkContext.applicationId, sf, C.input_fingerprint(spark, sf, C.TS_INPUTS))
-    if key not in _VERSIONED:
+    def build(store):
         ts = C.time_series(spark, sf)
-        v1 = M.seasonal_naive(M.training_series(ts, exclude=EXCLUDE, leave_out=LAST_PREV), HORIZON)
-        v2 = M.seasonal_naive(M.training_series(ts, exclude=EXCLUDE, leave_out=LAST), HORIZON)
-        h = K.versioned_append(None, v1, PRED_KEY)
-        _VERSIONED[key] = K.versioned_append(h, v2, PRED_KEY).checkpoint(eager=True)
-    return _VERSIONED[key]
+        for leave_out in (LAST_PREV, LAST):
+            R.train_fleet(store, M.training_series(ts, exclude=EXCLUDE, leave_out=leave_out), _given_four, _score(_given_four), MODELS)
+    return _store_of(spark, sf, "given", build)
+
+
+def _trained(spark, sf):
+    """The store after one run of the fitted models (the fleet forecast and
+    its back-test, built once, see below)."""
+    def build(store):
+        R.train_fleet(store, _train(spark, sf), lambda _: _fleet(spark, sf), lambda _: m10_backtest(spark, sf), MODELS)
+    return _store_of(spark, sf, "fitted", build)
+
+
+def _q09(store):
+    return M.current_predictions(store.current("points"), Q09_HORIZON, store.current("metrics"))
 
 
 def q09_predictions(spark, sf):
-    return M.current_predictions(_versioned(spark, sf), Q09_HORIZON)
+    return _q09(_versioned(spark, sf))
+
+
+def q09_trained(spark, sf):
+    return _q09(_trained(spark, sf))
 
 
 def q12_history(spark, sf):
-    return M.prediction_history(_versioned(spark, sf), 5)
+    return M.prediction_history(_versioned(spark, sf).read("points"), 5)
+
 
+def k04_metrics(spark, sf):
+    """Metrics of every version, current ones marked."""
+    return _versioned(spark, sf).read("metrics")
 
-_VERS = [O.TIME_SERIES, *dense_sql(LAST_PREV, "d1"), *naive_sql("d1", "f1", HORIZON),
-         *dense_sql(LAST, "d2"), *naive_sql("d2", "f2", HORIZON),
-         f"""pv AS (SELECT *, 1 AS version FROM f1 UNION ALL
-  SELECT f2.*, CAST(coalesce(mv.v, 0) + 1 AS INTEGER) AS version FROM f2
-  LEFT JOIN (SELECT model, {KEY}, max(1) AS v FROM f1 GROUP BY ALL) mv
-  ON f2.model = mv.model AND {_keq('f2', 'mv')})""",
-         f"""preds AS (SELECT *, version = max(version) OVER (PARTITION BY model, {KEY}) AS is_current FROM pv)"""]
 
-Q09_SQL = O.with_(*_VERS) + f"""
-SELECT * EXCLUDE (rn), ci_lower_80 IS NOT NULL AND ci_upper_80 IS NOT NULL AS ci_available FROM (
-  SELECT *, row_number() OVER (PARTITION BY model, {KEY} ORDER BY period) AS rn FROM preds WHERE is_current)
+def u02_versions(spark, sf):
+    """The models that a series has, and its versions."""
+    return _versioned(spark, sf).read("points").select(*PRED_KEY, "version", "is_current").distinct()
+
+
+def _held_sql(dense: str, out: str) -> list[str]:
+    """CTEs producing ``{out}``: back-test metrics of the given models on ``dense``."""
+    return [f"""{out}_rk AS (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY t DESC) AS rn,
+         count(*) OVER (PARTITION BY {KEY}) AS nobs FROM {dense} WHERE value IS NOT NULL)""",
+            f"act AS (SELECT {KEY}, t, value AS actual FROM {out}_rk WHERE nobs >= 48 AND rn <= 12)",
+            f"{out}_cut AS (SELECT {KEY}, t AS cut_t FROM {out}_rk WHERE nobs >= 48 AND rn = 13)",
+            f"{out}_part AS (SELECT d.* FROM {dense} d JOIN {out}_cut c ON {_keq('d', 'c')} AND d.t <= c.cut_t)",
+            *naive_sql(f"{out}_part", f"{out}_bt", 12), *_four_sql(f"{out}_bt", f"{out}_bt4"),
+            f"{out} AS ({_metrics_sql(f'{out}_bt4')})"]
+
+
+def _sound_sql(dense: str) -> str:
+    """``dense`` of series with enough observed months."""
+    return (f"{dense}_ok AS (SELECT d.* FROM {dense} d SEMI JOIN (SELECT {KEY} FROM {dense} GROUP BY {KEY} "
+            f"HAVING count(value) >= {M.MIN_SERIES}) k ON {_keq('d', 'k')})")
+
+
+def _two_runs() -> list[str]:
+    out = [O.TIME_SERIES]
+    for v, leave_out in ((1, LAST_PREV), (2, LAST)):
+        held = [c.replace("act AS", f"act{v} AS").replace("JOIN act a", f"JOIN act{v} a") for c in _held_sql(f"d{v}_ok", f"met{v}")]
+        out += [*dense_sql(leave_out, f"d{v}"), _sound_sql(f"d{v}"), *naive_sql(f"d{v}_ok", f"n{v}", HORIZON),
+                *_four_sql(f"n{v}", f"f{v}"), *held]
+    both = lambda x: (f"SELECT *, 1 AS version FROM {x}1 UNION ALL SELECT x.*, CAST(coalesce(o.v, 0) + 1 AS INTEGER) FROM {x}2 x "
+                      f"LEFT JOIN (SELECT model, {KEY}, max(1) AS v FROM f1 GROUP BY ALL) o ON o.model = x.model AND {_keq('o', 'x')}")
+    newest = f"(SELECT model, {KEY}, max(version) AS newest FROM pv GROUP BY ALL)"
+    return [*out, f"pv AS ({both('f')})", f"mv AS ({both('met')})", f"hv AS {newest}",
+            *(f"{t} AS (SELECT p.*, p.version = h.newest AS is_current FROM {s} p JOIN hv h ON h.model = p.model AND {_keq('h', 'p')})"
+              for t, s in (("preds", "pv"), ("scores", "mv")))]
+
+
+_RUNS = _two_runs()
+
+Q09_SQL = O.with_(*_RUNS) + f"""
+SELECT p.* EXCLUDE (rn, is_current), least(n, {Q09_HORIZON}) AS actual_horizon, n >= {Q09_HORIZON} AS complete, m.rmse, m.mae, m.mape,
+       ci_lower_80 IS NOT NULL AND ci_upper_80 IS NOT NULL AS ci_available
+FROM (SELECT *, row_number() OVER (PARTITION BY model, {KEY} ORDER BY period) AS rn,
+             count(*) OVER (PARTITION BY model, {KEY}) AS n FROM preds WHERE is_current) p
+LEFT JOIN scores m ON m.is_current AND m.model = p.model AND {_keq('m', 'p')}
 WHERE rn <= {Q09_HORIZON}"""
+Q09_SQL = Q09_SQL.replace("EXCLUDE (rn, is_current)", "EXCLUDE (rn, n, is_current)")
 
-Q12_SQL = O.with_(*_VERS) + f"""
+Q12_SQL = O.with_(*_RUNS) + f"""
 SELECT * EXCLUDE (vr) FROM (
   SELECT *, dense_rank() OVER (PARTITION BY model, {KEY} ORDER BY version DESC) AS vr FROM preds)
 WHERE vr <= 5"""
 
+K04_SQL = O.with_(*_RUNS) + "SELECT * FROM scores"
+
+U02_SQL = O.with_(*_RUNS) + f"SELECT DISTINCT model, {KEY}, version, is_current FROM preds"
+
+
+# ---- m12_status: a fleet in which some series cannot be fitted -------------------------
+def _faulty(spark, sf):
+    """Facts in which NATION series of one geography are cut to 30 months, and one
+    month of another's is no number that can be summed."""
+    ts = C.time_series(spark, sf).filter("freq = 'M'")
+    short = (F.col("geo_code") == "FRANCE") & (F.col("t") >= SHORT_FROM)
+    value = F.when((F.col("geo_code") == "BRAZIL") & (F.col("t") == WILD_AT), F.lit(1e300)).otherwise(F.col("value"))
+    return ts.filter(~short).withColumn("value", value)
+
+
+#: Ordinals of 1994-07 and 1995-01.
+SHORT_FROM, WILD_AT = 1994 * 12 + 6, 1995 * 12
+
+
+def m12_status(spark, sf):
+    def build(store):
+        R.train_fleet(store, M.training_series(_faulty(spark, sf), exclude=EXCLUDE, leave_out=LAST), _given_four,
+                      _score(_given_four), MODELS)
+    return R.run_status(_store_of(spark, sf, "faulty", build))
+
+
+M12_SQL = O.with_(O.TIME_SERIES, f"""faulty AS (
+  SELECT * REPLACE (CASE WHEN geo_code = 'BRAZIL' AND t = {WILD_AT} THEN 1e300 ELSE value END AS value)
+  FROM time_series WHERE freq = 'M' AND NOT (geo_code = 'FRANCE' AND t >= {SHORT_FROM}))""", *dense_sql(LAST, "dn", "faulty"),
+                  f"""checked AS (SELECT {KEY}, count(value) AS n_observed,
+         CASE WHEN max(abs(vf)) >= 1e15 THEN 'value_out_of_range' WHEN count(value) < {M.MIN_SERIES} THEN 'too_few_months' END AS reason
+  FROM dn GROUP BY {KEY})""") + f"""
+SELECT m.model, {KEY}, n_observed,
+       CASE WHEN reason IS NOT NULL THEN 0 WHEN m.gap = 0 THEN {HORIZON} ELSE {HORIZON} - {HORIZON} // m.gap END AS n_points,
+       CASE WHEN reason IS NULL THEN 'ok' ELSE 'failed' END AS status, reason, 1 AS run
+FROM checked, (VALUES ('seasonal_naive', 0), ('ensemble', 0), {', '.join(f"('{m}', {gap})" for m, (_, gap) in GIVEN.items())}) m(model, gap)"""
+
+
+# ---- v10_refit: only changed series get a new version ------------------------------------
+NAIVE = ["seasonal_naive"]
+
+
+def _naive(train):
+    return M.seasonal_naive(train, HORIZON)
+
+
+def _prepare(ts):
+    return M.training_series(ts, exclude=EXCLUDE)
+
+
+def _revised(ts):
+    """A later snapshot: one geography's revenue is corrected, one series is new."""
+    revised = (ts.filter((F.col("indicator") == "revenue") & (F.col("geo_code") == "EUROPE"))
+                 .withColumn("value", X.round2(F.col("value") * 1.1, 2)))
+    added = (ts.filter((F.col("indicator") == "orders") & (F.col("geo_code") == "EUROPE"))
+               .withColumn("geo_code", F.lit("EUROPE_ADJ")))
+    return ts.filter(~((F.col("indicator") == "revenue") & (F.col("geo_code") == "EUROPE"))).unionByName(revised).unionByName(added)
+
+
+def v10_refit(spark, sf):
+    """Points of all versions after a run on the facts, one on the later
+    snapshot and one without news."""
+    def build(store):
+        ts = C.time_series(spark, sf).filter((F.col("freq") == "M") & (F.col("measure") == "ABSOLUTE"))
+        for snapshot in (ts, _revised(ts), _revised(ts)):
+            R.refit(store, snapshot, _prepare, _naive, _score(_naive), NAIVE)
+    return _store_of(spark, sf, "refit", build).read("points")
+
+
+V10_REFIT_SQL = O.with_(O.TIME_SERIES, f"""upd AS (
+  SELECT * REPLACE ({O.round2('value * 1.1', 2)} AS value) FROM time_series WHERE indicator = 'revenue' AND geo_code = 'EUROPE'
+  UNION ALL
+  SELECT * REPLACE ('EUROPE_ADJ' AS geo_code) FROM time_series WHERE indicator = 'orders' AND geo_code = 'EUROPE')""",
+                        *dense_sql(0, "d1"), _sound_sql("d1"), *naive_sql("d1_ok", "f1", HORIZON),
+                        *dense_sql(0, "d2", "upd"), _sound_sql("d2"), *naive_sql("d2_ok", "f2", HORIZON)) + f"""
+SELECT f1.*, 1 AS version, NOT (indicator = 'revenue' AND geo_code = 'EUROPE') AS is_current FROM f1
+UNION ALL
+SELECT f2.*, CASE WHEN geo_code = 'EUROPE' THEN 2 ELSE 1 END, TRUE FROM f2"""
+
+
+# ---- q02_summary: last 24 observed + current forecasts, tagged (W02, U05, F07) ---------
+def _q02(spark, sf, store):
+    hist = S.last_n(C.time_series(spark, sf).filter(F.col("freq") == "M"), 24)
+    return M.history_with_forecast(hist, M.current_predictions(store.current("points"), HORIZON, store.current("metrics")))
+
 
-# ---- q02_summary: last 24 observed + current forecast, tagged (W02, U05, F07) ---------
 def q02_summary(spark, sf):
-    ts = C.time_series(spark, sf)
-    hist = S.last_n(ts.filter(F.col("freq") == "M"), 24)
-    cur = M.current_predictions(_versioned(spark, sf), HORIZON)
-    return M.history_with_forecast(hist, cur)
+    return _q02(spark, sf, _versioned(spark, sf))
+
+
+def q02_trained(spark, sf):
+    return _q02(spark, sf, _trained(spark, sf))
 
 
-Q02_SQL = O.with_(*_VERS, f"""hist AS (
+Q02_SQL = O.with_(*_RUNS, f"""hist AS (
   SELECT {KEY}, period, value FROM (
     SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY t DESC) AS rn FROM time_series
     WHERE freq = 'M') WHERE rn <= 24)""") + f"""
-SELECT {KEY}, period, value, FALSE AS is_forecast, CAST(NULL AS DOUBLE) AS ci_lower_80,
-       CAST(NULL AS DOUBLE) AS ci_upper_80, CAST(NULL AS DOUBLE) AS ci_lower_95, CAST(NULL AS DOUBLE) AS ci_upper_95
+SELECT NULL::VARCHAR AS model, {KEY}, period, value, FALSE AS is_forecast, CAST(NULL AS DOUBLE) AS ci_lower_80,
+       CAST(NULL AS DOUBLE) AS ci_upper_80, CAST(NULL AS DOUBLE) AS ci_lower_95, CAST(NULL AS DOUBLE) AS ci_upper_95,
+       CAST(NULL AS DOUBLE) AS rmse, CAST(NULL AS DOUBLE) AS mae, CAST(NULL AS DOUBLE) AS mape
 FROM hist
 UNION ALL
-SELECT {KEY}, period, value_predicted, TRUE, ci_lower_80, ci_upper_80, ci_lower_95, ci_upper_95
-FROM (SELECT *, row_number() OVER (PARTITION BY model, {KEY} ORDER BY period) AS rn FROM preds WHERE is_current)
+SELECT p.model, {', '.join('p.' + k for k in KEY.split(', '))}, period, value_predicted, TRUE, ci_lower_80, ci_upper_80, ci_lower_95, ci_upper_95,
+       m.rmse, m.mae, m.mape
+FROM (SELECT *, row_number() OVER (PARTITION BY model, {KEY} ORDER BY period) AS rn FROM preds WHERE is_current) p
+LEFT JOIN scores m ON m.is_current AND m.model = p.model AND {_keq('m', 'p')}
 WHERE rn <= {HORIZON}"""
 
 
@@ -311,7 +476,8 @@ def _fleet(spark, sf):
     predictions once per training run and serves reads from that table)."""
     key = (spark.sparkContext.applicationId, sf, C.input_fingerprint(spark, sf, C.TS_INPUTS))
     if key not in _FLEET:
-        _FLEET[key] = M.all_models(_train(spark, sf), HORIZON).checkpoint(eager=True)
+        with M.Kept() as keep:
+            _FLEET[key] = M.all_models(_train(spark, sf), HORIZON, keep).checkpoint(eager=True)
     return _FLEET[key]
 
 
@@ -335,7 +501,8 @@ def m10_backtest(spark, sf):
     snapshot (reliable checkpoint), as the reference stores its metrics."""
     key = (spark.sparkContext.applicationId, sf, C.input_fingerprint(spark, sf, C.TS_INPUTS))
     if key not in _BACKTEST:
-        _BACKTEST[key] = M.backtest(_train(spark, sf), ("naive", "hw", "sarima"), 12).checkpoint(eager=True)
+        with M.Kept() as keep:
+            _BACKTEST[key] = M.backtest(_train(spark, sf), ("naive", "hw", "sarima"), 12, keep).checkpoint(eager=True)
     return _BACKTEST[key]
 
 
@@ -352,7 +519,13 @@ QUERIES = {
     "o05_best": o05_best,
     "q10_points": q10_points,
     "q09_predictions": q09_predictions,
+    "q09_trained": q09_trained,
+    "q02_trained": q02_trained,
     "q12_history": q12_history,
+    "k04_metrics": k04_metrics,
+    "u02_versions": u02_versions,
+    "m12_status": m12_status,
+    "v10_refit": v10_refit,
     "m05_holt_winters": m05_holt_winters,
     "m03_seasonal_arma": m03_seasonal_arma,
     "m08_ensemble": m08_ensemble,
@@ -370,4 +543,8 @@ ORACLE = {
     "q10_points": Q10_SQL,
     "q09_predictions": Q09_SQL,
     "q12_history": Q12_SQL,
+    "k04_metrics": K04_SQL,
+    "u02_versions": U02_SQL,
+    "m12_status": M12_SQL,
+    "v10_refit": V10_REFIT_SQL,
 }

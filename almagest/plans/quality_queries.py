@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from almagest.functions import scalars as X
 from almagest.operators import quality as V
 from almagest.operators import sinks as K
+from almagest.operators.versions import appended
 from almagest.plans import oracle_base as O
 from almagest.sources import batches as B
 from almagest.sources import canonical as C
@@ -173,9 +174,8 @@ FROM (SELECT source, indicator, geo_code, period, measure,
 
 
 def k03_versions(spark, sf):
-    b1, b2 = B.upsert_batches(_ts(spark, sf))
-    h = K.versioned_append(None, b1.drop("id", "batch"), SERIES)
-    return K.versioned_append(h, b2.drop("id", "batch"), SERIES)
+    batches = [b.drop("id", "batch") for b in B.upsert_batches(_ts(spark, sf))]
+    return appended(spark, K.snapshot_path(spark, "versions"), SERIES, batches)
 
 
 K03_SQL = O.with_(O.TIME_SERIES, _BATCHES, """v AS (
