@@ -39,19 +39,29 @@ def r02_dedup(spark, sf):
     return S.dedup_stream(spark, landing, ev.schema, ["event_id"], "1 day", work)
 
 
+# Deliveries of r03: all facts, then corrections and repeats, then revisions older than what is there.
 def r03_latest(spark, sf):
-    df = C.time_series(spark, sf).select(*KEY, "period", "value", "t", F.col("t").alias("_part"))
+    ts = C.time_series(spark, sf).select(*KEY, "period", "value", "t")
+    corrected = ts.filter("t % 3 = 0").withColumns({"value": F.col("value") + 1, "revision": F.lit(2)})
+    repeated = ts.filter("t % 7 = 1").withColumn("revision", F.lit(1))
+    outdated = ts.filter("t % 5 = 0").withColumns({"value": F.col("value") - 1, "revision": F.lit(0)})
+    first = ts.withColumn("revision", F.lit(1))
+    parts = [(first, F.col("t") % 4), (corrected, F.lit(4)), (repeated, F.lit(5)), (outdated, F.lit(6))]
+    df = None
+    for rows, part in parts:
+        rows = rows.withColumn("_part", part.cast("int"))
+        df = rows if df is None else df.unionByName(rows)
     work = S.workspace(spark, "r03")
-    landing = S.land(df, os.path.join(work, "landing"), "_part", 4)
-    return S.latest_state(spark, landing, df.drop("_part").schema, KEY, work)
+    landing = S.land(df, os.path.join(work, "landing"), "_part", 7)
+    return S.latest_state(spark, landing, df.drop("_part").schema, KEY, work, order="revision", max_files_per_trigger=16)
 
 
-R03_SQL = O.with_(O.TIME_SERIES) + """
+R03_SQL = O.with_(O.TIME_SERIES, "now AS (SELECT * REPLACE (CASE WHEN t % 3 = 0 THEN value + 1 ELSE value END AS value) FROM time_series)") + """
 SELECT source, indicator, geo_code, measure, freq,
        arg_max(struct_pack(p := period, v := value), t).p AS latest_period,
        arg_max(struct_pack(p := period, v := value), t).v AS latest_value,
        min(period) AS first_period, max(period) AS last_period, count(*) AS n_points
-FROM time_series GROUP BY source, indicator, geo_code, measure, freq"""
+FROM now GROUP BY source, indicator, geo_code, measure, freq"""
 
 QUERIES = {
     "r01_incremental": r01_incremental,

@@ -8,10 +8,11 @@ R01  incremental landing-zone ingest: file source -> ``foreachBatch``
 R02  de-duplication by key inside a watermark over arrival time
      (``dropDuplicatesWithinWatermark``), state bounded by the watermark. The
      event's own time plays no part, so a late event is not lost.
-R03  continuously maintained latest value and catalogue per series: a
-     stateful aggregation in update mode whose updated groups are merged
-     into a state table. No watermark eviction: a late correction must still
-     overwrite (the reference's rule).
+R03  continuously maintained latest value and catalogue per series: points
+     keyed by (series, period) in a table partitioned by period, and beside it
+     a state table of series that each micro-batch brings up to date from
+     what it adds or corrects. No watermark eviction: a late correction must
+     still overwrite (the reference's rule).
 
 All folders live under the session's shared checkpoint location. What a table
 holds is asked of its folder, never of the driver's memory: a new driver on the
@@ -119,29 +120,71 @@ def dedup_stream(spark: SparkSession, landing: str, schema, key: list[str],
     return spark.read.schema(schema).parquet(out)
 
 
-def latest_state(spark: SparkSession, landing: str, schema, key: list[str], work: str,
+def latest_state(spark: SparkSession, landing: str, schema, key: list[str], work: str, order: str,
                  state_buckets: int | None = None, max_files_per_trigger: int = 64) -> DataFrame:
-    """Per series, latest value (by period ordinal), first/last period
-    and number of points, maintained incrementally (update mode) and merged
-    into a state table (hash-bucketed by series) after every micro-batch."""
+    """Per series, latest value (by period ordinal ``t``), first/last
+    period and number of points, maintained incrementally.
+
+    Of all rows of a (series, period) the one of largest ``order`` (a revision
+    number, a fetch time) counts, in whatever order they arrive: a correction
+    replaces the value and is no further point, an older revision that comes
+    late changes nothing. A micro-batch reads and rewrites the periods and the
+    series' buckets that it touches.
+
+    A batch that is run again after a crash adds nothing twice: the state is
+    written before the points, each of its rows says which batch it has, and
+    those that have the batch stay as they are."""
     # as many buckets as shuffle partitions; a stream keeps the number that it began with
     state_buckets = state_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = PartitionedTable(spark, os.path.join(work, "state"), "bucket")
+    points = PartitionedTable(spark, os.path.join(work, "points"), "period")
+    state = PartitionedTable(spark, os.path.join(work, "state"), "bucket")
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
                    .option("recursiveFileLookup", "true").parquet(landing))
-    agg = stream.groupBy(*key).agg(
-        F.max_by(F.struct("period", "value"), "t").alias("latest"),
-        F.min("period").alias("first_period"), F.max("period").alias("last_period"),
-        F.count(F.lit(1)).alias("n_points"))
-    flat = agg.select(*key, F.col("latest.period").alias("latest_period"),
-                      F.col("latest.value").alias("latest_value"), "first_period", "last_period", "n_points",
-                      F.pmod(F.xxhash64(*key), F.lit(state_buckets)).alias("bucket"))
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        table.merge(batch, key, batch_id)
+        rows = (batch.groupBy(*key, "period").agg(F.max_by(F.struct("t", "value", order), F.col(order)).alias("r"))
+                     .select(*key, "period", "r.*"))
+        news = accepted(rows, points.read(), key, order).checkpoint(eager=True)
+        state.merge(caught_up(news, state.read(), key, batch_id, state_buckets), key, batch_id)
+        points.merge(news.drop("is_new"), [*key, "period"], batch_id)
 
-    q = (flat.writeStream.foreachBatch(on_batch).outputMode("update")
-             .option("checkpointLocation", os.path.join(work, "checkpoint"))
-             .trigger(availableNow=True).start())
+    q = (stream.writeStream.foreachBatch(on_batch)
+               .option("checkpointLocation", os.path.join(work, "checkpoint"))
+               .trigger(availableNow=True).start())
     q.awaitTermination()
-    return table.read().drop("bucket")
+    return state.read().select(*key, "latest_period", "latest_value", "first_period", "last_period", "n_points")
+
+
+def accepted(rows: DataFrame, points: DataFrame | None, key: list[str], order: str) -> DataFrame:
+    """Rows that are new or at least as late as the stored point, with
+    ``is_new``. Only the rows' periods are read (partition pruning)."""
+    if points is None:
+        return rows.withColumn("is_new", F.lit(True))
+    there = (points.join(rows.select("period").distinct(), "period", "left_semi")
+                   .select(*key, "period", F.col(order).alias("_stored"), F.lit(True).alias("_there")))
+    j = rows.join(there, [*key, "period"], "left")
+    late = F.col("_there").isNull() | F.coalesce(F.col(order) >= F.col("_stored"), F.col("_stored").isNull())
+    return j.filter(late).withColumn("is_new", F.col("_there").isNull()).drop("_stored", "_there")
+
+
+def caught_up(news: DataFrame, state: DataFrame | None, key: list[str], batch_id: int, buckets: int) -> DataFrame:
+    """State rows of the series in ``news``, with what it adds."""
+    add = news.groupBy(*key).agg(
+        F.max_by(F.struct("t", "period", "value"), F.col("t")).alias("latest"), F.min("period").alias("first_period"),
+        F.max("period").alias("last_period"), F.count_if("is_new").alias("n_points")).select(
+            *key, F.col("latest.t").alias("latest_t"), F.col("latest.period").alias("latest_period"),
+            F.col("latest.value").alias("latest_value"), "first_period", "last_period", "n_points")
+    add = add.withColumns({"batch": F.lit(batch_id).cast("long"), "bucket": F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")})
+    if state is None:
+        return add
+    cols = [c for c in add.columns if c not in (*key, "bucket")]
+    old = (state.join(add.select("bucket").distinct(), "bucket", "left_semi")
+                .select(*key, F.struct(*cols).alias("o")))
+    j = add.select(*key, "bucket", F.struct(*cols).alias("a")).join(old, key, "left")
+    a, o = F.col("a"), F.col("o")
+    later = a["latest_t"] >= o["latest_t"]
+    both = {c: F.when(later, a[c]).otherwise(o[c]) for c in ("latest_t", "latest_period", "latest_value")}
+    both |= {"first_period": F.least(a["first_period"], o["first_period"]), "last_period": F.greatest(a["last_period"], o["last_period"]),
+             "n_points": a["n_points"] + o["n_points"], "batch": a["batch"]}
+    merged = F.when(o.isNull(), a).when(o["batch"] >= a["batch"], o).otherwise(F.struct(*[both[c].alias(c) for c in cols]))
+    return j.select(*key, merged.alias("m"), "bucket").select(*key, *[F.col(f"m.{c}").alias(c) for c in cols], "bucket")

@@ -42,12 +42,41 @@ def test_ingest_goes_on_after_a_restart(spark, sf_dir):
 
 
 def test_latest_state_goes_on_after_a_restart(spark, sf_dir):
-    ts = C.time_series(spark, sf_dir).select(*SERIES, "period", "value", "t")
+    ts = C.time_series(spark, sf_dir).select(*SERIES, "period", "value", "t").withColumn("rev", F.lit(1))
     work = S.workspace(spark, "latest")
     landing = os.path.join(work, "landing")
     for p in (0, 1):
         ts.filter(F.col("t") % 2 == p).write.parquet(os.path.join(landing, f"arrival={p}"))
-        out = S.latest_state(spark, landing, ts.schema, SERIES, work)
+        out = S.latest_state(spark, landing, ts.schema, SERIES, work, "rev")
     want = ts.groupBy(*SERIES).agg(F.max_by("value", "t").alias("v"), F.count("*").alias("n"))
     joined = out.join(want, SERIES)
     assert out.count() == want.count() == joined.filter("latest_value <=> v AND n_points = n").count()
+
+
+POINT = "series string, period string, value double, t int, rev int"
+
+
+def _deliver(spark, work, n, rows):
+    landing = os.path.join(work, "landing")
+    spark.createDataFrame(rows, POINT).coalesce(1).write.parquet(os.path.join(landing, f"arrival={n}"))
+    schema = spark.createDataFrame([], POINT).schema
+    out = S.latest_state(spark, landing, schema, ["series"], work, "rev", state_buckets=3)
+    return {r.series: tuple(r)[1:] for r in out.collect()}
+
+
+def test_corrections_replace_and_do_not_count(spark):
+    work = S.workspace(spark, "corrections")
+    assert _deliver(spark, work, 0, [("a", "2020-01", 1.0, 1, 1), ("a", "2020-02", 2.0, 2, 1), ("b", "2020-02", 5.0, 2, 1)]) == {
+        "a": ("2020-02", 2.0, "2020-01", "2020-02", 2), "b": ("2020-02", 5.0, "2020-02", "2020-02", 1)}
+    got = _deliver(spark, work, 1, [("a", "2020-02", 9.0, 2, 2), ("a", "2020-02", 8.0, 2, 1), ("a", "2020-02", 9.0, 2, 2)])
+    assert got["a"] == ("2020-02", 9.0, "2020-01", "2020-02", 2)
+    got = _deliver(spark, work, 2, [("a", "2020-02", 7.0, 2, 1), ("a", "2019-12", 0.0, 0, 1), ("a", "2020-03", None, 3, 1)])
+    assert got["a"] == ("2020-03", None, "2019-12", "2020-03", 4)  # an older revision came late
+    assert got["b"] == ("2020-02", 5.0, "2020-02", "2020-02", 1)
+
+
+def test_a_batch_run_again_adds_nothing(spark):
+    news = spark.createDataFrame([("a", "2020-02", 3.0, 2, 1, True)], POINT + ", is_new boolean")
+    state = S.caught_up(news, None, ["series"], 4, 3)
+    assert S.caught_up(news, state, ["series"], 4, 3).collect() == state.collect()
+    assert S.caught_up(news, state, ["series"], 5, 3).first().n_points == 2
