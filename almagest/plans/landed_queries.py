@@ -31,29 +31,54 @@ S01_SQL = O.with_(O.TIME_SERIES) + """
 SELECT 'istac' AS source, indicator, geo_code, period, measure, value FROM time_series WHERE t % 7 <> 0"""
 
 
+#: Landed files are named by the writer; their indicator is in a folder's name.
+BY_FOLDER = "indicator=([^/]+)"
+
+
 def s15_open_data_csv(spark, sf):
-    """Monthly facts as open-data CSV files of two spellings of the header."""
+    """All facts as open-data CSV files of two spellings of the header."""
     folder = _folder(spark, "s15")
-    ts = C.time_series(spark, sf).filter("freq = 'M' AND indicator = 'orders'")
-    (ts.filter("t % 2 = 0").select(F.col("geo_code").alias("TERRITORIO_CODE"), F.col("period").alias("TIME_PERIOD_CODE"),
+    ts = C.time_series(spark, sf)
+    (ts.filter("t % 2 = 0").select("indicator", F.col("geo_code").alias("TERRITORIO_CODE"), F.col("period").alias("TIME_PERIOD_CODE"),
                                    F.col("measure").alias("MEDIDAS_CODE"), F.col("value").alias("OBS_VALUE"))
-     .write.option("header", True).csv(f"{folder}/a"))
-    (ts.filter("t % 2 = 1").select("geo_code", "period", "measure", "value").write.option("header", True).csv(f"{folder}/b"))
-    rows = L.read_open_data_csv(spark, f"{folder}/*/*.csv")
-    return rows.drop("indicator")  # the file's name, which the writer chose
+     .write.option("header", True).partitionBy("indicator").csv(f"{folder}/a"))
+    (ts.filter("t % 2 = 1").select("indicator", "geo_code", "period", "measure", "value")
+     .write.option("header", True).partitionBy("indicator").csv(f"{folder}/b"))
+    return L.read_open_data_csv(spark, f"{folder}/*/*/*.csv", name_re=BY_FOLDER)
 
 
 S15_SQL = O.with_(O.TIME_SERIES) + """
-SELECT 'cabildo' AS source, geo_code, period, measure, value FROM time_series WHERE freq = 'M' AND indicator = 'orders'"""
+SELECT 'cabildo' AS source, indicator, geo_code, period, measure, value FROM time_series"""
+
+
+def s04_sdmx_csv(spark, sf):
+    """All facts as SDMX files of two headers, one without measures; beside
+    them files that have no observations."""
+    folder = _folder(spark, "s04")
+    ts = C.time_series(spark, sf).select("indicator", "t", F.col("period").alias("TIME_PERIOD_CODE"), F.col("geo_code").alias("TERRITORIO_CODE"),
+                                         F.col("measure").alias("MEDIDAS_CODE"), F.col("value").alias("OBS_VALUE"))
+    for name, rows in (("a", ts.filter("t % 2 = 0").drop("t")), ("b", ts.filter("t % 2 = 1").drop("t", "MEDIDAS_CODE")),
+                       ("c", ts.select("indicator", "t", "TERRITORIO_CODE"))):
+        rows.write.option("header", True).partitionBy("indicator").csv(f"{folder}/{name}")
+    return L.read_sdmx_csv(spark, f"{folder}/*/*/*.csv", name_re=BY_FOLDER)
+
+
+S04_SQL = O.with_(O.TIME_SERIES) + """
+SELECT 'istac' AS source, indicator, geo_code, period, CASE WHEN t % 2 = 0 THEN measure ELSE 'ABSOLUTE' END AS measure, value
+FROM time_series"""
 
 
 def s02_series_bundles(spark, sf):
-    """Quarterly facts as bundles of series with a registry of names; every
-    fifth series is unregistered and named by its description."""
+    """All facts as bundles of series with a registry of names; every fifth
+    series is unregistered and named by its description. Years have no period
+    code in such files: they land under one that readers skip."""
     folder = _folder(spark, "s02")
-    ts = C.time_series(spark, sf).filter("freq = 'Q'").withColumn("series_id", F.concat_ws("-", "indicator", "geo_code"))
-    record = F.struct(F.floor(F.col("t") / 4).cast("int").alias("Anyo"), (F.col("t") % 4 + 19).cast("int").alias("FK_Periodo"),
-                      F.col("value").alias("Valor"))
+    ts = C.time_series(spark, sf).withColumn("series_id", F.concat_ws("-", "indicator", "geo_code", "freq"))
+    year, code = F.col("t"), F.lit(28)
+    for freq, steps, base in (("M", 12, 1), ("Q", 4, 19)):
+        year = F.when(F.col("freq") == freq, F.floor(F.col("t") / steps)).otherwise(year)
+        code = F.when(F.col("freq") == freq, F.col("t") % steps + base).otherwise(code)
+    record = F.struct(year.cast("int").alias("Anyo"), code.cast("int").alias("FK_Periodo"), F.col("value").alias("Valor"))
     series = ts.groupBy("series_id", "indicator", "geo_code").agg(F.collect_list(record).alias("records"))
     info = F.struct(F.concat(F.col("indicator"), F.lit(" of "), F.col("geo_code"), F.lit(".")).alias("description"), "records")
     (series.groupBy(F.pmod(F.xxhash64("series_id"), F.lit(4)).alias("file"))
@@ -64,21 +89,18 @@ def s02_series_bundles(spark, sf):
     return L.read_series_bundles(spark, f"{folder}/part-*", registry)
 
 
-S02_SQL = O.with_(O.TIME_SERIES) + """
-SELECT 'ine' AS source,
-       CASE WHEN length(indicator || '-' || geo_code) % 5 <> 0 THEN indicator
-            ELSE replace(lower(indicator || ' of ' || geo_code), ' ', '_') END AS indicator,
-       CASE WHEN length(indicator || '-' || geo_code) % 5 <> 0 THEN geo_code ELSE 'ES709' END AS geo_code,
-       period, 'ABSOLUTE' AS measure, value
-FROM time_series WHERE freq = 'Q'"""
+S02_SQL = O.with_(O.TIME_SERIES, "known AS (SELECT *, length(indicator || '-' || geo_code || '-' || freq) % 5 <> 0 AS named FROM time_series)") + """
+SELECT 'ine' AS source, CASE WHEN named THEN indicator ELSE replace(lower(indicator || ' of ' || geo_code), ' ', '_') END AS indicator,
+       CASE WHEN named THEN geo_code ELSE 'ES709' END AS geo_code, period, 'ABSOLUTE' AS measure, value
+FROM known WHERE freq IN ('M', 'Q')"""
 
 
 def s05_cubes(spark, sf):
-    """Monthly facts as cubes, a file for each series (bounded by its months):
+    """All facts as cubes, a file for each indicator and place (bounded by its periods):
     observations as a list (S05) for one half of the indicators, as a map of
     index keys (S06) for the other."""
     folder = _folder(spark, "s05")
-    ts = C.time_series(spark, sf).filter("freq = 'M'")
+    ts = C.time_series(spark, sf)
     cell = ts.select("indicator", "geo_code", "period", "value")
     dims = cell.groupBy("indicator", "geo_code").agg(F.sort_array(F.collect_set("period")).alias("times")).withColumn("geos", F.array(F.lit("other"), "geo_code"))
     entry = lambda codes: F.struct(F.struct(F.transform(codes, lambda c, i: F.struct(c.alias("id"), i.alias("order"))).alias("value")).alias("dimensionValues"))
@@ -91,12 +113,12 @@ def s05_cubes(spark, sf):
                                                  entry(F.array(F.lit("ABSOLUTE"))).alias("MEASURE")).alias("dimension"), F.col(o).alias("observation")))
     text = F.when(F.col("indicator") < "p", head("list")).otherwise(head("keyed"))
     obs.select("indicator", "geo_code", text.alias("text")).write.partitionBy("indicator", "geo_code").text(folder)
-    return L.read_cube_json(spark, f"{folder}/*/*/part-*").drop("indicator")  # the file's name
+    return L.read_cube_json(spark, f"{folder}/*/*/part-*", name_re=BY_FOLDER)
 
 
 S05_SQL = O.with_(O.TIME_SERIES) + """
-SELECT 'istac' AS source, geo_code, period, 'ABSOLUTE' AS measure, value FROM time_series WHERE freq = 'M'"""
+SELECT 'istac' AS source, indicator, geo_code, period, 'ABSOLUTE' AS measure, value FROM time_series"""
 
-QUERIES = {"s01_indicator_csv": s01_indicator_csv, "s02_series_bundles": s02_series_bundles, "s05_cubes": s05_cubes,
+QUERIES = {"s01_indicator_csv": s01_indicator_csv, "s04_sdmx_csv": s04_sdmx_csv, "s02_series_bundles": s02_series_bundles, "s05_cubes": s05_cubes,
            "s15_open_data_csv": s15_open_data_csv}
-ORACLE = {"s01_indicator_csv": S01_SQL, "s02_series_bundles": S02_SQL, "s05_cubes": S05_SQL, "s15_open_data_csv": S15_SQL}
+ORACLE = {"s01_indicator_csv": S01_SQL, "s04_sdmx_csv": S04_SQL, "s02_series_bundles": S02_SQL, "s05_cubes": S05_SQL, "s15_open_data_csv": S15_SQL}

@@ -41,35 +41,73 @@ def _file_stem(path: Column, suffix_re: str = r"\.[^./]+$") -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), suffix_re, "")
 
 
+def _named(path: Column, name_re: str | None) -> Column:
+    """What a file is about: its stem, or the first group of ``name_re`` in
+    its path (say, a folder)."""
+    return F.lower(F.regexp_extract(path, name_re, 1) if name_re else _file_stem(path))
+
+
 def _text_files(spark: SparkSession, pattern: str) -> DataFrame:
     """Whole files as (path, text) rows, one row per file."""
     return (spark.read.option("wholetext", True).text(pattern)
                  .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
 
-def list_files(spark: SparkSession, pattern: str) -> list[str]:
-    """File paths matching ``pattern`` (only the path column of the
-    binaryFile source is read, so file contents are not loaded)."""
-    rows = spark.read.format("binaryFile").load(pattern).select("path").collect()
-    return sorted(r.path for r in rows)
+#: A header table up to this size is broadcast.
+SMALL_HEADERS = 8 << 20
+
+
+def _csv_lines(spark: SparkSession, pattern: str | list[str], encoding: str) -> DataFrame:
+    """_path, line of all CSV files, with their place in the scan."""
+    line = F.decode(F.col("value").cast("binary"), encoding) if encoding.upper() != "UTF-8" else F.col("value")
+    return spark.read.text(pattern).select(F.col("_metadata.file_path").alias("_path"), line.alias("line"),
+                                           F.col("_metadata.file_block_start").alias("_block"),
+                                           F.monotonically_increasing_id().alias("_at")).filter(F.trim("line") != "")
+
+
+def csv_headers(spark: SparkSession, pattern: str | list[str], encoding: str = "UTF-8") -> DataFrame:
+    """_path, header, names: the first line of every file, folded map-side, and
+    its column names. A repeated or empty name gets its position."""
+    first = (_csv_lines(spark, pattern, encoding).filter("_block = 0").groupBy("_path")
+             .agg(F.min_by("line", "_at").alias("header")))
+    width = first.agg(F.max(F.size(F.split("header", ",")))).first()[0] or 1
+    raw = F.transform(_csv_fields(F.regexp_replace("header", "^\ufeff", ""), width), lambda n, i: F.struct(F.trim(n).alias("n"), i.alias("i")))
+    raw = F.slice(raw, 1, F.size(F.split("header", ",")))
+    named = F.transform(raw, lambda x: F.when(F.coalesce(x["n"], F.lit("")) == "", F.concat(F.lit("_c"), x["i"]))
+                        .when(F.exists(raw, lambda y: (y["n"] == x["n"]) & (y["i"] < x["i"])), F.concat(x["n"], F.lit("_"), x["i"]))
+                        .otherwise(x["n"]))
+    return first.select("_path", "header", named.alias("names"))
+
+
+def _csv_fields(line: Column, width: int) -> Column:
+    """The fields of a CSV line as an array; null beyond its end."""
+    cols = [f"c{i}" for i in range(width)]
+    parsed = F.from_csv(line, ", ".join(f"{c} string" for c in cols))
+    return F.array(*[parsed[c] for c in cols])
+
+
+def read_csv_by_header(spark: SparkSession, pattern: str | list[str], encoding: str = "UTF-8") -> DataFrame:
+    """_path, fields: the rows of CSV files whose headers differ, each row as a
+    map by its own file's header.
+
+    Spark's reader applies one header to all files, so the files are read as
+    lines: one scan makes the header table (a row for each file), a second
+    joins it to the lines by file. The number of jobs does not depend on the
+    number of files, and no path list comes to the driver. The header table is
+    broadcast if it is small, by its measured size."""
+    headers = csv_headers(spark, pattern, encoding).checkpoint(eager=True)
+    size = headers.agg(F.sum(F.length("_path") + 2 * F.length("header")), F.max(F.size("names"))).first()
+    if size[0] is not None and size[0] <= SMALL_HEADERS:
+        headers = F.broadcast(headers)
+    lines = _csv_lines(spark, pattern, encoding).select("_path", "line")
+    rows = lines.join(headers, "_path").filter(F.col("line") != F.col("header"))
+    values = F.slice(_csv_fields(F.col("line"), size[1] or 1), 1, F.size("names"))
+    return rows.select("_path", F.map_from_arrays("names", values).alias("fields"))
 
 
-def read_csv_by_header(spark: SparkSession, pattern: str | list[str], **options) -> DataFrame | None:
-    """CSV files whose headers differ: Spark's reader applies one header to
-    every file, so files are grouped by header (one tiny header read per
-    file) and each group is read in one scan, then unioned by name."""
-    paths = list_files(spark, pattern) if isinstance(pattern, str) else list(pattern)
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    for k, v in options.items():
-        reader = reader.option(k, v)
-    groups: dict[tuple, list[str]] = {}
-    for p in paths:
-        groups.setdefault(tuple(reader.csv(p).columns), []).append(p)
-    out = None
-    for _, files in sorted(groups.items()):
-        df = reader.csv(files).withColumn("_path", F.col("_metadata.file_path"))
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
+def _field(*names: str) -> Column:
+    """The first of some fields that a row's file has a value for."""
+    return F.coalesce(*[F.try_element_at("fields", F.lit(n)) for n in names], F.lit(None).cast("string"))
 
 
 # --------------------------------------------------------------------------
@@ -80,16 +118,13 @@ def read_indicator_csv(spark: SparkSession, pattern: str, stem_suffix: str = "",
                        source: str = "istac") -> DataFrame:
     """Indicator from the ``indicator`` column, else the file stem;
     name fixes; defaults for geo and measure; unparsable values skipped."""
-    df = read_csv_by_header(spark, pattern)
-    cols = set(df.columns)
     stem = F.lower(F.regexp_replace(_file_stem(F.col("_path")), stem_suffix + "$", ""))
-    ind = F.lower(F.col("indicator")) if "indicator" in cols else F.lit(None).cast("string")
-    indicator = _fixed(F.coalesce(ind, _fixed(stem)))
-    get = lambda c, d: F.coalesce(F.col(c), F.lit(d)) if c in cols else F.lit(d)
-    out = df.select(F.lit(source).alias("source"), indicator.alias("indicator"),
-                    get("geo_code", DEFAULT_GEO).alias("geo_code"),
-                    get("time", "").alias("period"), get("measure", DEFAULT_MEASURE).alias("measure"),
-                    X.safe_float(F.col("value") if "value" in cols else F.lit(None)).alias("value"))
+    indicator = _fixed(F.coalesce(F.lower(_field("indicator")), _fixed(stem)))
+    out = read_csv_by_header(spark, pattern).select(
+        F.lit(source).alias("source"), indicator.alias("indicator"),
+        F.coalesce(_field("geo_code"), F.lit(DEFAULT_GEO)).alias("geo_code"),
+        F.coalesce(_field("time"), F.lit("")).alias("period"),
+        F.coalesce(_field("measure"), F.lit(DEFAULT_MEASURE)).alias("measure"), X.safe_float(_field("value")).alias("value"))
     return out.filter(F.col("value").isNotNull())
 
 
@@ -199,11 +234,11 @@ OBS_LIST = T.ArrayType(T.MapType(T.StringType(), T.StringType()))
 OBS_DICT = T.MapType(T.StringType(), T.StringType())
 
 
-def read_cube_json(spark: SparkSession, pattern: str, source: str = "istac") -> DataFrame:
-    """One payload per indicator (file stem = indicator code); list
+def read_cube_json(spark: SparkSession, pattern: str, source: str = "istac", name_re: str | None = None) -> DataFrame:
+    """One payload per indicator (file stem = indicator code, or see ``_named``); list
     observations (S05) and dict observations keyed 'time|geo|measure' (S06)
     both flattened; NULL values and empty periods dropped."""
-    f = _text_files(spark, pattern).withColumn("indicator", F.lower(_file_stem(F.col("path"))))
+    f = _text_files(spark, pattern).withColumn("indicator", _named(F.col("path"), name_re))
     text = F.col("text")
     f = f.select("indicator",
                  _dimension_map(text, "TIME", "").alias("tm"),
@@ -251,18 +286,14 @@ def read_survey_csv(spark: SparkSession, pattern: str, island: str = DEFAULT_GEO
     """S03 + S14 + S16 + X20: survey rows of one island with typed fields,
     placeholders as NULL, quarter from the file name, and the whole record
     (minus placeholders) as JSON text. Rows without an id are dropped."""
-    df = read_csv_by_header(spark, pattern, encoding=encoding)
-    raw_cols = [c for c in df.columns if c != "_path"]
+    df = read_csv_by_header(spark, pattern, encoding).filter(_field("ISLA") == island)
     quarter = F.upper(F.element_at(F.split(_file_stem(F.col("_path")), "_"), -1))
-    df = df.filter(F.col("ISLA") == island) if "ISLA" in raw_cols else df.limit(0)
-    get = lambda c: F.col(c) if c in raw_cols else F.lit(None).cast("string")
-    clean = lambda c: F.when(~get(c).isin(*X.PLACEHOLDER_CODES), get(c))
-    cols = [quarter.alias("quarter"), X.safe_int(get("NUMERO_CUESTIONARIO")).alias("cuestionario")]
+    clean = lambda c: F.when(~_field(c).isin(*X.PLACEHOLDER_CODES), _field(c))
+    cols = [quarter.alias("quarter"), X.safe_int(_field("NUMERO_CUESTIONARIO")).alias("cuestionario")]
     cols += [clean(src).alias(dst) for dst, src in SURVEY_STRINGS.items()]
-    cols += [X.safe_int(get(src)).alias(dst) for dst, src in SURVEY_INTS.items()]
-    cols += [X.safe_float(get(src)).alias(dst) for dst, src in SURVEY_FLOATS.items()]
-    record = F.map_from_arrays(F.array(*[F.lit(c) for c in raw_cols]), F.array(*[F.col(c) for c in raw_cols]))
-    cols.append(F.to_json(X.map_without_placeholders(record)).alias("raw_json"))
+    cols += [X.safe_int(_field(src)).alias(dst) for dst, src in SURVEY_INTS.items()]
+    cols += [X.safe_float(_field(src)).alias(dst) for dst, src in SURVEY_FLOATS.items()]
+    cols.append(F.to_json(X.map_without_placeholders("fields")).alias("raw_json"))
     return df.select(*cols).filter(F.col("cuestionario").isNotNull())
 
 
@@ -285,42 +316,31 @@ def manifest_resources(spark: SparkSession, pattern: str) -> DataFrame:
 # S04, S15 SDMX-style and heterogeneous open-data CSV
 # --------------------------------------------------------------------------
 
-def read_sdmx_csv(spark: SparkSession, paths: list[str], source: str = "istac") -> DataFrame | None:
+def read_sdmx_csv(spark: SparkSession, pattern: str | list[str], source: str = "istac", name_re: str | None = None) -> DataFrame:
     """Files must carry OBS_VALUE and TIME_PERIOD_CODE (others are
-    skipped); optional territory/measure columns; indicator = file stem;
-    'microdatos' files excluded. The header check reads one line per file."""
-    frames = []
-    for p in paths:
-        if "microdatos" in p.lower():
-            continue
-        head = spark.read.option("header", True).csv(p).columns
-        if "OBS_VALUE" not in head or "TIME_PERIOD_CODE" not in head:
-            continue
-        frames.append(spark.read.option("header", True).csv(p).withColumn("_path", F.col("_metadata.file_path")))
-    if not frames:
-        return None
-    df = frames[0]
-    for f in frames[1:]:
-        df = df.unionByName(f, allowMissingColumns=True)
-    cols = set(df.columns)
-    opt = lambda c, d: F.coalesce(F.col(c), F.lit(d)) if c in cols else F.lit(d)
-    out = df.select(F.lit(source).alias("source"), F.lower(_file_stem(F.col("_path"))).alias("indicator"),
-                    opt("TERRITORIO_CODE", DEFAULT_GEO).alias("geo_code"), F.col("TIME_PERIOD_CODE").alias("period"),
-                    opt("MEDIDAS_CODE", DEFAULT_MEASURE).alias("measure"), X.safe_float(F.col("OBS_VALUE")).alias("value"))
+    skipped); optional territory/measure columns; indicator = file stem (or
+    see ``_named``); 'microdatos' files excluded."""
+    has = lambda c: F.map_contains_key("fields", F.lit(c))
+    df = read_csv_by_header(spark, pattern).filter(
+        has("OBS_VALUE") & has("TIME_PERIOD_CODE") & ~F.lower(_file_stem(F.col("_path"))).contains("microdatos"))
+    out = df.select(F.lit(source).alias("source"), _named(F.col("_path"), name_re).alias("indicator"),
+                    F.coalesce(_field("TERRITORIO_CODE"), F.lit(DEFAULT_GEO)).alias("geo_code"),
+                    _field("TIME_PERIOD_CODE").alias("period"),
+                    F.coalesce(_field("MEDIDAS_CODE"), F.lit(DEFAULT_MEASURE)).alias("measure"),
+                    X.safe_float(_field("OBS_VALUE")).alias("value"))
     return out.filter(F.col("value").isNotNull() & F.col("period").isNotNull())
 
 
-def read_open_data_csv(spark: SparkSession, pattern: str, source: str = "cabildo") -> DataFrame:
+def read_open_data_csv(spark: SparkSession, pattern: str, source: str = "cabildo", name_re: str | None = None) -> DataFrame:
     """Value from OBS_VALUE or value; period from TIME_PERIOD_CODE,
-    period or time; keep rows with both."""
-    df = read_csv_by_header(spark, pattern)
-    cols = set(df.columns)
-    pick = lambda *cs: F.coalesce(*[F.col(c) for c in cs if c in cols], F.lit(None).cast("string"))
-    out = df.select(F.lit(source).alias("source"), F.lower(_file_stem(F.col("_path"))).alias("indicator"),
-                    F.coalesce(pick("TERRITORIO_CODE", "geo_code"), F.lit(DEFAULT_GEO)).alias("geo_code"),
-                    pick("TIME_PERIOD_CODE", "period", "time").alias("period"),
-                    F.coalesce(pick("MEDIDAS_CODE", "measure"), F.lit(DEFAULT_MEASURE)).alias("measure"),
-                    X.safe_float(pick("OBS_VALUE", "value")).alias("value"))
+    period or time; keep rows with both. Indicator = file stem (or see
+    ``_named``)."""
+    out = read_csv_by_header(spark, pattern).select(
+        F.lit(source).alias("source"), _named(F.col("_path"), name_re).alias("indicator"),
+        F.coalesce(_field("TERRITORIO_CODE", "geo_code"), F.lit(DEFAULT_GEO)).alias("geo_code"),
+        _field("TIME_PERIOD_CODE", "period", "time").alias("period"),
+        F.coalesce(_field("MEDIDAS_CODE", "measure"), F.lit(DEFAULT_MEASURE)).alias("measure"),
+        X.safe_float(_field("OBS_VALUE", "value")).alias("value"))
     return out.filter(F.col("value").isNotNull() & F.col("period").isNotNull())
 
 

@@ -122,6 +122,53 @@ def test_sdmx_and_open_data(spark):
     assert rows == [("cabildo", "plazas", "ES709", "2024-01", "ABSOLUTE", 10.0)]
 
 
+def test_headers_that_differ_in_every_way(spark):
+    d = _dir()
+    _write(d, "a.csv", 'time,value,geo_code\n2024-01,1,"ES70, 1"\n\n2024-02,"2"\n')
+    _write(d, "b.csv", "\ufeffvalue,time\r\n3,2024-03\r\n,2024-04\r\n")
+    _write(d, "c.csv", "time,value,,value\n2024-05,5,x,6\n2024-06,7,x,8,surplus\n")
+    _write(d, "d.csv", "value,time\n")
+    _write(d, "e.csv", "")
+    rows = sorted(tuple(r)[2:] for r in L.read_indicator_csv(spark, d + "/*.csv").collect())
+    assert rows == [("ES70, 1", "2024-01", "ABSOLUTE", 1.0), ("ES709", "2024-02", "ABSOLUTE", 2.0), ("ES709", "2024-03", "ABSOLUTE", 3.0),
+                    ("ES709", "2024-05", "ABSOLUTE", 5.0), ("ES709", "2024-06", "ABSOLUTE", 7.0)]
+    names = {r.header: r.names for r in L.csv_headers(spark, d + "/c.csv").collect()}
+    assert names == {"time,value,,value": ["time", "value", "_c2", "value_3"]}
+
+
+def test_jobs_do_not_grow_with_files(spark):
+    def jobs(n):
+        d, group = _dir(), f"files-{n}"
+        for i in range(n):
+            _write(d, f"s{i:04d}.csv", ("time,value" if i % 2 else "value,geo_code,time") + "\n" + ("2024-01,1\n" if i % 2 else "2,G,2024-02\n"))
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            rows = L.read_indicator_csv(spark, d + "/*.csv").collect()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert len(rows) == n and sum(r.value for r in rows) == 1.5 * n
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    few = jobs(20)
+    assert jobs(1000) <= few + 2  # a listing of many paths is itself a job
+
+
+def test_large_header_tables_are_joined_by_shuffle(spark, monkeypatch):
+    d = _dir()
+    for i in range(9):
+        _write(d, f"s{i}.csv", "time,value\n" + "2024-01,1\n" * (i + 1))
+    small = L.read_indicator_csv(spark, d + "/*.csv").collect()
+    monkeypatch.setattr(L, "SMALL_HEADERS", 0)
+    assert sorted(L.read_indicator_csv(spark, d + "/*.csv").collect()) == sorted(small) and len(small) == 45
+
+
+def test_survey_csv_bytes_of_another_encoding(spark):
+    d = _dir()
+    with open(os.path.join(d, "x_2024q1.csv"), "wb") as f:
+        f.write(b"ISLA,NUMERO_CUESTIONARIO,PROPOSITO\nES709,1,Se\xf1al \xe9\nES709,2,\xff\x80\n")
+    rows = {r.cuestionario: r.proposito for r in L.read_survey_csv(spark, d + "/*.csv").collect()}
+    assert rows == {1: "Señal é", 2: "ÿ\x80"}
+
+
 def test_geojson_and_last_update(spark):
     d = _dir()
     gj = {"type": "FeatureCollection", "features": [
