@@ -4,23 +4,26 @@ Feature matrix by column expressions over the parsed record; one-hot
 domains (top-N nationality / purpose / accommodation) come from a ranked
 aggregate joined back by code, so no category value is pulled to the
 driver. Model: pyspark.ml Imputer(median) -> VectorAssembler ->
-StandardScaler -> K-means, all candidates for K and all restarts in shared
-passes. K is chosen in 2..8 by silhouette (squared Euclidean, linear in rows,
-unlike a pairwise silhouette). Clusters are relabelled 0..K-1 by mean spend so ids are stable.
+StandardScaler -> KMeans; K is chosen in 2..8 by silhouette (squared
+Euclidean, linear in rows, unlike a pairwise silhouette), then ten seeds are
+fitted for that K. Clusters are relabelled 0..K-1 by mean spend so ids are stable.
 """
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
-import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from almagest.functions import scalars as X
+from almagest.operators import sinks as K
 from almagest.operators import survey as U
 from almagest.sources.canonical import ACTIVITY_KEYS, IMPORTANCE_KEYS
 
@@ -70,7 +73,7 @@ def _prep_pipeline(cols: list[str]) -> Pipeline:
 
 
 def scaled(feat: DataFrame) -> DataFrame:
-    """Median imputation + standardisation -> ``x``, an array of doubles.
+    """Median imputation + standardisation -> ``features``.
 
     The feature frame is persisted while the pipeline is fitted (imputer
     and scaler each take one pass) so the JSON parse and one-hot joins run
@@ -78,156 +81,39 @@ def scaled(feat: DataFrame) -> DataFrame:
     cols = feature_columns()
     feat = feat.persist(StorageLevel.MEMORY_AND_DISK)
     model = _prep_pipeline(cols).fit(feat)
-    return model.transform(feat).select(*KEY, vector_to_array("features").alias("x"), "gasto_euros", "edad", "noches")
-
-
-class Centres:
-    """The centres of several K-means models, and what one pass over the points
-    needs of them: each task sums counts, coordinates and costs by centre."""
-
-    def __init__(self, models: list[np.ndarray]):
-        self.models = models
-        self.all = np.concatenate(models)
-        self.begin = np.cumsum([0, *map(len, models)])
-
-    def nearest(self, x: np.ndarray):
-        """For each model: (centre of each point, squared distances)."""
-        far = (x * x).sum(axis=1)[:, None] - 2 * (x @ self.all.T) + (self.all * self.all).sum(axis=1)[None, :]
-        for a, b in zip(self.begin[:-1], self.begin[1:]):
-            at = far[:, a:b].argmin(axis=1)
-            yield at, np.maximum(far[np.arange(len(x)), a + at], 0.0)
-
-    def sums(self, batches):
-        d = self.all.shape[1]
-        total = np.zeros((len(self.all), d + 3))  # coordinates, points, cost, squared norms
-        for x in _points(batches):
-            norms = (x * x).sum(axis=1)
-            for begin, (at, far) in zip(self.begin, self.nearest(x)):
-                k = at.max(initial=-1) + 1
-                member = np.zeros((len(x), k))
-                member[np.arange(len(x)), at] = 1.0
-                total[begin:begin + k] += np.column_stack([member.T @ x, member.sum(axis=0), member.T @ far, member.T @ norms])
-        flat = total.ravel()
-        cell = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(flat[cell])], names=["cell", "v"])
-
-    def gather(self, data: DataFrame) -> np.ndarray:
-        """sums over all points: a table of the centres' size."""
-        cells = data.select("x").mapInArrow(self.sums, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).toPandas()
-        flat = np.zeros(len(self.all) * (self.all.shape[1] + 3))
-        flat[cells["cell"].to_numpy()] = cells["v"].to_numpy()
-        return flat.reshape(len(self.all), -1)
-
-
-def _points(batches):
-    for batch in batches:
-        for i in range(0, batch.num_rows, 4096):
-            part = batch.column("x").slice(i, 4096)
-            if len(part):
-                yield part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
-
-
-def _first_centres(sample: np.ndarray, k: int, rng) -> np.ndarray:
-    """k-means++ on the sample."""
-    at = [int(rng.integers(len(sample)))]
-    far = ((sample - sample[at[0]]) ** 2).sum(axis=1)
-    for _ in range(1, k):
-        p = far / far.sum() if far.sum() > 0 else None
-        at.append(int(rng.choice(len(sample), p=p)))
-        far = np.minimum(far, ((sample - sample[at[-1]]) ** 2).sum(axis=1))
-    return sample[at]
-
-
-#: Respondents that first centres are drawn from; all take part in the fit.
-START_SAMPLE = 4096
-
-
-def fit_segments(data: DataFrame, ks: list[int], seed: int = 42, restarts: int = 10, max_iter: int = 300,
-                 tol: float = 1e-4) -> dict[int, np.ndarray]:
-    """For every K, the centres of least cost of ``restarts`` K-means
-    fits. All fits share their passes: one pass over the respondents moves the
-    centres of every fit that still moves."""
-    sample = np.array(data.orderBy(F.xxhash64(*KEY)).limit(START_SAMPLE).select("x").toPandas()["x"].tolist())
-    tags = [(k, r) for k in ks for r in range(restarts)]
-    models = {t: _first_centres(sample, t[0], np.random.default_rng(seed + t[1])) for t in tags}
-    costs, open_ = dict.fromkeys(tags, np.inf), list(tags)
-    for _ in range(max_iter):
-        now = Centres([models[t] for t in open_])
-        table, d = now.gather(data), now.all.shape[1]
-        moving = []
-        for t, a, b in zip(open_, now.begin[:-1], now.begin[1:]):
-            n = table[a:b, d]
-            new = np.where(n[:, None] > 0, table[a:b, :d] / np.maximum(n, 1)[:, None], models[t])
-            costs[t] = float(table[a:b, d + 1].sum())
-            if ((new - models[t]) ** 2).sum(axis=1).max() > tol * tol:
-                moving.append(t)
-            models[t] = new
-        open_ = moving
-        if not open_:
-            break
-    best = {k: min(range(restarts), key=lambda r: (costs[k, r], r)) for k in ks}  # noqa: B023
-    return {k: models[k, best[k]] for k in ks}
-
-
-def silhouettes(data: DataFrame, models: list[np.ndarray]) -> list[float]:
-    """Mean silhouette of each model (squared Euclidean: a point's mean
-    distance to a cluster follows from the cluster's sums, so all models take
-    two passes)."""
-    centres = Centres(models)
-    table = centres.gather(data)
-    d = centres.all.shape[1]
-    n, mean = table[:, d], table[:, :d] / np.maximum(table[:, d], 1)[:, None]
-    spread = table[:, d + 2] / np.maximum(n, 1)
-
-    def score(batches):
-        out = np.zeros((len(models), 2))
-        for x in _points(batches):
-            norms = (x * x).sum(axis=1)
-            for m, (at, _) in enumerate(centres.nearest(x)):
-                a, b = centres.begin[m], centres.begin[m + 1]
-                far = norms[:, None] + spread[None, a:b] - 2 * (x @ mean[a:b].T)
-                size = n[a:b][at]
-                own = far[np.arange(len(x)), at] * size / np.maximum(size - 1, 1)
-                far[:, n[a:b] == 0] = np.inf
-                far[np.arange(len(x)), at] = np.inf
-                other = far.min(axis=1)
-                s = np.where(size > 1, (other - own) / np.maximum(np.maximum(own, other), 1e-300), 0.0)
-                out[m] += [s.sum(), len(x)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(models), dtype=np.int32)), pa.array(out[:, 0]), pa.array(out[:, 1])],
-                                         names=["m", "s", "n"])
-
-    rows = data.select("x").mapInArrow(score, "m int, s double, n double").groupBy("m").agg(
-        (F.sum("s") / F.sum("n")).alias("s")).collect()
-    return [r["s"] for r in sorted(rows, key=lambda r: r["m"])]
-
-
-def choose(data: DataFrame, k_min: int = 2, k_max: int = 8, seed: int = 42, restarts: int = 10) -> np.ndarray:
-    """The centres of the K with the best silhouette (first best on ties);
-    K stays below the row count, and is 2 for fewer than 3 rows."""
-    n = data.count()
-    ks = list(range(k_min, min(k_max, n - 1) + 1)) or [2]
-    fits = fit_segments(data, ks, seed, restarts)
-    if len(ks) == 1:
-        return fits[ks[0]]
-    scores = silhouettes(data, [fits[k] for k in ks])
-    return fits[ks[int(np.argmax(scores))]]
+    return model.transform(feat).select(*KEY, "features", "gasto_euros", "edad", "noches")
+
+
+#: Fits that run side by side; each is a series of short jobs.
+FITS_AT_ONCE = 4
 
 
-def assign(data: DataFrame, centres: np.ndarray) -> DataFrame:
-    """Key, prediction and spend of every respondent."""
-    model = Centres([centres])
+def _fit(data: DataFrame, k: int, seed: int) -> KMeansModel:
+    return KMeans(k=k, seed=seed, maxIter=300, tol=1e-4, featuresCol="features").fit(data)
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                at, _ = next(model.nearest(x))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*KEY, "gasto_euros")), pa.array(at.astype(np.int32))],
-                                                 names=[*KEY, "gasto_euros", "prediction"])
 
-    types = {f.name: f.dataType.simpleString() for f in data.schema}
-    schema = ", ".join(f"{c} {types[c]}" for c in (*KEY, "gasto_euros")) + ", prediction int"
-    return data.select(*KEY, "gasto_euros", "x").mapInArrow(run, schema)
+def fit_segments(data: DataFrame, k: int, seed: int = 42, restarts: int = 10) -> KMeansModel:
+    """The K-means model of least cost of ``restarts`` seeds (the first of
+    equals). First centres are drawn over all partitions (k-means||)."""
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        models = pool.map(inheritable_thread_target(data.sparkSession)(lambda r: _fit(data, k, seed + r)), range(restarts))
+    return min(models, key=lambda m: m.summary.trainingCost)
+
+
+def choose(data: DataFrame, k_min: int = 2, k_max: int = 8, seed: int = 42) -> int:
+    """The K with the best silhouette (squared Euclidean; the smallest of
+    equals) of one fit for each; K stays below the row count, and is 2 for
+    fewer than 3 rows."""
+    ks = list(range(k_min, min(k_max, data.count() - 1) + 1)) or [2]
+    if len(ks) == 1:
+        return ks[0]
+    evaluate = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
+
+    def score(k: int) -> float:
+        return evaluate.evaluate(_fit(data, k, seed).transform(data))
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        scores = pool.map(inheritable_thread_target(data.sparkSession)(score), ks)
+    return ks[int(np.argmax(scores))]
 
 
 def relabel_by_spend(labeled: DataFrame, label: str = "prediction") -> DataFrame:
@@ -245,36 +131,114 @@ def segment(micro: DataFrame, k: int | None = None, seed: int = 42, restarts: in
     joins them back by key, never by position)."""
     data = scaled(features(micro)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        centres = fit_segments(data, [k], seed, restarts)[k] if k else choose(data, seed=seed, restarts=restarts)
-        labels = relabel_by_spend(assign(data, centres)).select(*KEY, "cluster_id").checkpoint(eager=True)
+        model = fit_segments(data, k or choose(data, seed=seed), seed, restarts)
+        labels = relabel_by_spend(model.transform(data)).select(*KEY, "cluster_id").checkpoint(eager=True)
     finally:
         data.unpersist()
     return labels
 
 
-def profiles(micro_labeled: DataFrame) -> DataFrame:
-    """One row per segment: size %, means, name, top
-    nationalities / accommodations with %, activities > 30 %, top-5
-    motivations, spending breakdown — each from the survey operators,
-    joined on cluster_id (all sides have <= K rows)."""
-    stats = U.cluster_stats(micro_labeled)
-    total = micro_labeled.filter(F.col("cluster_id").isNotNull()).agg(F.count(F.lit(1))).scalar()
-    stats = stats.withColumn("size_pct", X.round2(F.col("size") / total * 100.0, 1))
-
-    def nested(df, cols, name, order="rank"):
-        return df.groupBy("cluster_id").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct(order, *cols))),
-                        lambda s: F.struct(*[s[c] for c in cols])).alias(name))
-
-    nat = nested(U.top_values_by_cluster(micro_labeled, "nacionalidad", 5), ["value", "percentage"], "top_nationalities")
-    acc = nested(U.top_values_by_cluster(micro_labeled, "aloj_categ", 5), ["value", "percentage"], "top_accommodations")
-    act = (U.activities_by_cluster(micro_labeled).groupBy("cluster_id")
-             .agg(F.array_sort(F.collect_list("activity")).alias("top_activities")))
-    mot = nested(U.motivations_by_cluster(micro_labeled, 5), ["motivation"], "top_motivations")
-    mot = mot.withColumn("top_motivations", F.transform("top_motivations", lambda s: s["motivation"]))
-    spend = (U.spending_by_cluster(micro_labeled).groupBy("cluster_id")
-               .agg(F.map_from_entries(F.collect_list(F.struct("category", "amount"))).alias("spending_breakdown")))
-    out = stats
-    for side in (nat, acc, act, mot, spend):
-        out = out.join(side, "cluster_id", "left")
-    return out.orderBy(F.col("avg_spend").asc_nulls_first(), "cluster_id")
+def refresh(micro: DataFrame, labels: DataFrame, root: str, code_labels: dict[str, DataFrame] | None = None) -> DataFrame:
+    """What follows a training: labels joined back to the respondents by
+    key (K06) and the table of profiles written anew as a whole (K05). Returns
+    the stored profiles."""
+    K.overwrite_table(profiles(K.label_back(micro, labels, KEY), code_labels), f"{root}/profiles")
+    return micro.sparkSession.read.parquet(f"{root}/profiles")
+
+
+# --------------------------------------------------------------------------
+# Profiles (M18, Q14, A10-A16, F11)
+# --------------------------------------------------------------------------
+
+#: Dimensions whose most frequent answers a profile names, and how many.
+TOP_ANSWERS = {"nacionalidad": 5, "aloj_categ": 5, "proposito": 1}
+_MEANS = {"avg_age": "edad", "avg_spend": "gasto_euros", "avg_nights": "noches"}
+
+
+def answers(micro_labeled: DataFrame) -> DataFrame:
+    """(cluster_id, dimension, value) -> n, and sums and counts of all numeric
+    answers in the row of dimension ''. Respondents are unpivoted once, to one
+    row for themselves and one for each categorical answer, and aggregated
+    once, map-side first."""
+    m = U.parse_raw(micro_labeled.filter(F.col("cluster_id").isNotNull()))
+    numbers = {n: F.col(c) for n, c in _MEANS.items()}
+    numbers |= {"avg_satisfaction": X.safe_float("satisfaccion"), "avg_personas": X.safe_float(F.col("raw.PERSONAS_TOTAL"))}
+    numbers |= {k: X.safe_float(F.col(f"raw.{k}")) for k in U.SPENDING_KEYS}
+    numbers |= {k: X.importance_score(F.col(f"raw.{k}")) for k in IMPORTANCE_KEYS}
+    flags = {k: X.binary_flag(F.col(f"raw.{k}")) for k in ACTIVITY_KEYS}
+    item = lambda d, v: F.struct(F.lit(d).alias("dimension"), v.cast("string").alias("value"))
+    rows = F.explode(F.array(item("", F.lit("")), *[item(c, F.col(c)) for c in TOP_ANSWERS]))
+    m = (m.select("cluster_id", rows.alias("a"), *[X.exact(v).alias(n) for n, v in numbers.items()], *[v.alias(n) for n, v in flags.items()])
+          .filter((F.col("a.dimension") == "") | (F.col("a.value").isNotNull() & ~F.col("a.value").isin(*X.PLACEHOLDER_CODES))))
+    own = F.col("a.dimension") == ""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for name in numbers:
+        aggs += [F.sum(F.when(own, F.col(name))).alias(f"s_{name}"), F.count(F.when(own, F.col(name))).alias(f"c_{name}")]
+    aggs += [F.sum(F.when(own, F.col(name))).alias(f"s_{name}") for name in flags]
+    return m.groupBy("cluster_id", "a.dimension", "a.value").agg(*aggs)
+
+
+def profiles(micro_labeled: DataFrame, code_labels: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One row per segment: name, size and its share, mean age,
+    spend, nights, satisfaction and party size, commonest purpose, top
+    nationalities and accommodations with % of the answers, activities that
+    more than 30 % did, top-5 motivations, mean spending by category.
+    ``code_labels``: labels (code, label) by dimension (J04); a code without
+    one stands for itself. All of it follows from one aggregate of respondents,
+    a few dozen rows for each segment."""
+    table = answers(micro_labeled).checkpoint(eager=True)
+    own = table.filter("dimension = ''")
+    mean = lambda name, digits: X.round2(F.col(f"s_{name}").cast("double") / F.nullif(F.col(f"c_{name}"), F.lit(0)), digits)
+    raw = {n: mean(n, 4) for n in _MEANS}
+    named = F.when(raw["avg_spend"].isNull() | raw["avg_age"].isNull() | raw["avg_nights"].isNull(),
+                   F.concat(F.lit("Cluster "), F.col("cluster_id").cast("string"))).otherwise(
+                       X.segment_name(raw["avg_spend"], raw["avg_age"], raw["avg_nights"]))
+    share = lambda k: F.col(f"s_{k}") / F.col("n")
+    done = F.filter(F.array(*[F.when(share(k) > 0.3, F.lit(U.X_name(k))) for k in ACTIVITY_KEYS]), lambda x: x.isNotNull())
+    score = lambda k: F.col(f"s_{k}").cast("double") / F.nullif(F.col(f"c_{k}"), F.lit(0))
+    scores = F.filter(F.array(*[F.struct((-score(k)).alias("s"), F.lit(U.X_name(k)).alias("name")) for k in IMPORTANCE_KEYS]),
+                      lambda x: x["s"].isNotNull())
+    spent = F.filter(F.array(*[F.struct(F.lit(U.X_name(k)).alias("category"), mean(k, 2).alias("amount")) for k in U.SPENDING_KEYS]),
+                     lambda x: x["amount"].isNotNull())
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # a row for each segment
+    stats = own.select(
+        "cluster_id", named.alias("cluster_name"), F.col("n").alias("size"), X.round2(F.col("n") / total * 100.0, 1).alias("size_pct"),
+        mean("avg_age", 1).alias("avg_age"), mean("avg_spend", 0).alias("avg_spend"), mean("avg_nights", 1).alias("avg_nights"),
+        mean("avg_satisfaction", 2).alias("avg_satisfaction"), mean("avg_personas", 2).alias("avg_personas"),
+        done.alias("top_activities"), F.slice(F.transform(F.array_sort(scores), lambda x: x["name"]), 1, 5).alias("top_motivations"),
+        spent.alias("spending_breakdown"))
+    for dimension, column in (("nacionalidad", "top_nationalities"), ("aloj_categ", "top_accommodations"), ("proposito", "_purpose")):
+        stats = stats.join(_top(table, dimension, column, (code_labels or {}).get(dimension)), "cluster_id", "left")
+    empty = lambda c: F.coalesce(c, F.array().cast("array<struct<value:string,percentage:double>>")).alias(c)
+    return stats.select("cluster_id", "cluster_name", "size", "size_pct", *[c for c in stats.columns if c.startswith("avg_")],
+                        F.get("_purpose", F.lit(0))["value"].alias("purpose"), empty("top_nationalities"), empty("top_accommodations"),
+                        "top_activities", "top_motivations", "spending_breakdown")
+
+
+def _top(table: DataFrame, dimension: str, column: str, labels: DataFrame | None) -> DataFrame:
+    """The most frequent values of a dimension with % of its answers (ties by
+    value), as an array in that order."""
+    w = Window.partitionBy("cluster_id")
+    rows = (table.filter(F.col("dimension") == dimension)
+                 .withColumn("percentage", X.round2(F.col("n") / F.sum("n").over(w) * 100.0, 1))
+                 .withColumn("rank", F.row_number().over(w.orderBy(F.col("n").desc(), "value")))
+                 .filter(F.col("rank") <= TOP_ANSWERS[dimension]))
+    if labels is not None:
+        rows = U.with_labels(rows, labels, "value", "value_label").withColumn("value", F.col("value_label"))
+    return rows.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value", "percentage"))),
+                                                      lambda r: F.struct(r["value"].alias("value"), r["percentage"].alias("percentage"))).alias(column))
+
+
+#: Columns of the list of segments; a single one shows all.
+SUMMARY = ["cluster_id", "cluster_name", "size_pct", "avg_age", "avg_spend", "avg_nights", "top_nationalities", "top_accommodations",
+           "top_activities", "top_motivations", "avg_satisfaction", "spending_breakdown"]
+
+
+def summary(stored: DataFrame) -> DataFrame:
+    """The list of segments, in order of their ids."""
+    return stored.select(*SUMMARY).orderBy("cluster_id")
+
+
+def detail(stored: DataFrame, cluster_id: int) -> DataFrame:
+    """one segment with everything known of it; no row if there is none."""
+    return K.point(stored, cluster_id=cluster_id)

@@ -40,7 +40,7 @@ def select_series(ts: DataFrame, indicator=None, geo=None, measure="ABSOLUTE",
     stored table as pushed filters.
     """
     if from_period and to_period and from_period > to_period:
-        raise ValueError("'from' period must be before or equal to 'to' period")
+        raise ValueError(f"empty range of periods: {from_period} to {to_period}")
     out = ts
     for col, v in (("indicator", indicator), ("geo_code", geo), ("measure", measure)):
         if v is None:
@@ -71,17 +71,18 @@ def exclude_window(df: DataFrame, lo: str | None, hi: str | None) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def with_prior_year(df: DataFrame, value: str = "value", out: str = "prev_value") -> DataFrame:
-    """Value of the same period one year earlier, per frequency.
+    """Value of the same period one year earlier, whatever the
+    frequency.
 
-    A range frame on the ordinal ``t`` looks exactly one year back (12, 4 or
-    1 steps) and yields NULL when that period is missing, which ``lag``
-    would get wrong. One shuffle by series; no self-join.
+    The ordinal ``t`` of a month, quarter or year is scaled to months, so one
+    range frame looks exactly one year back in every series and yields NULL
+    when that period is missing, which ``lag`` would get wrong. One shuffle by
+    series, one window; no self-join.
     """
-    parts = []
-    for f, k in STEPS.items():
-        w = series_window("freq").orderBy("t").rangeBetween(-k, -k)
-        parts.append(F.when(F.col("freq") == f, F.first(value, ignorenulls=True).over(w)))
-    return df.withColumn(out, F.coalesce(*parts))
+    scale = F.element_at(F.create_map(*[F.lit(x) for f, k in STEPS.items() for x in (f, 12 // k)]), F.col("freq"))
+    w = series_window("freq").orderBy("_months").rangeBetween(-12, -12)
+    return (df.withColumn("_months", F.col("t") * scale)
+              .withColumn(out, F.first(value, ignorenulls=True).over(w)).drop("_months"))
 
 
 def yoy_matrix(ts: DataFrame) -> DataFrame:
@@ -125,34 +126,40 @@ def last_n(ts: DataFrame, n: int = 24) -> DataFrame:
               .drop("rn"))
 
 
-def kpi_snapshot(ts: DataFrame, indicators: list[str], freq: str = "M",
-                 period: str | None = None) -> DataFrame:
-    """Q01: per geography, latest value of each KPI and its YoY change.
+def kpi_snapshot(ts: DataFrame, kpis: dict[str, tuple[str, str]], period: str | None = None) -> DataFrame:
+    """Q01: per geography, latest value, period and YoY change of each KPI,
+    given as {name: (indicator, frequency)}; monthly, quarterly and yearly ones
+    may be mixed. ``period``: values of that period instead of the latest.
+    ``last_updated`` is the newest fetch of the whole table, whatever the KPI.
+    A geography without the first KPI has ``data_available`` false and a reason.
 
     The reference issues one point query per KPI; here one pass: filter to
     the KPI list, prior-year value by a range frame (one shuffle by series),
     latest row per series by ``max_by`` on the same partitioning, then a
-    pivot over the fixed indicator list into one row per geography.
+    pivot over the fixed KPI list into one row per geography.
     """
-    base = ts.filter(F.col("indicator").isin(*indicators) & (F.col("freq") == freq))
-    base = with_prior_year(base)
+    wanted = F.lit(False)
+    for indicator, freq in kpis.values():
+        wanted = wanted | ((F.col("indicator") == indicator) & (F.col("freq") == freq))
+    base = with_prior_year(ts.filter(wanted))
     if period:
         base = base.filter(F.col("period") == period)
     lat = (base.groupBy(*SERIES_KEY, "freq")
-               .agg(F.max_by(F.struct("period", "value", "prev_value", "fetched_at"), F.col("t")).alias("r"))
-               .select(*SERIES_KEY, F.col("r.period").alias("latest_period"),
-                       F.col("r.value").alias("latest_value"), F.col("r.prev_value").alias("prev_value"),
-                       F.col("r.fetched_at").alias("fetched_at")))
+               .agg(F.max_by(F.struct("period", "value", "prev_value"), F.col("t")).alias("r"))
+               .select(*SERIES_KEY, "freq", F.col("r.period").alias("latest_period"),
+                       F.col("r.value").alias("latest_value"), F.col("r.prev_value").alias("prev_value")))
     j = lat.withColumn("yoy", X.pct_change(F.col("latest_value"), F.col("prev_value")))
     aggs = []
-    for ind in indicators:
-        sel = F.col("indicator") == ind
-        aggs += [F.max(F.when(sel, F.col("latest_value"))).alias(f"{ind}_value"),
-                 F.max(F.when(sel, F.col("latest_period"))).alias(f"{ind}_period"),
-                 F.max(F.when(sel, F.col("yoy"))).alias(f"{ind}_yoy")]
-    aggs += [F.max("fetched_at").alias("last_updated")]
+    for name, (indicator, freq) in kpis.items():
+        sel = (F.col("indicator") == indicator) & (F.col("freq") == freq)
+        aggs += [F.max(F.when(sel, F.col("latest_value"))).alias(f"{name}_value"),
+                 F.max(F.when(sel, F.col("latest_period"))).alias(f"{name}_period"),
+                 F.max(F.when(sel, F.col("yoy"))).alias(f"{name}_yoy")]
     out = j.groupBy("geo_code", "measure").agg(*aggs)
-    return out.withColumn("data_available", F.col(f"{indicators[0]}_value").isNotNull())
+    there = F.col(f"{next(iter(kpis))}_value").isNotNull()
+    return (out.withColumn("last_updated", ts.agg(F.max("fetched_at")).scalar())
+               .withColumn("data_available", there)
+               .withColumn("reason", F.when(~there, F.lit("no_data_available"))))
 
 
 # --------------------------------------------------------------------------
@@ -208,32 +215,60 @@ def seasonal_profile(ts: DataFrame) -> DataFrame:
                   F.count(F.lit(1)).alias("n_years")))
 
 
-def seasonal_position(ts: DataFrame, as_of_month: int) -> DataFrame:
-    """Q04: peak month, position of ``as_of_month`` and the next three months.
+def layered(month: Column, layers: dict[str, Column], last: str, default: Column) -> Column:
+    """The value of a month from the first layer (a map by month number) that
+    has it, else the default, with the name of the layer that answered."""
+    value = lambda m: F.try_element_at(m, month)
+    answered = F.lit(last)
+    for name, layer in reversed(layers.items()):
+        answered = F.when(value(layer).isNotNull(), F.lit(name)).otherwise(answered)
+    return F.struct(F.coalesce(*map(value, layers.values()), default).alias("value"), answered.alias("layer"))
+
+
+def seasonal_position(ts: DataFrame, as_of_month: int, forecasts: DataFrame | None = None) -> DataFrame:
+    """Q04: peak month, position of ``as_of_month``, the next three months and
+    the monthly averages.
 
-    The outlook uses the historical monthly means (the reference's fallback
-    when no forecast is stored); forecasts can be joined in by the caller.
+    The outlook is the mean of the stored forecasts for these months (of
+    ``forecasts``: series key, t, value_predicted) if a series has any, else
+    of the historical monthly means, else of the overall mean;
+    ``outlook_layers`` says for each month which layer answered.
     """
     prof = seasonal_profile(ts)
     per = prof.groupBy(*SERIES_KEY).agg(
         (F.sum(F.col("avg_value").cast("decimal(38,4)")).cast("double")
          / F.count("avg_value")).alias("overall_avg"),
         F.max_by("month_number", F.struct(F.col("avg_value"), -F.col("month_number"))).alias("peak_month_number"),
-        F.map_from_entries(F.collect_list(F.struct("month_number", "avg_value"))).alias("m"))
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("month_number", "avg_value")))).alias("m"))
     cur = F.lit(as_of_month)
     nxt = P.next_months(cur, 3)
-    cur_avg = F.coalesce(F.element_at("m", cur), F.col("overall_avg"))
-    nxt_avg = F.aggregate(nxt, F.lit(0.0),
-                          lambda acc, mm: acc + F.coalesce(F.element_at("m", mm), F.col("overall_avg"))) / 3.0
+    if forecasts is None:
+        per = per.withColumn("f", F.lit(None).cast("map<int,double>"))
+    else:
+        # a forecast month may come twice in a long horizon: its mean
+        by_month = (forecasts.groupBy(*SERIES_KEY, (F.pmod(F.col("t"), F.lit(12)) + 1).cast("int").alias("month_number"))
+                             .agg(avg_exact("value_predicted").alias("v")).filter(F.array_contains(nxt, F.col("month_number"))))
+        found = by_month.groupBy(*SERIES_KEY).agg(F.map_from_entries(F.collect_list(F.struct("month_number", "v"))).alias("f"))
+        per = per.join(found, SERIES_KEY, "left")
+    overall = F.col("overall_avg")
+    past = F.transform(nxt, lambda mm: layered(mm, {"history": F.col("m")}, "overall", overall))
+    ahead = F.transform(F.filter(nxt, lambda mm: F.map_contains_key("f", mm)),
+                        lambda mm: layered(mm, {"forecast": F.col("f")}, "overall", overall))
+    per = per.withColumn("_out", F.when(F.col("f").isNotNull(), ahead).otherwise(past))
+    total = F.aggregate("_out", F.lit(0.0), lambda acc, x: acc + x["value"])
+    averages = F.transform(F.map_entries("m"), lambda e: F.concat(P.month_name(e["key"]), F.lit("="),
+                                                                  X.round2(e["value"], 0).cast("long").cast("string")))
     return per.select(
         *SERIES_KEY,
         "peak_month_number",
         P.month_name(F.col("peak_month_number")).alias("peak_month"),
-        X.round2(F.col("overall_avg"), 4).alias("overall_avg"),
+        X.round2(overall, 4).alias("overall_avg"),
         P.month_name(cur).alias("current_month"),
-        X.classify_position(cur_avg, F.col("overall_avg")).alias("current_position"),
-        X.classify_position(nxt_avg, F.col("overall_avg")).alias("next_3_months"),
-        F.concat_ws(",", F.transform(nxt, lambda mm: P.month_name(mm))).alias("next_months"))
+        X.classify_position(F.coalesce(F.try_element_at("m", cur), overall), overall).alias("current_position"),
+        X.classify_position(total / F.size("_out"), overall).alias("next_3_months"),
+        F.concat_ws(",", F.transform(nxt, lambda mm: P.month_name(mm))).alias("next_months"),
+        F.concat_ws(",", F.transform("_out", lambda x: x["layer"])).alias("outlook_layers"),
+        F.concat_ws(",", averages).alias("monthly_averages"))
 
 
 # --------------------------------------------------------------------------

@@ -51,29 +51,32 @@ FROM g"""
 
 
 def q05_map(spark, sf):
-    return R.intensity_map(C.time_series(spark, sf), C.geo_dim(spark, sf))
+    return R.intensity_map(C.time_series(spark, sf), C.geo_dim(spark, sf), ahead=2)
 
 
 def _q05_sql():
     zones = " ".join(f"WHEN '{r}' THEN '{z}'" for r, z in R.REGION_ZONES.items())
+    falls = " ".join(f"WHEN '{z}' THEN {f}" for z, f in R.FALLBACK_INTENSITIES.items())
     facs = " ".join(f"WHEN '{z}' THEN {f}" for z, f in R.ZONE_FACTORS.items())
     return O.with_(O.TIME_SERIES, """nm AS (
   SELECT source, indicator, geo_code, measure, t, value FROM time_series
   WHERE geo_level = 'nation' AND freq = 'M' AND indicator = 'orders'
     AND regexp_matches(period, '^[0-9]{4}-(0[1-9]|1[0-2])$'))""", """b AS (SELECT min(t) lo, max(t) hi FROM nm)""",
-                   """sp AS (SELECT n_name AS geo_code, CAST(unnest(range(lo, hi + 1)) AS INTEGER) AS t FROM b, geo)""",
+                   """sp AS (SELECT n_name AS geo_code, CAST(unnest(range(lo, hi + 3)) AS INTEGER) AS t FROM b, geo)""",
                    f"""c AS (
   SELECT printf('%04d-%02d', sp.t // 12, sp.t % 12 + 1) AS period, sp.geo_code, nm.value,
          CASE g.r_name {zones} END AS zone
   FROM sp LEFT JOIN nm ON nm.geo_code = sp.geo_code AND nm.t = sp.t
   LEFT JOIN geo g ON g.n_name = sp.geo_code)""", f"""d AS (
   SELECT *, max(value) OVER (PARTITION BY period) AS max_value,
-         coalesce(CASE zone {facs} END, {R.DEFAULT_FACTOR}) AS factor FROM c)""", f"""e AS (
+         coalesce(CASE zone {facs} END, {R.DEFAULT_FACTOR}) AS factor,
+         coalesce(CASE zone {falls} END, {R.DEFAULT_INTENSITY}) AS fallback FROM c)""", f"""e AS (
   SELECT period, geo_code, zone, value, max_value,
-         CASE WHEN value IS NOT NULL THEN 'real' ELSE 'estimated' END AS source,
+         CASE WHEN value IS NOT NULL THEN 'real' WHEN max_value IS NOT NULL THEN 'estimated' ELSE 'fallback' END AS source,
+         max_value IS NOT NULL AS data_available,
          CAST(CASE WHEN value IS NOT NULL THEN
                 (CASE WHEN max_value > 0 THEN least({O.round2('value / max_value * 100.0', 0)}, 100.0) ELSE 0.0 END)
-              ELSE {O.round2('factor * 100.0', 0)} END AS INTEGER) AS intensity
+              WHEN max_value IS NULL THEN fallback ELSE {O.round2('factor * 100.0', 0)} END AS INTEGER) AS intensity
   FROM d)""") + """
 SELECT *, CASE WHEN intensity >= 85 THEN 4 WHEN intensity >= 70 THEN 3 WHEN intensity >= 50 THEN 2
                WHEN intensity >= 30 THEN 1 ELSE 0 END AS color_class

@@ -362,32 +362,43 @@ U02_SQL = O.with_(*_RUNS) + f"SELECT DISTINCT model, {KEY}, version, is_current
 
 
 # ---- m12_status: a fleet in which some series cannot be fitted -------------------------
-def _faulty(spark, sf):
-    """Facts in which NATION series of one geography are cut to 30 months, and one
-    month of another's is no number that can be summed."""
-    ts = C.time_series(spark, sf).filter("freq = 'M'")
-    short = (F.col("geo_code") == "FRANCE") & (F.col("t") >= SHORT_FROM)
-    value = F.when((F.col("geo_code") == "BRAZIL") & (F.col("t") == WILD_AT), F.lit(1e300)).otherwise(F.col("value"))
-    return ts.filter(~short).withColumn("value", value)
+#: Months (ordinals) from which a geography's series are cut, and one whose value cannot be summed.
+CUT_FROM = {"FRANCE": 1994 * 12 + 6, "CANADA": 1992 * 12 + 4}
+WILD = ("BRAZIL", 1995 * 12)
 
 
-#: Ordinals of 1994-07 and 1995-01.
-SHORT_FROM, WILD_AT = 1994 * 12 + 6, 1995 * 12
+def faulty_facts(spark, sf):
+    """Monthly facts in which some series are short and some hold a wild value."""
+    ts = C.time_series(spark, sf).filter("freq = 'M'")
+    for geo, t in CUT_FROM.items():
+        ts = ts.filter((F.col("geo_code") != geo) | (F.col("t") < t))
+    wild = (F.col("geo_code") == WILD[0]) & (F.col("t") == WILD[1])
+    return ts.withColumn("value", F.when(wild, F.lit(1e15)).otherwise(F.col("value")))
 
 
-def m12_status(spark, sf):
+def faulty_store(spark, sf):
     def build(store):
-        R.train_fleet(store, M.training_series(_faulty(spark, sf), exclude=EXCLUDE, leave_out=LAST), _given_four,
+        R.train_fleet(store, M.training_series(faulty_facts(spark, sf), exclude=EXCLUDE, leave_out=LAST), _given_four,
                       _score(_given_four), MODELS)
-    return R.run_status(_store_of(spark, sf, "faulty", build))
+    return _store_of(spark, sf, "faulty", build)
+
+
+def m12_status(spark, sf):
+    return R.run_status(faulty_store(spark, sf))
 
 
-M12_SQL = O.with_(O.TIME_SERIES, f"""faulty AS (
-  SELECT * REPLACE (CASE WHEN geo_code = 'BRAZIL' AND t = {WILD_AT} THEN 1e300 ELSE value END AS value)
-  FROM time_series WHERE freq = 'M' AND NOT (geo_code = 'FRANCE' AND t >= {SHORT_FROM}))""", *dense_sql(LAST, "dn", "faulty"),
-                  f"""checked AS (SELECT {KEY}, count(value) AS n_observed,
+_FAULTY = f"""faulty AS (SELECT * REPLACE (CASE WHEN geo_code = '{WILD[0]}' AND t = {WILD[1]} THEN 1e15 ELSE value END AS value)
+  FROM time_series WHERE freq = 'M' AND {' AND '.join(f"(geo_code <> '{g}' OR t < {t})" for g, t in CUT_FROM.items())})"""
+_CHECKED = f"""checked AS (SELECT {KEY}, count(value) AS n_observed,
          CASE WHEN max(abs(vf)) >= 1e15 THEN 'value_out_of_range' WHEN count(value) < {M.MIN_SERIES} THEN 'too_few_months' END AS reason
-  FROM dn GROUP BY {KEY})""") + f"""
+  FROM dn GROUP BY {KEY})"""
+
+#: CTEs up to ``faulty_four``, the forecasts of that run.
+FAULTY_RUN = [_FAULTY, *dense_sql(LAST, "dn", "faulty"), _CHECKED,
+              f"dn_ok AS (SELECT d.* FROM dn d SEMI JOIN (SELECT * FROM checked WHERE reason IS NULL) k ON {_keq('d', 'k')})",
+              *naive_sql("dn_ok", "faulty_naive", HORIZON), *_four_sql("faulty_naive", "faulty_four")]
+
+M12_SQL = O.with_(O.TIME_SERIES, _FAULTY, *dense_sql(LAST, "dn", "faulty"), _CHECKED) + f"""
 SELECT m.model, {KEY}, n_observed,
        CASE WHEN reason IS NOT NULL THEN 0 WHEN m.gap = 0 THEN {HORIZON} ELSE {HORIZON} - {HORIZON} // m.gap END AS n_points,
        CASE WHEN reason IS NULL THEN 'ok' ELSE 'failed' END AS status, reason, 1 AS run

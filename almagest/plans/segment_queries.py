@@ -1,14 +1,17 @@
-"""Registered segmentation queries. The feature matrix and the spend-ordered
-relabelling have DuckDB oracles; K-means results are rows-only (invariants
-in tests/test_segments.py)."""
+"""Registered segmentation queries. The feature matrix, the spend-ordered
+relabelling and the profiles of a fixed label have DuckDB oracles; K-means
+results are rows-only (invariants in tests/test_segments_scenario.py)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from almagest.functions import scalars as X
 from almagest.operators import segments as G
+from almagest.operators import sinks as K
 from almagest.plans import oracle_base as O
 from almagest.sources import canonical as C
+from almagest.sources.tables import read
 
 SEED = 42
 
@@ -70,8 +73,65 @@ def m15_segments(spark, sf):
     return _segmented(spark, sf).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
 
 
+def _text(profiles):
+    """The lists of a profile as text, for comparison."""
+    pct = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["value"], F.lit("|"), x["percentage"].cast("string"))), ",").alias(c)
+    spent = F.array_join(F.transform("spending_breakdown", lambda x: F.concat(x["category"], F.lit("|"), x["amount"].cast("decimal(18,2)").cast("string"))), ",")
+    return profiles.select("cluster_id", "cluster_name", "size", "size_pct", "avg_age", "avg_spend", "avg_nights", "avg_satisfaction",
+                           "avg_personas", "purpose", pct("top_nationalities"), pct("top_accommodations"),
+                           F.array_join("top_activities", ",").alias("top_activities"),
+                           F.array_join("top_motivations", ",").alias("top_motivations"), spent.alias("spending_breakdown"))
+
+
+def _code_labels(spark, sf):
+    """Labels of nationalities; every third nation has none."""
+    n = read(spark, sf, "nation").filter(F.col("n_nationkey") % 3 != 0)
+    return {"nacionalidad": n.select(F.col("n_name").alias("code"), X.display_name("n_name").alias("label"))}
+
+
 def q14_profiles(spark, sf):
-    return G.profiles(_segmented(spark, sf))
+    """Profiles of a fixed label (cuestionario mod 4), stored after a training."""
+    micro = C.microdata(spark, sf, with_raw=True)
+    labels = micro.select("quarter", "cuestionario", (F.col("cuestionario") % 4).cast("int").alias("cluster_id"))
+    return _text(G.refresh(micro, labels, K.snapshot_path(spark, "profiles"), _code_labels(spark, sf)))
+
+
+def q14_trained(spark, sf):
+    """Profiles of the segments that K-means finds."""
+    return G.profiles(_segmented(spark, sf), _code_labels(spark, sf))
+
+
+def _q14_sql():
+    top = lambda c, n, label: f"""{c}_n AS (SELECT cluster_id, {c} AS value, count(*) AS n FROM mc
+  WHERE {c} IS NOT NULL AND {c} NOT IN ('_Z', '_U', '_N', '_Y', '') GROUP BY ALL),
+{c}_t AS (SELECT cluster_id, string_agg({label} || '|' || pct, ',' ORDER BY rk) AS tops, first({label} ORDER BY rk) AS first_one FROM (
+  SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, value) AS rk,
+         {O.round2('n / (sum(n) OVER (PARTITION BY cluster_id)) * 100.0', 1)}::VARCHAR AS pct FROM {c}_n)
+  LEFT JOIN lb ON lb.code = value WHERE rk <= {n} GROUP BY cluster_id)"""
+    name = lambda k: "'" + k.split("_", 1)[1].replace("_", " ").title() + "'"
+    score = lambda k: f"CASE {k} WHEN 'NADA' THEN 0.0 WHEN 'ALGO' THEN 1.0 WHEN 'BASTANTE' THEN 2.0 WHEN 'MUCHO' THEN 3.0 END"
+    num = lambda k: f"TRY_CAST({k} AS DOUBLE)"
+    acts = ", ".join(f"CASE WHEN sum(CASE WHEN {k} = '1' THEN 1 ELSE 0 END) / count(*) > 0.3 THEN {name(k)} END" for k in C.ACTIVITY_KEYS)
+    mots = ", ".join(f"{{'s': -sum({score(k)})::DOUBLE / nullif(count({score(k)}), 0), 'name': {name(k)}}}" for k in C.IMPORTANCE_KEYS)
+    spend = ", ".join(f"{name(k)} || '|' || {O.avg_exact(k, 2)}::DECIMAL(18,2)" for k in C.SPENDING_KEYS)
+    return O.with_(O.MICRO_RAW, "mc AS (SELECT CAST(cuestionario % 4 AS INTEGER) AS cluster_id, * FROM micro)",
+                   "lb AS (SELECT n_name AS code, 'Nation ' || substr(n_name, 8) AS label FROM nation WHERE n_nationkey % 3 <> 0)",
+                   top("nacionalidad", 5, "coalesce(label, value)"), top("aloj_categ", 5, "value"), top("proposito", 1, "value"), f"""g AS (
+  SELECT cluster_id, count(*) AS size, {O.avg_exact('edad', 4)} AS a4, {O.avg_exact('gasto_euros', 4)} AS s4, {O.avg_exact('noches', 4)} AS n4,
+         {O.avg_exact('edad', 1)} AS avg_age, {O.avg_exact('gasto_euros', 0)} AS avg_spend, {O.avg_exact('noches', 1)} AS avg_nights,
+         {O.avg_exact(num('satisfaccion'), 2)} AS avg_satisfaction, {O.avg_exact(num('PERSONAS_TOTAL'), 2)} AS avg_personas,
+         array_to_string(list_filter([{acts}], lambda x: x IS NOT NULL), ',') AS top_activities,
+         array_to_string(list_transform(list_sort(list_filter([{mots}], lambda x: x.s IS NOT NULL))[1:5], lambda x: x.name), ',') AS top_motivations,
+         array_to_string(list_filter([{spend}], lambda x: x IS NOT NULL), ',') AS spending_breakdown
+  FROM mc GROUP BY cluster_id)""") + f"""
+SELECT g.cluster_id, CASE WHEN s4 IS NULL OR a4 IS NULL OR n4 IS NULL THEN 'Cluster ' || g.cluster_id ELSE
+         (CASE WHEN s4 < 500 THEN 'Budget' WHEN s4 <= 1000 THEN 'Mid-spend' ELSE 'Premium' END) || ' / ' ||
+         (CASE WHEN a4 < 35 THEN 'Young' WHEN a4 <= 55 THEN 'Mid-age' ELSE 'Older' END) || ' / ' ||
+         (CASE WHEN n4 < 5 THEN 'Short-stay' WHEN n4 <= 10 THEN 'Medium-stay' ELSE 'Long-stay' END) END AS cluster_name,
+       size, {O.round2('size / sum(size) OVER () * 100.0', 1)} AS size_pct, avg_age, avg_spend, avg_nights, avg_satisfaction, avg_personas,
+       p.first_one AS purpose, coalesce(n.tops, '') AS top_nationalities, coalesce(a.tops, '') AS top_accommodations,
+       top_activities, top_motivations, spending_breakdown
+FROM g LEFT JOIN nacionalidad_t n USING (cluster_id) LEFT JOIN aloj_categ_t a USING (cluster_id) LEFT JOIN proposito_t p USING (cluster_id)"""
 
 
 QUERIES = {
@@ -79,9 +139,11 @@ QUERIES = {
     "w12_relabel": w12_relabel,
     "m15_segments": m15_segments,
     "q14_profiles": q14_profiles,
+    "q14_trained": q14_trained,
 }
 
 ORACLE = {
     "m13_features": _m13_sql(),
     "w12_relabel": W12_SQL,
+    "q14_profiles": _q14_sql(),
 }

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 
 from almagest.operators import series as S
+from almagest.plans import forecast_queries as FQ
 from almagest.plans import oracle_base as O
 from almagest.sources import batches as B
 from almagest.sources import canonical as C
 
 KEY = "source, indicator, geo_code, measure"
-KPI_INDICATORS = ["orders", "revenue", "buyers", "quantity"]
 PAGE = dict(indicator="revenue", geo="EUROPE", from_period="1996-01", to_period="2000-12",
             page_no=2, page_size=12)
 AS_OF_MONTH = 3
@@ -53,30 +53,45 @@ FROM (SELECT {KEY}, freq,
       FROM time_series GROUP BY ALL)"""
 
 
-# ---- q01_kpis ----------------------------------------------------------------
+# ---- q01_kpis, j02_prior ---------------------------------------------------------
+KPIS = {"orders": ("orders", "M"), "revenue": ("revenue", "Q"), "buyers": ("buyers", "A"), "shipped": ("quantity", "M")}
+
+
 def q01_kpis(spark, sf):
-    return S.kpi_snapshot(_ts(spark, sf), KPI_INDICATORS)
+    return S.kpi_snapshot(_ts(spark, sf), KPIS)
+
+
+def j02_prior(spark, sf):
+    """Prior-year value of every point of months, quarters and years."""
+    ts = _ts(spark, sf).select(*KEY.split(", "), "freq", "period", "t", "value")
+    return S.with_prior_year(ts)
+
+
+_STEPS = "CASE a.freq WHEN 'M' THEN 12 WHEN 'Q' THEN 4 ELSE 1 END"
+J02_SQL = O.with_(O.TIME_SERIES) + f"""
+SELECT a.source, a.indicator, a.geo_code, a.measure, a.freq, a.period, a.t, a.value, b.value AS prev_value
+FROM time_series a LEFT JOIN time_series b ON {_key_eq('a', 'b')} AND b.freq = a.freq AND b.t = a.t - {_STEPS}"""
 
 
 def _q01_sql():
-    inds = ", ".join(f"'{i}'" for i in KPI_INDICATORS)
+    wanted = " OR ".join(f"(a.indicator = '{i}' AND a.freq = '{f}')" for i, f in KPIS.values())
     piv = []
-    for i in KPI_INDICATORS:
-        piv += [f"max(CASE WHEN indicator = '{i}' THEN latest_value END) AS {i}_value",
-                f"max(CASE WHEN indicator = '{i}' THEN latest_period END) AS {i}_period",
-                f"max(CASE WHEN indicator = '{i}' THEN yoy END) AS {i}_yoy"]
-    first = KPI_INDICATORS[0]
+    for name, (i, f) in KPIS.items():
+        sel = f"indicator = '{i}' AND freq = '{f}'"
+        piv += [f"max(CASE WHEN {sel} THEN latest_value END) AS {name}_value",
+                f"max(CASE WHEN {sel} THEN latest_period END) AS {name}_period",
+                f"max(CASE WHEN {sel} THEN yoy END) AS {name}_yoy"]
+    first = f"max(CASE WHEN indicator = '{KPIS['orders'][0]}' AND freq = '{KPIS['orders'][1]}' THEN latest_value END)"
     return O.with_(O.TIME_SERIES, f"""base AS (
   SELECT a.*, b.value AS prev_value FROM time_series a
-  LEFT JOIN time_series b ON {_key_eq('a', 'b')} AND b.freq = a.freq AND b.t = a.t - 12
-  WHERE a.freq = 'M' AND a.indicator IN ({inds}))""", f"""lat AS (
-  SELECT {KEY}, r.period AS latest_period, r.value AS latest_value, r.fetched_at AS fetched_at,
+  LEFT JOIN time_series b ON {_key_eq('a', 'b')} AND b.freq = a.freq AND b.t = a.t - {_STEPS}
+  WHERE {wanted})""", f"""lat AS (
+  SELECT {KEY}, freq, r.period AS latest_period, r.value AS latest_value,
          {O.pct_change('r.value', 'r.prev_value')} AS yoy
-  FROM (SELECT {KEY}, arg_max(struct_pack(period := period, value := value,
-               prev_value := prev_value, fetched_at := fetched_at), t) AS r
+  FROM (SELECT {KEY}, freq, arg_max(struct_pack(period := period, value := value, prev_value := prev_value), t) AS r
         FROM base GROUP BY ALL))""") + f"""
-SELECT geo_code, measure, {', '.join(piv)}, max(fetched_at) AS last_updated,
-       max(CASE WHEN indicator = '{first}' THEN latest_value END) IS NOT NULL AS data_available
+SELECT geo_code, measure, {', '.join(piv)}, (SELECT max(fetched_at) FROM time_series) AS last_updated,
+       {first} IS NOT NULL AS data_available, CASE WHEN {first} IS NULL THEN 'no_data_available' END AS reason
 FROM lat GROUP BY geo_code, measure"""
 
 
@@ -146,7 +161,11 @@ A07_SQL = O.with_(O.TIME_SERIES, _PROFILE) + "SELECT * FROM prof"
 
 # ---- q04_position ------------------------------------------------------------
 def q04_position(spark, sf):
-    return S.seasonal_position(_ts(spark, sf), AS_OF_MONTH)
+    """Outlook from the stored forecasts of a fleet in which some series could
+    not be fitted: those fall back to their history, or to the overall mean."""
+    store = FQ.faulty_store(spark, sf)
+    stored = store.current("points").filter("model = 'ensemble'")
+    return S.seasonal_position(FQ.faulty_facts(spark, sf), AS_OF_MONTH, stored)
 
 
 def _q04_sql(m=AS_OF_MONTH):
@@ -158,23 +177,29 @@ def _q04_sql(m=AS_OF_MONTH):
                 f"WHEN ({v}) / per.overall_avg <= 0.90 THEN 'Low' ELSE 'Moderate' END")
 
     def mv(mm):
-        return f"coalesce(max(CASE WHEN p.month_number = {mm} THEN p.avg_value END), per.overall_avg)"
+        return f"max(CASE WHEN p.month_number = {mm} THEN p.avg_value END)"
 
-    next_avg = f"(0.0 + {mv(nxt[0])} + {mv(nxt[1])} + {mv(nxt[2])}) / 3.0"
+    past = f"(0.0 + {' + '.join(f'coalesce({mv(x)}, per.overall_avg)' for x in nxt)}) / 3.0"
     names = " || ',' || ".join(f"monthname(make_date(2000, {x}, 1))" for x in nxt)
-    return O.with_(O.TIME_SERIES, _PROFILE, f"""per AS (
+    layers = " || ',' || ".join(f"CASE WHEN {mv(x)} IS NULL THEN 'overall' ELSE 'history' END" for x in nxt)
+    return O.with_(O.TIME_SERIES, *FQ.FAULTY_RUN, _PROFILE.replace("FROM time_series", "FROM faulty"), f"""per AS (
   SELECT {KEY}, CAST(sum(CAST(avg_value AS DECIMAL(38,4))) AS DOUBLE) / count(*) AS overall_avg,
-         first(month_number ORDER BY avg_value DESC, month_number) AS peak_month_number
-  FROM prof GROUP BY {KEY})""") + f"""
+         first(month_number ORDER BY avg_value DESC, month_number) AS peak_month_number,
+         string_agg(monthname(make_date(2000, month_number, 1)) || '=' || CAST({O.round2('avg_value', 0)} AS BIGINT), ','
+                    ORDER BY month_number) AS monthly_averages
+  FROM prof GROUP BY {KEY})""", f"""ahead AS (
+  SELECT {KEY}, (0.0 + sum(CAST(v AS DECIMAL(38,4)))) / count(*) AS avg_ahead, string_agg('forecast', ',') AS layers
+  FROM (SELECT {KEY}, t % 12 + 1 AS month_number, {O.avg_exact('value_predicted')} AS v FROM faulty_four
+        WHERE model = 'ensemble' AND t % 12 + 1 IN ({', '.join(map(str, nxt))}) GROUP BY ALL) GROUP BY {KEY})""") + f"""
 SELECT per.source, per.indicator, per.geo_code, per.measure, per.peak_month_number,
        monthname(make_date(2000, per.peak_month_number, 1)) AS peak_month,
        {O.round2('per.overall_avg', 4)} AS overall_avg,
        monthname(make_date(2000, {m}, 1)) AS current_month,
-       {cls(mv(m))} AS current_position,
-       {cls(next_avg)} AS next_3_months,
-       {names} AS next_months
-FROM per JOIN prof p ON {_key_eq('per', 'p')}
-GROUP BY per.source, per.indicator, per.geo_code, per.measure, per.peak_month_number, per.overall_avg"""
+       {cls(f'coalesce({mv(m)}, per.overall_avg)')} AS current_position,
+       {cls(f'coalesce(max(a.avg_ahead), {past})')} AS next_3_months,
+       {names} AS next_months, coalesce(max(a.layers), {layers}) AS outlook_layers, per.monthly_averages
+FROM per JOIN prof p ON {_key_eq('per', 'p')} LEFT JOIN ahead a ON {_key_eq('a', 'per')}
+GROUP BY per.source, per.indicator, per.geo_code, per.measure, per.peak_month_number, per.overall_avg, per.monthly_averages"""
 
 
 # ---- u03_gaps -------------------------------------------------------------------
@@ -348,6 +373,7 @@ QUERIES = {
     "q08_yoy": q08_yoy,
     "w01_latest": w01_latest,
     "q01_kpis": q01_kpis,
+    "j02_prior": j02_prior,
     "w02_last_n": w02_last_n,
     "q06_series": q06_series,
     "a06_catalogue": a06_catalogue,
@@ -369,6 +395,7 @@ ORACLE = {
     "q08_yoy": Q08_SQL,
     "w01_latest": W01_SQL,
     "q01_kpis": _q01_sql(),
+    "j02_prior": J02_SQL,
     "w02_last_n": W02_SQL,
     "q06_series": Q06_SQL,
     "a06_catalogue": A06_SQL,

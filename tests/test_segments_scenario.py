@@ -37,35 +37,46 @@ def test_scenario_zero_change_equals_baseline(spark, sf_dir):
     assert abs(sum(w) - 1.0) < 1e-6
 
 
-def test_shared_passes_equal_plain_kmeans(spark):
+def test_segments_of_clear_groups(spark):
     import numpy as np
+    from pyspark.ml.linalg import Vectors
 
     r = np.random.default_rng(3)
     spots = r.standard_normal((4, 3)) * 8
-    x = spots[r.integers(0, 4, 600)] + r.standard_normal((600, 3))
-    df = spark.createDataFrame([("q", i, [float(v) for v in row], float(row[0])) for i, row in enumerate(x)],
-                               "quarter string, cuestionario long, x array<double>, gasto_euros double").repartition(5)
-    fits = G.fit_segments(df, [2, 4], restarts=10)
+    at = r.integers(0, 4, 600)
+    x = spots[at] + r.standard_normal((600, 3))
+    df = spark.createDataFrame([("q", i, Vectors.dense(row), float(row[0])) for i, row in enumerate(x)],
+                               ["quarter", "cuestionario", "features", "gasto_euros"]).repartition(5).persist()
+    assert G.choose(df) == 4
+    one, best = G._fit(df, 4, 42).summary.trainingCost, G.fit_segments(df, 4, 42, restarts=4)
+    assert best.summary.trainingCost <= one + 1e-6
+    centres = np.array(best.clusterCenters())
+    assert np.allclose(sorted(centres.sum(axis=1)), sorted(spots.sum(axis=1)), atol=0.5)
+    labels = G.relabel_by_spend(best.transform(df)).select("cuestionario", "cluster_id").collect()
+    found = np.zeros(600, int)
+    for row in labels:
+        found[row.cuestionario] = row.cluster_id
+    assert len({(a, b) for a, b in zip(at.tolist(), found.tolist(), strict=True)}) == 4
+    assert G.choose(df.limit(2)) == 2
+    df.unpersist()
 
-    def cost(c):
-        return ((x[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum()
 
-    assert cost(fits[4]) < cost(fits[2]) and np.allclose(sorted(fits[4].sum(axis=1)), sorted(spots.sum(axis=1)), atol=0.5)
-    # a fixed point of Lloyd's iteration
-    at = ((x[:, None] - fits[4][None]) ** 2).sum(axis=2).argmin(axis=1)
-    assert np.allclose(fits[4], [x[at == k].mean(axis=0) for k in range(4)], atol=1e-3)
-    # silhouettes from cluster sums equal those from all pairs
-    far = ((x[:, None] - x[None]) ** 2).sum(axis=2)
-    means = np.stack([far[:, at == k].sum(axis=1) for k in range(4)], axis=1)
-    n = np.bincount(at, minlength=4)
-    own = means[np.arange(600), at] / (n[at] - 1)
-    rest = means / n
-    rest[np.arange(600), at] = np.inf
-    other = rest.min(axis=1)
-    assert abs(G.silhouettes(df, [fits[4]])[0] - ((other - own) / np.maximum(own, other)).mean()) < 1e-9
-    assert len(G.choose(df)) == 4
-    labels = G.assign(df, fits[4]).collect()
-    assert all(row.prediction == at[row.cuestionario] for row in labels)
+def test_profiles_of_missing_answers(spark, sf_dir):
+    micro = C.microdata(spark, sf_dir, with_raw=True)
+    few = micro.limit(40).withColumn("cluster_id", F.when(F.col("cuestionario") % 3 != 0, F.lit(7)))
+    few = few.withColumns({"edad": F.lit(None).cast("int"), "proposito": F.lit("_Z"), "nacionalidad": F.lit(None).cast("string")})
+    rows = G.profiles(few).collect()
+    assert [r.cluster_id for r in rows] == [7] and rows[0].cluster_name == "Cluster 7"
+    assert rows[0].avg_age is None and rows[0].purpose is None and rows[0].top_nationalities == [] and rows[0].size_pct == 100.0
+    assert G.summary(G.profiles(few)).columns == G.SUMMARY
+    assert G.detail(G.profiles(few), 7).count() == 1 and G.detail(G.profiles(few), 1).count() == 0
+    assert G.profiles(few.filter("false")).count() == 0
+
+
+def test_a_profile_reads_respondents_once(spark, sf_dir):
+    micro = C.microdata(spark, sf_dir, with_raw=True).withColumn("cluster_id", F.lit(0))
+    plan = G.answers(micro)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning") == 1
 
 
 def test_baseline_does_not_depend_on_the_grid(spark, sf_dir):
