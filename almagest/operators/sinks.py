@@ -124,6 +124,33 @@ def load_named(spark: SparkSession, root: str, name: str) -> DataFrame:
     return df.join(df.groupBy("name").agg(F.max("created_at").alias("created_at")), ["name", "created_at"], "left_semi")
 
 
+def save_run(df: DataFrame, root: str, run_id: int, name: str, params: dict, created_at: str) -> int:
+    """Keep a result with its id, name and parameters. The run's
+    description is written last: a result without one is not listed."""
+    df.write.mode("overwrite").parquet(f"{root}/results/run_id={run_id}")
+    row = [(name, json.dumps(params, sort_keys=True), created_at)]
+    about = df.sparkSession.createDataFrame(row, "name string, params string, created_at string")
+    about.coalesce(1).write.mode("overwrite").parquet(f"{root}/runs/run_id={run_id}")
+    return run_id
+
+
+def list_runs(spark: SparkSession, root: str) -> DataFrame:
+    """Saved runs (run_id, name, params, created_at), newest first."""
+    return spark.read.parquet(f"{root}/runs").orderBy(F.col("created_at").desc(), F.col("run_id").desc())
+
+
+def compare_runs(spark: SparkSession, root: str, ids: list[int], most: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Rows of the wanted runs with their names and parameters (at
+    most ``most`` runs, whose partitions alone are read), and the ids that
+    there are none for."""
+    if len(ids) > most:
+        raise ValueError(f"at most {most} runs can be compared")
+    wanted = spark.createDataFrame([(int(i),) for i in ids], "run_id int")
+    runs = spark.read.parquet(f"{root}/runs").filter(F.col("run_id").isin(*ids))
+    rows = spark.read.parquet(f"{root}/results").filter(F.col("run_id").isin(*ids))
+    return rows.join(runs, "run_id"), wanted.join(runs, "run_id", "left_anti")
+
+
 def save_model(model, path: str) -> str:
     """Persist a fitted pyspark.ml model (overwrite)."""
     model.write().overwrite().save(path)

@@ -50,15 +50,16 @@ def with_labels(df: DataFrame, labels: DataFrame, code_col: str, out: str = "lab
               .drop("_code", "_label"))
 
 
-def nationality_profile(micro: DataFrame, from_q=None, to_q=None, limit: int = 50) -> DataFrame:
+def nationality_profile(micro: DataFrame, from_q=None, to_q=None, limit: int = 50, labels: DataFrame | None = None) -> DataFrame:
     """Respondents, mean spend and mean nights per nationality,
-    largest first (ties by code), top ``limit``."""
+    largest first (ties by code), top ``limit``, with labels if given (J04)."""
     m = quarter_range(micro.filter(F.col("nacionalidad").isNotNull()), from_q, to_q)
     g = m.groupBy("nacionalidad").agg(
         F.count(F.lit(1)).alias("count"),
         avg_exact("gasto_euros", 2).alias("avg_spend"),
         avg_exact("noches", 1).alias("avg_nights"))
-    return g.orderBy(F.col("count").desc(), F.col("nacionalidad").asc()).limit(limit)
+    top = g.orderBy(F.col("count").desc(), F.col("nacionalidad").asc()).limit(limit)
+    return top if labels is None else with_labels(top, labels, "nacionalidad")
 
 
 def top_markets(micro: DataFrame, n: int = 5) -> DataFrame:
@@ -168,10 +169,15 @@ def flows(micro: DataFrame, min_count: int = 10, top_countries: int = 6,
                         F.col("value").cast("bigint").alias("value"))
 
 
-def flow_nodes(links: DataFrame) -> DataFrame:
-    """nodes = distinct link ends (orphans cannot appear)."""
+def flow_nodes(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """nodes = distinct link ends (orphans cannot appear), with
+    their labels (J04: kind country or accom, code, label) if given."""
     ends = links.select(F.col("source").alias("id")).union(links.select(F.col("target").alias("id")))
-    return ends.distinct().withColumn("code", F.regexp_extract("id", r"^[a-z]+_(.*)$", 1))
+    nodes = ends.distinct().withColumn("code", F.regexp_extract("id", r"^[a-z]+_(.*)$", 1))
+    if labels is None:
+        return nodes
+    named = labels.select(F.concat_ws("_", "kind", "code").alias("code"), "label")
+    return with_labels(nodes, named, "id").withColumn("label", F.when(F.col("label") == F.col("id"), F.col("code")).otherwise(F.col("label")))
 
 
 # --------------------------------------------------------------------------
@@ -226,8 +232,7 @@ def activities_by_cluster(micro: DataFrame, threshold: float = 0.3) -> DataFrame
     NULL counts as not done."""
     m = parse_raw(micro.filter(F.col("cluster_id").isNotNull()))
     aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.sum(F.when(X.safe_float(F.col(f"raw.{k}")) == 1.0, 1).otherwise(0)).alias(k)
-             for k in ACTIVITY_KEYS]
+    aggs += [F.sum(X.binary_flag(F.col(f"raw.{k}")).cast("long")).alias(k) for k in ACTIVITY_KEYS]
     g = m.groupBy("cluster_id").agg(*aggs)
     rows = F.explode(F.array(*[F.struct(F.lit(X_name(k)).alias("activity"),
                                         (F.col(k) / F.col("n")).alias("share"))

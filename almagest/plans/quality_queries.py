@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from almagest.functions import scalars as X
 from almagest.operators import quality as V
 from almagest.operators import sinks as K
+from almagest.operators import training as R
 from almagest.operators.versions import appended
+from almagest.plans import forecast_queries as FQ
 from almagest.plans import oracle_base as O
 from almagest.sources import batches as B
 from almagest.sources import canonical as C
@@ -259,6 +261,30 @@ SELECT table_name, n_rows, latest_period, latest_fetch, n_keys,
 FROM h2"""
 
 
+def v07_report(spark, sf):
+    """Health with training and load state: predictions of a fleet in which
+    some series failed, segments of a fixed label, loads of both tables."""
+    ts, micro = _ts(spark, sf), C.microdata(spark, sf, with_raw=False)
+    store = FQ.faulty_store(spark, sf)
+    tables = V.health(ts, micro, AS_OF)
+    load = lambda df, name, at: df.select(F.lit(name).alias("table_name"), at.alias("finished_at"),
+                                          F.when(F.dayofyear(at) % 2 == 0, F.lit("success")).otherwise(F.lit("error")).alias("status"))
+    loads = load(ts, "time_series", F.col("period_start").cast("date"))
+    respondents = micro.withColumn("cluster_id", F.col("cuestionario") % 4)
+    return V.report(tables, store.current("points"), R.run_status(store), respondents, loads)
+
+
+V07_SQL = O.with_(O.TIME_SERIES, *FQ.FAULTY_RUN, f"tables AS ({V08_SQL.replace('WITH ', 'WITH ', 1)})") + f"""
+SELECT t.*, p.n_predictions, p.n_models, p.n_forecast_series, p.last_run, p.n_failed_fits,
+       CASE WHEN table_name = 'microdata' THEN (SELECT count(DISTINCT o_orderkey % 4) FROM orders) END AS n_segments, TRUE AS trained,
+       CASE WHEN table_name = 'time_series' THEN (SELECT max(CAST(period_start AS DATE)) FROM time_series WHERE dayofyear(period_start) % 2 = 0) END AS last_success,
+       CASE WHEN table_name = 'time_series' THEN (SELECT max(CAST(period_start AS DATE)) FROM time_series WHERE dayofyear(period_start) % 2 = 1) END AS last_failure
+FROM tables t LEFT JOIN (
+  SELECT 'time_series' AS table_name, (SELECT count(*) FROM faulty_four) AS n_predictions, 4 AS n_models,
+         (SELECT count(DISTINCT (source, indicator, geo_code, measure)) FROM faulty_four) AS n_forecast_series, 1 AS last_run,
+         (SELECT count(*) * 4 FROM checked WHERE reason IS NOT NULL) AS n_failed_fits) p USING (table_name)"""
+
+
 QUERIES = {
     "v01_validate": v01_validate,
     "a26_counters": a26_counters,
@@ -270,6 +296,7 @@ QUERIES = {
     "a27_fingerprint": a27_fingerprint,
     "v10_changed": v10_changed,
     "v08_health": v08_health,
+    "v07_report": v07_report,
 }
 
 ORACLE = {
@@ -283,4 +310,5 @@ ORACLE = {
     "a27_fingerprint": A27_SQL,
     "v10_changed": V10_SQL,
     "v08_health": V08_SQL,
+    "v07_report": V07_SQL,
 }

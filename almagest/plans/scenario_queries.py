@@ -5,10 +5,13 @@ engine."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from almagest.operators import forecast as M
 from almagest.operators import scenario as Z
+from almagest.operators import sinks as K
 from almagest.plans import forecast_queries as FQ
 from almagest.plans import oracle_base as O
 from almagest.sources import canonical as C
@@ -55,11 +58,9 @@ def m22_importance(spark, sf):
 PCTS = (-10.0, 0.0, 10.0)
 
 
-def a25_path_impact(spark, sf):
-    """A24 + A25 + J13 on given paths: baseline = seasonal-naive forecast of
-    each nation's orders, scenarios = that path scaled by a grid of %."""
+def _given_impact(spark, sf, pcts):
     fc = M.seasonal_naive(FQ._train(spark, sf), 12).filter(F.col("indicator") == "orders")
-    grid = F.array(*[F.struct(F.lit(i).alias("scenario_id"), F.lit(p).alias("pct")) for i, p in enumerate(PCTS)])
+    grid = F.array(*[F.struct(F.lit(i).alias("scenario_id"), F.lit(p).alias("pct")) for i, p in enumerate(pcts)])
     paths = (fc.select("geo_code", "h", "value_predicted", F.explode(grid).alias("g"))
                .select("geo_code", "h", F.col("g.scenario_id").alias("scenario_id"),
                        F.col("g.pct").alias("occupancy_pct"), F.lit(0.0).alias("price_pct"),
@@ -68,8 +69,34 @@ def a25_path_impact(spark, sf):
     return Z.impact(Z.with_baseline(paths))
 
 
-def _a25_sql():
-    grid = " UNION ALL ".join(f"SELECT {i} AS scenario_id, CAST({p} AS DOUBLE) AS pct" for i, p in enumerate(PCTS))
+def a25_path_impact(spark, sf):
+    """A24 + A25 + J13 on given paths: baseline = seasonal-naive forecast of
+    each nation's orders, scenarios = that path scaled by a grid of %."""
+    return _given_impact(spark, sf, PCTS)
+
+
+#: Saved runs: their parameters and when they were made.
+SAVED = {1: ((0.0, 5.0), "2024-01-01"), 2: ((0.0, -20.0), "2024-02-01"), 3: ((0.0,), "2024-03-01")}
+
+
+def k10_saved(spark, sf):
+    """Three scenario runs saved by id with their parameters; two of them
+    and one that there is none of, compared."""
+    root = K.snapshot_path(spark, "scenarios")
+    for i, (pcts, at) in SAVED.items():
+        K.save_run(_given_impact(spark, sf, pcts), root, i, f"run {i}", {"occupancy": pcts}, at)
+    found, missing = K.compare_runs(spark, root, [1, 2, 9])
+    return found.unionByName(missing, allowMissingColumns=True)
+
+
+def _k10_sql():
+    parts = [f"SELECT *, {i} AS run_id, 'run {i}' AS name, '{json.dumps({'occupancy': pcts})}' AS params, '{at}' AS created_at "
+             f"FROM ({_a25_sql(pcts)})" for i, (pcts, at) in SAVED.items() if i in (1, 2)]
+    return " UNION ALL BY NAME ".join(parts) + " UNION ALL BY NAME SELECT 9 AS run_id"
+
+
+def _a25_sql(pcts=PCTS):
+    grid = " UNION ALL ".join(f"SELECT {i} AS scenario_id, CAST({p} AS DOUBLE) AS pct" for i, p in enumerate(pcts))
     m = O.exact
     ex = lambda c: f"(CAST(sum({m(c)}) AS DOUBLE) / count({c}))"
     ctes = [O.TIME_SERIES, *FQ.dense_sql(1), *FQ.naive_sql("dense", "fc", 12), f"g AS ({grid})",
@@ -94,9 +121,10 @@ FROM gg"""
 
 QUERIES = {
     "a25_path_impact": a25_path_impact,
+    "k10_saved": k10_saved,
     "m25_sweep": m25_sweep,
     "q23_scenario": q23_scenario,
     "m22_importance": m22_importance,
 }
 
-ORACLE = {"a25_path_impact": _a25_sql()}
+ORACLE = {"a25_path_impact": _a25_sql(), "k10_saved": _k10_sql()}

@@ -156,6 +156,55 @@ SELECT DISTINCT id, regexp_extract(id, '^[a-z]+_(.*)$', 1) AS code
 FROM (SELECT source AS id FROM fl UNION ALL SELECT target FROM fl)"""
 
 
+def _nation_labels(spark, sf):
+    """Labels of nations; every third has none."""
+    n = read(spark, sf, "nation").filter(F.col("n_nationkey") % 3 != 0)
+    return n.select(F.col("n_name").alias("code"), X.display_name("n_name").alias("label"))
+
+
+_LB = "lb AS (SELECT n_name AS code, 'Nation ' || substr(n_name, 8) AS label FROM nation WHERE n_nationkey % 3 <> 0)"
+
+
+def q15_labelled(spark, sf):
+    """Nationality profiles with labels."""
+    return U.nationality_profile(_micro(spark, sf), labels=_nation_labels(spark, sf))
+
+
+def q16_nodes(spark, sf):
+    """Flow nodes with labels of countries and of the accommodations' rest."""
+    rest = spark.createDataFrame([("accom", "_O", "Other")], "kind string, code string, label string")
+    labels = _nation_labels(spark, sf).withColumn("kind", F.lit("country")).unionByName(rest)
+    return U.flow_nodes(U.flows(_micro(spark, sf)), labels)
+
+
+Q15_SQL = f"""WITH pr AS ({_a01_sql()}), {_LB}
+SELECT pr.*, coalesce(lb.label, nacionalidad) AS label FROM pr LEFT JOIN lb ON lb.code = nacionalidad"""
+Q16_SQL = f"""WITH nd AS ({J15_SQL}), {_LB}
+SELECT nd.*, CASE WHEN nd.id = 'accom__O' THEN 'Other' WHEN nd.id LIKE 'country_%' THEN coalesce(lb.label, nd.code) ELSE nd.code END AS label
+FROM nd LEFT JOIN lb ON lb.code = nd.code"""
+
+
+# ---- K02: respondents merged by key ------------------------------------------------------
+def k02_upsert(spark, sf):
+    """A later delivery corrects the spending of every third respondent, sends
+    every fifth again and brings some new ones, each twice."""
+    m = _micro(spark, sf).select("quarter", "cuestionario", "nacionalidad", "gasto_euros", F.lit(1).alias("delivery"))
+    k = F.col("cuestionario")
+    later = (m.filter((k % 3 == 0) | (k % 5 == 0)).withColumn("gasto_euros", F.when(k % 3 == 0, F.col("gasto_euros") + 1).otherwise(F.col("gasto_euros")))
+              .unionByName(m.filter((k % 7 == 0) & (k != 0)).withColumn("cuestionario", -k)).withColumn("delivery", F.lit(2)))
+    twice = later.withColumn("seq", F.lit(1)).unionByName(later.withColumns({"seq": F.lit(2), "gasto_euros": F.lit(-1.0)}))
+    return K.upsert(m, twice, ["quarter", "cuestionario"], order="seq").drop("seq")
+
+
+K02_SQL = O.with_(O.MICRO, """later AS (
+  SELECT quarter, cuestionario, nacionalidad, CASE WHEN cuestionario % 3 = 0 THEN gasto_euros + 1 ELSE gasto_euros END AS gasto_euros, 2 AS delivery
+  FROM micro WHERE cuestionario % 3 = 0 OR cuestionario % 5 = 0
+  UNION ALL SELECT quarter, -cuestionario, nacionalidad, gasto_euros, 2 FROM micro WHERE cuestionario % 7 = 0 AND cuestionario <> 0)""") + """
+SELECT quarter, cuestionario, nacionalidad, gasto_euros, 1 AS delivery FROM micro m
+WHERE NOT EXISTS (SELECT 1 FROM later l WHERE l.quarter = m.quarter AND l.cuestionario = m.cuestionario)
+UNION ALL SELECT * FROM later"""
+
+
 def a28_nested(spark, sf):
     """Nested trends; the array of quarters is shown as text."""
     nested = U.trends_nested(U.nationality_trends(_micro(spark, sf), N_TOP))
@@ -282,6 +331,9 @@ QUERIES = {
     "a04_flows": a04_flows,
     "j04_market_labels": j04_market_labels,
     "j15_nodes": j15_nodes,
+    "q15_labelled": q15_labelled,
+    "q16_nodes": q16_nodes,
+    "k02_upsert": k02_upsert,
     "a28_nested": a28_nested,
     "k06_label_back": k06_label_back,
     "a16_spending": a16_spending,
@@ -301,6 +353,9 @@ ORACLE = {
     "a04_flows": A04_SQL,
     "j04_market_labels": J04_SQL,
     "j15_nodes": J15_SQL,
+    "q15_labelled": Q15_SQL,
+    "q16_nodes": Q16_SQL,
+    "k02_upsert": K02_SQL,
     "a28_nested": A28_SQL,
     "k06_label_back": K06_SQL,
     "a16_spending": _a16_sql(),

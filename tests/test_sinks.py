@@ -2,6 +2,8 @@
 
 import tempfile
 
+import pytest
+
 from almagest.operators import quality as V
 from almagest.operators import sinks as K
 
@@ -24,15 +26,15 @@ def test_load_batch_status_machine(spark):
     key = V.TS_KEY
     val = lambda b: V.validate_timeseries(b, 2025, ("istac",))[0]
     empty = spark.createDataFrame([], COLS)
-    t, st = V.load_batch(None, empty, val, key, "istac", "daily", "s", "f")
+    t, st = V.load_batch(None, empty, val, key, "istac", "daily", "s", "f", order="value")
     assert t is None and st.first().status == "no_new_data"
     bad = spark.createDataFrame([("istac", "x", "ES709", "2024-01", "ABSOLUTE", "n/a", 1)], COLS)
-    t, st = V.load_batch(None, bad, val, key, "istac", "daily", "s", "f")
+    t, st = V.load_batch(None, bad, val, key, "istac", "daily", "s", "f", order="value")
     assert t is None and st.first().status == "error"
     good = spark.createDataFrame([("istac", "X", "ES709", "2024-01", "ABSOLUTE", "5", 1),
                                   ("istac", "x", "ES709", "2024-01", "ABSOLUTE", "6", 2),
                                   ("istac", "x", "ES709", "1800-01", "ABSOLUTE", "6", 3)], COLS)
-    t, st = V.load_batch(None, good, val, key, "istac", "daily", "s", "f")
+    t, st = V.load_batch(None, good, val, key, "istac", "daily", "s", "f", order="value")
     r = st.first()
     assert (r.status, r.records_fetched, r.records_valid) == ("success", 3, 1)
     assert [x.value for x in t.collect()] == [5.0]
@@ -62,9 +64,9 @@ def test_raising_source_leaves_the_table_alone(spark):
 
     val = lambda b: V.validate_timeseries(b, 2025, ("istac",))[0]
     good = spark.createDataFrame([("istac", "x", "E", "2024-02", "ABSOLUTE", "6", 1)], COLS)
-    jobs = [dict(source="a", job="daily", fetch=broken, validate=val, key=V.TS_KEY, table="ts"),
-            dict(source="b", job="daily", fetch=lambda: good, validate=val, key=V.TS_KEY, table="ts"),
-            dict(source="c", job="weekly", fetch=lambda: good.limit(0), validate=val, key=V.TS_KEY, table="ts")]
+    jobs = [dict(source="a", job="daily", fetch=broken, validate=val, key=V.TS_KEY, table="ts", order="value"),
+            dict(source="b", job="daily", fetch=lambda: good, validate=val, key=V.TS_KEY, table="ts", order="value"),
+            dict(source="c", job="weekly", fetch=lambda: good.limit(0), validate=val, key=V.TS_KEY, table="ts", order="value")]
     tables, status = V.run_jobs({"ts": old}, jobs, "s", "f")
     assert [(r.source, r.status, r.records_valid) for r in status.collect()] == [("a", "error", 0), ("b", "success", 1), ("c", "no_new_data", 0)]
     assert "source is down" in status.filter("source = 'a'").first().error
@@ -98,3 +100,19 @@ def test_overwrite_seed_once_and_lookup(spark):
     assert [r.v for r in K.point(t, k="c").collect()] == [3] and K.point(t, k="x", v=1).count() == 0
     snap = K.write_snapshot(two, K.snapshot_path(spark, "t"), sort_within=["k"])
     assert spark.read.parquet(snap).count() == 2
+
+
+def test_saved_runs_by_id(spark):
+    root = tempfile.mkdtemp(prefix="almagest-runs-")
+    df = spark.createDataFrame([(1, 10.0), (2, 11.0)], "h int, value double")
+    for i, at in ((1, "2024-01-01"), (2, "2024-03-01"), (3, "2024-02-01")):
+        K.save_run(df, root, i, f"plan {i}", {"price": i}, at)
+    K.save_run(df.limit(1), root, 2, "plan 2 again", {"price": 5}, "2024-03-01")
+    df.write.parquet(f"{root}/results/run_id=7")  # not finished
+    assert [(r.run_id, r.name, r.params) for r in K.list_runs(spark, root).collect()] == [
+        (2, "plan 2 again", '{"price": 5}'), (3, "plan 3", '{"price": 3}'), (1, "plan 1", '{"price": 1}')]
+    found, missing = K.compare_runs(spark, root, [1, 2, 7])
+    assert sorted((r.run_id, r.h) for r in found.collect()) == [(1, 1), (1, 2), (2, 1)]
+    assert [r.run_id for r in missing.collect()] == [7]
+    with pytest.raises(ValueError):
+        K.compare_runs(spark, root, [1, 2, 3, 4])
