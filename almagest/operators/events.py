@@ -84,32 +84,32 @@ def asof_forward(points: DataFrame, key: str, ts: str, payload: list[str],
                  cursor_offset_hours: int = 12) -> DataFrame:
     """For every series ``key`` and every day between its first and
     last point, the first point at or after the cursor (day + offset),
-    clamped to the series' last point when none follows.
-
-    Bucketed as-of join: points are reduced per (series, day) with partial
-    aggregation (earliest point of the day, earliest after the cursor), then
-    a forward ignore-nulls frame over the per-series day spine finds the next
-    non-empty day. No range join, no per-series collect of raw points; the
-    window holds one row per day of a series.
+    clamped to the series' last point when none follows. Of points at one time
+    the one with the smallest ``payload[0]`` (a number that tells points
+    apart) comes first.
+
+    Bucketed as-of join: points are reduced per (series, day), map-side first,
+    by one fixed-width key of time and number, so a hash table holds the
+    reduction and no raw point is sorted or joined. A day then knows the next
+    one that has points, and each answers for the days in between. No range
+    join, no per-series collect of raw points; the window holds one row per
+    day with points of a series.
     """
-    p = points.select(key, ts, *payload).withColumn("_day", F.to_date(ts))
     cursor_of = lambda day: F.to_timestamp(day) + F.make_interval(hours=F.lit(cursor_offset_hours))
-    rec = F.struct(F.col(ts).alias("ts"), *[F.col(c) for c in payload])
+    big = lambda n: F.lit(str(n)).cast("decimal(20,0)")
+    number = F.coalesce(F.col(payload[0]).cast("decimal(20,0)"), big(-2**63)) + big(2**63)
+    place = F.unix_micros(F.col(ts).cast("timestamp")).cast("decimal(18,0)") * big(2**64) + number
+    p = points.select(key, ts, *payload, place.cast("decimal(38,0)").alias("_place")).withColumn("_day", F.to_date(ts))
+    after = F.when(F.col(ts) >= cursor_of(F.col("_day")), F.col("_place"))
+    cols = [ts, *payload]
     daily = p.groupBy(key, "_day").agg(
-        F.min(rec).alias("first_all"),
-        F.min(F.when(F.col(ts) >= cursor_of(F.col("_day")), rec)).alias("first_after"),
-        F.max(rec).alias("last_of_day"))
-    bounds = daily.groupBy(key).agg(F.min("_day").alias("lo"), F.max("_day").alias("hi"),
-                                    F.max("last_of_day").alias("last_rec"))
-    spine = bounds.select(key, "last_rec",
-                          F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias("_day"))
-    j = spine.join(daily, [key, "_day"], "left")
-    w = Window.partitionBy(key).orderBy("_day").rowsBetween(1, Window.unboundedFollowing)
-    j = j.withColumn("next_rec", F.first("first_all", ignorenulls=True).over(w))
-    match = F.coalesce("first_after", "next_rec", "last_rec")
-    clamped = F.col("first_after").isNull() & F.col("next_rec").isNull()
-    return j.select(key, cursor_of(F.col("_day")).alias("cursor"),
-                    match.getField("ts").alias("match_ts"),
-                    *[match.getField(c).alias(f"match_{c}") for c in payload],
-                    clamped.alias("clamped"))
-
+        *[F.min_by(c, "_place").alias(f"first_{c}") for c in cols], *[F.min_by(F.col(c), after).alias(f"after_{c}") for c in cols],
+        *[F.max_by(c, "_place").alias(f"last_{c}") for c in cols])
+    w = Window.partitionBy(key).orderBy("_day")
+    j = daily.withColumns({"_next": F.lead("_day").over(w), **{f"next_{c}": F.lead(f"first_{c}").over(w) for c in cols}})
+    j = j.withColumn("_cursor", F.explode(F.sequence("_day", F.coalesce(F.date_sub("_next", 1), F.col("_day")))))
+    own = (F.col("_cursor") == F.col("_day")) & F.col(f"after_{ts}").isNotNull()
+    clamped = ~own & F.col("_next").isNull()
+    match = lambda c: F.when(own, F.col(f"after_{c}")).when(clamped, F.col(f"last_{c}")).otherwise(F.col(f"next_{c}"))
+    return j.select(key, cursor_of(F.col("_cursor")).alias("cursor"), match(ts).alias("match_ts"),
+                    *[match(c).alias(f"match_{c}") for c in payload], clamped.alias("clamped"))

@@ -155,9 +155,11 @@ def holt_winters(train: DataFrame, horizon: int = 12, min_points: int = 2 * SEAS
     """M05 + M06: additive trend, multiplicative season (additive when any
     value <= 0), smoothing parameters from a fixed grid by in-sample SSE.
 
-    The grid is a generator (explode of a literal array of parameter
-    structs), not a join; the recursion is ``aggregate`` over the ordered
-    values with (level, trend, 12 seasonals, sse, sum of errors) as state.
+    The search runs inside the row of a series: the grid is a literal array
+    that is transformed to the states after the last value, and the least SSE
+    among them stays, so after the arrays are built there is neither a generator
+    nor a shuffle. The recursion is ``aggregate`` over the ordered values with
+    (level, trend, 12 seasonals, sse, sum of errors) as state.
     """
     arr = _series_arrays(train).filter(F.col("n") >= min_points)
     grid = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(g).alias("g"))
@@ -168,31 +170,34 @@ def holt_winters(train: DataFrame, horizon: int = 12, min_points: int = 2 * SEAS
     l1 = F.aggregate(F.slice(v, SEASON + 1, SEASON), F.lit(0.0), lambda acc, x: acc + x) / SEASON
     b0 = (l1 - l0) / SEASON
     s0 = F.transform(F.slice(v, 1, SEASON), lambda x: F.when(mul, F.try_divide(x, l0)).otherwise(x - l0))
-    x = (arr.withColumn("mul", mul).withColumn("l0", l0).withColumn("b0", b0).withColumn("s0", s0)
-            .withColumn("p", F.explode(grid)))
-    a, b, g = F.col("p.a"), F.col("p.b"), F.col("p.g")
+    x = arr.withColumn("mul", mul).withColumn("l0", l0).withColumn("b0", b0).withColumn("s0", s0)
     init = F.struct(F.col("l0").alias("l"), F.col("b0").alias("b"), F.col("s0").alias("s"),
                     F.lit(0.0).alias("sse"), F.lit(0.0).alias("se1"))
 
-    def step(acc, i):
-        y = F.element_at(v, i)
-        idx = (i - 1) % SEASON
-        si = F.element_at(acc["s"], idx + 1)
-        lb = acc["l"] + acc["b"]
-        pred = F.when(F.col("mul"), lb * si).otherwise(lb + si)
-        e = y - pred
-        l_new = F.when(F.col("mul"), a * F.try_divide(y, si) + (1 - a) * lb).otherwise(a * (y - si) + (1 - a) * lb)
-        b_new = b * (l_new - acc["l"]) + (1 - b) * acc["b"]
-        s_i = F.when(F.col("mul"), g * F.try_divide(y, l_new) + (1 - g) * si).otherwise(g * (y - l_new) + (1 - g) * si)
-        s_new = F.transform(acc["s"], lambda sv, j: F.when(j == idx, s_i).otherwise(sv))
-        return F.struct(l_new.alias("l"), b_new.alias("b"), s_new.alias("s"),
-                        (acc["sse"] + e * e).alias("sse"), (acc["se1"] + e).alias("se1"))
-
-    fit = x.withColumn("st", F.aggregate(F.sequence(F.lit(SEASON + 1), F.col("n")), init, step))
-    fit = fit.filter(~F.isnan("st.sse") & F.col("st.sse").isNotNull())
-    best = fit.groupBy(*SERIES_KEY).agg(
-        F.min_by(F.struct("st", "p", "n", "t_last", "mul"), F.struct(F.col("st.sse"), F.col("p"))).alias("r"))
-    best = best.select(*SERIES_KEY, "r.*")
+    def after(p):
+        """The state after the last value under parameters p."""
+        a, b, g = p["a"], p["b"], p["g"]
+
+        def step(acc, i):
+            y = F.element_at(v, i)
+            idx = (i - 1) % SEASON
+            si = F.element_at(acc["s"], idx + 1)
+            lb = acc["l"] + acc["b"]
+            pred = F.when(F.col("mul"), lb * si).otherwise(lb + si)
+            e = y - pred
+            l_new = F.when(F.col("mul"), a * F.try_divide(y, si) + (1 - a) * lb).otherwise(a * (y - si) + (1 - a) * lb)
+            b_new = b * (l_new - acc["l"]) + (1 - b) * acc["b"]
+            s_i = F.when(F.col("mul"), g * F.try_divide(y, l_new) + (1 - g) * si).otherwise(g * (y - l_new) + (1 - g) * si)
+            s_new = F.transform(acc["s"], lambda sv, j: F.when(j == idx, s_i).otherwise(sv))
+            return F.struct(l_new.alias("l"), b_new.alias("b"), s_new.alias("s"),
+                            (acc["sse"] + e * e).alias("sse"), (acc["se1"] + e).alias("se1"))
+        return F.aggregate(F.sequence(F.lit(SEASON + 1), F.col("n")), init, step)
+
+    fits = F.transform(F.transform(grid, lambda p: F.struct(after(p).alias("st"), p.alias("p"))),
+                       lambda f: F.struct(f["st"]["sse"].alias("sse"), f["p"].alias("p"), f["st"].alias("st")))
+    sound = F.filter(fits, lambda f: f["sse"].isNotNull() & ~F.isnan(f["sse"]))
+    best = (x.withColumn("best", F.array_min(sound)).filter(F.col("best").isNotNull())
+             .select(*SERIES_KEY, "n", "t_last", "mul", F.col("best.st").alias("st"), F.col("best.p").alias("p")))
     m = F.col("n") - SEASON
     var = (F.col("st.sse") - F.col("st.se1") * F.col("st.se1") / m) / (m - 1)
     best = best.withColumn("se", F.sqrt(F.greatest(var, F.lit(0.0))))

@@ -33,3 +33,22 @@ def test_last_n_is_limited_before_the_shuffle(spark, sf_dir):
 def test_no_cartesian_product_and_no_python(spark, sf_dir, name):
     text = plan(spark, sf_dir, name)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text and "Python" not in text
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_asof_neither_sorts_nor_rereads_events(spark, sf_dir):
+    from almagest.plans import registry
+    plan = _plan(registry.queries()["j17_asof_forward"](spark, sf_dir))
+    assert "SortAggregate" not in plan and plan.count("FileScan parquet") == 1 and "Join" not in plan
+
+
+def test_smoothing_search_stays_in_the_row(spark, sf_dir):
+    from almagest.operators import forecast as M
+    from almagest.sources import canonical as C
+    fitted = M.holt_winters(M.training_series(C.time_series(spark, sf_dir)), 12)
+    plan = _plan(fitted)
+    arrays = _plan(M._series_arrays(M.training_series(C.time_series(spark, sf_dir))))
+    assert plan.count("Exchange ") == arrays.count("Exchange ") and plan.count("Generate") == arrays.count("Generate") + 1  # the steps
