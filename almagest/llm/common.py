@@ -46,6 +46,12 @@ def keyed(docs: DataFrame) -> DataFrame:
                        doc_key().alias("k1"), text_key().alias("k2"))
 
 
+def as_row(docs: DataFrame) -> Column:
+    """All columns of docs as one struct ``row``, so that helper columns beside
+    it cannot have their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/almagest-llm/{name}-{uuid.uuid4().hex}"
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almagest.llm.common import WORD, doc_key, text_key, written
+from almagest.llm.common import WORD, as_row, doc_key, text_key, written
 
 LINE_DOCS = 50
 LEAST_WORDS = 50
@@ -97,7 +97,7 @@ def _judged(spark: SparkSession, docs: DataFrame, most: int) -> DataFrame:
     same = lines["host"].eqNullSafe(often["host"]) & (lines["line"] == often["line"])
     gone = lines.join(often, same, "left_semi").groupBy("host", F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(
         F.collect_set("line").alias("__gone")).withColumnRenamed("host", "__host")
-    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
+    own = docs.select(as_row(docs).alias("__row"), "doc_id", "text",
                       F.col("source").cast("string").alias("__of"), doc_key().alias("__k1"), text_key().alias("__k2"))
     rows = own.join(gone, (own["__k1"] == gone["__k1"]) & (own["__k2"] == gone["__k2"])
                     & own["__of"].eqNullSafe(gone["__host"]), "left")

@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from almagest.llm.common import WORD, doc_key, parallelism, text_key, written
+from almagest.llm.common import WORD, as_row, doc_key, parallelism, text_key, written
 
 WEIGHTS = (3, 1, 2)
 RATIO = 1.5
@@ -139,19 +139,23 @@ def in_order(spark: SparkSession, planned: DataFrame) -> DataFrame:
 
 
 def written_order() -> list[Column]:
-    """Columns that order the rows of a mix that was written and read back."""
-    return [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    """Columns that order the rows of a mix that was written and read back from
+    its files: by the number in a file's name (names have five digits up to
+    99 999 and more from there on), then by place. Only for tables that come
+    from files."""
+    name = F.col("_metadata.file_name")
+    return [F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long"), name, F.col("_metadata.row_index")]
 
 
 def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The mixed corpus: docs' rows, each as often as the mix takes it, in
     order of training position (range-sorted), in docs' columns."""
     chosen = plan(spark, docs).filter(F.size("positions") > 0).groupBy("k1", "k2").agg(
-        F.flatten(F.collect_list("positions")).alias("__positions")).withColumnsRenamed({"k1": "__k1", "k2": "__k2"})
-    own = docs.withColumns({"__k1": doc_key(), "__k2": text_key()})
+        F.flatten(F.collect_list("positions")).alias("positions"))
+    own = docs.select(as_row(docs), doc_key().alias("k1"), text_key().alias("k2"))
     # the same id and text in more rows than one: the positions of all hang on the first
-    nth = F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy(F.lit(0)))
-    placed = (own.join(chosen, ["__k1", "__k2"]).withColumn("__nth", nth).filter("__nth = 1")
-              .withColumn("__at", F.explode("__positions")))
-    return (placed.repartitionByRange(parallelism(spark), "__at", "__k1", "__k2")
-            .sortWithinPartitions("__at", "__k1", "__k2").select(*[F.col(f"`{c}`") for c in docs.columns]))
+    nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(0)))
+    placed = (own.join(chosen, ["k1", "k2"]).withColumn("nth", nth).filter("nth = 1")
+              .withColumn("at", F.explode("positions")))
+    return (placed.repartitionByRange(parallelism(spark), "at", "k1", "k2")
+            .sortWithinPartitions("at", "k1", "k2").select("row.*"))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from almagest.llm.common import chunks, doc_key, keyed, parallelism, text_key, utf8, whole_groups, written
+from almagest.llm.common import as_row, chunks, doc_key, keyed, parallelism, text_key, utf8, whole_groups, written
 from almagest.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -231,12 +231,11 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle_words: int = SHINGLE_
              max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of docs, one for each component: the one with the least
     doc_id (null last, then by text where an id repeats; one of whole rows
-    that repeat). Columns are kept as they are."""
+    that repeat). Columns, whatever their names, are kept as they are."""
     marks = classified(spark, docs, shingle_words, max_bits)
     first = marks.groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "k1", "k2")).alias("r")).select("r.k1", "r.k2")
-    own = docs.withColumns({"__k1": doc_key(), "__k2": text_key()})
-    kept = own.join(first, (own["__k1"] == first["k1"]) & (own["__k2"] == first["k2"]), "left_semi")
+    own = docs.select(as_row(docs), doc_key().alias("k1"), text_key().alias("k2"))
     # the same id and text in more rows than one: the join has them side by side
-    nth = F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy(F.lit(0)))
-    return kept.withColumn("__nth", nth).filter("__nth = 1").select(docs.columns)
+    nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(0)))
+    return own.join(first, ["k1", "k2"], "left_semi").withColumn("nth", nth).filter("nth = 1").select("row.*")

@@ -41,8 +41,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almagest.llm.common import (NULL_ID, chunks, doc_key, drop, keyed, mix64, parallelism, span_hashes, text_key,
-                                 utf8, whole_groups, written)
+from almagest.llm.common import (NULL_ID, as_row, chunks, doc_key, drop, keyed, mix64, parallelism, span_hashes, text_key, utf8, whole_groups,
+                                 written)
 
 WINDOW = 400
 PREFIX = 160
@@ -362,15 +362,16 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, p
 
     def run(batches):
         for batch in batches:
-            kept = [k.decode("utf-8", "ignore") for k, _, _ in _each_text(batch)]
-            nulls = batch.column(at).is_null().to_numpy(zero_copy_only=False)
-            cols = [batch.column(i) for i in range(len(names))]
+            cols = batch.column("row").flatten()
+            own = pa.RecordBatch.from_arrays([cols[at], batch.column("__spans")], names=["text", "__spans"])
+            kept = [k.decode("utf-8", "ignore") for k, _, _ in _each_text(own)]
+            nulls = cols[at].is_null().to_numpy(zero_copy_only=False)
             cols[at] = pa.array(kept, pa.string(), mask=nulls)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    own = docs.withColumns({"__k1": doc_key(), "__k2": text_key()})
+    own = docs.select(as_row(docs), doc_key().alias("__k1"), text_key().alias("__k2"))
     rows = _with_spans(spark, docs, own, window, prefix)
-    out = rows.select(*[F.col(f"`{c}`") for c in names], "__spans").mapInArrow(run, docs.schema)
+    out = rows.select("row", "__spans").mapInArrow(run, docs.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

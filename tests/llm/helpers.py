@@ -34,4 +34,5 @@ def with_clashes(docs):
     from pyspark.sql import functions as F
 
     return docs.withColumns({c: F.lit("extra") for c in ("k1", "k2", "fp", "spans", "size", "bucket", "component", "words",
-                                                         "score", "kept", "edits", "position", "count")})
+                                                         "score", "kept", "edits", "position", "count", "row", "at", "nth",
+                                                         "__k1", "__k2", "__nth", "__at", "__row", "__left", "__spans", "__of", "__gone")})
