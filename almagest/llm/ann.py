@@ -49,6 +49,12 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, scale, np.sqrt(((unit - q * scale[:, None]) ** 2).sum(axis=1))
 
 
+def levelled(rows: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to
+    0.5..1: norms neither under- nor overflow, and cosines stay as they are."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1))[1][:, None])
+
+
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Cosine of each pair of rows, summed component by component in double."""
     dot, xx, yy = (np.zeros(len(x)) for _ in range(3))
@@ -64,6 +70,7 @@ class Tile:
     """The queries of one tile and their heaps."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, k: int):
+        rows = levelled(rows)
         self.ids, self.rows, self.k = ids, rows, k
         unit = rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
         self.q, self.scale, self.miss = quantised(unit)
@@ -71,6 +78,7 @@ class Tile:
         self.heaps: list[list[tuple[float, int]]] = [[] for _ in ids]
 
     def meet(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        rows = levelled(rows)
         unit = rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
         c, scale, miss = quantised(unit)
         c = c.astype(np.float32).T

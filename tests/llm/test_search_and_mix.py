@@ -59,6 +59,26 @@ def test_nearest_of_few_and_none(spark):
     assert ann.nearest(spark, df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_of_extreme_vectors(spark):
+    rows = [(50, [1e-170, 2e-170]), (100, [1.0, 1.5]), (1, [1e200, 1e200]), (2, [1e-170, 1e-170]), (3, [5e-324, 0.0]), (4, [-1e308, 1e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {(r.query_id, r.vec_id): r.score for r in ann.nearest(spark, df, df.filter("vec_id % 50 = 0")).collect()}
+    assert len(got) == 10
+    assert [got[100, 1], got[100, 2]] == pytest.approx([2.5 / (3.25 * 2) ** 0.5] * 2, rel=1e-12)
+    assert got[50, 100] == pytest.approx(4 / (5 * 3.25) ** 0.5, rel=1e-12) and got[50, 3] == pytest.approx(5**-0.5, rel=1e-12)
+    assert got[100, 4] == pytest.approx(0.5 / (3.25 * 2) ** 0.5, rel=1e-12)
+
+
+def test_training_order_of_many_files(spark, tmp_path):
+    """Rows of files 99 999 and 100 000 come in the order of their numbers."""
+    for n in (100_000, 99_999, 7):
+        spark.createDataFrame([(n, "x")], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / f"w{n}"))
+        made = next((tmp_path / f"w{n}").glob("part-*.parquet"))
+        (tmp_path / f"part-{n:05d}-abc.c000.parquet").write_bytes(made.read_bytes())
+    rows = spark.read.parquet(str(tmp_path / "part-*.parquet")).orderBy(*mixing.written_order()).collect()
+    assert [r.doc_id for r in rows] == [7, 99_999, 100_000]
+
+
 # mixing
 
 def mix_rows():
