@@ -7,9 +7,10 @@ calibrated by a temperature.
   scaled to unit length.
 * Document frequencies cover all training documents (added up by bucket).
 * The regression is fitted on some ``SAMPLE`` training documents of each
-  language, however many there are: all of a rarer one, else those that a hash
-  of id and text picks at the rate SAMPLE / documents. A fifth of them only
-  sets the temperature. The driver's state grows with the languages.
+  language's different texts, however many there are: all of a rarer one, else
+  those that a hash of the text picks at the rate SAMPLE / texts. Of every five
+  texts of a language one only sets the temperature, and languages of few
+  texts are shown more often. The driver's state grows with the languages.
 * Every whole text is scored; nothing but the text enters a prediction.
 """
 
@@ -29,6 +30,8 @@ BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 SAMPLE = 1500
 ROUNDS = 2
+#: A language of fewer texts is shown about so many times a round.
+LEAST_SHOWN = 8
 ALPHA, BETA, LASSO, RIDGE = 0.5, 1.0, 0.02, 1e-4
 UNKNOWN = "und"
 HELD_OUT = (3, 1)
@@ -150,7 +153,9 @@ def fit(spark: SparkSession, train: DataFrame) -> Model | None:
     """Fit on rows with doc_id, text and lang; None if none has a language."""
     rows = train.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                         F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    text = F.xxhash64("text")
+    # distinct texts of each language, to some hundredths: a row for each
+    counts = {r["lang"]: max(1, r["texts"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct(text, 0.02).alias("texts")).collect()}
     if not counts:
         return None
     sums = rows.select("text").mapInArrow(_frequencies, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df"))
@@ -158,20 +163,25 @@ def fit(spark: SparkSession, train: DataFrame) -> Model | None:
     for r in sums.toArrow().to_pylist():  # a row for each bucket
         df[r["bucket"]] = r["df"]
     idf = np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1
-    # a document's luck, even over 0..1, against its language's share
-    luck = F.xxhash64("doc_id", "text")
+    # a text's luck, even over 0..1, against its language's share; a text that repeats teaches once
     share = spark.createDataFrame([(lang, min(1.0, SAMPLE / n)) for lang, n in counts.items()], "lang string, share double")
-    sample = (rows.join(F.broadcast(share), "lang").filter(luck / 2.0**64 + 0.5 < F.col("share")).select("lang", luck.alias("luck"), "text")
+    sample = (rows.withColumn("luck", text).join(F.broadcast(share), "lang").filter(F.col("luck") / 2.0**64 + 0.5 < F.col("share"))
+              .select("lang", "luck", "text").dropDuplicates(["lang", "luck"])
               .mapInArrow(_features, "lang string, luck long, bucket array<int>, count array<int>").toArrow())
     place = {x: i for i, x in enumerate(sorted(counts))}
-    order = np.argsort(sample.column("luck").to_numpy(), kind="stable")
-    target = np.array([place[x] for x in sample.column("lang").to_pylist()], np.int64)[order]
+    target = np.array([place[x] for x in sample.column("lang").to_pylist()], np.int64)
+    order = np.lexsort((sample.column("luck").to_numpy(), target))
+    target = target[order]
     column = lambda c: [x.values.to_numpy() for x in sample.column(c)]
-    buckets, counts = column("bucket"), column("count")
-    feats = [(buckets[i], weighed(counts[i], idf[buckets[i]])) for i in order.tolist()]
-    aside = np.arange(len(feats)) % 5 == 4
-    fit_on = [f for f, a in zip(feats, aside, strict=True) if not a]
-    weights = fit_ftrl(fit_on, target[~aside], len(place))
+    buckets, counted_ = column("bucket"), column("count")
+    feats = [(buckets[i], weighed(counted_[i], idf[buckets[i]])) for i in order.tolist()]
+    # every fifth text of a language is set aside for the temperature; one with fewer keeps all
+    nth = np.arange(len(target)) - np.searchsorted(target, target, "left")
+    aside = nth % 5 == 4
+    # a language of few texts is shown as often as one of LEAST_SHOWN
+    own = np.bincount(target[~aside], minlength=len(place))
+    shown = np.repeat(np.flatnonzero(~aside), -(-LEAST_SHOWN // np.minimum(np.maximum(own, 1), LEAST_SHOWN))[target[~aside]])
+    weights = fit_ftrl([feats[i] for i in shown.tolist()], target[shown], len(place))
     logits = np.array([x @ weights[b] + weights[BUCKETS] for (b, x), a in zip(feats, aside, strict=True) if a])
     return Model(sorted(place), idf, weights, fit_temperature(logits, target[aside]))
 
