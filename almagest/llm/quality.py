@@ -16,6 +16,15 @@ tables of fragments, repetition) and is it toxic. For each:
 Features of all rows are found once and written. Lexicon counts and gradients
 are summed over them in tasks, by blocks of ``BLOCK`` buckets; the driver holds
 the ``BUCKETS`` weights and no rows.
+
+The scorer's lasso leaves nearly all weights at zero, so it is fitted on a
+working set: a pass over all features of all documents gives every bucket's
+gradient; buckets whose gradient the lasso does not hold join the set, the
+strongest first; the quasi-Newton steps run on the documents' features of that
+set alone; then the next full pass looks for buckets that the lasso does not
+hold now. When there are none, the weights are the optimum over all buckets;
+the fit also ends when a round lowers the objective by less than LEAST_FALL of
+what it was at first.
 """
 
 from __future__ import annotations
@@ -36,11 +45,19 @@ BUCKETS = 1 << 20
 PREFIX_BYTES = 5
 #: Buckets that one row of partial sums holds.
 BLOCK = 4_096
-#: Most passes of the scorer's fit, the least fall of its objective in five steps (share of the first)
-#: to go on, and the steps it keeps.
+#: A weight is zero unless the documents' errors pull harder than this.
+LASSO = 1.5
+#: Share of LASSO that a zero weight's pull may exceed it by, and the buckets that join the working set first (each time twice as many).
+TOLERANCE = 0.1
+JOIN = 256
+#: Most passes over a working set, the least fall of the objective (share of the first) for another full
+#: pass, the part of it that five steps on a working set must reach to go on, and the steps they keep.
 ROUNDS = 200
 LEAST_FALL = 1e-3
+STEPS_FALL = 0.3
 PAIRS = 5
+#: Bytes of narrowed features that a task reads.
+NARROW_BYTES = 16 << 20
 REJECT_AT = 0.35
 #: Share of the annotators' judgements that are taken to be right.
 ANNOTATORS_RIGHT = 0.95
@@ -122,8 +139,13 @@ def _analysed(batches: Iterator[pa.RecordBatch]):
 
 
 def _features(batches):
-    """Heuristic votes and features (little-endian 32-bit) of all rows."""
+    """Heuristic votes and features of all rows: rising buckets as differences
+    (little-endian 32-bit), which compress well."""
     for batch, i, j, (signals, _, rows, feats) in _analysed(batches):
+        feats = np.sort(rows * BUCKETS + feats) % BUCKETS  # by row, then bucket
+        first = np.ones(len(rows), bool)
+        first[1:] = rows[1:] != rows[:-1]
+        feats[1:] -= np.where(first[1:], 0, feats[:-1])
         votes = np.zeros(j - i, np.int64)
         for b, name in enumerate(JUNK_LABELLERS):
             votes |= (signals[:, SIGNALS.index(name)] > JUNK_AT[name]).astype(np.int64) << b
@@ -143,7 +165,11 @@ def _stored(batches):
         off = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
         data = np.frombuffer(column.buffers()[2], np.uint8)
         for i, j in chunks(off, 1 << 23):
-            yield batch, i, j, np.repeat(np.arange(j - i), np.diff(off[i:j + 1]) // 4), data[off[i]:off[j]].view("<i4").astype(np.int64)
+            size = np.diff(off[i:j + 1]) // 4
+            total = np.cumsum(data[off[i]:off[j]].view("<i4"), dtype=np.int64)
+            ends = np.cumsum(size)
+            before = np.concatenate([[0], total])[ends - size]
+            yield batch, i, j, np.repeat(np.arange(j - i), size), total - np.repeat(before, size)
 
 
 _SUMS = "block int, at binary, sums binary"
@@ -174,15 +200,16 @@ def _added(batches):
         yield from _blocks(sums, block)
 
 
-def _total(spark: SparkSession, seen: DataFrame, run) -> np.ndarray:
-    """The sum over all tasks of run's sums: a row for each of two targets;
-    buckets, then a block with what is not of a bucket."""
-    out = np.zeros((2, BUCKETS + BLOCK))
+def _total(spark: SparkSession, seen: DataFrame, run, width: int = BUCKETS + BLOCK) -> np.ndarray:
+    """The sum over all tasks of run's sums (2 x width, whole blocks): a row for
+    each of two targets; buckets, then what is not of a bucket."""
+    out = np.zeros((2, width))
+    parts = min(parallelism(spark), width // BLOCK)
     clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(clean)
     spark.conf.set(clean, "true")  # a shuffle for each round; nothing reads it again
     try:
-        sums = seen.mapInArrow(run, _SUMS).repartition(parallelism(spark), "block").mapInArrow(_added, _SUMS).toArrow()
+        sums = seen.mapInArrow(run, _SUMS).repartition(parts, "block").mapInArrow(_added, _SUMS).toArrow()
     finally:
         spark.conf.set(clean, before)
     for block, at, part in _read_blocks(sums.to_pylist()):
@@ -271,9 +298,10 @@ def fit_votes(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> VoteMo
     return model
 
 
-def descend(x: np.ndarray, lasso: np.ndarray, rounds: int) -> Generator:
+def descend(x: np.ndarray, lasso: np.ndarray, rounds: int, least: float | None = None) -> Generator:
     """Least loss + lasso * |x| by orthant-wise limited-memory quasi-Newton.
-    Yields a point, is sent (loss, gradient) there; returns the best point."""
+    Yields a point, is sent (loss, gradient) there; returns the best point, when
+    five steps lower the objective by no more than ``least``."""
     loss, g = yield x
     best = loss + lasso @ np.abs(x)
     were = [best]
@@ -306,30 +334,56 @@ def descend(x: np.ndarray, lasso: np.ndarray, rounds: int) -> Generator:
         if s @ y > 1e-10:
             pairs.append((s, y))
         were.append(best)
-        if len(were) > 5 and were[-6] - best <= LEAST_FALL * were[0]:
+        if len(were) > 5 and were[-6] - best <= (LEAST_FALL * were[0] if least is None else least):
             return x
     return x
 
 
-def fit_scorer(gradient: Callable, mean: np.ndarray, rounds: int = ROUNDS,
-               lasso: float = 1.5) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic regressions on soft targets, one for each of two targets.
-    gradient(weights, bias, going) gives, over all documents, the sums by bucket,
-    then those of bias and loss, of the targets still going; mean: the targets' means. The lasso keeps features
-    at zero that fewer than some two misjudged documents speak for, so words of
-    single documents stay out."""
-    bound = np.append(np.full(BUCKETS, lasso), 0.0)
-    fits = [descend(np.append(np.zeros(BUCKETS), b), bound, rounds) for b in np.log((mean + 1e-3) / (1 - mean + 1e-3))]
-    at = np.stack([next(f) for f in fits])
-    going = [True, True]
-    while any(going):
-        sums = gradient(at[:, :BUCKETS], at[:, BUCKETS], going)
+def fit_scorer(full: Callable, narrowed: Callable, mean: np.ndarray, lasso: float = LASSO) -> tuple[np.ndarray, np.ndarray]:
+    """Logistic regressions on soft targets, one for each of two targets, whose
+    means are ``mean``. full(weights, bias, going) gives, over all documents, the
+    sums by bucket, then those of bias and loss, of the targets still going;
+    narrowed(buckets) gives such a function for weights of these buckets alone,
+    and one that ends it. The lasso keeps features at zero that fewer than some
+    two misjudged documents speak for, so words of single documents stay out."""
+    weights, bias = np.zeros((2, BUCKETS)), np.log((mean + 1e-3) / (1 - mean + 1e-3))
+    going, join, were = [True, True], JOIN, ([], [])
+    while True:
+        sums, sets = full(weights, bias, going), {}
         for k in (k for k in (0, 1) if going[k]):
-            try:
-                at[k] = fits[k].send((sums[k, BUCKETS + 1], sums[k, :BUCKETS + 1].copy()))
-            except StopIteration as end:
-                at[k], going[k] = end.value, False
-    return at[:, :BUCKETS].astype(np.float32), at[:, BUCKETS]
+            were[k].append(sums[k, BUCKETS + 1] + lasso * np.abs(weights[k]).sum())
+            loose = np.abs(sums[k, :BUCKETS]) - lasso * (1 + TOLERANCE)
+            loose[weights[k] != 0] = 0
+            new = np.flatnonzero(loose > 0)
+            going[k] = len(new) > 0 and (len(were[k]) < 2 or were[k][-2] - were[k][-1] > LEAST_FALL * were[k][0])
+            if going[k]:
+                new = new[np.argsort(-loose[new], kind="stable")[:join]]
+                sets[k] = np.union1d(np.flatnonzero(weights[k]), new)
+        if not sets:
+            return weights.astype(np.float32), bias
+        join *= 2
+        among = np.unique(np.concatenate(list(sets.values())))
+        gradient, end = narrowed(among)
+        at = {k: np.searchsorted(among, own) for k, own in sets.items()}
+        fits = {k: descend(np.append(weights[k, own], bias[k]), np.append(np.full(len(own), lasso), 0.0), ROUNDS,
+                           STEPS_FALL * LEAST_FALL * were[k][0])
+                for k, own in sets.items()}
+        points = {k: next(f) for k, f in fits.items()}
+        while fits:
+            w, b = np.zeros((2, len(among))), np.zeros(2)
+            for k in fits:
+                w[k, at[k]], b[k] = points[k][:-1], points[k][-1]
+            sums = gradient(w, b, [k in fits for k in (0, 1)])
+            for k in list(fits):
+                try:
+                    points[k] = fits[k].send((sums[k, len(among) + 1], sums[k, np.append(at[k], len(among))]))
+                except StopIteration as done:
+                    points[k] = done.value
+                    del fits[k]
+        end()
+        for k, own in sets.items():
+            weights[k], bias[k] = 0.0, points[k][-1]
+            weights[k, own] = points[k][:-1]
 
 
 def _chance(logits: np.ndarray) -> np.ndarray:
@@ -355,6 +409,43 @@ def _gradient(state):
     return run
 
 
+def _narrowed(among: np.ndarray, state):
+    """For chunks of rows: places in ``among`` of the features that are there,
+    how many of them each row has, and the rows' targets."""
+    def run(batches):
+        _, _, _, post_junk, post_toxic, typical = state.value
+        place = np.full(BUCKETS, -1, np.int32)
+        place[among] = np.arange(len(among))
+        for batch, i, j, rows, feats in _stored(batches):
+            votes, junk, toxic = (batch.column(c).slice(i, j - i).to_numpy() for c in ("votes", "said_junk", "said_toxic"))
+            at = place[feats]
+            there = at >= 0
+            per = np.bincount(rows[there], minlength=j - i)
+            targets = post_junk[votes, junk], post_toxic[_votes(typical, rows, feats, j - i), toxic]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (at[there].astype("<i4"), per.astype("<i4"), *targets)],
+                                             names=["feats", "per", "junk", "toxic"])
+    return run
+
+
+def _narrow_gradient(state, m: int):
+    """As :func:`_gradient`, over narrowed rows and the weights of m buckets."""
+    def run(batches):
+        weights, bias, going = state.value
+        sums = np.zeros((2, -(-(m + 2) // BLOCK) * BLOCK))
+        for batch in batches:
+            for row in batch.to_pylist():
+                feats, per = np.frombuffer(row["feats"], "<i4"), np.frombuffer(row["per"], "<i4")
+                rows = np.repeat(np.arange(len(per)), per)
+                for k in (k for k in (0, 1) if going[k]):
+                    target = np.frombuffer(row["toxic" if k else "junk"])
+                    z = np.bincount(rows, weights=weights[k][feats], minlength=len(per)) + bias[k]
+                    err = _chance(z) - target
+                    sums[k, :m] += np.bincount(feats, weights=err[rows], minlength=m)
+                    sums[k, m:m + 2] += err.sum(), (np.logaddexp(0, z) - target * z).sum()
+        yield from _blocks(sums)
+    return run
+
+
 def _scored(weights: np.ndarray, bias: np.ndarray):
     def run(batches):
         for batch, i, j, rows, feats in _stored(batches):
@@ -407,14 +498,31 @@ def fit(spark: SparkSession, seen: DataFrame) -> Scorer:
     mean = np.array([np.average(post_junk[patterns["votes"], patterns["said_junk"]], weights=patterns["count"]),
                      np.average(post_toxic[toxic_seen["lex"], toxic_seen["said"]], weights=toxic_seen["count"])])
 
-    def gradient(w: np.ndarray, b: np.ndarray, going: list[bool]) -> np.ndarray:
-        state = spark.sparkContext.broadcast((w.astype(np.float32), b, going, post_junk, post_toxic, typical))
+    rows = seen.select("votes", "said_junk", "said_toxic", "feats")
+
+    def held(run: Callable, *state):
+        """run with a broadcast of state, which then goes."""
+        sent = spark.sparkContext.broadcast(state)
         try:
-            return _total(spark, seen.select("votes", "said_junk", "said_toxic", "feats"), _gradient(state))
+            return run(sent)
         finally:
-            state.destroy()
+            sent.destroy()
+
+    def full(w: np.ndarray, b: np.ndarray, going: list[bool]) -> np.ndarray:
+        return held(lambda sent: _total(spark, rows, _gradient(sent)), w.astype(np.float32), b, going, post_junk, post_toxic, typical)
+
+    def narrowed(among: np.ndarray) -> tuple[Callable, Callable]:
+        few = held(lambda sent: written(spark, rows.mapInArrow(_narrowed(among, sent), "feats binary, per binary, junk binary, toxic binary"),
+                                        "narrowed"), None, None, None, post_junk, post_toxic, typical)
+        size = few.agg(F.sum(F.octet_length("feats") + F.octet_length("junk") * 2)).first()[0] or 0
+        parts = few.coalesce(int(-(-size // NARROW_BYTES)) or 1)  # it is read many times
+        width = -(-(len(among) + 2) // BLOCK) * BLOCK
+
+        def gradient(w: np.ndarray, b: np.ndarray, going: list[bool]) -> np.ndarray:
+            return held(lambda sent: _total(spark, parts, _narrow_gradient(sent, len(among)), width), w, b, going)
+        return gradient, lambda: drop(spark, few)
 
-    weights, bias = fit_scorer(gradient, mean)
+    weights, bias = fit_scorer(full, narrowed, mean)
     return Scorer(weights, bias, junk, toxic)
 
 

@@ -263,6 +263,71 @@ def test_scorer_learns_from_every_document(spark):
     assert told[:, quality.BUCKETS].tolist() == [1, 2] and told[0, :quality.BUCKETS].sum() > 300
 
 
+def test_working_set_reaches_the_optimum_over_all_buckets(spark, monkeypatch):
+    """The fit on a working set against proximal gradient over all buckets."""
+    monkeypatch.setattr(quality, "BUCKETS", 1 << 10)
+    monkeypatch.setattr(quality, "BLOCK", 256)
+    monkeypatch.setattr(quality, "JOIN", 8)
+    monkeypatch.setattr(quality, "TOLERANCE", 0.001)
+    monkeypatch.setattr(quality, "LEAST_FALL", 1e-9)
+    r = np.random.default_rng(4)
+    feats = [np.unique(r.integers(0, 1 << 10, 12)) for _ in range(400)]
+    x = np.zeros((400, 1 << 10))
+    for i, f in enumerate(feats):
+        x[i, f] = 1
+    truth = np.where(r.random(1 << 10) < 0.05, 6.0, 0.0)
+    targets = np.stack([1 / (1 + np.exp(-(x @ truth - 4))), (r.random(400) < 0.3) * 0.9])
+    passes = {"full": 0, "narrow": 0}
+
+    def sums(cols, w, b, going):
+        out = np.zeros((2, len(cols) + 2))
+        for k in (0, 1):
+            z = x[:, cols] @ w[k] + b[k]
+            err = 1 / (1 + np.exp(-z)) - targets[k]
+            out[k] = [*(x[:, cols].T @ err), err.sum(), (np.logaddexp(0, z) - targets[k] * z).sum()]
+        return out
+
+    def full(w, b, going):
+        passes["full"] += 1
+        return sums(np.arange(1 << 10), w, b, going)
+
+    def narrowed(among):
+        def gradient(w, b, going):
+            passes["narrow"] += 1
+            return sums(among, w, b, going)
+        return gradient, lambda: None
+
+    w, b = quality.fit_scorer(full, narrowed, targets.mean(axis=1))
+    for k in (0, 1):
+        plain, bias = np.zeros(1 << 10), np.log(targets[k].mean() / (1 - targets[k].mean()))
+        for _ in range(6_000):
+            err = 1 / (1 + np.exp(-(x @ plain + bias))) - targets[k]
+            plain, bias = plain - 0.05 * (x.T @ err), bias - 0.005 * err.sum()
+            plain = np.sign(plain) * np.maximum(np.abs(plain) - 0.05 * quality.LASSO, 0)
+        objective = lambda u, c: (np.logaddexp(0, x @ u + c) - targets[k] * (x @ u + c)).sum() + quality.LASSO * np.abs(u).sum()  # noqa: E731, B023
+        assert objective(w[k].astype(float), b[k]) < objective(plain, bias) * 1.001
+        assert np.abs(w[k] - plain).max() < 0.05
+    assert passes["full"] < 12
+
+
+def test_features_come_back_as_they_were(spark):
+    import pyarrow as pa
+    rows = marked_docs(spark)[0][:60] + odd_rows() + [(99, prose(1, 3000))]
+    seen = quality.features(spark, docs_of(spark, rows), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    got = {}
+    table = seen.toArrow().combine_chunks()
+    for batch, i, j, r, f in quality._stored(table.to_batches()):
+        for k in range(j - i):
+            got.setdefault(batch.column("doc_id")[i + k].as_py(), []).append(sorted(f[r == k].tolist()))
+    data = [t or "" for _, t in rows]
+    want = {}
+    from almagest.llm.common import utf8
+    _, _, r, f = quality.analyse(*utf8(pa.array(data)))
+    for k, (i, _) in enumerate(rows):
+        want.setdefault(i, []).append(sorted(f[r == k].tolist()))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
 def test_scorer_reaches_least_objective():
     r = np.random.default_rng(2)
     x = (r.random((400, 6)) < 0.4).astype(float)
@@ -283,3 +348,22 @@ def test_scorer_reaches_least_objective():
         plain -= 0.005 * full.T @ (1 / (1 + np.exp(-full @ plain)) - t)
         plain = np.sign(plain) * np.maximum(np.abs(plain) - 0.005 * bound, 0)
     assert n < 60 and objective(at) < objective(plain) * 1.01
+
+
+def test_every_language_is_learnt(spark):
+    """A language of 5 000 equal rows, one of a single text, and one of many."""
+    letters = {"aa": "abcdefgh", "bb": "ijklmnop", "cc": "qrstuvwx"}
+    text = lambda lang, seed: " ".join("".join(random.Random(seed * 31 + k).choice(letters[lang]) for _ in range(6)) for k in range(30))
+    train = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(train[i], text("aa", i), "aa", "s") for i in range(300)] + [(train[300], text("bb", 1), "bb", "s")]
+    rows += [(train[301 + i], text("cc", 1), "cc", "s") for i in range(5_000)]
+    out = {r.doc_id: r for r in lang_id.identify(spark, docs_of(spark, rows)).collect()}
+    assert out[train[300]].lang_pred == "bb" and {out[train[301 + i]].lang_pred for i in range(5_000)} == {"cc"}
+    assert np.mean([out[train[i]].lang_pred == "aa" for i in range(300)]) > 0.99
+    model = lang_id.fit(spark, docs_of(spark, rows))
+    # scores are the softmax of plain sums over n-grams
+    bucket, count = lang_id.counted(rows[0][1])
+    x = (1 + np.log(count)) * model.idf[bucket]
+    z = (x / np.sqrt((x * x).sum())) @ model.weights[bucket] + model.weights[lang_id.BUCKETS]
+    p = np.exp(z / model.temperature - (z / model.temperature).max())
+    assert abs(out[rows[0][0]].score - (p / p.sum()).max()) < 1e-5
