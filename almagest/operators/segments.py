@@ -6,7 +6,8 @@ aggregate joined back by code, so no category value is pulled to the
 driver. Model: pyspark.ml Imputer(median) -> VectorAssembler ->
 StandardScaler -> KMeans; K is chosen in 2..8 by silhouette (squared
 Euclidean, linear in rows, unlike a pairwise silhouette), then ten seeds are
-fitted for that K. Clusters are relabelled 0..K-1 by mean spend so ids are stable.
+fitted for that K. Fits of one kind run in step, so that a pass over the rows
+serves them all. Clusters are relabelled 0..K-1 by mean spend so ids are stable.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ from __future__ import annotations
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,35 +86,135 @@ def scaled(feat: DataFrame) -> DataFrame:
     return model.transform(feat).select(*KEY, "features", "gasto_euros", "edad", "noches")
 
 
-#: Fits that run side by side; each is a series of short jobs.
+#: Fits whose first centres are drawn side by side; each is a few short jobs.
 FITS_AT_ONCE = 4
+MAX_ITER, TOL = 300, 1e-4
+
+
+def _kmeans(k: int, seed: int, max_iter: int = MAX_ITER) -> KMeans:
+    return KMeans(k=k, seed=seed, maxIter=max_iter, tol=TOL, featuresCol="features")
 
 
 def _fit(data: DataFrame, k: int, seed: int) -> KMeansModel:
-    return KMeans(k=k, seed=seed, maxIter=300, tol=1e-4, featuresCol="features").fit(data)
+    return _kmeans(k, seed).fit(data)
 
 
-def fit_segments(data: DataFrame, k: int, seed: int = 42, restarts: int = 10) -> KMeansModel:
-    """The K-means model of least cost of ``restarts`` seeds (the first of
-    equals). First centres are drawn over all partitions (k-means||)."""
+def _first_centres(data: DataFrame, fits: list[tuple[int, int]]) -> list[np.ndarray]:
+    """First centres (k-means||, over all partitions) for each (k, seed)."""
+    draw = inheritable_thread_target(data.sparkSession)(lambda f: np.array(_kmeans(*f, max_iter=0).fit(data).clusterCenters()))
     with ThreadPool(FITS_AT_ONCE) as pool:
-        models = pool.map(inheritable_thread_target(data.sparkSession)(lambda r: _fit(data, k, seed + r)), range(restarts))
-    return min(models, key=lambda m: m.summary.trainingCost)
+        return pool.map(draw, fits)
+
+
+def _blocks(data: DataFrame):
+    """The features as matrices of some thousand rows, kept once for all fits."""
+    def pack(batches):
+        for b in batches:
+            x = b.column(0).combine_chunks() if hasattr(b.column(0), "combine_chunks") else b.column(0)
+            if len(x):
+                yield pa.RecordBatch.from_pydict({"n": pa.array([len(x)], pa.int32()), "x": pa.array([x.flatten().to_numpy().tobytes()], pa.binary())})
+    packed = data.select(vector_to_array("features").alias("x")).mapInArrow(pack, "n int, x binary")
+    return packed.rdd.map(lambda r: np.frombuffer(r.x).reshape(r.n, -1)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _totals(blocks, rows, depth: int = 2):
+    """Sum of ``rows(matrix)`` (lists of arrays) over all matrices."""
+    def part(xs):
+        total = None
+        for x in xs:
+            found = rows(x)
+            total = found if total is None else [a + b for a, b in zip(total, found, strict=True)]
+        return [] if total is None else [total]
+    return blocks.mapPartitions(part).treeReduce(lambda a, b: [x + y for x, y in zip(a, b, strict=True)], depth)
+
+
+def _nearest(x: np.ndarray, centres: list[np.ndarray]):
+    """For each set of centres: the rows' nearest centre (the first of equals)
+    as a 0/1 matrix, and the squared distances to it."""
+    far = (x * x).sum(axis=1)
+    every = np.concatenate(centres)
+    dist = (every * every).sum(axis=1) - 2.0 * (x @ every.T)
+    at = 0
+    for c in centres:
+        d = dist[:, at:at + len(c)]
+        at += len(c)
+        own = d.argmin(axis=1)
+        yield (own[:, None] == np.arange(len(c))).astype(float), np.maximum(far + d[np.arange(len(x)), own], 0.0)
+
+
+def _together(blocks, starts: list[np.ndarray]) -> tuple[list[np.ndarray], list[float]]:
+    """Lloyd's iterations of several fits in step: a pass over the rows serves
+    all fits that still move. Stops a fit like pyspark.ml (all centres within
+    ``TOL`` of the last ones, or ``MAX_ITER``); an empty cluster keeps its
+    centre. Returns centres and costs."""
+    centres, moving = [c.copy() for c in starts], list(range(len(starts)))
+    for _ in range(MAX_ITER):
+        if not moving:
+            break
+        now = [centres[i] for i in moving]
+        sums = _totals(blocks, lambda x, now=now: [np.column_stack([m.T @ x, m.sum(axis=0)]) for m, _ in _nearest(x, now)])
+        still = []
+        for i, s in zip(moving, sums, strict=True):
+            n = s[:, -1:]
+            new = np.where(n > 0, s[:, :-1] / np.maximum(n, 1), centres[i])
+            if (((new - centres[i]) ** 2).sum(axis=1) > TOL * TOL).any():
+                still.append(i)
+            centres[i] = new
+        moving = still
+    costs = _totals(blocks, lambda x: [np.array([d.sum() for _, d in _nearest(x, centres)])])[0]
+    return centres, costs.tolist()
+
+
+def _silhouettes(blocks, centres: list[np.ndarray]) -> list[float]:
+    """Mean silhouette (squared Euclidean) of each clustering, from the
+    clusters' sizes, sums and sums of squares: two passes, linear in rows."""
+    def sizes(x):
+        far = (x * x).sum(axis=1)
+        return [np.column_stack([m.T @ x, m.T @ far, m.sum(axis=0)]) for m, _ in _nearest(x, centres)]
+    stats = _totals(blocks, sizes)
+
+    def rows(x):
+        far, out = (x * x).sum(axis=1), []
+        for (m, _), s in zip(_nearest(x, centres), stats, strict=True):
+            n = s[:, -1]
+            mean = far[:, None] + (s[:, -2] - 2.0 * (x @ s[:, :-2].T)) / np.maximum(n, 1)
+            own, size = (mean * m).sum(axis=1), m @ n
+            a = own * size / np.maximum(size - 1, 1)
+            b = np.where((m > 0) | (n == 0), np.inf, mean).min(axis=1)
+            top = np.maximum(a, b)
+            alone = (size <= 1) | ~np.isfinite(b) | (top == 0)
+            out.append(np.array([np.where(alone, 0.0, (b - a) / np.where(alone, 1.0, top)).sum(), float(len(x))]))
+        return out
+    return [float(s / n) for s, n in _totals(blocks, rows)]
+
+
+def fit_segments(data: DataFrame, k: int, seed: int = 42, restarts: int = 10, blocks=None) -> KMeansModel:
+    """The K-means model of least cost of ``restarts`` seeds (the first of
+    equals). First centres are drawn over all partitions (k-means||); all seeds
+    run in step, and the best becomes a model of pyspark.ml."""
+    own = blocks if blocks is not None else _blocks(data)
+    try:
+        _, costs = _together(own, _first_centres(data, [(k, seed + r) for r in range(restarts)])) if restarts > 1 else (None, [0.0])
+    finally:
+        if blocks is None:
+            own.unpersist()
+    return _fit(data, k, seed + int(np.argmin(costs)))
 
 
-def choose(data: DataFrame, k_min: int = 2, k_max: int = 8, seed: int = 42) -> int:
+def choose(data: DataFrame, k_min: int = 2, k_max: int = 8, seed: int = 42, blocks=None) -> int:
     """The K with the best silhouette (squared Euclidean; the smallest of
-    equals) of one fit for each; K stays below the row count, and is 2 for
-    fewer than 3 rows."""
+    equals) of one fit for each, all in step; K stays below the row count, and
+    is 2 for fewer than 3 rows."""
     ks = list(range(k_min, min(k_max, data.count() - 1) + 1)) or [2]
     if len(ks) == 1:
         return ks[0]
-    evaluate = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-
-    def score(k: int) -> float:
-        return evaluate.evaluate(_fit(data, k, seed).transform(data))
-    with ThreadPool(FITS_AT_ONCE) as pool:
-        scores = pool.map(inheritable_thread_target(data.sparkSession)(score), ks)
+    own = blocks if blocks is not None else _blocks(data)
+    try:
+        centres, _ = _together(own, _first_centres(data, [(k, seed) for k in ks]))
+        scores = _silhouettes(own, centres)
+    finally:
+        if blocks is None:
+            own.unpersist()
     return ks[int(np.argmax(scores))]
 
 
@@ -129,11 +231,16 @@ def segment(micro: DataFrame, k: int | None = None, seed: int = 42, restarts: in
     """Features -> scaled -> K (auto when None) -> K-means -> stable ids;
     returns (quarter, cuestionario, cluster_id) for every respondent (K06
     joins them back by key, never by position)."""
-    data = scaled(features(micro)).persist(StorageLevel.MEMORY_AND_DISK)
+    feat = features(micro)
+    data = scaled(feat).persist(StorageLevel.MEMORY_AND_DISK)
+    data.count()
+    feat.unpersist()  # the scaled rows are kept, what they came from no longer
+    blocks = _blocks(data)
     try:
-        model = fit_segments(data, k or choose(data, seed=seed), seed, restarts)
+        model = fit_segments(data, k or choose(data, seed=seed, blocks=blocks), seed, restarts, blocks)
         labels = relabel_by_spend(model.transform(data)).select(*KEY, "cluster_id").checkpoint(eager=True)
     finally:
+        blocks.unpersist()
         data.unpersist()
     return labels
 

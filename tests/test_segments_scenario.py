@@ -87,3 +87,27 @@ def test_baseline_does_not_depend_on_the_grid(spark, sf_dir):
     want = {(r.geo_code, r.h): r.baseline for r in with_zero.collect()}
     got = {(r.geo_code, r.h): r.baseline for r in without.collect()}
     assert got == want and None not in got.values()
+
+
+def test_fits_in_step_equal_single_fits(spark):
+    import numpy as np
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.linalg import Vectors
+
+    r = np.random.default_rng(5)
+    x = r.standard_normal((500, 4)) + r.integers(0, 3, 500)[:, None] * 3
+    df = spark.createDataFrame([(Vectors.dense(row),) for row in np.concatenate([x, x[:50]])], ["features"]).repartition(4).persist()
+    fits = [(2, 42), (3, 42), (5, 43)]
+    blocks = G._blocks(df)
+    passes, totals = [], G._totals
+    G._totals = lambda *a: passes.append(1) or totals(*a)
+    try:
+        centres, costs = G._together(blocks, G._first_centres(df, fits))
+    finally:
+        G._totals = totals
+    single = [G._fit(df, *f) for f in fits]
+    assert len(passes) <= max(m.summary.numIter for m in single) + 2  # as many as the longest fit, not the sum
+    for c, cost, score, m in zip(centres, costs, G._silhouettes(blocks, centres), single, strict=True):
+        assert np.allclose(c, np.array(m.clusterCenters()), atol=1e-8) and abs(cost - m.summary.trainingCost) < 1e-6
+        assert abs(score - ClusteringEvaluator().evaluate(m.transform(df))) < 1e-9
+    df.unpersist()
