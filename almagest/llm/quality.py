@@ -38,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almagest.llm.common import (chunks, doc_key, drop, keyed, lower_ascii, mix64, parallelism, span_hashes, utf8,
+from almagest.llm.common import (chunks, doc_key, drop, keyed, lower_ascii, mix64, parallelism, shuffles_end, span_hashes, utf8,
                                  word_spans, written)
 
 BUCKETS = 1 << 20
 PREFIX_BYTES = 5
 #: Buckets that one row of partial sums holds.
 BLOCK = 4_096
+#: Bytes of partial sums that the driver adds itself; more are added in tasks, by block.
+DRIVER_BYTES = 8 << 20
 #: A weight is zero unless the documents' errors pull harder than this.
 LASSO = 1.5
 #: Share of LASSO that a zero weight's pull may exceed it by, and the buckets that join the working set first (each time twice as many).
@@ -134,7 +136,7 @@ def _analysed(batches: Iterator[pa.RecordBatch]):
     """(batch, from row, to row, analysis) for chunks of each batch."""
     for batch in batches:
         data, off = utf8(batch.column("text"))
-        for i, j in chunks(off, 1 << 21):
+        for i, j in chunks(off, 1 << 19):
             yield batch, i, j, analyse(data[off[i]:off[j]], off[i:j + 1] - off[i])
 
 
@@ -152,8 +154,7 @@ def _features(batches):
         ends = np.concatenate([[0], 4 * np.cumsum(np.bincount(rows, minlength=j - i))]).astype(np.int32)
         lists = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends), pa.py_buffer(feats.astype("<i4"))])
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c).slice(i, j - i) for c in ("doc_id", "said_junk", "said_toxic")), pa.array(votes), lists],
-            names=["doc_id", "said_junk", "said_toxic", "votes", "feats"])
+            [batch.column("doc_id").slice(i, j - i), pa.array(votes), lists], names=["doc_id", "votes", "feats"])
 
 
 def _stored(batches):
@@ -164,7 +165,7 @@ def _stored(batches):
             continue
         off = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
         data = np.frombuffer(column.buffers()[2], np.uint8)
-        for i, j in chunks(off, 1 << 23):
+        for i, j in chunks(off, 1 << 22):
             size = np.diff(off[i:j + 1]) // 4
             total = np.cumsum(data[off[i]:off[j]].view("<i4"), dtype=np.int64)
             ends = np.cumsum(size)
@@ -202,18 +203,17 @@ def _added(batches):
 
 def _total(spark: SparkSession, seen: DataFrame, run, width: int = BUCKETS + BLOCK) -> np.ndarray:
     """The sum over all tasks of run's sums (2 x width, whole blocks): a row for
-    each of two targets; buckets, then what is not of a bucket."""
+    each of two targets; buckets, then what is not of a bucket. There is a task
+    for each core, so that the sums shuffled do not grow with the rows."""
     out = np.zeros((2, width))
-    parts = min(parallelism(spark), width // BLOCK)
-    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(clean)
-    spark.conf.set(clean, "true")  # a shuffle for each round; nothing reads it again
-    try:
-        sums = seen.mapInArrow(run, _SUMS).repartition(parts, "block").mapInArrow(_added, _SUMS).toArrow()
-    finally:
-        spark.conf.set(clean, before)
-    for block, at, part in _read_blocks(sums.to_pylist()):
-        out[:, block * BLOCK + at] = part
+    tasks = spark.sparkContext.defaultParallelism
+    sums = seen.coalesce(tasks).mapInArrow(run, _SUMS)
+    if tasks * (out.nbytes + 2 * width) > DRIVER_BYTES:
+        sums = sums.repartition(min(parallelism(spark), width // BLOCK), "block").mapInArrow(_added, _SUMS)
+    with shuffles_end(spark):  # a shuffle for each round; nothing reads it again
+        rows = sums.toArrow().to_pylist()
+    for block, at, part in _read_blocks(rows):
+        out[:, block * BLOCK + at] += part
     return out
 
 
@@ -470,12 +470,13 @@ def _annotations(labels: DataFrame) -> DataFrame:
 
 
 def features(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, said_junk, said_toxic, votes and feats of every row, written."""
-    marked = keyed(docs).join(_annotations(labels), "k1", "left").select(
-        "doc_id", "text", F.expr("CASE WHEN quality = 0 THEN 1 WHEN quality = 1 THEN 2 ELSE 0 END").alias("said_junk"),
-        F.expr("CASE WHEN toxic = 1 THEN 1 WHEN toxic = 0 THEN 2 ELSE 0 END").alias("said_toxic"))
-    return written(spark, marked.mapInArrow(
-        _features, "doc_id long, said_junk int, said_toxic int, votes long, feats binary"), "features")
+    """doc_id, said_junk, said_toxic, votes and feats of every row, written. The
+    join with the annotations moves features, which are smaller than texts."""
+    found = keyed(docs).select("doc_id", "text").mapInArrow(_features, "doc_id long, votes long, feats binary")
+    marked = found.withColumn("k1", doc_key()).join(_annotations(labels), "k1", "left").select(
+        "doc_id", F.expr("CASE WHEN quality = 0 THEN 1 WHEN quality = 1 THEN 2 ELSE 0 END").alias("said_junk"),
+        F.expr("CASE WHEN toxic = 1 THEN 1 WHEN toxic = 0 THEN 2 ELSE 0 END").alias("said_toxic"), "votes", "feats")
+    return written(spark, marked, "features")
 
 
 def fit(spark: SparkSession, seen: DataFrame) -> Scorer:

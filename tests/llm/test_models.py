@@ -3,6 +3,7 @@ versions, exact identities and held-out accuracy."""
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 from itertools import product
@@ -11,6 +12,7 @@ import numpy as np
 import pytest
 
 from almagest.llm import hmm_lm, lang_id, quality
+from almagest.llm.common import written
 
 from .helpers import docs_of, odd_rows, prose, with_clashes
 
@@ -263,6 +265,47 @@ def test_scorer_learns_from_every_document(spark):
     assert told[:, quality.BUCKETS].tolist() == [1, 2] and told[0, :quality.BUCKETS].sum() > 300
 
 
+def test_sums_come_from_a_task_for_each_core(spark):
+    """Partial sums do not grow with the partitions of the features; added by
+    the driver or in tasks, they are the same."""
+    seen = spark.range(4_000, numPartitions=200)
+
+    def run(batches):
+        sums = np.zeros((2, 2 * 4_096))
+        for batch in batches:
+            sums[1, 5_000] += batch.num_rows
+        sums[0, 7] = 1
+        yield from quality._blocks(sums)
+
+    for width in (2 * quality.BLOCK, quality.BUCKETS + quality.BLOCK):
+        total = quality._total(spark, seen, run, width)
+        assert total[1, 5_000] == 4_000 and 1 <= total[0, 7] <= spark.sparkContext.defaultParallelism
+
+
+def test_features_join_moves_no_texts(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(quality, "written", lambda _, df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()))
+    labels = spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int")
+    quality.features(spark, docs_of(spark, odd_rows()), labels)
+    above = plans[0].split("MapInArrow")[0]
+    assert "Join" in above and "feats" in above and "text" not in above
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    env = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = lambda: {f.getName() for f in (env.getAllFiles().apply(i) for i in range(env.getAllFiles().size()))}
+    before, setting = held(), spark.conf.get(clean)
+    rows = written(spark, spark.range(10_000).selectExpr("id % 97 AS k").groupBy("k").count(), "counts")
+    for _ in range(50):  # files go in the background
+        if not {f for f in held() - before if f.startswith("shuffle")}:
+            break
+        time.sleep(0.2)
+    else:
+        raise AssertionError("shuffle files stay")
+    assert spark.conf.get(clean) == setting and rows.count() == 97
+
+
 def test_working_set_reaches_the_optimum_over_all_buckets(spark, monkeypatch):
     """The fit on a working set against proximal gradient over all buckets."""
     monkeypatch.setattr(quality, "BUCKETS", 1 << 10)
