@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -64,6 +66,62 @@ def test_small_window_and_hot_prefixes(spark, monkeypatch):
     assert found(suffix_dedup.digests(spark, docs_of(spark, rows), window=24, prefix=10)) == want
 
 
+def in_process(rows, window=400, prefix=160):
+    """Anchors, contexts and sort of the texts without Spark: spans of rows,
+    rows of each context batch."""
+    table = pa.table({"k1": pa.array([r[0] for r in rows], pa.int64()), "k2": pa.array([0] * len(rows), pa.int64()),
+                      "text": pa.array([r[1] for r in rows])})
+    blocks = pa.Table.from_batches(suffix_dedup._anchors(window, prefix)(table.to_batches())).to_pandas()
+    lists = [blocks[blocks.k1 == d][["pack", "ph"]].to_dict("records") for d in table.column("k1").to_pylist()]
+    asked = table.append_column("blocks", pa.array(lists, pa.list_(pa.struct([("pack", pa.int64()), ("ph", pa.int64())]))))
+    found_in = list(suffix_dedup._contexts(window, prefix)(asked.combine_chunks().to_batches()))
+    ordered = pa.Table.from_batches(found_in).sort_by([("lead", "ascending"), ("ph", "ascending")])
+    spans = Counter()
+    for part in suffix_dedup._sorted_windows(window, prefix)(ordered.combine_chunks().to_batches()):
+        for k, s, e in zip(*(part.column(c).to_pylist() for c in ("k1", "s", "e"))):
+            spans.update((k, i) for i in range(s, e))
+    return set(spans), [b.num_rows for b in found_in]
+
+
+def test_parts_of_a_sort_find_what_the_whole_finds(monkeypatch):
+    rows = [(i, t) for i, (_, t) in enumerate(passages())]
+    whole, _ = in_process(rows)
+    assert whole
+    monkeypatch.setattr(suffix_dedup, "SORTED", 100)
+    monkeypatch.setattr(suffix_dedup, "BLOCKS", 7)
+    parted, sizes = in_process(rows)
+    assert parted == whole and max(sizes) <= 7
+    place = np.random.default_rng(1).integers(-300, 300, 5_000)
+    parts = list(suffix_dedup._by_place(place))
+    assert np.array_equal(np.sort(np.concatenate(parts)), np.arange(5_000))
+    assert sum(len(np.unique(place[p])) for p in parts) == len(np.unique(place)) and max(map(len, parts)) <= 100
+
+
+def test_memory_of_a_task_is_bounded():
+    """Anchors of 8 MB of text, and one passage in 4 000 surroundings."""
+    def most(run, batches):
+        tracemalloc.start()
+        for _ in run(batches):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return peak / 1e6
+
+    text = prose(1, 1_400_000, 50_000)
+    ids = pa.array([1, 2], pa.int64())
+    texts = pa.RecordBatch.from_arrays([ids, ids, pa.array([text[:4_000_000], text[4_000_000:]])], names=["k1", "k2", "text"])
+    assert most(suffix_dedup._anchors(400, 160), [texts]) < 100
+    n, width = 4_000, 640
+    body = np.random.default_rng(2).integers(97, 123, (n, width), np.uint8)
+    body[:, 240:400] = body[0, 240:400]
+    ids = pa.array(np.arange(n))
+    group = pa.RecordBatch.from_arrays(
+        [ids, ids, pa.array(np.full(n, (240 << 12) | 240)), pa.array(np.zeros(n, np.int64)),
+         pa.array([b[240:264].tobytes() for b in body]), pa.array([b.tobytes() for b in body])],
+        names=["k1", "k2", "pack", "ph", "lead", "body"])
+    assert most(suffix_dedup._sorted_windows(400, 160), [group]) < 150
+
+
 def test_long_text_in_parts(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PART", 1500)
     long = prose(1, 1200)
