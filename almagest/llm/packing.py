@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almagest.llm.bpe import Merges
-from almagest.llm.common import chunks, utf8, whole_groups, written
+from almagest.llm.common import chunks, kept, lean, utf8, whole_groups, written
 
 WINDOW = 4096
 END_ID = 2
@@ -132,14 +132,12 @@ class WordIds:
         return ids, total[np.concatenate([[0], ends])]
 
 
-_TOKENIZERS: dict[tuple, WordIds] = {}
-
-
 def word_ids(path: str, end_id: int | None) -> WordIds:
     """One table of word ids for each tokenizer in a worker."""
-    if (path, end_id) not in _TOKENIZERS:
-        _TOKENIZERS[path, end_id] = WordIds(path, end_id)
-    return _TOKENIZERS[path, end_id]
+    tables = kept("word_ids")
+    if (path, end_id) not in tables:
+        tables[path, end_id] = WordIds(path, end_id)
+    return tables[path, end_id]
 
 
 def _pieces(path: str, window: int, end_id: int, with_ids: bool, order: list[str]):
@@ -262,13 +260,14 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, window: int = WIN
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        *[c.alias(n) for n, c in by.items()])
     kinds = "".join(f", {n} {rows.schema[n].dataType.simpleString()}" for n in by)
-    pieces = written(spark, rows.mapInArrow(_pieces(tokenizer, window, end_id, with_ids, list(by)), schema + kinds), "pieces")
+    pieces = written(spark, rows.mapInArrow(
+        lean(_pieces(tokenizer, window, end_id, with_ids, list(by)), "word_ids"), schema + kinds), "pieces")
     groups = max(1, -(-pieces.count() // GROUP_PIECES))
     if order:
         dealt = pieces.repartitionByRange(groups, *by, "start").sortWithinPartitions(*by, "start").drop(*by)
         # the partition in the upper bits, the row in the partition in the lower 33
         dealt = dealt.withColumn("grp", F.shiftright(F.monotonically_increasing_id(), STRETCH_BITS))
-        return dealt.mapInArrow(_packed(window, groups, STRETCH_BITS), f"{schema}, sequence_id long, offset long")
+        return dealt.mapInArrow(lean(_packed(window, groups, STRETCH_BITS), "word_ids"), f"{schema}, sequence_id long, offset long")
     luck = F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id())
     dealt = pieces.withColumn("grp", F.pmod(luck, F.lit(groups))).repartition(groups, "grp").sortWithinPartitions("grp")
-    return dealt.mapInArrow(_packed(window, groups), f"{schema}, sequence_id long, offset long")
+    return dealt.mapInArrow(lean(_packed(window, groups), "word_ids"), f"{schema}, sequence_id long, offset long")

@@ -38,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almagest.llm.common import (chunks, doc_key, drop, keyed, lower_ascii, mix64, parallelism, shuffles_end, span_hashes, utf8,
-                                 word_spans, written)
+from almagest.llm.common import (chunks, doc_key, drop, keyed, lean, lower_ascii, mix64, parallelism, shuffles_end, span_hashes,
+                                 utf8, word_spans, written)
 
 BUCKETS = 1 << 20
 PREFIX_BYTES = 5
@@ -207,9 +207,9 @@ def _total(spark: SparkSession, seen: DataFrame, run, width: int = BUCKETS + BLO
     for each core, so that the sums shuffled do not grow with the rows."""
     out = np.zeros((2, width))
     tasks = spark.sparkContext.defaultParallelism
-    sums = seen.coalesce(tasks).mapInArrow(run, _SUMS)
+    sums = seen.coalesce(tasks).mapInArrow(lean(run), _SUMS)
     if tasks * (out.nbytes + 2 * width) > DRIVER_BYTES:
-        sums = sums.repartition(min(parallelism(spark), width // BLOCK), "block").mapInArrow(_added, _SUMS)
+        sums = sums.repartition(min(parallelism(spark), width // BLOCK), "block").mapInArrow(lean(_added), _SUMS)
     with shuffles_end(spark):  # a shuffle for each round; nothing reads it again
         rows = sums.toArrow().to_pylist()
     for block, at, part in _read_blocks(rows):
@@ -472,7 +472,7 @@ def _annotations(labels: DataFrame) -> DataFrame:
 def features(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, said_junk, said_toxic, votes and feats of every row, written. The
     join with the annotations moves features, which are smaller than texts."""
-    found = keyed(docs).select("doc_id", "text").mapInArrow(_features, "doc_id long, votes long, feats binary")
+    found = keyed(docs).select("doc_id", "text").mapInArrow(lean(_features), "doc_id long, votes long, feats binary")
     marked = found.withColumn("k1", doc_key()).join(_annotations(labels), "k1", "left").select(
         "doc_id", F.expr("CASE WHEN quality = 0 THEN 1 WHEN quality = 1 THEN 2 ELSE 0 END").alias("said_junk"),
         F.expr("CASE WHEN toxic = 1 THEN 1 WHEN toxic = 0 THEN 2 ELSE 0 END").alias("said_toxic"), "votes", "feats")
@@ -489,7 +489,7 @@ def fit(spark: SparkSession, seen: DataFrame) -> Scorer:
     # toxic: two lexicons from halves of the features, then their counts over all documents
     told = _total(spark, seen.select("said_toxic", "feats").filter("said_toxic > 0"), _labelled)
     typical = lexicon(told[0, :BUCKETS], told[1, :BUCKETS], told[0, BUCKETS], told[1, BUCKETS])
-    toxic_seen = seen.select("said_toxic", "feats").mapInArrow(_lexicon_votes(typical), "lex long, said int, n long").groupBy(
+    toxic_seen = seen.select("said_toxic", "feats").mapInArrow(lean(_lexicon_votes(typical)), "lex long, said int, n long").groupBy(
         "lex", "said").agg(F.sum("n").alias("count")).toPandas()
     split = lambda lex, said: np.stack([lex & 1, (lex >> 1) & 1, (lex >> 2) & 1, said], axis=1).astype(int)
     toxic = fit_votes(split(toxic_seen["lex"].to_numpy(), toxic_seen["said"].to_numpy()), toxic_seen["count"].to_numpy())
@@ -513,8 +513,8 @@ def fit(spark: SparkSession, seen: DataFrame) -> Scorer:
         return held(lambda sent: _total(spark, rows, _gradient(sent)), w.astype(np.float32), b, going, post_junk, post_toxic, typical)
 
     def narrowed(among: np.ndarray) -> tuple[Callable, Callable]:
-        few = held(lambda sent: written(spark, rows.mapInArrow(_narrowed(among, sent), "feats binary, per binary, junk binary, toxic binary"),
-                                        "narrowed"), None, None, None, post_junk, post_toxic, typical)
+        few = held(lambda sent: written(spark, rows.mapInArrow(
+            lean(_narrowed(among, sent)), "feats binary, per binary, junk binary, toxic binary"), "narrowed"), None, None, None, post_junk, post_toxic, typical)
         size = few.agg(F.sum(F.octet_length("feats") + F.octet_length("junk") * 2)).first()[0] or 0
         parts = few.coalesce(int(-(-size // NARROW_BYTES)) or 1)  # it is read many times
         width = -(-(len(among) + 2) // BLOCK) * BLOCK
@@ -563,7 +563,7 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     seen = features(spark, docs, labels)
     model = fit(spark, seen)
     scores = seen.select("doc_id", "feats").mapInArrow(
-        _scored(model.weights, model.bias), "doc_id long, junk_score double, toxic_score double")
+        lean(_scored(model.weights, model.bias)), "doc_id long, junk_score double, toxic_score double")
     return scores.withColumn("kept", (F.col("junk_score") < REJECT_AT) & (F.col("toxic_score") < REJECT_AT))
 
 
@@ -580,5 +580,5 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFr
             logits = [np.bincount(rows, weights=w[feats], minlength=j - i) + b for w, b in zip(weights, bias, strict=True)]
             yield batch.slice(i, j - i).filter(pa.array(np.maximum(*logits) < np.log(REJECT_AT / (1 - REJECT_AT))))
 
-    return docs.withColumn("text", F.col("text").cast("string")).select(*cols).mapInArrow(run, docs.withColumn(
+    return docs.withColumn("text", F.col("text").cast("string")).select(*cols).mapInArrow(lean(run), docs.withColumn(
         "text", F.col("text").cast("string")).schema)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from almagest.llm.common import as_row, chunks, doc_key, keyed, parallelism, text_key, utf8, whole_groups, written
+from almagest.llm.common import as_row, chunks, doc_key, keyed, lean, parallelism, text_key, utf8, whole_groups, written
 from almagest.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -88,7 +88,7 @@ def _fingerprints(k: int):
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, row keys and fp (long) of every row; a null text counts as empty."""
-    return keyed(docs).mapInArrow(_fingerprints(shingle_words), "doc_id long, k1 long, k2 long, fp long")
+    return keyed(docs).mapInArrow(lean(_fingerprints(shingle_words)), "doc_id long, k1 long, k2 long, fp long")
 
 
 def _field_ones(j: int):
@@ -198,7 +198,7 @@ def links(spark: SparkSession, classes: DataFrame, max_bits: int = MAX_BITS) ->
              .select("fp", F.explode(_bucket_keys(max_bits)).alias("at"))
              .select("at.choice", "at.key", "fp"))
     return (dealt.repartition(n, "choice", "key").sortWithinPartitions("choice", "key")
-            .mapInArrow(_links(max_bits), "a long, b long"))
+            .mapInArrow(lean(_links(max_bits)), "a long, b long"))
 
 
 def classified(spark: SparkSession, docs: DataFrame, shingle_words: int = SHINGLE_WORDS,
