@@ -3,24 +3,27 @@
 Feature matrix by column expressions over the parsed record; one-hot
 domains (top-N nationality / purpose / accommodation) come from a ranked
 aggregate joined back by code, so no category value is pulled to the
-driver. Model: pyspark.ml Imputer(median) -> VectorAssembler ->
-StandardScaler -> KMeans; K is chosen in 2..8 by silhouette (squared
-Euclidean, linear in rows, unlike a pairwise silhouette), then ten seeds are
-fitted for that K. Fits of one kind run in step, so that a pass over the rows
-serves them all. Clusters are relabelled 0..K-1 by mean spend so ids are stable.
+driver. Model: pyspark.ml Imputer(median), standardisation by one aggregate,
+KMeans; K is chosen in 2..8 by silhouette (squared Euclidean, linear in rows,
+unlike a pairwise silhouette), then ten seeds are fitted for that K. Fits of
+one kind run in step, so that a pass over the rows serves them all, the draws
+of first centres included. Clusters are relabelled 0..K-1 by mean spend so ids
+are stable.
 """
 
 from __future__ import annotations
 
+import math
 from multiprocessing.pool import ThreadPool
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import Imputer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,25 +68,38 @@ def features(micro: DataFrame) -> DataFrame:
     return m.select(*cols)
 
 
-def _prep_pipeline(cols: list[str]) -> Pipeline:
-    imputed = [f"{c}__i" for c in cols]
-    return Pipeline(stages=[
-        Imputer(inputCols=cols, outputCols=imputed, strategy="median"),
-        VectorAssembler(inputCols=imputed, outputCol="raw_features", handleInvalid="keep"),
-        StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-    ])
+def _whole(c: str) -> bool:
+    """Scores, flags and one-hot columns: 0..3."""
+    return c.startswith(("imp_", "act_")) or "_top" in c
 
 
-def scaled(feat: DataFrame) -> DataFrame:
-    """Median imputation + standardisation -> ``features``.
+def narrow(feat: DataFrame) -> DataFrame:
+    """The features as they are kept: scores, flags and one-hot columns take a
+    byte each instead of eight, so that all rows stay in memory."""
+    return feat.select(*KEY, *[F.col(c).cast("tinyint").alias(c) if _whole(c) else c for c in feature_columns()])
+
 
-    The feature frame is persisted while the pipeline is fitted (imputer
-    and scaler each take one pass) so the JSON parse and one-hot joins run
-    once; lost blocks are recomputed from lineage."""
+def scaled(feat: DataFrame) -> DataFrame:
+    """Median imputation + standardisation -> ``features``. ``feat`` is
+    read twice (medians; means and deviations) and should be persisted. Flags
+    and one-hot columns have no missing values, so no median is sought."""
     cols = feature_columns()
-    feat = feat.persist(StorageLevel.MEMORY_AND_DISK)
-    model = _prep_pipeline(cols).fit(feat)
-    return model.transform(feat).select(*KEY, "features", "gasto_euros", "edad", "noches")
+    wide = feat.select(*KEY, *[F.col(c).cast("double").alias(c) for c in cols])
+    gaps = [c for c in cols if not (c.startswith("act_") or "_top" in c)]
+    model = Imputer(inputCols=gaps, outputCols=[f"{c}__i" for c in gaps], strategy="median").fit(wide)
+    imputed = model.transform(wide)
+    value = {c: F.col(f"{c}__i" if c in gaps else c) for c in cols}
+    # Sums about the median (0 for flags), so that deviations keep their digits.
+    middle = dict(zip(gaps, model.surrogateDF.first(), strict=True))
+    off = {c: v - F.lit(middle.get(c, 0.0)) for c, v in value.items()}
+    sums = imputed.agg(F.count(F.lit(1)), *[F.sum(p) for d in off.values() for p in (d, d * d)]).first()
+    if not all(map(math.isfinite, sums[1::2])):
+        raise ValueError("features must be finite numbers")
+    n, x = sums[0], []
+    for c, first, square in zip(cols, sums[1::2], sums[2::2], strict=True):
+        deviation = math.sqrt(max(0.0, square - first * first / n) / max(1, n - 1))
+        x.append((off[c] - F.lit(first / n)) * F.lit(1.0 / deviation if deviation else 0.0))  # a constant becomes 0
+    return imputed.select(*KEY, array_to_vector(F.array(*x)).alias("features"), "gasto_euros", "edad", "noches")
 
 
 #: Fits whose first centres are drawn side by side; each is a few short jobs.
@@ -99,13 +115,77 @@ def _fit(data: DataFrame, k: int, seed: int) -> KMeansModel:
     return _kmeans(k, seed).fit(data)
 
 
-def _first_centres(data: DataFrame, fits: list[tuple[int, int]]) -> list[np.ndarray]:
-    """First centres (k-means||, over all partitions) for each (k, seed)."""
+#: Rows up to which pyspark.ml draws the first centres from all rows itself.
+WHOLE_DRAW = 100_000
+#: Rounds of k-means||; each draws twice as many candidates as there are centres.
+ROUNDS, OVERSAMPLING = 2, 2
+
+
+def _first_centres(data: DataFrame, fits: list[tuple[int, int]], blocks=None) -> list[np.ndarray]:
+    """First centres (k-means||, over all partitions) for each (k, seed). On
+    few rows pyspark.ml draws them, fit by fit, about eight passes each; on
+    many the rounds of all fits share their passes over ``blocks``."""
+    if blocks is not None and data.count() > WHOLE_DRAW:
+        return [_settled(*c, *f) for c, f in zip(_candidates(blocks, fits), fits, strict=True)]
     draw = inheritable_thread_target(data.sparkSession)(lambda f: np.array(_kmeans(*f, max_iter=0).fit(data).clusterCenters()))
     with ThreadPool(FITS_AT_ONCE) as pool:
         return pool.map(draw, fits)
 
 
+def _candidates(blocks, fits: list[tuple[int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """k-means|| of several fits in step: one row at random, then in each round
+    rows drawn with chances in proportion to their squared distance from what
+    was drawn before. A row's key is an exponential number over its chance, and
+    the least keys win, so that a round is one pass. Returns each fit's
+    candidates and the numbers of rows nearest to them."""
+    found: list[np.ndarray] = []
+    for step in range(ROUNDS + 1):
+        most = [OVERSAMPLING * k if step else 1 for k, _ in fits]
+
+        def part(index, xs, step=step, most=most, found=tuple(found)):
+            rngs, best = [np.random.default_rng([seed, k, step, index]) for k, seed in fits], None
+            for x in xs:
+                chances = [d for _, d in _nearest(x, found)] if step else [np.ones(len(x))] * len(fits)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    keys = [r.standard_exponential(len(x)) / c for r, c in zip(rngs, chances, strict=True)]
+                drawn = [_least(key, x, n) for key, n in zip(keys, most, strict=True)]
+                best = drawn if best is None else _drawn(best, drawn, most)
+            return [] if best is None else [best]
+        rounds = blocks.mapPartitionsWithIndex(part).treeReduce(lambda a, b, most=most: _drawn(a, b, most))
+        found = [np.concatenate([f, rows]) for f, (_, rows) in zip(found, rounds, strict=True)] if found else [rows for _, rows in rounds]
+    return list(zip(found, _totals(blocks, lambda x: [m.sum(axis=0) for m, _ in _nearest(x, found)]), strict=True))
+
+
+def _settled(rows: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """The last step of k-means||, on a few dozen candidates: weighted
+    k-means++ and Lloyd's iterations. Fewer candidates than ``k`` all stay."""
+    rows, same = np.unique(rows, axis=0, return_inverse=True)
+    w, rng = np.maximum(np.bincount(same.ravel(), weights), 1.0), np.random.default_rng(seed)
+    if len(rows) <= k:
+        return rows
+    far = lambda c: ((rows[:, None] - c[None]) ** 2).sum(axis=2)
+    c = rows[[rng.choice(len(rows), p=w / w.sum())]]
+    while len(c) < k:
+        chances = far(c).min(axis=1) * w
+        c = np.vstack([c, rows[rng.choice(len(rows), p=chances / chances.sum())]])
+    for _ in range(30):
+        m = (far(c).argmin(axis=1)[:, None] == np.arange(k)) * w[:, None]
+        n = m.sum(axis=0)[:, None]
+        c = np.where(n > 0, m.T @ rows / np.maximum(n, 1.0), c)
+    return c
+
+
+def _least(keys: np.ndarray, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``n`` least finite keys and their rows."""
+    at = np.argsort(keys, kind="stable")[:n] if len(keys) <= 4 * n else np.argpartition(keys, n)[:n]
+    at = at[np.isfinite(keys[at])]
+    return keys[at], x[at]
+
+
+def _drawn(a: list, b: list, most: list[int]) -> list:
+    return [_least(np.concatenate([i, k]), np.concatenate([x, y]), n) for (i, x), (k, y), n in zip(a, b, most, strict=True)]
+
+
 def _blocks(data: DataFrame):
     """The features as matrices of some thousand rows, kept once for all fits."""
     def pack(batches):
@@ -188,17 +268,41 @@ def _silhouettes(blocks, centres: list[np.ndarray]) -> list[float]:
     return [float(s / n) for s, n in _totals(blocks, rows)]
 
 
-def fit_segments(data: DataFrame, k: int, seed: int = 42, restarts: int = 10, blocks=None) -> KMeansModel:
-    """The K-means model of least cost of ``restarts`` seeds (the first of
-    equals). First centres are drawn over all partitions (k-means||); all seeds
-    run in step, and the best becomes a model of pyspark.ml."""
+class Summary(NamedTuple):
+    trainingCost: float
+
+
+class Segments(NamedTuple):
+    """Centres as a model of pyspark.ml, and what they cost over all rows."""
+    model: KMeansModel
+    summary: Summary
+
+    def clusterCenters(self) -> list[np.ndarray]:
+        return self.model.clusterCenters()
+
+    def transform(self, data: DataFrame) -> DataFrame:
+        return self.model.transform(data)
+
+
+def _model(data: DataFrame, centres: np.ndarray) -> KMeansModel:
+    """A model of pyspark.ml with given centres: a random start over just these
+    rows takes them all, and no iteration moves them."""
+    rows = data.sparkSession.createDataFrame([(Vectors.dense(c),) for c in centres], ["features"]).coalesce(1)
+    return _kmeans(max(2, len(centres)), 0, max_iter=0).setInitMode("random").fit(rows)
+
+
+def fit_segments(data: DataFrame, k: int, seed: int = 42, restarts: int = 10, blocks=None) -> Segments:
+    """The K-means clustering of least cost of ``restarts`` seeds (the
+    first of equals). First centres are drawn over all partitions (k-means||);
+    all seeds run in step, and the best becomes a model of pyspark.ml."""
     own = blocks if blocks is not None else _blocks(data)
     try:
-        _, costs = _together(own, _first_centres(data, [(k, seed + r) for r in range(restarts)])) if restarts > 1 else (None, [0.0])
+        centres, costs = _together(own, _first_centres(data, [(k, seed + r) for r in range(restarts)], own))
     finally:
         if blocks is None:
             own.unpersist()
-    return _fit(data, k, seed + int(np.argmin(costs)))
+    best = int(np.argmin(costs))
+    return Segments(_model(data, centres[best]), Summary(costs[best]))
 
 
 def choose(data: DataFrame, k_min: int = 2, k_max: int = 8, seed: int = 42, blocks=None) -> int:
@@ -210,7 +314,7 @@ def choose(data: DataFrame, k_min: int = 2, k_max: int = 8, seed: int = 42, bloc
         return ks[0]
     own = blocks if blocks is not None else _blocks(data)
     try:
-        centres, _ = _together(own, _first_centres(data, [(k, seed) for k in ks]))
+        centres, _ = _together(own, _first_centres(data, [(k, seed) for k in ks], own))
         scores = _silhouettes(own, centres)
     finally:
         if blocks is None:
@@ -231,17 +335,18 @@ def segment(micro: DataFrame, k: int | None = None, seed: int = 42, restarts: in
     """Features -> scaled -> K (auto when None) -> K-means -> stable ids;
     returns (quarter, cuestionario, cluster_id) for every respondent (K06
     joins them back by key, never by position)."""
-    feat = features(micro)
-    data = scaled(feat).persist(StorageLevel.MEMORY_AND_DISK)
-    data.count()
-    feat.unpersist()  # the scaled rows are kept, what they came from no longer
-    blocks = _blocks(data)
+    kept = narrow(features(micro)).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = own = None
     try:
+        data = scaled(kept)
+        blocks = _blocks(data)
         model = fit_segments(data, k or choose(data, seed=seed, blocks=blocks), seed, restarts, blocks)
-        labels = relabel_by_spend(model.transform(data)).select(*KEY, "cluster_id").checkpoint(eager=True)
+        own = model.transform(data).select(*KEY, "gasto_euros", "prediction").persist(StorageLevel.MEMORY_AND_DISK)
+        labels = relabel_by_spend(own).select(*KEY, "cluster_id").checkpoint(eager=True)
     finally:
-        blocks.unpersist()
-        data.unpersist()
+        for x in (blocks, kept, own):
+            if x is not None:
+                x.unpersist()
     return labels
 
 

@@ -57,18 +57,21 @@ SELECT lab.quarter, lab.cuestionario, m.cluster_id FROM lab JOIN m ON lab.predic
 _LABELED: dict = {}
 
 
-def _segmented(spark, sf):
-    """Respondents with their segment, computed once per session and input
+def _labels(spark, sf):
+    """Each respondent's segment by key, computed once per session and input
     snapshot and kept as a reliable checkpoint (shared by m15 and q14, as
     the reference stores the labels once per training run)."""
     key = (spark.sparkContext.applicationId, sf, C.input_fingerprint(spark, sf, C.MICRO_INPUTS))
     if key not in _LABELED:
-        micro = C.microdata(spark, sf, with_raw=True)
-        labels = G.segment(micro, k=None, seed=SEED, restarts=10)
-        _LABELED[key] = micro.join(labels, G.KEY, "left").checkpoint(eager=True)
+        _LABELED[key] = G.segment(C.microdata(spark, sf, with_raw=True), k=None, seed=SEED, restarts=10)
     return _LABELED[key]
 
 
+def _segmented(spark, sf):
+    """Respondents with their segment."""
+    return K.label_back(C.microdata(spark, sf, with_raw=True), _labels(spark, sf), G.KEY)
+
+
 def m15_segments(spark, sf):
     return _segmented(spark, sf).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
 

@@ -111,3 +111,70 @@ def test_fits_in_step_equal_single_fits(spark):
         assert np.allclose(c, np.array(m.clusterCenters()), atol=1e-8) and abs(cost - m.summary.trainingCost) < 1e-6
         assert abs(score - ClusteringEvaluator().evaluate(m.transform(df))) < 1e-9
     df.unpersist()
+
+
+class _Counted:
+    """A kept RDD that counts the passes over it."""
+
+    def __init__(self, rdd):
+        self.rdd, self.passes = rdd, 0
+
+    def __getattr__(self, name):
+        if name.startswith("mapPartitions"):
+            self.passes += 1
+        return getattr(self.rdd, name)
+
+
+def test_draws_of_many_rows_share_their_passes(spark, monkeypatch):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    r = np.random.default_rng(7)
+    x = np.concatenate([r.standard_normal((1500, 3)), r.standard_normal((1500, 3)) + 12, r.standard_normal((4, 3)) + 300])
+    df = spark.createDataFrame([(Vectors.dense(row),) for row in r.permutation(np.concatenate([x, x[:90]]))], ["features"]).repartition(6).persist()
+    monkeypatch.setattr(G, "WHOLE_DRAW", 0)
+    monkeypatch.setattr(G, "_fit", None)  # nothing is fitted anew, nor the best seed once more
+    blocks, fits = G._blocks(df), [(k, 42 + i) for i, k in enumerate((2, 3, 3, 5, 8))]
+    few, many = _Counted(blocks), _Counted(blocks)
+    G._first_centres(df, fits[1:2], few)
+    found = G._first_centres(df, fits, many)
+    assert few.passes == many.passes == G.ROUNDS + 2  # first rows, rounds, weights: not a pass for each fit
+    assert [c.shape for c in found] == [(k, 3) for k, _ in fits]
+    again = G._first_centres(df, fits, blocks)
+    assert all(np.array_equal(a, b) for a, b in zip(found, again, strict=True))
+    for c in found[1:]:  # four rows far off have a centre from the start
+        assert np.abs(c - 300).sum(axis=1).min() < 6
+    best = G.fit_segments(df, 3, 42, restarts=2, blocks=blocks)
+    assert sorted(round(c.mean() / 12) for c in best.clusterCenters()) == [0, 1, 25]
+    near = ((x[:, None] - np.array(best.clusterCenters())[None]) ** 2).sum(axis=2).min(axis=1)
+    assert abs(best.summary.trainingCost - near.sum() - near[:90].sum()) < 1e-6
+    assert sorted(n for (n,) in best.transform(df).groupBy("prediction").count().select("count").collect()) == [4, 1500, 1590]
+    blocks.unpersist()
+    same = spark.createDataFrame([(Vectors.dense([1.0, 2.0]),)] * 20, ["features"])
+    one = G.fit_segments(same, 3, 42, restarts=2)
+    assert [c.tolist() for c in one.clusterCenters()] == [[1.0, 2.0]] and one.transform(same).filter("prediction <> 0").count() == 0
+    df.unpersist()
+
+
+def test_scaled_equals_the_library(spark):
+    import numpy as np
+    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+
+    r, cols = np.random.default_rng(11), G.feature_columns()
+    rows = []
+    for i in range(300):
+        value = {c: float(r.integers(0, 4)) if c.startswith("imp_") else float(r.random() < 0.3) for c in cols}
+        value |= {c: float(r.lognormal(8, 2)) for c in G.NUMERIC} | {"personas": 4.0, "act_golf": 1.0, "proposito_top5": 0.0}
+        value |= {c: None for c in (*G.NUMERIC[:4], "imp_mar", "satisfaccion_n") if r.random() < 0.2}
+        rows.append(("2020Q1", i, *[value[c] for c in cols]))
+    feat = spark.createDataFrame(rows, f"quarter string, cuestionario long, {', '.join(f'{c} double' for c in cols)}").persist()
+    names = [f"{c}__i" for c in cols]
+    wide = Imputer(inputCols=cols, outputCols=names, strategy="median").fit(feat).transform(feat)
+    wide = VectorAssembler(inputCols=names, outputCol="all").transform(wide)
+    want = StandardScaler(inputCol="all", outputCol="want", withMean=True, withStd=True).fit(wide).transform(wide)
+    want = {x.cuestionario: x.want.toArray() for x in want.select("cuestionario", "want").collect()}
+    kept = G.narrow(feat)
+    assert dict(kept.dtypes)["act_playa"] == dict(kept.dtypes)["imp_mar"] == "tinyint" and dict(kept.dtypes)["edad"] == "double"
+    got = G.scaled(kept).collect()
+    assert len(got) == 300 and all(np.allclose(x.features.toArray(), want[x.cuestionario], rtol=1e-9, atol=1e-12) for x in got)
+    feat.unpersist()
