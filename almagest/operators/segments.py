@@ -354,7 +354,7 @@ def refresh(micro: DataFrame, labels: DataFrame, root: str, code_labels: dict[st
     """What follows a training: labels joined back to the respondents by
     key (K06) and the table of profiles written anew as a whole (K05). Returns
     the stored profiles."""
-    K.overwrite_table(profiles(K.label_back(micro, labels, KEY), code_labels), f"{root}/profiles")
+    K.overwrite_table(profiles(K.label_back(coded(micro), labels, KEY), code_labels), f"{root}/profiles")
     return micro.sparkSession.read.parquet(f"{root}/profiles")
 
 
@@ -367,24 +367,36 @@ TOP_ANSWERS = {"nacionalidad": 5, "aloj_categ": 5, "proposito": 1}
 _MEANS = {"avg_age": "edad", "avg_spend": "gasto_euros", "avg_nights": "noches"}
 
 
-def answers(micro_labeled: DataFrame) -> DataFrame:
-    """(cluster_id, dimension, value) -> n, and sums and counts of all numeric
-    answers in the row of dimension ''. Respondents are unpivoted once, to one
-    row for themselves and one for each categorical answer, and aggregated
-    once, map-side first."""
-    m = U.parse_raw(micro_labeled.filter(F.col("cluster_id").isNotNull()))
+def coded(micro: DataFrame) -> DataFrame:
+    """What profiles are made of, a narrow row for each respondent (scores and
+    flags as small numbers), to be joined and shuffled instead of the record."""
+    m = U.parse_raw(micro)
     numbers = {n: F.col(c) for n, c in _MEANS.items()}
     numbers |= {"avg_satisfaction": X.safe_float("satisfaccion"), "avg_personas": X.safe_float(F.col("raw.PERSONAS_TOTAL"))}
     numbers |= {k: X.safe_float(F.col(f"raw.{k}")) for k in U.SPENDING_KEYS}
-    numbers |= {k: X.importance_score(F.col(f"raw.{k}")) for k in IMPORTANCE_KEYS}
-    flags = {k: X.binary_flag(F.col(f"raw.{k}")) for k in ACTIVITY_KEYS}
-    item = lambda d, v: F.struct(F.lit(d).alias("dimension"), v.cast("string").alias("value"))
+    numbers |= {k: X.importance_score(F.col(f"raw.{k}")).cast("tinyint") for k in IMPORTANCE_KEYS}
+    numbers |= {k: X.binary_flag(F.col(f"raw.{k}")).cast("tinyint") for k in ACTIVITY_KEYS}
+    return m.select(*[c for c in (*KEY, "cluster_id") if c in m.columns], *[F.col(c).cast("string").alias(c) for c in TOP_ANSWERS],
+                    *[v.alias(n) for n, v in numbers.items()])
+
+
+def answers(micro_labeled: DataFrame) -> DataFrame:
+    """(cluster_id, dimension, value) -> n, and sums and counts of all numeric
+    answers in the row of dimension ''. Respondents (as they are, or ``coded``)
+    are unpivoted once, to one row for themselves and one for each categorical
+    answer, and aggregated once, map-side first. Numbers become exact before
+    that, once a respondent."""
+    m = micro_labeled if IMPORTANCE_KEYS[0] in micro_labeled.columns else coded(micro_labeled)
+    scores, flags = [*IMPORTANCE_KEYS], [*ACTIVITY_KEYS]
+    numbers = [*_MEANS, "avg_satisfaction", "avg_personas", *U.SPENDING_KEYS]
+    m = m.filter(F.col("cluster_id").isNotNull()).select("cluster_id", *TOP_ANSWERS, *[X.exact(n).alias(n) for n in numbers], *scores, *flags)
+    item = lambda d, v: F.struct(F.lit(d).alias("dimension"), v.alias("value"))
     rows = F.explode(F.array(item("", F.lit("")), *[item(c, F.col(c)) for c in TOP_ANSWERS]))
-    m = (m.select("cluster_id", rows.alias("a"), *[X.exact(v).alias(n) for n, v in numbers.items()], *[v.alias(n) for n, v in flags.items()])
+    m = (m.select("cluster_id", rows.alias("a"), *numbers, *scores, *flags)
           .filter((F.col("a.dimension") == "") | (F.col("a.value").isNotNull() & ~F.col("a.value").isin(*X.PLACEHOLDER_CODES))))
     own = F.col("a.dimension") == ""
     aggs = [F.count(F.lit(1)).alias("n")]
-    for name in numbers:
+    for name in [*numbers, *scores]:
         aggs += [F.sum(F.when(own, F.col(name))).alias(f"s_{name}"), F.count(F.when(own, F.col(name))).alias(f"c_{name}")]
     aggs += [F.sum(F.when(own, F.col(name))).alias(f"s_{name}") for name in flags]
     return m.groupBy("cluster_id", "a.dimension", "a.value").agg(*aggs)

@@ -68,8 +68,8 @@ def _labels(spark, sf):
 
 
 def _segmented(spark, sf):
-    """Respondents with their segment."""
-    return K.label_back(C.microdata(spark, sf, with_raw=True), _labels(spark, sf), G.KEY)
+    """Respondents, as far as their profiles need them, with their segment."""
+    return K.label_back(G.coded(C.microdata(spark, sf, with_raw=True)), _labels(spark, sf), G.KEY)
 
 
 def m15_segments(spark, sf):

@@ -135,3 +135,10 @@ def test_change_of_small_and_offsetting_values_is_seen(spark):
     after = spark.createDataFrame([("a", 1, 0.001), ("b", 1, 3.0), ("b", 2, 5.0), ("c", 1, None), ("e", 1, 1.0)], cols)
     got = {r.k: r.status for r in V.changed_series(before, after, ["k"]).collect()}
     assert got == {"a": "changed", "b": "changed", "d": "gone", "e": "new"}
+
+
+def test_flags_of_odd_texts(spark):
+    texts = ["1", "6", "0", " ", "", None, "x", "１", " 1", "01", "1.0", "10", "_Z", "1e0"]
+    assert _one(spark, [(t,) for t in texts], "x string", X.binary_flag("x")) == [1.0] + [0.0] * 7 + [1.0] * 3 + [0.0] * 2 + [1.0]
+    plan = spark.range(1).select(X.binary_flag(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert "length(" in plan  # a single letter is settled without parsing

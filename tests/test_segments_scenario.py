@@ -178,3 +178,40 @@ def test_scaled_equals_the_library(spark):
     got = G.scaled(kept).collect()
     assert len(got) == 300 and all(np.allclose(x.features.toArray(), want[x.cuestionario], rtol=1e-9, atol=1e-12) for x in got)
     feat.unpersist()
+
+
+def test_profiles_of_coded_respondents(spark, sf_dir):
+    from almagest.operators import sinks as K
+
+    micro = C.microdata(spark, sf_dir, with_raw=True).limit(300)
+    micro = micro.unionByName(micro.limit(5)).withColumn("quarter", F.when(F.col("cuestionario") % 11 != 0, F.col("quarter"))).persist()
+    labels = micro.select(*G.KEY, (F.col("cuestionario") % 3).cast("int").alias("cluster_id")).distinct()
+    wide, coded = K.label_back(micro, labels, G.KEY), K.label_back(G.coded(micro), labels, G.KEY)
+    assert "raw" not in coded.columns and "raw_json" not in coded.columns and dict(coded.dtypes)["ACTIV_GOLF"] == "tinyint"
+    assert coded.filter("cluster_id IS NULL").count() > 0
+    want, got = (G.profiles(x).orderBy("cluster_id").collect() for x in (wide, coded))
+    assert len(want) == 3 and want == got
+    micro.unpersist()
+
+
+def test_numbers_become_exact_once_a_respondent(spark, sf_dir):
+    micro = C.microdata(spark, sf_dir, with_raw=True).withColumn("cluster_id", F.col("cuestionario") % 2)
+    node, above, below = G.answers(micro)._jdf.queryExecution().optimizedPlan(), [], []
+    into = above
+    while node.children().size():
+        into = below if node.nodeName() == "Generate" else into
+        into.append(node.expressions().toString())
+        node = node.children().head()
+    assert below and "decimal(28,6)" in " ".join(below) and " as decimal(28,6)" not in " ".join(above)
+
+
+def test_labels_meet_narrow_respondents(spark, sf_dir, monkeypatch):
+    from almagest.plans import segment_queries as Q
+
+    labels = C.microdata(spark, sf_dir).select(*G.KEY, (F.col("cuestionario") % 2).cast("int").alias("cluster_id"))
+    monkeypatch.setattr(Q, "_labels", lambda spark, sf: labels, raising=False)
+    monkeypatch.setattr(Q.G, "segment", None)  # nothing is trained here
+    sizes = {r.cluster_id: r["size"] for r in Q.m15_segments(spark, sf_dir).collect()}
+    assert sum(sizes.values()) == labels.count() and set(sizes) == {0, 1}
+    assert not {"raw", "raw_json"} & set(Q._segmented(spark, sf_dir).columns)
+    assert {r.cluster_id: r["size"] for r in Q.q14_trained(spark, sf_dir).collect()} == sizes
